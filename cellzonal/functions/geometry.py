@@ -40,20 +40,16 @@ def clamped_box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Colum
     )
 
 
-def part_edges(part: Column) -> Column:
+def edges_sql(part: str) -> str:
     """All edges of a part's rings as ``array<struct<x1,y1,x2,y2>>``."""
+    edge = "named_struct('x1', p.x, 'y1', p.y, 'x2', q.x, 'y2', q.y)"
+    ring_edges = f"zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (p, q) -> {edge})"
+    return f"flatten(transform(filter({part}, r -> size(r) > 1), r -> {ring_edges}))"
 
-    def ring_edges(r: Column) -> Column:
-        return F.zip_with(
-            F.slice(r, F.lit(1), F.size(r) - 1),
-            F.slice(r, F.lit(2), F.size(r) - 1),
-            lambda p, q: F.struct(
-                p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")
-            ),
-        )
 
-    solid = F.filter(part, lambda r: F.size(r) > 1)
-    return F.flatten(F.transform(solid, ring_edges))
+def crossing_sql(y: str, e: str = "") -> str:
+    """Where an edge meets the horizontal line ``y``; null on a level edge."""
+    return f"try_divide(({e}x2 - {e}x1) * ({y} - {e}y1), {e}y2 - {e}y1) + {e}x1"
 
 
 def points_of(geometry: Column) -> Column:
@@ -73,24 +69,12 @@ def bounds_of(geometry: Column) -> Column:
     )
 
 
-def contains(geometry: Column, x: Column, y: Column) -> Column:
+def contains(geometry: str, x: str, y: str) -> Column:
     """Even-odd point test; edges are half-open, as in the cell fill."""
-
-    def crossings(part: Column) -> Column:
-        return F.size(
-            F.filter(
-                part_edges(part),
-                lambda e: ((e["y1"] > y) != (e["y2"] > y))
-                & (x < crossing_x(e["x1"], e["y1"], e["x2"], e["y2"], y)),
-            )
-        )
-
-    return F.exists(geometry, lambda part: crossings(part) % 2 == 1)
-
-
-def crossing_x(x1: Column, y1: Column, x2: Column, y2: Column, y: Column) -> Column:
-    """Where an edge meets the horizontal line ``y``; null on a level edge."""
-    return F.try_divide((x2 - x1) * (y - y1), y2 - y1) + x1
+    crossed = f"((e.y1 > {y}) != (e.y2 > {y})) and ({x} < {crossing_sql(y, 'e.')})"
+    return F.expr(
+        f"exists({geometry}, part -> size(filter({edges_sql('part')}, e -> {crossed})) % 2 = 1)"
+    )
 
 
 def coordinates(geometry: Column) -> Column:

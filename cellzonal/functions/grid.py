@@ -1,5 +1,7 @@
 """Native square-degree grid: every operation is a Column expression.
 
+Arguments are column names or SQL expressions, so each result is one ``expr``.
+
 Level ``r`` splits the world into ``12 * 3^r`` columns and ``6 * 3^r`` rows of
 cells ``30 / 3^r`` degrees wide. A cell id packs ``(level, y, x)`` in one
 BIGINT, so a parent is plain integer arithmetic and never needs a lookup.
@@ -58,66 +60,64 @@ def cell_count(level: int) -> int:
     return BASE_COLUMNS * BASE_ROWS * 9**level
 
 
-def pack(level: int, x: Column, y: Column) -> Column:
-    return (
-        F.lit(level * LEVEL_STEP).cast("long")
-        + y.cast("long") * F.lit(ROW_STEP).cast("long")
-        + x.cast("long")
-    )
+def pack_sql(level: int, x: str, y: str) -> str:
+    return f"({level * LEVEL_STEP}L + ({y}) * {ROW_STEP}L + ({x}))"
+
+
+def x_sql(cell: str) -> str:
+    return f"({cell} & {ROW_STEP - 1}L)"
 
 
-def cell_x(cell: Column) -> Column:
-    return cell.bitwiseAND(F.lit(ROW_STEP - 1).cast("long"))
+def y_sql(cell: str) -> str:
+    return f"(shiftright({cell}, 28) & {ROW_STEP - 1}L)"
 
 
-def cell_y(cell: Column) -> Column:
-    return F.shiftright(cell, 28).bitwiseAND(F.lit(ROW_STEP - 1).cast("long"))
+def index_sql(degrees: str, origin: float, level: int, bound: int) -> str:
+    """Row or column of a coordinate, kept within the grid."""
+    at = f"floor(({degrees} + {origin}D) * {float(splits(level))}D / {BASE_DEGREES}D)"
+    return f"greatest(least({at}, {bound * splits(level) - 1}L), 0L)"
 
 
-def cell_at(lng: Column, lat: Column, level: int) -> Column:
+def pack(level: int, x: str, y: str) -> Column:
+    """Cell id of a column and a row, given as SQL expressions."""
+    return F.expr(pack_sql(level, x, y))
+
+
+def cell_at(lng: str, lat: str, level: int) -> Column:
     """Cell holding a point (G7); lng 180 and lat 90 belong to the last cell."""
-    n = splits(level)
-    x = F.floor((lng + 180.0) * float(n) / BASE_DEGREES)
-    y = F.floor((lat + 90.0) * float(n) / BASE_DEGREES)
     return pack(
-        level,
-        F.greatest(F.least(x, F.lit(BASE_COLUMNS * n - 1)), F.lit(0)),
-        F.greatest(F.least(y, F.lit(BASE_ROWS * n - 1)), F.lit(0)),
+        level, index_sql(lng, 180.0, level, BASE_COLUMNS), index_sql(lat, 90.0, level, BASE_ROWS)
     )
 
 
-def parent(cell: Column, level: int, to_level: int) -> Column:
+def parent(cell: str, level: int, to_level: int) -> Column:
     """Ancestor of a level-``level`` cell at a coarser level."""
     if to_level > level:
         raise ValueError(f"level {to_level} is finer than {level}")
     if to_level == level:
-        return cell
-    step = F.lit(3 ** (level - to_level)).cast("long")
-    return pack(
-        to_level,
-        F.call_function("div", cell_x(cell), step),
-        F.call_function("div", cell_y(cell), step),
-    )
+        return F.expr(cell)
+    step = 3 ** (level - to_level)
+    return pack(to_level, f"{x_sql(cell)} div {step}L", f"{y_sql(cell)} div {step}L")
 
 
-def corners(cell: Column, level: int) -> tuple[Column, Column, Column, Column]:
+def corners_sql(cell: str, level: int) -> tuple[str, str, str, str]:
     """``(xmin, ymin, xmax, ymax)`` of a cell."""
-    n = float(splits(level))
-    x, y = cell_x(cell).cast("double"), cell_y(cell).cast("double")
+    width = f"{BASE_DEGREES}D / {float(splits(level))}D"
+    x, y = f"cast({x_sql(cell)} as double)", f"cast({y_sql(cell)} as double)"
     return (
-        x * BASE_DEGREES / n - 180.0,
-        y * BASE_DEGREES / n - 90.0,
-        (x + 1.0) * BASE_DEGREES / n - 180.0,
-        (y + 1.0) * BASE_DEGREES / n - 90.0,
+        f"({x} * {width} - 180D)",
+        f"({y} * {width} - 90D)",
+        f"(({x} + 1D) * {width} - 180D)",
+        f"(({y} + 1D) * {width} - 90D)",
     )
 
 
-def boundary(cell: Column, level: int) -> Column:
+def boundary(cell: str, level: int) -> Column:
     """Cell outline as a geometry: one part, one closed ring."""
-    xmin, ymin, xmax, ymax = corners(cell, level)
-    ring = [(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin)]
-    points = [F.struct(x.alias("x"), y.alias("y")) for x, y in ring]
-    return F.array(F.array(F.array(*points)))
+    w, s, e, n = corners_sql(cell, level)
+    ring = [(w, s), (e, s), (e, n), (w, n), (w, s)]
+    points = ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in ring)
+    return F.expr(f"array(array(array({points})))")
 
 
 def to_text(cell: Column, upper: bool = False) -> Column:

@@ -17,18 +17,16 @@ def cell_count(level: int) -> int:
     return 2 + 120 * 7**level
 
 
-def resolution(cell: Column) -> Column:
-    return F.shiftright(cell, _RESOLUTION_OFFSET).bitwiseAND(F.lit(15)).cast("int")
+def resolution(cell: str) -> Column:
+    return F.expr(f"cast(shiftright({cell}, {_RESOLUTION_OFFSET}) & 15L as int)")
 
 
-def parent(cell: Column, level: int, to_level: int) -> Column:
+def parent(cell: str, level: int, to_level: int) -> Column:
     """Ancestor of a cell at a coarser resolution."""
     if not 0 <= to_level <= level <= MAX_LEVEL:
         raise ValueError(f"cannot go from level {level} to {to_level}")
     if to_level == level:
-        return cell
+        return F.expr(cell)
+    keep = ~(15 << _RESOLUTION_OFFSET)
     unused_digits = (1 << 3 * (MAX_LEVEL - to_level)) - 1
-    without_resolution = cell.bitwiseAND(F.lit(~(15 << _RESOLUTION_OFFSET)))
-    return without_resolution.bitwiseOR(F.lit(to_level << _RESOLUTION_OFFSET)).bitwiseOR(
-        F.lit(unused_digits)
-    )
+    return F.expr(f"({cell} & {keep}L) | {(to_level << _RESOLUTION_OFFSET) | unused_digits}L")

@@ -20,7 +20,7 @@ from cellzonal.operators.polyfill import dump_parts, geometry_column, polyfill
 class Grid(Protocol):
     def cell_count(self, level: int) -> int: ...
 
-    def parent(self, cell: Column, level: int, to_level: int) -> Column: ...
+    def parent(self, cell: str, level: int, to_level: int) -> Column: ...
 
     def polyfill(self, zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame: ...
 
@@ -32,14 +32,14 @@ class NativeGrid:
     def cell_count(self, level: int) -> int:
         return grid.cell_count(level)
 
-    def parent(self, cell: Column, level: int, to_level: int) -> Column:
+    def parent(self, cell: str, level: int, to_level: int) -> Column:
         return grid.parent(cell, level, to_level)
 
     def polyfill(self, zones: DataFrame, level: int, keep: Sequence[str] = ("id",)) -> DataFrame:
         return polyfill(zones, level, keep)
 
     def with_boundary(self, df: DataFrame, cell: str, level: int, name: str = "geom") -> DataFrame:
-        return df.withColumn(name, grid.boundary(F.col(cell), level))
+        return df.withColumn(name, grid.boundary(cell, level))
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ class DictionaryGrid:
     def cell_count(self, level: int) -> int:
         return h3.cell_count(level)
 
-    def parent(self, cell: Column, level: int, to_level: int) -> Column:
+    def parent(self, cell: str, level: int, to_level: int) -> Column:
         return h3.parent(cell, level, to_level)
 
     def polyfill(self, zones: DataFrame, level: int, keep: Sequence[str] = ("id",)) -> DataFrame:
@@ -64,7 +64,7 @@ class DictionaryGrid:
         r = self.bucket_level
         bucket = f"h{r}"
         centres = self.dictionary.select(
-            F.col("cell"), "lng", "lat", grid.cell_at(F.col("lng"), F.col("lat"), r).alias(bucket)
+            F.col("cell"), "lng", "lat", grid.cell_at("lng", "lat", r).alias(bucket)
         )
         touched = touched_cells(zones, r, keep)
         inside = polyfill(zones, r, keep).select(bucket, *keep)
@@ -75,7 +75,7 @@ class DictionaryGrid:
         near = (
             centres.join(touched, bucket)
             .join(shapes, list(keep))
-            .where(geo.contains(F.col("_geometry"), F.col("lng"), F.col("lat")))
+            .where(geo.contains("_geometry", "lng", "lat"))
             .select("cell", *keep)
         )
         # Buckets keep the two branches apart; a zone listed twice may repeat a cell.
@@ -83,7 +83,7 @@ class DictionaryGrid:
         if level == 0:
             return cells.select(F.col("cell").alias("h0"), *keep)
         return cells.select(
-            self.parent(F.col("cell"), level, 0).alias("h0"),
+            self.parent("cell", level, 0).alias("h0"),
             F.col("cell").alias(f"h{level}"),
             *keep,
         )
@@ -95,49 +95,40 @@ class DictionaryGrid:
 
 def touched_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame:
     """Native cells that an outline of a zone passes through, one row each."""
-    n = grid.splits(level)
-    rows, columns = grid.BASE_ROWS * n, grid.BASE_COLUMNS * n
+    ids = [f"`{c}`" for c in keep]
     shape = geometry_column(zones)
-    edges = dump_parts(zones.select(*keep, shape), shape).select(
-        *keep, F.explode(geo.part_edges(F.col("rings"))).alias("_e")
+    edges = (
+        dump_parts(zones.select(*ids, shape), shape)
+        .selectExpr(*ids, f"explode({geo.edges_sql('rings')}) as _e")
+        .selectExpr(*ids, "_e.*")
     )
-    edges = edges.select(*keep, "_e.*")
 
-    def index(degrees: Column, origin: float, last: int) -> Column:
-        at = F.floor((degrees + origin) * float(n) / grid.BASE_DEGREES)
-        return F.greatest(F.least(at, F.lit(last)), F.lit(0))
+    def row(y: str) -> str:
+        return grid.index_sql(y, 90.0, level, grid.BASE_ROWS)
 
-    by_row = edges.withColumn(
-        "_y",
-        F.explode(
-            F.sequence(
-                index(F.least("y1", "y2"), 90.0, rows - 1),
-                index(F.greatest("y1", "y2"), 90.0, rows - 1),
-            )
-        ),
-    )
-    south = F.col("_y") * grid.BASE_DEGREES / float(n) - 90.0
-    north = (F.col("_y") + 1) * grid.BASE_DEGREES / float(n) - 90.0
+    def column(x: str) -> str:
+        return grid.index_sql(x, 180.0, level, grid.BASE_COLUMNS)
 
-    def x_at(y: Column) -> Column:
-        at = geo.crossing_x(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), y)
-        return F.greatest(F.least(at, F.greatest("x1", "x2")), F.least("x1", "x2"))
+    def x_at(y: str) -> str:
+        return f"greatest(least({geo.crossing_sql(y)}, greatest(x1, x2)), least(x1, x2))"
 
+    by_row = edges.selectExpr(
+        "*", f"explode(sequence({row('least(y1, y2)')}, {row('greatest(y1, y2)')})) as _y"
+    )
     # Part of the edge within the row; a level edge is there in full length.
-    a = F.coalesce(x_at(F.greatest(south, F.least("y1", "y2"))), F.col("x1"))
-    b = F.coalesce(x_at(F.least(north, F.greatest("y1", "y2"))), F.col("x2"))
-    margin = 1e-9
+    width = f"{grid.BASE_DEGREES}D / {float(grid.splits(level))}D"
+    south, north = f"(_y * {width} - 90D)", f"((_y + 1) * {width} - 90D)"
+    spans = by_row.selectExpr(
+        *ids,
+        "_y",
+        f"if(y1 = y2, x1, {x_at(f'greatest({south}, least(y1, y2))')}) as a",
+        f"if(y1 = y2, x2, {x_at(f'least({north}, greatest(y1, y2))')}) as b",
+    )
+    margin = "1e-9D"
+    left, right = column(f"least(a, b) - {margin}"), column(f"greatest(a, b) + {margin}")
     return (
-        by_row.withColumn(
-            "_x",
-            F.explode(
-                F.sequence(
-                    index(F.least(a, b) - margin, 180.0, columns - 1),
-                    index(F.greatest(a, b) + margin, 180.0, columns - 1),
-                )
-            ),
-        )
-        .select(grid.pack(level, F.col("_x"), F.col("_y")).alias(f"h{level}"), *keep)
+        spans.selectExpr(*ids, "_y", f"explode(sequence({left}, {right})) as _x")
+        .select(grid.pack(level, "_x", "_y").alias(f"h{level}"), *ids)
         .distinct()
     )
 

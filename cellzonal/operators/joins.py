@@ -37,8 +37,8 @@ def prune_to_cells(facts: DataFrame, aoi: DataFrame, level: int, grid: Grid = NA
     """
     cell = f"h{level}"
     coarse = broadcast_level(level, grid)
-    cover = aoi.select(grid.parent(F.col(cell), level, coarse).alias("_cover")).distinct()
-    key = grid.parent(F.col(cell), level, coarse)
+    cover = aoi.select(grid.parent(cell, level, coarse).alias("_cover")).distinct()
+    key = grid.parent(cell, level, coarse)
     return (
         facts.withColumn("_cover", key)
         .join(F.broadcast(cover), "_cover", "left_semi")
@@ -107,9 +107,9 @@ def align(data: DataFrame, aoi: DataFrame, grid: Grid = NATIVE) -> tuple[DataFra
     if cell in data_cells:
         return data, aoi, area_level, area_level
     if area_level < finest:
-        rolled = data.withColumn(cell, grid.parent(F.col(f"h{finest}"), finest, area_level))
+        rolled = data.withColumn(cell, grid.parent(f"h{finest}", finest, area_level))
         return rolled, aoi, area_level, area_level
-    coarsened = aoi.withColumn(f"h{finest}", grid.parent(F.col(cell), area_level, finest))
+    coarsened = aoi.withColumn(f"h{finest}", grid.parent(cell, area_level, finest))
     return data, coarsened, area_level, finest
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.functions import geometry as geo, grid
 
@@ -23,9 +23,9 @@ def geometry_column(zones: DataFrame) -> str:
     raise ValueError(f"no geometry column among {zones.columns}")
 
 
-def _half_cell_index(degrees: Column, origin: float, n: int) -> Column:
+def _centre_index(degrees: str, origin: float, n: int) -> str:
     """Index of the first cell centre at or beyond a coordinate."""
-    return F.ceil((degrees + origin) * float(n) / grid.BASE_DEGREES - 0.5)
+    return f"ceil(({degrees} + {origin}D) * {float(n)}D / {grid.BASE_DEGREES}D - 0.5D)"
 
 
 def scanline_runs(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame:
@@ -41,64 +41,51 @@ def scanline_runs(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFram
     n = grid.splits(level)
     rows, columns = grid.BASE_ROWS * n, grid.BASE_COLUMNS * n
 
+    ids = [f"`{c}`" for c in keep]
     parts = dump_parts(
-        zones.select(*keep, F.col(geometry_column(zones)).alias("_geometry")), "_geometry", "_part"
+        zones.select(*ids, F.col(geometry_column(zones)).alias("_geometry")), "_geometry", "_part"
     )
-    edges = parts.select(
-        *keep,
+    edges = parts.selectExpr(
+        *ids,
         "_part",
-        F.xxhash64("rings").alias("_shape"),
-        F.posexplode(geo.part_edges(F.col("rings"))).alias("_edge", "_e"),
-    ).select(*keep, "_part", "_shape", "_edge", "_e.*")
+        "xxhash64(rings) as _shape",
+        f"posexplode({geo.edges_sql('rings')}) as (_edge, _e)",
+    ).selectExpr(*ids, "_part", "_shape", "_edge", "_e.*")
 
     # One spare row on both sides; the crossing test below decides.
-    low = F.greatest(_half_cell_index(F.least("y1", "y2"), 90.0, n) - 1, F.lit(0))
-    high = F.least(_half_cell_index(F.greatest("y1", "y2"), 90.0, n), F.lit(rows - 1))
-    y_centre = (F.col("_y") + 0.5) * grid.BASE_DEGREES / float(n) - 90.0
+    low = f"greatest({_centre_index('least(y1, y2)', 90.0, n)} - 1, 0L)"
+    high = f"least({_centre_index('greatest(y1, y2)', 90.0, n)}, {rows - 1}L)"
+    y_centre = f"((cast(_y as double) + 0.5D) * {grid.BASE_DEGREES}D / {float(n)}D - 90D)"
     crossings = (
-        edges.where(F.col("y1") != F.col("y2"))
-        .withColumn("_y", F.explode(F.when(low <= high, F.sequence(low, high))))
-        .where((F.col("y1") > y_centre) != (F.col("y2") > y_centre))
-        .select(
-            *keep,
-            "_part",
-            "_shape",
-            "_edge",
-            "_y",
-            geo.crossing_x(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), y_centre).alias("_x"),
-        )
-        .repartition(*keep, "_y")
+        edges.where("y1 != y2")
+        .selectExpr("*", f"explode(case when {low} <= {high} then sequence({low}, {high}) end) as _y")
+        .where(f"(y1 > {y_centre}) != (y2 > {y_centre})")
+        .selectExpr(*ids, "_part", "_shape", "_edge", "_y", f"{geo.crossing_sql(y_centre)} as _x")
+        .repartition(*ids, "_y")
     )
 
     # A zone listed twice brings every crossing twice: keep one of each.
-    in_part = Window.partitionBy(*keep, "_y", "_part", "_shape").orderBy("_x", "_edge")
-    once = crossings.withColumn("_previous", F.lag("_edge").over(in_part)).where(
-        F.col("_previous").isNull() | (F.col("_previous") != F.col("_edge"))
-    )
-    runs = (
-        once.withColumn("_rank", F.row_number().over(in_part))
-        .withColumn("_end", F.lead("_x").over(in_part))
-        .where(F.col("_rank") % 2 == 1)
-        .select(
-            *keep,
-            "_y",
-            F.greatest(_half_cell_index(F.col("_x"), 180.0, n), F.lit(0)).alias("x0"),
-            F.least(_half_cell_index(F.col("_end"), 180.0, n) - 1, F.lit(columns - 1)).alias("x1"),
-        )
-        .where(F.col("x0") <= F.col("x1"))
+    by_row = ", ".join([*ids, "_y"])
+    in_part = f"(partition by {by_row}, _part, _shape order by _x, _edge)"
+    once = crossings.selectExpr("*", f"lag(_edge) over {in_part} as _previous").where(
+        "_previous is null or _previous != _edge"
     )
+    pairs = once.selectExpr(
+        "*", f"row_number() over {in_part} as _rank", f"lead(_x) over {in_part} as _end"
+    ).where("_rank % 2 = 1")
+    runs = pairs.selectExpr(
+        *ids,
+        "_y",
+        f"greatest({_centre_index('_x', 180.0, n)}, 0L) as x0",
+        f"least({_centre_index('_end', 180.0, n)} - 1, {columns - 1}L) as x1",
+    ).where("x0 <= x1")
 
     # Parts of one zone may overlap: start each run after what is already covered.
-    earlier = (
-        Window.partitionBy(*keep, "_y")
-        .orderBy("x0", "x1")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    covered = F.max("x1").over(earlier)
+    earlier = f"(partition by {by_row} order by x0, x1 rows between unbounded preceding and 1 preceding)"
     return (
-        runs.withColumn("_start", F.greatest("x0", F.coalesce(covered + 1, F.col("x0"))))
-        .where(F.col("_start") <= F.col("x1"))
-        .select(*keep, F.col("_y").alias("y"), F.col("_start").alias("x0"), "x1")
+        runs.selectExpr(*ids, "_y as y", "x0", "x1", f"max(x1) over {earlier} as _covered")
+        .selectExpr(*ids, "y", "greatest(x0, coalesce(_covered + 1, x0)) as x0", "x1")
+        .where("x0 <= x1")
     )
 
 
@@ -107,14 +94,15 @@ def polyfill(zones: DataFrame, level: int, keep: Sequence[str] = ("id",)) -> Dat
 
     Rows are unique. With ``keep=()`` the result is the plain set of cells.
     """
-    cell = f"h{level}"
-    cells = scanline_runs(zones, level, keep).select(
-        *keep, "y", F.explode(F.sequence("x0", "x1")).alias("x")
+    cell, ids = f"h{level}", [f"`{c}`" for c in keep]
+    cells = (
+        scanline_runs(zones, level, keep)
+        .selectExpr(*ids, "y", "explode(sequence(x0, x1)) as x")
+        .select(*ids, grid.pack(level, "x", "y").alias(cell))
     )
-    cells = cells.select(*keep, grid.pack(level, F.col("x"), F.col("y")).alias(cell))
     if level == 0:
-        return cells.select(cell, *keep)
-    return cells.select(grid.parent(F.col(cell), level, 0).alias("h0"), cell, *keep)
+        return cells.select(cell, *ids)
+    return cells.select(grid.parent(cell, level, 0).alias("h0"), cell, *ids)
 
 
 def polyfill_retrying(
@@ -136,4 +124,4 @@ def polyfill_retrying(
 
 def base_grid(facts: DataFrame) -> DataFrame:
     """Distinct base cells of a table with their outline."""
-    return facts.select("h0").distinct().withColumn("geom", grid.boundary(F.col("h0"), 0))
+    return facts.select("h0").distinct().withColumn("geom", grid.boundary("h0", 0))

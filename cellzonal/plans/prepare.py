@@ -25,7 +25,7 @@ def with_parents(
     df: DataFrame, level: int, to_levels: Sequence[int], grid: Grid = NATIVE
 ) -> DataFrame:
     """Coarser cell columns from the finest one."""
-    cell = F.col(f"h{level}")
+    cell = f"h{level}"
     return df.withColumns({f"h{k}": grid.parent(cell, level, k) for k in to_levels})
 
 

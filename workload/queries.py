@@ -632,7 +632,7 @@ def _(spark, sf):
 @query("point_cells", f"SELECT taxonkey, {o.cell('lng', 'lat', 8)} AS h8 FROM ({o.sql('OCCURRENCES')}) p")
 def _(spark, sf):
     points = t.occurrence_points(spark, sf)
-    return points.select("taxonkey", grid.cell_at(F.col("lng"), F.col("lat"), 8).alias("h8"))
+    return points.select("taxonkey", grid.cell_at("lng", "lat", 8).alias("h8"))
 
 
 @query(
@@ -642,7 +642,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     points = t.occurrence_points(spark, sf)
-    cells = points.select(grid.cell_at(F.col("lng"), F.col("lat"), 8).alias("h8"))
+    cells = points.select(grid.cell_at("lng", "lat", 8).alias("h8"))
     return prepare.with_parents(cells, 8, range(8))
 
 
@@ -689,14 +689,13 @@ H3_IDS = f"SELECT c_custkey, {_h3_sql('c_custkey', 9)} AS h9 FROM {{customer}}"
 )
 def _(spark, sf):
     ids = t.derive(spark, sf, H3_IDS)
-    h9 = F.col("h9")
+    ids = ids.withColumn("h7", h3.parent("h9", 9, 7))
     return ids.select(
         "h9",
-        h3.parent(h9, 9, 8).alias("h8"),
-        h3.parent(h3.parent(h9, 9, 7), 7, 5).alias("h5"),
-        h3.parent(h9, 9, 0).alias("h0"),
-        h3.resolution(h3.parent(h9, 9, 5)).alias("level"),
-    )
+        h3.parent("h9", 9, 8).alias("h8"),
+        h3.parent("h7", 7, 5).alias("h5"),
+        h3.parent("h9", 9, 0).alias("h0"),
+    ).withColumn("level", h3.resolution("h5"))
 
 
 # Dictionary of H3 cells with invented centres, and facts keyed by those cells.

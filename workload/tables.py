@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellzonal.functions import geometry as geo, grid
+from cellzonal.functions import grid
 from cellzonal.operators.taxa import RANKS
 
 GIVEN = (
@@ -161,27 +161,23 @@ def occurrences(spark: SparkSession, sf: str, level: int, ranks: bool = False) -
     """Occurrence facts with one cell column; ``ranks`` adds the taxon columns."""
     points = occurrence_points(spark, sf)
     facts = points.select(
-        "taxonkey", grid.cell_at(F.col("lng"), F.col("lat"), level).alias(f"h{level}")
+        "taxonkey", grid.cell_at("lng", "lat", level).alias(f"h{level}")
     )
     return facts.join(taxa(spark, sf), "taxonkey", "left") if ranks else facts
 
 
 def carbon_raw(spark: SparkSession, sf: str, level: int) -> DataFrame:
     points = derive(spark, sf, CARBON_POINTS)
-    cell = grid.cell_at(F.col("lng"), F.col("lat"), level)
-    return points.select(
-        grid.parent(cell, level, 0).alias("h0"), cell.alias("h_zoom"), "Z"
-    )
+    cells = points.select(grid.cell_at("lng", "lat", level).alias("h_zoom"), "Z")
+    return cells.select(grid.parent("h_zoom", level, 0).alias("h0"), "h_zoom", "Z")
 
 
 def range_cells(spark: SparkSession, sf: str, level: int = 2) -> DataFrame:
     """Distinct (taxon, cell) at one level with all coarser cells."""
     points = derive(spark, sf, RANGE_POINTS)
-    cell = grid.cell_at(F.col("lng"), F.col("lat"), level).alias(f"h{level}")
-    rows = points.select("taxon_id", cell).distinct()
-    return rows.withColumns(
-        {f"h{k}": grid.parent(F.col(f"h{level}"), level, k) for k in range(level)}
-    )
+    cell = f"h{level}"
+    rows = points.select("taxon_id", grid.cell_at("lng", "lat", level).alias(cell)).distinct()
+    return rows.withColumns({f"h{k}": grid.parent(cell, level, k) for k in range(level)})
 
 
 def range_taxa(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,8 +188,9 @@ def range_taxa(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def triangle(shift: float = 0.0) -> Column:
-    corner = [(F.col(f"{p}x") + F.lit(shift), F.col(f"{p}y")) for p in "amc"]
-    return F.array(geo.ring(*corner))
+    """One part: the closed triangle through the corner columns."""
+    points = ", ".join(f"named_struct('x', {p}x + {shift}D, 'y', {p}y)" for p in "amca")
+    return F.expr(f"array(array({points}))")
 
 
 def _zones(spark: SparkSession, sf: str, sql: str) -> DataFrame:
