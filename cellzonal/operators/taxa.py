@@ -142,9 +142,14 @@ def lineage(taxonomy: DataFrame, rank: str, name: str) -> DataFrame:
 
 def alias_table(spark: SparkSession, aliases: Mapping[str, Selection] = ALIASES) -> DataFrame:
     """Known phrases with their rank columns."""
-    rows = [(phrase, *[names.get(r) for r in RANKS]) for phrase, names in aliases.items()]
-    schema = "phrase string, " + ", ".join(f"`{r}` string" for r in RANKS)
-    return spark.createDataFrame(rows, schema)
+    rows = [
+        F.struct(
+            F.lit(phrase).alias("phrase"),
+            *[F.lit(names.get(r)).cast("string").alias(r) for r in RANKS],
+        )
+        for phrase, names in aliases.items()
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def resolve_aliases(requests: DataFrame, aliases: DataFrame, phrase: str = "phrase") -> DataFrame:
@@ -172,8 +177,8 @@ def check_lineage(proposals: DataFrame, taxonomy: DataFrame, key: str) -> DataFr
     """Whether each proposed classification occurs in the taxonomy (T-9).
 
     Rows ``key, found``. Ranks left open match anything, and a proposal that
-    names no rank is always found. Proposals meet the taxonomy on their finest
-    named rank; coarser named ranks are compared afterwards.
+    names no rank is always found. Each different proposal is checked once: it
+    meets the taxonomy on its finest named rank, then the coarser ones compare.
     """
     none = F.lit(None).cast("string")
 
@@ -192,19 +197,22 @@ def check_lineage(proposals: DataFrame, taxonomy: DataFrame, key: str) -> DataFr
     finest_first = list(reversed(list(enumerate(RANKS))))
     rank = F.coalesce(*[F.when(F.col(f"`{r}`").isNotNull(), F.lit(i)) for i, r in finest_first])
     name = F.coalesce(*[F.col(f"`{r}`") for _, r in finest_first])
-    asked = proposals.select(
-        key,
-        *[F.col(f"`{r}`").alias(f"_p{i}") for i, r in enumerate(RANKS)],
-        rank.alias("_rank"),
-        name.alias("_name"),
-    )
+    proposed = [F.col(f"`{r}`").alias(f"_p{i}") for i, r in enumerate(RANKS)]
+    different = proposals.select(*proposed, rank.alias("_rank"), name.alias("_name")).distinct()
     same = reduce(
         lambda a, b: a & b,
-        [
-            F.col(f"_p{i}").isNull() | F.coalesce(F.col(f"_p{i}") == F.col(f"_t{i}"), F.lit(False))
-            for i in range(len(RANKS))
-        ],
+        [F.col(f"_p{i}").isNull() | (F.col(f"_p{i}") == F.col(f"_t{i}")) for i in range(len(RANKS))],
+    )
+    right = (
+        different.join(lineages, ["_rank", "_name"])
+        .where(same)
+        .select(*[F.col(f"_p{i}").alias(f"_r{i}") for i in range(len(RANKS))])
+        .distinct()
+        .withColumn("_found", F.lit(True))
+    )
+    agree = [F.col(f"`{r}`").eqNullSafe(F.col(f"_r{i}")) for i, r in enumerate(RANKS)]
+    unnamed = F.coalesce(*[F.col(f"`{r}`") for r in RANKS]).isNull()
+    found = F.coalesce(F.col("_found"), unnamed)
+    return proposals.join(right, reduce(lambda a, b: a & b, agree), "left").select(
+        key, found.alias("found")
     )
-    matched = asked.join(lineages, ["_rank", "_name"], "left")
-    found = F.col("_name").isNull() | same
-    return matched.groupBy(key).agg(F.max(found).alias("found"))

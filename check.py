@@ -32,9 +32,29 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     return [tuple(names)] + sorted(rows, key=repr)
 
 
+# Spark type to the DuckDB type that holds the same values.
+SAME_TYPE = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
+def type_differences(df, db, name: str) -> list[str]:
+    wanted = {r[0]: r[1] for r in db.execute(f"DESCRIBE {ORACLES[name]}").fetchall()}
+    return [
+        f"{c}: {spark_type} vs {wanted.get(c)}"
+        for c, spark_type in df.dtypes
+        if SAME_TYPE.get(spark_type, spark_type) != wanted.get(c)
+    ]
+
+
 def compare(spark, db, sf: str, name: str) -> tuple[bool, str]:
     start = time.time()
-    actual = QUERIES[name](spark, sf).toPandas().astype(object)
+    result = QUERIES[name](spark, sf)
+    actual = result.toPandas().astype(object)
     took = time.time() - start
     if name not in ORACLES:
         return True, f"{len(actual)} rows, no oracle, {took:.1f}s"
@@ -42,6 +62,9 @@ def compare(spark, db, sf: str, name: str) -> tuple[bool, str]:
     wanted = db.execute(ORACLES[name]).fetchdf().astype(object)
     a, w = canonical(actual), canonical(wanted)
     note = f"{len(actual)} rows, {took:.1f}s (oracle {time.time() - start:.1f}s)"
+    differences = type_differences(result, db, name)
+    if differences:
+        return False, f"types differ: {differences}"
     if a == w:
         return len(actual) > 0, note + ("" if len(actual) else " EMPTY")
     bad = [(x, y) for x, y in zip(a, w) if x != y][:2]

@@ -1,0 +1,125 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from cellzonal.operators import taxa
+from tests.helpers import rows
+
+SCHEMA = ", ".join(f"`{r}` string" for r in taxa.RANKS)
+NAMES = [
+    ("Animalia", "Chordata", "Aves", "Passeriformes", "Corvidae", "Corvus", "Corvus corax"),
+    ("Animalia", "Chordata", "Aves", "Passeriformes", "Corvidae", "Pica", "Pica pica"),
+    ("Animalia", "Chordata", "Mammalia", "Primates", "Hominidae", "Homo", "Homo sapiens"),
+    ("Plantae", "Tracheophyta", None, None, None, None, None),
+    (None, None, None, None, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def names(spark):
+    return spark.createDataFrame(NAMES, SCHEMA)
+
+
+def test_selection_keeps_rank_order_and_drops_unset():
+    got = taxa.normalise_selection({"class": "Aves", "kingdom": "Animalia", "order": "", "genus": None})
+    assert list(got.items()) == [("kingdom", "Animalia"), ("class", "Aves")]
+
+
+def test_choosing_a_rank_clears_finer_ones():
+    chosen = {"kingdom": "Animalia", "phylum": "Chordata", "class": "Aves", "species": "x"}
+    assert taxa.set_rank(chosen, "phylum", "Mollusca") == {"kingdom": "Animalia", "phylum": "Mollusca"}
+    assert taxa.set_rank(chosen, "phylum", None) == {"kingdom": "Animalia"}
+
+
+def test_selection_as_text_and_table(spark):
+    chosen = {"class": "Aves", "kingdom": "Animalia"}
+    assert taxa.selection_text(chosen) == "Kingdom: Animalia\nClass: Aves"
+    assert taxa.selection_text({}) == "No selection made"
+    assert rows(taxa.selection_table(spark, chosen)) == [("Class", "Aves"), ("Kingdom", "Animalia")]
+    assert taxa.selection_table(spark, {}).count() == 0
+
+
+def test_filter_is_a_conjunction_and_ignores_unknown_ranks(names):
+    assert taxa.filter_taxa(names, {}) is names
+    assert taxa.filter_taxa(names, None) is names
+    assert taxa.filter_taxa(names, {"rationale": "x"}) is names
+    assert taxa.filter_taxa(names, {"kingdom": "Animalia", "class": "Aves", "x": "y"}).count() == 2
+    assert taxa.filter_taxa(names, {"kingdom": "Plantae", "class": "Aves"}).count() == 0
+    with pytest.raises(ValueError):
+        taxa.filter_taxa(names, {"x": "y"}, strict=True)
+
+
+def test_filter_by_taxonomy(spark, names):
+    keyed = names.withColumn("id", F.when(F.col("genus") == "Pica", 2).otherwise(1))
+    facts = spark.createDataFrame([(1,), (2,), (2,), (3,)], "taxon_id int")
+    assert taxa.filter_by_taxonomy(facts, keyed, {}) is facts
+    got = taxa.filter_by_taxonomy(facts, keyed, {"genus": "Pica"})
+    assert rows(got) == [(2,), (2,)]
+
+
+def test_drill_down(names):
+    assert [r[0] for r in taxa.root_taxa(names).collect()] == ["Animalia", "Plantae"]
+    assert rows(taxa.child_taxa(names, "phylum", "Chordata")) == [("Aves",), ("Mammalia",)]
+    assert rows(taxa.child_taxa(names, "phylum", "Tracheophyta")) == []
+    with pytest.raises(ValueError):
+        taxa.child_taxa(names, "species", "Pica pica")
+
+
+def test_lineage(names):
+    got = taxa.lineage(names, "class", "Aves")
+    assert got.columns == ["kingdom", "phylum", "class"]
+    assert rows(got) == [("Animalia", "Chordata", "Aves")]
+    deeper = names.withColumn("infraspecificEpithet", F.lit("sub"))
+    assert len(taxa.lineage(deeper, "infraspecificEpithet", "sub").columns) == 8
+
+
+def test_aliases(spark):
+    asked = spark.createDataFrame([(1, " Birds "), (2, "ALL"), (3, "foo"), (4, None)], "id int, phrase string")
+    got = taxa.resolve_aliases(asked, taxa.alias_table(spark))
+    assert rows(got, "id", "kingdom", "class", "known") == [
+        (1, "Animalia", "Aves", True), (2, None, None, True), (3, None, None, False), (4, None, None, False),
+    ]
+
+
+def test_classification_json(spark):
+    texts = [
+        json.dumps({"kingdom": "Animalia", "class": "Aves"}),
+        "{}",
+        json.dumps({"kingdom": "Animalia", "common": "birds"}),
+        "not json",
+        None,
+    ]
+    asked = spark.createDataFrame(list(enumerate(texts)), "id int, json string")
+    got = taxa.parse_classification(asked)
+    assert rows(got, "id", "kingdom", "class", "valid") == [
+        (0, "Animalia", "Aves", True), (1, None, None, True), (2, "Animalia", None, False),
+        (3, None, None, False), (4, None, None, False),
+    ]
+
+
+def test_lineage_check(spark, names):
+    blank = dict.fromkeys(taxa.RANKS)
+    asked = [
+        (0, {"kingdom": "Animalia", "phylum": "Chordata", "class": "Aves", "family": "Corvidae"}),
+        (1, {"kingdom": "Plantae", "class": "Aves"}),
+        (2, {}),
+        (3, {"genus": "Homo"}),
+        (4, {"genus": "homo"}),
+        (5, {"phylum": "Tracheophyta"}),
+        (6, {"kingdom": "Plantae", "class": "Magnoliopsida"}),
+        (7, {"genus": "Homo"}),
+    ]
+    table = spark.createDataFrame(
+        [(k, *{**blank, **v}.values()) for k, v in asked], f"id int, {SCHEMA}"
+    )
+    got = dict(rows(taxa.check_lineage(table, names, "id")))
+    assert got == {0: True, 1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: True}
+
+
+def test_selection_rows_and_text_column(names):
+    keyed = names.withColumn("k", F.col("species"))
+    got = taxa.selection_rows(keyed.where("genus = 'Homo'"), ["k"])
+    assert ("Homo sapiens", "Order", "Primates") in rows(got) and got.count() == 7
+    texts = [r[0] for r in names.select(taxa.selection_text_column()).collect()]
+    assert texts[3] == "Kingdom: Plantae\nPhylum: Tracheophyta" and texts[4] == "No selection made"

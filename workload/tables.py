@@ -81,15 +81,20 @@ def _spread(nation: str, key: str, scale: int) -> str:
 
 
 # Corner tables: one row per triangle, ``part`` numbers the triangles of a zone.
-COUNTRIES = """
+def _country_part(part: int) -> str:
+    x, y = f"{180 * (part - 1)}", "CAST(-90 + 36*r_regionkey AS DOUBLE)"
+    return f"""
 SELECT 'C' || CAST(r_regionkey AS STRING) AS id, 'C' || CAST(r_regionkey AS STRING) AS country,
-       r_name AS "primary", part,
-       -180 + 180*CAST(part AS DOUBLE) + 0.13e0*2 AS ax, CAST(-90 + 36*r_regionkey AS DOUBLE) + 0.17e0 AS ay,
-       -180 + 180*CAST(part AS DOUBLE) + 71.31e0*2 AS mx, CAST(-90 + 36*r_regionkey AS DOUBLE) + 0.29e0 AS my,
-       -180 + 180*CAST(part AS DOUBLE) + 33.7e0*2 AS cx, CAST(-90 + 36*r_regionkey AS DOUBLE) + 35.1e0 AS cy
-FROM {region} CROSS JOIN (SELECT 0 AS part UNION ALL SELECT 1 AS part) p
+       r_name AS "primary", {part} AS part,
+       {x} + 0.13e0*2 AS ax, {y} + 0.17e0 AS ay, {x} + 71.31e0*2 AS mx, {y} + 0.29e0 AS my,
+       {x} + 33.7e0*2 AS cx, {y} + 35.1e0 AS cy
+FROM {{region}}
 """
 
+
+COUNTRY_WEST = _country_part(0)
+COUNTRIES = COUNTRY_WEST + " UNION ALL " + _country_part(1)
+
 REGIONS = (
     "SELECT n_nationkey AS id, 'N' || CAST(n_nationkey AS STRING) AS region, "
     "'C' || CAST(n_regionkey AS STRING) AS country, n_name AS \"primary\", 0 AS part, "
@@ -200,8 +205,8 @@ def _zones(spark: SparkSession, sf: str, sql: str) -> DataFrame:
 
 
 def countries(spark: SparkSession, sf: str) -> DataFrame:
-    first = derive(spark, sf, COUNTRIES).where("part = 0")
-    return first.select(
+    west = derive(spark, sf, COUNTRY_WEST)
+    return west.select(
         "id", "country", "primary", F.array(triangle(), triangle(180.0)).alias("geometry")
     )
 
