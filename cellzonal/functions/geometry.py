@@ -12,6 +12,7 @@ RING_TYPE = f"array<{POINT_TYPE}>"
 PART_TYPE = f"array<{RING_TYPE}>"
 GEOMETRY_TYPE = f"array<{PART_TYPE}>"
 
+# How far a map view may reach.
 LNG_LIMIT, LAT_LIMIT = 178.0, 89.99
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, functions as F
 BASE_DEGREES = 30.0
 BASE_COLUMNS, BASE_ROWS = 12, 6
 MAX_LEVEL = 15
+# Lowest and highest zoom a user may pick.
+ZOOM_RANGE = (1, 10)
 LEVEL_STEP = 1 << 56
 ROW_STEP = 1 << 28
 
@@ -44,8 +46,8 @@ def finest_hex_column(columns: list[str]) -> str:
 
 
 def zoom_to_level(zoom: float) -> int:
-    """Map zoom to a grid level: cut the fraction, keep within 1..10."""
-    return max(1, min(10, int(zoom)))
+    """Map zoom to a grid level: cut the fraction, keep within the slider's range."""
+    return max(ZOOM_RANGE[0], min(ZOOM_RANGE[1], int(zoom)))
 
 
 def splits(level: int) -> int:
@@ -90,14 +92,18 @@ def cell_at(lng: str, lat: str, level: int) -> Column:
     )
 
 
-def parent(cell: str, level: int, to_level: int) -> Column:
-    """Ancestor of a level-``level`` cell at a coarser level."""
+def parent_sql(cell: str, level: int, to_level: int) -> str:
     if to_level > level:
         raise ValueError(f"level {to_level} is finer than {level}")
     if to_level == level:
-        return F.expr(cell)
+        return cell
     step = 3 ** (level - to_level)
-    return pack(to_level, f"{x_sql(cell)} div {step}L", f"{y_sql(cell)} div {step}L")
+    return pack_sql(to_level, f"{x_sql(cell)} div {step}L", f"{y_sql(cell)} div {step}L")
+
+
+def parent(cell: str, level: int, to_level: int) -> Column:
+    """Ancestor of a level-``level`` cell at a coarser level."""
+    return F.expr(parent_sql(cell, level, to_level))
 
 
 def corners_sql(cell: str, level: int) -> tuple[str, str, str, str]:

@@ -26,6 +26,7 @@ DEFAULT_COLOUR = "#D3D3D3"
 VIRIDIS = ("#440154", "#443A83", "#31688E", "#21908C", "#35B779", "#8FD744", "#FDE725")
 GREENS = ("#f0ffe4", "#234b02")
 
+# Fixed value: height of a feature whose value is 1.
 EXTRUSION_HEIGHT = 10000
 
 

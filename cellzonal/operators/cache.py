@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellzonal.operators.grids import NATIVE, Grid
+from cellzonal.operators.publish import write_geojson
 from cellzonal.session import shared_folder
 
 
@@ -63,16 +64,15 @@ def is_cached(spark: SparkSession, path: str) -> bool:
     return bool(_complete_runs(spark, path))
 
 
-def cached(
+def stored_folder(
     spark: SparkSession,
     label: str,
     inputs: Sequence[str],
     params: Mapping[str, object],
-    compute: Callable[[], DataFrame],
+    write: Callable[[str], None],
     root: str | None = None,
-    partition_by: Sequence[str] = (),
-) -> DataFrame:
-    """The stored result, computed and written first when absent (K6).
+) -> str:
+    """Folder of a finished result, written first when absent (K6).
 
     Every writer uses a folder of its own and readers look for its success mark,
     so a lost job or two jobs at once never leave a half-written result in view.
@@ -80,10 +80,43 @@ def cached(
     path = f"{root or shared_folder(spark) + '/results'}/{label}/{cache_key(label, inputs, params)}"
     runs = _complete_runs(spark, path)
     if not runs:
-        target = f"{path}/run-{uuid.uuid4().hex}"
-        compute().write.partitionBy(*partition_by).parquet(target)
+        write(f"{path}/run-{uuid.uuid4().hex}")
         runs = _complete_runs(spark, path)
-    return spark.read.parquet(runs[0])
+    return runs[0]
+
+
+def cached(
+    spark: SparkSession,
+    label: str,
+    inputs: Sequence[str],
+    params: Mapping[str, object],
+    compute: Callable[[], DataFrame],
+    root: str | None = None,
+    partition_by: Sequence[str] = (),
+) -> DataFrame:
+    """The stored result as a table, computed only when absent (K6)."""
+
+    def write(path: str) -> None:
+        compute().write.partitionBy(*partition_by).parquet(path)
+
+    return spark.read.parquet(stored_folder(spark, label, inputs, params, write, root))
+
+
+def published(
+    spark: SparkSession,
+    label: str,
+    inputs: Sequence[str],
+    params: Mapping[str, object],
+    compute: Callable[[], DataFrame],
+    root: str | None = None,
+    geometry: str = "geom",
+) -> str:
+    """Folder of the result as GeoJSON features, computed only when absent (K4, K6)."""
+
+    def write(path: str) -> None:
+        write_geojson(compute(), path, geometry)
+
+    return stored_folder(spark, label, inputs, params, write, root)
 
 
 def cached_aoi(

@@ -44,7 +44,10 @@ class NativeGrid:
 
 @dataclass(frozen=True)
 class DictionaryGrid:
-    """H3 ids with a cell dictionary holding one resolution."""
+    """H3 ids with a cell dictionary holding one resolution.
+
+    A cell the dictionary lacks lies in no zone and has no outline.
+    """
 
     dictionary: DataFrame
     bucket_level: int = 4
@@ -90,7 +93,7 @@ class DictionaryGrid:
 
     def with_boundary(self, df: DataFrame, cell: str, level: int, name: str = "geom") -> DataFrame:
         outlines = self.dictionary.select(F.col("cell").alias(cell), F.col("boundary").alias(name))
-        return df.join(outlines, cell)
+        return df.join(outlines, cell, "left")
 
 
 def touched_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame:

@@ -41,52 +41,47 @@ def scanline_runs(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFram
     n = grid.splits(level)
     rows, columns = grid.BASE_ROWS * n, grid.BASE_COLUMNS * n
 
-    ids = [f"`{c}`" for c in keep]
-    parts = dump_parts(
-        zones.select(*ids, F.col(geometry_column(zones)).alias("_geometry")), "_geometry", "_part"
-    )
-    edges = parts.selectExpr(
-        *ids,
-        "_part",
-        "xxhash64(rings) as _shape",
-        f"posexplode({geo.edges_sql('rings')}) as (_edge, _e)",
-    ).selectExpr(*ids, "_part", "_shape", "_edge", "_e.*")
-
-    # One spare row on both sides; the crossing test below decides.
+    key = "".join(f"`{c}`, " for c in keep)
+    # One spare row on both sides of an edge; the crossing test decides.
     low = f"greatest({_centre_index('least(y1, y2)', 90.0, n)} - 1, 0L)"
     high = f"least({_centre_index('greatest(y1, y2)', 90.0, n)}, {rows - 1}L)"
     y_centre = f"((cast(_y as double) + 0.5D) * {grid.BASE_DEGREES}D / {float(n)}D - 90D)"
+    # A zone listed twice brings every crossing twice, next to each other in this order.
+    in_part = f"(partition by {key} _y, _part, _shape order by _x, _edge)"
+    # Parts of one zone may overlap: each run starts after what is already covered.
+    earlier = f"(partition by {key} _y order by x0, x1 rows between unbounded preceding and 1 preceding)"
+    parts = (
+        f"select {key} posexplode(`{geometry_column(zones)}`) as (_part, rings) from {{zones}}"
+    )
+    edges = (
+        f"select {key} _part, xxhash64(rings) as _shape, "
+        f"posexplode({geo.edges_sql('rings')}) as (_edge, _e) from ({parts})"
+    )
+    ends = f"select {key} _part, _shape, _edge, _e.* from ({edges}) where _e.y1 != _e.y2"
+    in_rows = (
+        f"select *, explode(case when {low} <= {high} then sequence({low}, {high}) end) as _y "
+        f"from ({ends})"
+    )
     crossings = (
-        edges.where("y1 != y2")
-        .selectExpr("*", f"explode(case when {low} <= {high} then sequence({low}, {high}) end) as _y")
-        .where(f"(y1 > {y_centre}) != (y2 > {y_centre})")
-        .selectExpr(*ids, "_part", "_shape", "_edge", "_y", f"{geo.crossing_sql(y_centre)} as _x")
-        .repartition(*ids, "_y")
+        f"select /*+ repartition({key} _y) */ {key} _part, _shape, _edge, _y, "
+        f"{geo.crossing_sql(y_centre)} as _x "
+        f"from ({in_rows}) where (y1 > {y_centre}) != (y2 > {y_centre})"
     )
-
-    # A zone listed twice brings every crossing twice: keep one of each.
-    by_row = ", ".join([*ids, "_y"])
-    in_part = f"(partition by {by_row}, _part, _shape order by _x, _edge)"
-    once = crossings.selectExpr("*", f"lag(_edge) over {in_part} as _previous").where(
-        "_previous is null or _previous != _edge"
+    marked = f"select *, lag(_edge) over {in_part} as _previous from ({crossings})"
+    paired = (
+        f"select {key} _y, _x, lead(_x) over {in_part} as _end, row_number() over {in_part} as _rank "
+        f"from ({marked}) where _previous is null or _previous != _edge"
+    )
+    runs = (
+        f"select {key} _y, greatest({_centre_index('_x', 180.0, n)}, 0L) as x0, "
+        f"least({_centre_index('_end', 180.0, n)} - 1, {columns - 1}L) as x1 "
+        f"from ({paired}) where _rank % 2 = 1"
     )
-    pairs = once.selectExpr(
-        "*", f"row_number() over {in_part} as _rank", f"lead(_x) over {in_part} as _end"
-    ).where("_rank % 2 = 1")
-    runs = pairs.selectExpr(
-        *ids,
-        "_y",
-        f"greatest({_centre_index('_x', 180.0, n)}, 0L) as x0",
-        f"least({_centre_index('_end', 180.0, n)} - 1, {columns - 1}L) as x1",
-    ).where("x0 <= x1")
-
-    # Parts of one zone may overlap: start each run after what is already covered.
-    earlier = f"(partition by {by_row} order by x0, x1 rows between unbounded preceding and 1 preceding)"
-    return (
-        runs.selectExpr(*ids, "_y as y", "x0", "x1", f"max(x1) over {earlier} as _covered")
-        .selectExpr(*ids, "y", "greatest(x0, coalesce(_covered + 1, x0)) as x0", "x1")
-        .where("x0 <= x1")
+    covered = f"select *, max(x1) over {earlier} as _covered from ({runs}) where x0 <= x1"
+    clear = (
+        f"select {key} _y as y, greatest(x0, coalesce(_covered + 1, x0)) as x0, x1 from ({covered})"
     )
+    return zones.sparkSession.sql(f"select * from ({clear}) where x0 <= x1", zones=zones)
 
 
 def polyfill(zones: DataFrame, level: int, keep: Sequence[str] = ("id",)) -> DataFrame:
@@ -94,15 +89,13 @@ def polyfill(zones: DataFrame, level: int, keep: Sequence[str] = ("id",)) -> Dat
 
     Rows are unique. With ``keep=()`` the result is the plain set of cells.
     """
-    cell, ids = f"h{level}", [f"`{c}`" for c in keep]
-    cells = (
-        scanline_runs(zones, level, keep)
-        .selectExpr(*ids, "y", "explode(sequence(x0, x1)) as x")
-        .select(*ids, grid.pack(level, "x", "y").alias(cell))
+    cell, key = f"h{level}", "".join(f", `{c}`" for c in keep)
+    base = "" if level == 0 else f"{grid.parent_sql('_cell', level, 0)} as h0, "
+    filled = f"select y, explode(sequence(x0, x1)) as x{key} from {{runs}}"
+    cells = f"select {grid.pack_sql(level, 'x', 'y')} as _cell{key} from ({filled})"
+    return zones.sparkSession.sql(
+        f"select {base}_cell as {cell}{key} from ({cells})", runs=scanline_runs(zones, level, keep)
     )
-    if level == 0:
-        return cells.select(cell, *ids)
-    return cells.select(grid.parent(cell, level, 0).alias("h0"), cell, *ids)
 
 
 def polyfill_retrying(

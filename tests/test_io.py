@@ -155,6 +155,19 @@ def test_stored_area_equals_computed(spark, tmp_path):
     assert repr(NativeGrid()) == "NativeGrid()"
 
 
+def test_published_once(spark, tmp_path):
+    df = zones(spark, [("z", square_zone(1, 1, 2, 2))]).withColumnRenamed("geometry", "geom")
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return df
+
+    folders = {cache.published(spark, "p", ["in"], {}, compute, str(tmp_path)) for _ in range(2)}
+    assert len(calls) == 1 and len(folders) == 1
+    assert features.read_geojson(spark, folders.pop(), one_per_line=True).count() == 1
+
+
 def test_file_fingerprint_sees_a_new_file(spark, tmp_path):
     root = str(tmp_path / "in")
     spark.range(3).write.parquet(root)

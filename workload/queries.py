@@ -867,6 +867,35 @@ def _(spark, sf):
     return cache.cached_aoi(t.counties(spark, sf), 4)
 
 
+@query(
+    "published_zonal_carbon",
+    f"SELECT id, carbon, value, xmin, ymin, xmax, ymax FROM ({o.mean_value(REGIONS, CARBON_LEVEL, 3, 'id')}) s "
+    f"JOIN (SELECT id, {EXTENT_SQL} FROM ({REGIONS}) z) e USING (id)",
+)
+def _(spark, sf):
+    zones = t.regions(spark, sf)
+    inputs = [cache.files_fingerprint(spark, f"{sf}/events.parquet"), cache.fingerprint(zones)]
+
+    def compute():
+        aoi = cache.cached_aoi(zones, 3)
+        return rounded_means(
+            zonal_carbon(_stored_carbon(spark, sf), aoi, 3, zones=zones), "carbon", "value"
+        )
+
+    folder = cache.published(spark, "zonal-carbon", inputs, {"level": 3, "id": "id"}, compute)
+    found = features.read_geojson(spark, folder, one_per_line=True)
+    given = F.col("properties")
+    return with_extent(
+        found.select(
+            given["id"].cast("int").alias("id"),
+            given["carbon"].cast("double").alias("carbon"),
+            given["value"].cast("double").alias("value"),
+            "geometry",
+        ),
+        "geometry",
+    )
+
+
 @query("table_fingerprint")
 def _(spark, sf):
     return cache.fingerprint_columns(t.read(spark, sf, "lineitem"))
