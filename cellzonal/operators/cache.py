@@ -13,6 +13,9 @@ from cellzonal.operators.grids import NATIVE, Grid
 from cellzonal.operators.publish import write_geojson
 from cellzonal.session import shared_folder
 
+# Raise when a stored result would come out differently.
+VERSION = 1
+
 
 def fingerprint_columns(df: DataFrame) -> DataFrame:
     """One row ``n, digest`` that depends on the rows but not on their order (K7).
@@ -46,7 +49,7 @@ def files_fingerprint(spark: SparkSession, path: str) -> str:
 
 def cache_key(label: str, inputs: Sequence[str], params: Mapping[str, object]) -> str:
     """Name of a result: every input's digest and every parameter count."""
-    text = json.dumps([label, list(inputs), params], sort_keys=True, default=str)
+    text = json.dumps([VERSION, label, list(inputs), params], sort_keys=True, default=str)
     return hashlib.sha256(text.encode()).hexdigest()
 
 

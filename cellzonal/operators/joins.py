@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.functions.grid import finest_hex_column, hex_columns, level_of
 from cellzonal.operators.grids import NATIVE, Grid
+from cellzonal.session import settle
 
 # A cell set is broadcast only at a level whose whole grid has at most this many cells.
 BROADCAST_CELLS = 500_000
 
-HOT_SHARE = 0.001
-SALTS = 32
+# A join key with more rows than this is split into parts of about this size.
+HOT_ROWS = 1_000_000
 
 
 def broadcast_level(level: int, grid: Grid = NATIVE) -> int:
@@ -47,27 +48,29 @@ def prune_to_cells(facts: DataFrame, aoi: DataFrame, level: int, grid: Grid = NA
 
 
 def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi-join that splits the keys holding a large share of ``many``.
+    """Inner equi-join that splits every key with more than ``HOT_ROWS`` rows in ``many``.
 
-    A key above ``HOT_SHARE`` of all rows is hot, so there are fewer than
-    ``1 / HOT_SHARE`` of them. Rows of a hot key spread over ``SALTS`` parts by a
-    hash of the whole row; only those keys of ``few`` are repeated per part.
-    ``many`` should hold distinct rows, else copies of one row stay together.
+    The list of such keys is short, one per ``HOT_ROWS`` rows at most, and is
+    broadcast to both sides. Rows of a hot key spread over its parts by a hash of
+    the whole row; only those keys of ``few`` are repeated, once per part. Rows of
+    ``many`` should differ, as after ``distinct``: copies of one row stay together.
     """
     keys = list(keys)
-    per_key = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = per_key.agg(F.sum("_n")).scalar()
-    hot = per_key.where(F.col("_n") > F.lit(HOT_SHARE) * total).select(*keys, F.lit(True).alias("_hot"))
-
-    spread = F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")
+    hot = (
+        many.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > HOT_ROWS)
+        .select(*keys, F.ceil(F.col("_n") / HOT_ROWS).alias("_parts"))
+    )
+    spread = F.pmod(F.xxhash64(*many.columns), F.col("_parts"))
     salted = many.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(0)
+        "_salt", F.coalesce(spread, F.lit(0).cast("long"))
     )
-    every_salt = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    last = F.coalesce(F.col("_parts"), F.lit(1).cast("long")) - 1
     repeated = few.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0))))
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))
     )
-    return salted.drop("_hot").join(repeated.drop("_hot"), [*keys, "_salt"]).drop("_salt")
+    return salted.drop("_parts").join(repeated.drop("_parts"), [*keys, "_salt"]).drop("_salt")
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_CELLS) -> bool:
@@ -76,10 +79,13 @@ def is_small(df: DataFrame, rows: int = BROADCAST_CELLS) -> bool:
 
 
 def join_few(many: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi-join: broadcast ``few`` after counting it, else split hot keys."""
+    """Inner equi-join: broadcast ``few`` after counting it, else split hot keys.
+
+    ``many`` is read twice for the split, so it is settled first.
+    """
     if is_small(few):
         return many.join(F.broadcast(few), list(keys))
-    return salted_join(many, few, keys)
+    return salted_join(settle(many), few, keys)
 
 
 def cell_join(facts: DataFrame, aoi: DataFrame, level: int, grid: Grid = NATIVE) -> DataFrame:

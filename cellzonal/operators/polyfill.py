@@ -62,8 +62,11 @@ def scanline_runs(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFram
         f"select *, explode(case when {low} <= {high} then sequence({low}, {high}) end) as _y "
         f"from ({ends})"
     )
+    # A fixed number of tasks: the few bytes here grow into many cells, which
+    # Spark would not foresee when merging small partitions.
+    tasks = zones.sparkSession.conf.get("spark.sql.shuffle.partitions")
     crossings = (
-        f"select /*+ repartition({key} _y) */ {key} _part, _shape, _edge, _y, "
+        f"select /*+ repartition({tasks}, {key} _y) */ {key} _part, _shape, _edge, _y, "
         f"{geo.crossing_sql(y_centre)} as _x "
         f"from ({in_rows}) where (y1 > {y_centre}) != (y2 > {y_centre})"
     )

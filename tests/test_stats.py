@@ -166,11 +166,13 @@ def test_taxon_selection_goes_through_the_taxonomy(size, spark, ranges):
 # -- joins --------------------------------------------------------------------------
 
 
-def test_salted_join_equals_plain_join_on_a_hot_key(spark):
+@pytest.mark.parametrize("limit", [10, 3000, 1_000_000])
+def test_salted_join_equals_plain_join_on_a_hot_key(spark, monkeypatch, limit):
+    monkeypatch.setattr(joins, "HOT_ROWS", limit)
     rng = random.Random(5)
     many = [(0 if rng.random() < 0.4 else rng.randint(1, 3000), i) for i in range(20000)]
-    few = [(k, f"z{j}") for k in range(0, 3000, 2) for j in range(2)]
-    left = spark.createDataFrame(many, "k int, v int")
+    few = [(k, f"z{j}") for k in range(0, 3000, 2) for j in range(2)] + [(None, "n")]
+    left = spark.createDataFrame(many + [(None, 1)], "k int, v int")
     right = spark.createDataFrame(few, "k int, z string")
     plain, salted = left.join(right, "k"), joins.salted_join(left, right, ["k"])
     assert salted.columns == plain.columns
@@ -178,11 +180,20 @@ def test_salted_join_equals_plain_join_on_a_hot_key(spark):
     assert salted.exceptAll(plain).count() == 0
 
 
-def test_hot_key_is_spread(spark):
-    left = spark.range(8000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
-    right = left.select("k").distinct()
-    joined = joins.salted_join(left, right, ["k"])
-    assert joined.where("k = 0").count() == 4000
+def test_hot_key_is_spread(spark, monkeypatch):
+    """Half of the rows share a key; with run-time changes off they meet in many tasks."""
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        key = F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id"))
+        left = spark.range(8000).select(key.alias("k"), "id")
+        joined = joins.salted_join(left, left.select("k").distinct(), ["k"]).where("k = 0")
+        per_task = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per_task) == 4000 and max(per_task) < 2000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_cell_join_keeps_facts_columns(size, spark, sightings, aoi):
