@@ -114,7 +114,8 @@ def polyfill_retrying(
         found = cells.select(F.lit(r).alias("level"), F.col(f"h{r}").alias("cell"), *keep)
         filled = found if filled is None else filled.unionByName(found)
         if r < finest:
-            rest = rest.join(cells.select(*keep), list(keep), "left_anti")
+            done = scanline_runs(rest, r, keep).select(*keep).distinct()
+            rest = rest.join(done, list(keep), "left_anti")
     return filled
 
 

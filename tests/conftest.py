@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests")
+    session = local_session(8, "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
