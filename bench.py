@@ -26,6 +26,8 @@ HEADLINE = (
     "range_zonal_richness",
     "aoi_cells_fine",
     "stored_zonal_carbon",
+    "hex_carbon_country_l8",
+    "zonal_richness_children_l8",
 )
 
 

@@ -106,6 +106,12 @@ def parent(cell: str, level: int, to_level: int) -> Column:
     return F.expr(parent_sql(cell, level, to_level))
 
 
+def ancestor(cell: str, to_level: int) -> Column:
+    """Ancestor at one level of cells whose own levels differ."""
+    step = f"cast(pow(3, shiftright({cell}, 56) - {to_level}) as bigint)"
+    return pack(to_level, f"{x_sql(cell)} div {step}", f"{y_sql(cell)} div {step}")
+
+
 def corners_sql(cell: str, level: int) -> tuple[str, str, str, str]:
     """``(xmin, ymin, xmax, ymax)`` of a cell."""
     width = f"{BASE_DEGREES}D / {float(splits(level))}D"

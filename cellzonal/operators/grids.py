@@ -14,7 +14,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cellzonal.functions import geometry as geo, grid, h3
-from cellzonal.operators.polyfill import dump_parts, geometry_column, polyfill
+from cellzonal.operators.polyfill import geometry_column, polyfill, touched_cells
 
 
 class Grid(Protocol):
@@ -96,44 +96,4 @@ class DictionaryGrid:
         return df.join(outlines, cell, "left")
 
 
-def touched_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame:
-    """Native cells that an outline of a zone passes through, one row each."""
-    ids = [f"`{c}`" for c in keep]
-    shape = geometry_column(zones)
-    edges = (
-        dump_parts(zones.select(*ids, shape), shape)
-        .selectExpr(*ids, f"explode({geo.edges_sql('rings')}) as _e")
-        .selectExpr(*ids, "_e.*")
-    )
-
-    def row(y: str) -> str:
-        return grid.index_sql(y, 90.0, level, grid.BASE_ROWS)
-
-    def column(x: str) -> str:
-        return grid.index_sql(x, 180.0, level, grid.BASE_COLUMNS)
-
-    def x_at(y: str) -> str:
-        return f"greatest(least({geo.crossing_sql(y)}, greatest(x1, x2)), least(x1, x2))"
-
-    by_row = edges.selectExpr(
-        "*", f"explode(sequence({row('least(y1, y2)')}, {row('greatest(y1, y2)')})) as _y"
-    )
-    # Part of the edge within the row; a level edge is there in full length.
-    width = f"{grid.BASE_DEGREES}D / {float(grid.splits(level))}D"
-    south, north = f"(_y * {width} - 90D)", f"((_y + 1) * {width} - 90D)"
-    spans = by_row.selectExpr(
-        *ids,
-        "_y",
-        f"if(y1 = y2, x1, {x_at(f'greatest({south}, least(y1, y2))')}) as a",
-        f"if(y1 = y2, x2, {x_at(f'least({north}, greatest(y1, y2))')}) as b",
-    )
-    margin = "1e-9D"
-    left, right = column(f"least(a, b) - {margin}"), column(f"greatest(a, b) + {margin}")
-    return (
-        spans.selectExpr(*ids, "_y", f"explode(sequence({left}, {right})) as _x")
-        .select(grid.pack(level, "_x", "_y").alias(f"h{level}"), *ids)
-        .distinct()
-    )
-
-
 NATIVE = NativeGrid()

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from cellzonal.functions.grid import finest_hex_column, hex_columns, level_of
+from cellzonal.functions.grid import ancestor, finest_hex_column, hex_columns, level_of
 from cellzonal.operators.grids import NATIVE, Grid
 from cellzonal.session import settle
 
@@ -30,6 +30,29 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {missing} not in {df.columns}")
 
 
+def is_compact(aoi: DataFrame) -> bool:
+    """Whether an area is a ``compact_fill``, with cells of several levels."""
+    return "cell" in aoi.columns
+
+
+def area_keys(
+    cells: DataFrame, aoi: DataFrame, level: int, grid: Grid = NATIVE
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join of ``h{level}`` rows with an area, and the join key.
+
+    A compact area is met by each row's ancestors; at most one per zone is there.
+    """
+    if not is_compact(aoi):
+        return cells, aoi, [f"h{level}"]
+    levels = range(broadcast_level(level, grid), level + 1)
+    lines = F.array(*[grid.parent(f"h{level}", level, k) for k in levels])
+    return (
+        cells.withColumn("_key", F.explode(lines)),
+        aoi.withColumnRenamed("cell", "_key"),
+        ["_key"],
+    )
+
+
 def prune_to_cells(facts: DataFrame, aoi: DataFrame, level: int, grid: Grid = NATIVE) -> DataFrame:
     """Facts whose cell, or its ancestor at a broadcast level, is in the area.
 
@@ -38,7 +61,11 @@ def prune_to_cells(facts: DataFrame, aoi: DataFrame, level: int, grid: Grid = NA
     """
     cell = f"h{level}"
     coarse = broadcast_level(level, grid)
-    cover = aoi.select(grid.parent(cell, level, coarse).alias("_cover")).distinct()
+    if is_compact(aoi):
+        above = ancestor("cell", coarse)
+    else:
+        above = grid.parent(cell, level, coarse)
+    cover = aoi.select(above.alias("_cover")).distinct()
     key = grid.parent(cell, level, coarse)
     return (
         facts.withColumn("_cover", key)

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.functions import geometry as geo, grid
 
+# Coarsest level of a compact fill: its whole grid is small enough to broadcast.
+BROADCAST_LEVEL = 4
+
 
 def dump_parts(zones: DataFrame, geometry: str = "geometry", part: str = "part") -> DataFrame:
     """One row per polygon part, numbered from 0."""
@@ -101,6 +104,108 @@ def polyfill(zones: DataFrame, level: int, keep: Sequence[str] = ("id",)) -> Dat
     )
 
 
+def touched_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame:
+    """Native cells that an outline of a zone passes through, one row each."""
+    ids = [f"`{c}`" for c in keep]
+    shape = geometry_column(zones)
+    edges = (
+        dump_parts(zones.select(*ids, shape), shape)
+        .selectExpr(*ids, f"explode({geo.edges_sql('rings')}) as _e")
+        .selectExpr(*ids, "_e.*")
+    )
+
+    def row(y: str) -> str:
+        return grid.index_sql(y, 90.0, level, grid.BASE_ROWS)
+
+    def column(x: str) -> str:
+        return grid.index_sql(x, 180.0, level, grid.BASE_COLUMNS)
+
+    def x_at(y: str) -> str:
+        return f"greatest(least({geo.crossing_sql(y)}, greatest(x1, x2)), least(x1, x2))"
+
+    by_row = edges.selectExpr(
+        "*", f"explode(sequence({row('least(y1, y2)')}, {row('greatest(y1, y2)')})) as _y"
+    )
+    # Part of the edge within the row; a level edge is there in full length.
+    width = f"{grid.BASE_DEGREES}D / {float(grid.splits(level))}D"
+    south, north = f"(_y * {width} - 90D)", f"((_y + 1) * {width} - 90D)"
+    spans = by_row.selectExpr(
+        *ids,
+        "_y",
+        f"if(y1 = y2, x1, {x_at(f'greatest({south}, least(y1, y2))')}) as a",
+        f"if(y1 = y2, x2, {x_at(f'least({north}, greatest(y1, y2))')}) as b",
+    )
+    margin = "1e-9D"
+    left, right = column(f"least(a, b) - {margin}"), column(f"greatest(a, b) + {margin}")
+    return (
+        spans.selectExpr(*ids, "_y", f"explode(sequence({left}, {right})) as _x")
+        .select(grid.pack(level, "_x", "_y").alias(f"h{level}"), *ids)
+        .distinct()
+    )
+
+
+def compact_fill(
+    zones: DataFrame,
+    level: int,
+    keep: Sequence[str] = ("id",),
+    start: int = BROADCAST_LEVEL,
+    step: int = 2,
+) -> DataFrame:
+    """The cells of ``polyfill`` with whole blocks given as one coarser cell.
+
+    Rows ``cell, keep...`` of levels ``start .. level``; no two of one zone
+    overlap. Only cells that an outline passes through are looked at again at a
+    finer level, so the result grows with the outline of a zone, not its area.
+    Ids must not be null.
+    """
+    levels = [*range(min(start, level), level, step), level]
+    result, outline, above = None, None, None
+    for k in levels:
+        key = [f"h{k}", *keep]
+        if outline is None:
+            inside = polyfill(zones, k, keep).select(*key)
+        else:
+            inside = _filled_within(zones, k, outline, above, keep)
+        if k < level:
+            touched = touched_cells(zones, k, keep)
+            if outline is not None:
+                ancestors = touched.withColumn(f"h{above}", grid.parent(f"h{k}", k, above))
+                touched = ancestors.join(outline, [f"h{above}", *keep], "left_semi").select(*key)
+            inside = inside.join(touched, key, "left_anti")
+            outline, above = touched, k
+        cells = inside.select(F.col(f"h{k}").alias("cell"), *keep)
+        result = cells if result is None else result.unionByName(cells)
+    return result
+
+
+def _filled_within(
+    zones: DataFrame, level: int, outline: DataFrame, above: int, keep: Sequence[str]
+) -> DataFrame:
+    """Cells of a finer level inside a zone and within one of its ``outline`` cells.
+
+    Runs and cells of one row are merged in order of x, so none are paired off.
+    """
+    side, block = 3 ** (level - above), f"h{above}"
+    runs = scanline_runs(zones, level, keep).select(
+        *keep, "y", F.col("x0").alias("x"), F.col("x1").alias("_end")
+    )
+    last = side - 1
+    cells = (
+        outline.selectExpr(
+            *[f"`{c}`" for c in keep],
+            f"{grid.x_sql(block)} * {side}L as _x",
+            f"explode(sequence({grid.y_sql(block)} * {side}L, {grid.y_sql(block)} * {side}L + {last}L)) as y",
+        )
+        .withColumn("x", F.expr(f"explode(sequence(_x, _x + {last}L))"))
+        .select(*keep, "y", "x", F.lit(None).cast("long").alias("_end"))
+    )
+    key = "".join(f"`{c}`, " for c in keep)
+    order = f"(partition by {key} y order by x, _end desc rows between unbounded preceding and current row)"
+    merged = runs.unionByName(cells).selectExpr("*", f"max(_end) over {order} as _covered")
+    inside = merged.where("_end is null and _covered >= x")
+    return inside.select(grid.pack(level, "x", "y").alias(f"h{level}"), *keep)
+
+
 def polyfill_retrying(
     zones: DataFrame, level: int, finest: int, keep: Sequence[str] = ("id",)
 ) -> DataFrame:

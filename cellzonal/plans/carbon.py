@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.operators.grids import NATIVE, Grid
 from cellzonal.operators.joins import (
+    area_keys,
     attach_geometry,
     broadcast_level,
+    is_compact,
     prune_to_cells,
     require_columns,
 )
@@ -38,7 +40,11 @@ def hex_carbon(
     cell = f"h{level}"
     per_cell = sums_per_cell(facts, aoi, level, value, grid)
     if broadcast_level(level, grid) < level:
-        per_cell = per_cell.join(aoi.select(cell), cell, "left_semi")
+        rows, area, keys = area_keys(per_cell, aoi, level, grid)
+        per_cell = rows.join(area, keys, "left_semi")
+        if is_compact(aoi):
+            # Zones may hold the same cell in blocks of different levels.
+            per_cell = per_cell.dropDuplicates([cell])
     means = per_cell.select(
         F.col(cell).alias("h3id"), F.try_divide("_sum", "_count").alias(value)
     )
@@ -57,11 +63,11 @@ def zonal_carbon(
     grid: Grid = NATIVE,
 ) -> DataFrame:
     """Unweighted mean of all rows in a zone: ``id, carbon, value[, geom]``."""
-    cell = f"h{level}"
     require_columns(aoi, id_column)
     per_cell = sums_per_cell(facts, aoi, level, value, grid)
+    rows, area, keys = area_keys(per_cell, aoi, level, grid)
     means = (
-        per_cell.join(aoi.select(cell, id_column), cell)
+        rows.join(area.select(*keys, id_column), keys)
         .groupBy(id_column)
         .agg(F.try_divide(F.sum("_sum"), F.sum("_count")).alias(value))
     )

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.operators.grids import NATIVE, Grid
 from cellzonal.operators.joins import (
+    area_keys,
     attach_geometry,
+    is_compact,
     join_few,
     prune_to_cells,
     require_columns,
@@ -22,6 +24,12 @@ def taxa_per_cell(seen: DataFrame, cell: str) -> DataFrame:
     return seen.groupBy(cell).agg(F.count(F.lit(1)).alias("n"))
 
 
+def zones_per_area_cell(aoi: DataFrame, cell: str) -> DataFrame:
+    """How many zones hold each cell of an area."""
+    key = "cell" if is_compact(aoi) else cell
+    return aoi.groupBy(key).agg(F.count(F.lit(1)).alias("_zones"))
+
+
 def distinct_sightings(
     occurrences: DataFrame,
     aoi: DataFrame,
@@ -56,12 +64,14 @@ def hex_richness(
     """
     cell = f"h{level}"
     seen = distinct_sightings(occurrences, aoi, level, taxa, (taxon,), grid)
-    zones_per_cell = aoi.groupBy(cell).agg(F.count(F.lit(1)).alias("_zones"))
-    counts = (
-        taxa_per_cell(seen, cell)
-        .join(zones_per_cell, cell)
-        .select(F.col(cell).alias("h3id"), (F.col("n") * F.col("_zones")).alias("n"))
+    per_cell, zones_per_cell, keys = area_keys(
+        taxa_per_cell(seen, cell), zones_per_area_cell(aoi, cell), level, grid
+    )
+    counts = per_cell.join(zones_per_cell, keys).select(
+        F.col(cell).alias("h3id"), (F.col("n") * F.col("_zones")).alias("n")
     )
+    if is_compact(aoi):
+        counts = counts.groupBy("h3id").agg(F.sum("n").alias("n"))
     result = log_normalise(counts)
     return grid.with_boundary(result, "h3id", level, "geom") if geometry else result
 
@@ -88,17 +98,14 @@ def zonal_richness(
     require_columns(aoi, id_column)
     cell = f"h{level}"
     seen = distinct_sightings(occurrences, aoi, level, taxa, (taxon,), grid)
-    area = aoi.select(cell, id_column)
+    rows = taxa_per_cell(seen, cell) if mode == "occupancy" else seen
+    rows, area, keys = area_keys(rows, aoi.drop("h0"), level, grid)
+    area = area.select(*keys, id_column)
     if mode == "occupancy":
-        counts = (
-            taxa_per_cell(seen, cell)
-            .join(area, cell)
-            .groupBy(id_column)
-            .agg(F.sum("n").alias("n"))
-        )
+        counts = rows.join(area, keys).groupBy(id_column).agg(F.sum("n").alias("n"))
     else:
         counts = (
-            join_few(seen, area, [cell])
+            join_few(rows, area, keys)
             .select(taxon, id_column)
             .distinct()
             .groupBy(id_column)
@@ -124,10 +131,10 @@ def species_table(
     """
     cell = f"h{level}"
     seen = distinct_sightings(occurrences, aoi, level, taxa, (*RANKS, taxon), grid)
-    zones_per_cell = aoi.groupBy(cell).agg(F.count(F.lit(1)).alias("_zones"))
+    rows, zones_per_cell, keys = area_keys(seen, zones_per_area_cell(aoi, cell), level, grid)
     ranks = [F.col(f"`{r}`") for r in RANKS]
     return (
-        join_few(seen, zones_per_cell, [cell])
+        join_few(rows, zones_per_cell, keys)
         .groupBy(*ranks, taxon)
         .agg(F.sum("_zones").alias("n"))
     )

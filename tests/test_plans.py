@@ -24,7 +24,7 @@ def static(spark):
 def test_no_python_and_no_cross_join_in_any_query(static, sf):
     for name in ALL:
         text = plan(QUERIES[name](static, sf))
-        for node in ("EvalPython", "InPandas", "CartesianProduct", "NestedLoop", "ExistingRDD"):
+        for node in ("EvalPython", "InPandas", "CartesianProduct", "NestedLoop"):
             assert node not in text, (name, node)
 
 

@@ -4,8 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellzonal.functions import geometry as geo, grid
-from cellzonal.operators.grids import DictionaryGrid, touched_cells
-from cellzonal.operators.polyfill import dump_parts, polyfill, polyfill_retrying
+from cellzonal.operators.grids import DictionaryGrid
+from cellzonal.operators.polyfill import (
+    compact_fill,
+    dump_parts,
+    polyfill,
+    polyfill_retrying,
+    touched_cells,
+)
 from tests.helpers import brute_cells, inside, pack, rows, square, square_zone, zones
 
 
@@ -152,3 +158,23 @@ def test_contains_matches_plain_python(spark):
     assert {(r["x"], r["y"]): r["in"] for r in got.collect()} == {
         p: inside(part, *p) for p in asked
     }
+
+
+@pytest.mark.parametrize("start,step,level", [(1, 1, 4), (2, 2, 4), (4, 2, 5), (0, 3, 3), (4, 2, 3)])
+def test_compact_fill_covers_the_same_cells(spark, start, step, level):
+    rng = random.Random(level)
+    shapes = [
+        (f"z{i}", [[star(rng, rng.uniform(-120, 120), rng.uniform(-50, 50), 30, 8)]]) for i in range(5)
+    ]
+    outer, hole = square(-60.1, -40.1, 60.1, 40.1), square(-20.2, -20.2, 20.2, 20.2)
+    shapes += [("hole", [[outer, hole]]), ("two", [[outer], [square(50.3, 0.3, 99.9, 20.1)]])]
+    df = zones(spark, shapes)
+    compact = compact_fill(df, level, ["id"], start, step).collect()
+    got = []
+    for row in compact:
+        own, y, x = row["cell"] >> 56, (row["cell"] >> 28) & (2**28 - 1), row["cell"] & (2**28 - 1)
+        d = 3 ** (level - own)
+        got += [(pack(level, x * d + i, y * d + j), row["id"]) for i in range(d) for j in range(d)]
+    wanted = rows(polyfill(df, level), f"h{level}", "id")
+    assert sorted(got, key=repr) == wanted
+    assert level <= start or len(compact) < len(wanted)

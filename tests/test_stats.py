@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellzonal.functions import grid
 from cellzonal.operators import joins, stats
-from cellzonal.operators.polyfill import polyfill
+from cellzonal.operators.polyfill import compact_fill, polyfill
 from cellzonal.plans.carbon import hex_carbon, zonal_carbon
 from cellzonal.plans.ranges import detail_table, open_area, range_hex_richness, range_zonal_richness
 from cellzonal.plans.richness import hex_richness, species_table, zonal_richness
@@ -246,6 +246,34 @@ def test_latency_of_one_call_has_no_spread(spark):
     assert got["c"] == (1, 0, 0.0, None, 0.0)
 
 
+def test_compact_area_gives_the_same_statistics(size, spark):
+    rng = random.Random(4)
+    points = [(rng.randint(1, 30), rng.uniform(-40, 40), rng.uniform(-40, 40), float(i)) for i in range(2000)]
+    # Along the edge of one zone within the other, where blocks of two levels hold a cell.
+    points += [(i % 9, rng.uniform(1.1, 8.0), rng.uniform(2.0, 2.5), float(i)) for i in range(200)]
+    facts = spark.createDataFrame(points, "taxonkey long, lng double, lat double, carbon double").select(
+        "taxonkey", "carbon", grid.cell_at("lng", "lat", 6).alias("h6"),
+        *[F.lit("x").alias(r) for r in ("kingdom", "phylum", "class", "order", "family", "genus", "species")],
+    )
+    shapes = {"a": (-9.97, -11.03, 8.01, 14.9), "b": (1.03, 2.05, 29.3, 25.1), "c": (-33.0, -30.0, -32.9, -29.9)}
+    df = zones(spark, [(k, square_zone(*b)) for k, b in shapes.items()])
+    plain, compact = polyfill(df, 6), compact_fill(df, 6)
+    assert compact.count() < plain.count() / 5
+    left, right, keys = joins.area_keys(facts.select("h6").distinct(), compact, 6)
+    met = left.join(right, keys).groupBy("h6").agg(F.countDistinct("_key").alias("levels"))
+    assert met.where("levels > 1").count() > 0
+    for statistic in (
+        lambda aoi: zonal_richness(facts, aoi, 6).select("id", "n"),
+        lambda aoi: zonal_richness(facts, aoi, 6, mode="species").select("id", "n"),
+        lambda aoi: hex_richness(facts, aoi, 6, geometry=False).select("h3id", "n"),
+        lambda aoi: hex_carbon(facts, aoi, 6, geometry=False).select("h3id", F.round("carbon", 6)),
+        lambda aoi: zonal_carbon(facts, aoi, 6).select("id", F.round("carbon", 6)),
+        lambda aoi: species_table(facts, aoi, 6),
+    ):
+        got = rows(statistic(compact))
+        assert got == rows(statistic(plain)) and got
+
+
 def test_pipeline_end_to_end_at_fine_level(spark):
     """Level 6 needs the coarse cover and then the exact join."""
     rng = random.Random(2)

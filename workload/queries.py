@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cellzonal.functions import geometry as geo, grid, h3, style
 from cellzonal.operators import cache, joins, layers, publish, stats, taxa
 from cellzonal.operators.grids import DictionaryGrid
-from cellzonal.operators.polyfill import base_grid, polyfill, polyfill_retrying
+from cellzonal.operators.polyfill import base_grid, compact_fill, polyfill, polyfill_retrying
 from cellzonal.plans import prepare
 from cellzonal.plans.carbon import hex_carbon, zonal_carbon
 from cellzonal.plans.ranges import detail_table, range_hex_richness, range_zonal_richness
 from cellzonal.plans.richness import hex_richness, species_table, zonal_richness
-from cellzonal.session import shared_folder
+from cellzonal.session import settle, shared_folder
 from cellzonal.sources import features, tables as sources
 from workload import oracle as o, tables as t
 
@@ -132,6 +132,27 @@ def _(spark, sf):
     return rounded(result.drop("geom"), "logn", "value")
 
 
+@query("zonal_richness_compact", o.zonal_richness(o.sql("COUNTIES"), 6))
+def _(spark, sf):
+    aoi = settle(compact_fill(t.counties(spark, sf), 6))
+    return rounded(zonal_richness(t.occurrences(spark, sf, 6), aoi, 6), "logn", "value")
+
+
+# At level 8 the plain cells of one country number a quarter of a billion.
+@query("zonal_richness_children_l8")
+def _(spark, sf):
+    children = layers.child_polygons(country(spark, sf), "country_layer", t.layers(spark, sf))
+    aoi = settle(compact_fill(children, 8))
+    return rounded(zonal_richness(t.occurrences(spark, sf, 8), aoi, 8), "logn", "value")
+
+
+@query("hex_richness_country_l8")
+def _(spark, sf):
+    aoi = settle(compact_fill(country(spark, sf), 8))
+    facts = t.occurrences(spark, sf, 8)
+    return rounded(hex_richness(facts, aoi, 8, geometry=False), "logn", "value")
+
+
 @query("hex_richness", o.hex_richness(REGIONS, 3))
 def _(spark, sf):
     aoi = polyfill(t.regions(spark, sf), 3)
@@ -223,6 +244,14 @@ def _(spark, sf):
     return rounded_means(hex_carbon(carbon(spark, sf), aoi, 5, geometry=False), "carbon", "value")
 
 
+@query("hex_carbon_country_l8")
+def _(spark, sf):
+    raw = t.carbon_raw(spark, sf, 8)
+    facts = prepare.clean_values(raw)
+    aoi = settle(compact_fill(country(spark, sf), 8))
+    return rounded_means(hex_carbon(facts, aoi, 8, geometry=False), "carbon", "value")
+
+
 @query("zonal_carbon", o.mean_value(OVERLAP, CARBON_LEVEL, 4, "id"))
 def _(spark, sf):
     aoi = polyfill(t.overlap(spark, sf), 4)
@@ -554,6 +583,17 @@ def _(spark, sf):
     return polyfill(t.counties(spark, sf), 4)
 
 
+@query(
+    "aoi_cells_compact",
+    f"SELECT id, count(*) AS cells FROM ({o.cells(o.sql('COUNTIES'), 6)}) a GROUP BY id",
+)
+def _(spark, sf):
+    own = "shiftright(cell, 56)"
+    blocks = compact_fill(t.counties(spark, sf), 6)
+    size = F.expr(f"cast(pow(9, 6 - {own}) as bigint)")
+    return blocks.groupBy("id").agg(F.sum(size).alias("cells"))
+
+
 @query("aoi_cells_fine", _aoi_sql(o.sql("TRACTS"), 6, "FIPS"))
 def _(spark, sf):
     return polyfill(t.tracts(spark, sf), 6, ["FIPS"])
