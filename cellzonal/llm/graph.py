@@ -14,7 +14,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     label, so that chains shorten by half. Labels are written every round.
     """
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    both = scratch.keep(both, f"{name}-links")
+    both = scratch.keep(both, f"{name}-both")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
     labels = labels.select("node", F.least("node", "m").alias("comp"))
     labels = scratch.keep(labels, f"{name}-0")
@@ -34,5 +34,5 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         done = not step.where("was <> comp").take(1)
         labels = step.select("node", "comp")
         scratch.drop(f"{name}-{turn - 1}")
-    scratch.drop(f"{name}-links")
+    scratch.drop(f"{name}-both")
     return labels

@@ -29,7 +29,7 @@ from cellzonal.llm.text import Scratch, blocks, set_hash, shingle_rows
 WIDTH = 5
 #: Similarity as a fraction, to be compared in whole numbers.
 AT_LEAST = (80, 100)
-GROUPS = 32
+GROUPS = 128
 #: Buckets in which shingles are counted, to tell frequent ones from rare ones.
 RARITY_BITS = 17
 PART = 1000
@@ -116,72 +116,86 @@ def _frequencies(texts: DataFrame, width: int, bits: int) -> np.ndarray:
     return total
 
 
-def _profiles(texts: DataFrame, width: int, frequency: np.ndarray, at_least) -> DataFrame:
-    """Per document its set's size and hash, and the rarest shingles that pairs share."""
+def _profiles(
+    texts: DataFrame, width: int, frequency: np.ndarray, at_least, groups: int
+) -> DataFrame:
+    """Per document its set's size, hash and count vector, and the rarest shingles."""
     bits = int(len(frequency)).bit_length() - 1
     x, y = at_least
 
     def profile(batches):
         for part, sets in _sets(batches, width):
-            rare = []
+            rare, counts = [], []
             for u in sets:
                 keep = len(u) - ceil(x * len(u) / y) + 1 if len(u) else 0
                 order = np.lexsort((u, frequency[u >> np.uint64(64 - bits)]))
                 rare.append(u[order[:keep]])
+                own = (u % np.uint64(groups)).astype(np.int64)
+                counts.append(np.bincount(own, minlength=groups).astype(np.int32))
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
                     "n": pa.array([len(u) for u in sets], pa.int64()),
                     "node": pa.array([set_hash(u) if len(u) else None for u in sets], pa.int64()),
+                    "counts": _arrays(counts, pa.int32()),
                     "rare": _arrays(rare),
                 }
             )
 
-    return texts.mapInArrow(profile, "doc_id long, n long, node long, rare array<long>")
+    kind = "doc_id long, n long, node long, counts array<int>, rare array<long>"
+    return texts.mapInArrow(profile, kind)
 
 
-def _points(texts: DataFrame, width: int, groups: int) -> DataFrame:
-    """Set, count vector and hash of each text."""
+def _members(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The sets of the wanted nodes, read from the documents that stand for them."""
 
-    def point(batches):
+    def members(batches):
         for part, sets in _sets(batches, width):
-            counts = [
-                np.bincount((u % np.uint64(groups)).astype(np.int64), minlength=groups)
-                for u in sets
-            ]
             yield pa.record_batch(
                 {
                     "node": pa.array([set_hash(u) for u in sets], pa.int64()),
                     "wanted": part.column("wanted"),
-                    "n": pa.array([len(u) for u in sets], pa.int64()),
-                    "counts": _arrays([c.astype(np.int32) for c in counts], pa.int32()),
                     "members": _arrays(sets),
                 }
             )
 
-    kind = "node long, wanted long, n long, counts array<int>, members array<long>"
-    return texts.mapInArrow(point, kind).where("node = wanted").drop("wanted")
+    rows = texts.join(wanted.select(F.col("node").alias("wanted"), "doc_id"), "doc_id")
+    rows = rows.select("wanted", "text")
+    rows = rows.mapInArrow(members, "node long, wanted long, members array<long>")
+    return rows.where("node = wanted").select("node", "members")
 
 
-def _verified(pairs: DataFrame, points: DataFrame, at_least) -> DataFrame:
-    """The pairs (a, b) that are as similar as asked, told by bound, then by sets."""
+def _bounded(pairs: DataFrame, points: DataFrame, at_least) -> DataFrame:
+    """The pairs (a, b), with their sizes, whose count vectors allow the similarity."""
     x, y = at_least
-
-    def side(name, *columns):
-        return points.select(*[F.col(c).alias(f"{name}_{c}") for c in ("node", *columns)])
-
     for name in "ab":
-        narrow = side(name, "n", "counts")
-        pairs = pairs.join(narrow, F.col(name) == F.col(f"{name}_node")).drop(f"{name}_node")
+        own = points.select(*[F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "counts")])
+        pairs = pairs.join(own, F.col(name) == F.col(f"{name}_node")).drop(f"{name}_node")
     least = F.zip_with("a_counts", "b_counts", lambda p, q: F.least(p, q))
     most = F.aggregate(least, F.lit(0), lambda s, v: s + v)
-    may = pairs.where(most * (x + y) >= x * (F.col("a_n") + F.col("b_n")))
-    may = may.select("a", "b", "a_n", "b_n")
-    for name in "ab":
-        wide = side(name, "members")
-        may = may.join(wide, F.col(name) == F.col(f"{name}_node")).drop(f"{name}_node")
+    may = most * (x + y) >= x * (F.col("a_n") + F.col("b_n"))
+    return pairs.where(may).select("a", "b", "a_n", "b_n")
+
+
+def _verified(
+    pairs: DataFrame, points: DataFrame, texts: DataFrame, width: int, at_least, scratch, name: str
+) -> DataFrame:
+    """The pairs (a, b) that are as similar as asked, told by bound, then by their sets."""
+    x, y = at_least
+    may = scratch.keep(_bounded(pairs, points, at_least), f"{name}-may")
+    nodes = may.select(F.col("a").alias("node")).union(may.select("b")).distinct()
+    wanted = scratch.keep(points.select("node", "doc_id").join(nodes, "node"), f"{name}-wanted")
+    members = scratch.keep(_members(texts, wanted, width), f"{name}-members")
+    for side in "ab":
+        own = members.select(
+            F.col("node").alias(f"{side}_node"), F.col("members").alias(f"{side}_members")
+        )
+        may = may.join(own, F.col(side) == F.col(f"{side}_node")).drop(f"{side}_node")
     shared = F.size(F.array_intersect("a_members", "b_members"))
-    return may.where(shared * (x + y) >= x * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+    links = may.where(shared * (x + y) >= x * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+    links = scratch.keep(links.distinct(), f"{name}-links")
+    scratch.drop(f"{name}-may", f"{name}-wanted", f"{name}-members")
+    return links
 
 
 def _search_block(table: pa.Table, at_least) -> pa.Table:
@@ -226,7 +240,8 @@ def jaccard_groups(
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequency = _frequencies(texts.select("text"), width, rarity_bits)
-    profiles = scratch.keep(_profiles(texts, width, frequency, at_least), "profiles")
+    profiles = _profiles(texts, width, frequency, at_least, groups)
+    profiles = scratch.keep(profiles, "profiles")
 
     # Blocks: rare shingles of at least two different sets.
     rare = profiles.where("doc_id is not null").select("node", F.explode("rare").alias("key"))
@@ -234,20 +249,21 @@ def jaccard_groups(
     met = met.where("hub <> last").select("key", "hub")
     shared = scratch.keep(rare.join(met, "key").distinct(), "shared")
 
-    # One document stands for each set that has company; only those are read again.
-    firsts = profiles.groupBy(F.col("node").alias("wanted")).agg(F.min("doc_id").alias("doc_id"))
-    needed = shared.select(F.col("node").alias("wanted")).distinct()
-    needed = needed.join(firsts, "wanted")
-    points = _points(
-        texts.join(needed, "doc_id").select("wanted", "text"), width, groups
-    ).dropDuplicates(["node"])
+    # The points: one document stands for each set that has company.
+    needed = shared.select("node").distinct()
+    points = profiles.where("doc_id is not null").join(needed, "node", "left_semi")
+    points = points.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")
+    )
     points = scratch.keep(points, "points")
+    own = scratch.keep(profiles.select("doc_id", "n", "node"), "own")
+    scratch.drop("profiles")
 
     # Copies: each set against the hub that it shares most blocks with.
     star = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
     star = star.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    links = _verified(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), points, at_least)
-    links = scratch.keep(links, "star")
+    star = star.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = _verified(star, points, texts, width, at_least, scratch, "star")
     comps = components(links, scratch, "star")
 
     # What is still apart within a block. Blocks of the same sets count once.
@@ -280,17 +296,16 @@ def jaccard_groups(
         lambda table: _search_block(table, at_least), "a long, b long"
     )
     found = scratch.keep(pairs.union(found).distinct(), "found")
-    more = scratch.keep(_verified(found, points, at_least), "more")
+    more = _verified(found, points, texts, width, at_least, scratch, "more")
     comps = components(links.union(more), scratch, "all")
 
-    own = profiles.select("doc_id", "n", "node")
     links_at_all = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
     has = own.where(links_at_all).join(comps, "node", "left")
     has = has.select("doc_id", "n", F.coalesce("comp", "node").alias("class_key"))
     least = has.groupBy("class_key").agg(F.min("doc_id").alias("component_id"))
     has = has.join(least, "class_key")
     none = own.where(~links_at_all)
-    scratch.drop("shared", "points", "star", "apart", "block", "found", "more")
+    scratch.drop("shared", "points", "star-links", "apart", "block", "found", "more-links")
     return has.select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "class_key"
     ).union(
