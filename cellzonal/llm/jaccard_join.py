@@ -3,7 +3,9 @@
 A document's set holds its distinct word shingles. Shingles fall into groups by their
 hash, and the counts by group make the document a point: two sets share at most the sum
 of the smaller counts. Points that may be similar are found by R-trees whose boxes
-bound that sum, and surviving pairs are verified on the sets themselves.
+bound that sum, and surviving pairs are verified on the sets themselves. Larger sets have
+more groups, always a power of two, so that halves of a point added up compare with the
+next smaller kind, and sets further apart in size cannot be similar.
 
 Points meet in blocks. Sets as similar as asked share one of each other's rarest
 shingles, so every document goes to the blocks of its rarest ones: no pair is lost, and
@@ -29,11 +31,13 @@ from cellzonal.llm.text import Scratch, blocks, set_hash, shingle_rows
 WIDTH = 5
 #: Similarity as a fraction, to be compared in whole numbers.
 AT_LEAST = (80, 100)
-GROUPS = 128
+#: Fewest and most groups; in between there is one to two to four shingles.
+FEWEST, MOST = 5, 14
 #: Buckets in which shingles are counted, to tell frequent ones from rare ones.
-RARITY_BITS = 17
+RARITY_BITS = 19
 PART = 1000
-LEAF = 16
+ROUNDS = 2
+LEAF = 64
 
 
 def shared_needed(total: np.ndarray | int, at_least: tuple[int, int] = AT_LEAST):
@@ -42,6 +46,14 @@ def shared_needed(total: np.ndarray | int, at_least: tuple[int, int] = AT_LEAST)
     return -(-x * total // (x + y))
 
 
+def count_vector(members: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each group."""
+    bits = min(max(FEWEST, (max(len(members), 1) - 1).bit_length() - 2), MOST)
+    groups = 1 << bits
+    own = (members & np.uint64(groups - 1)).astype(np.int64)
+    return np.bincount(own, minlength=groups).astype(np.int32)
+
+
 class RTree:
     """Points packed by halving the widest dimension; boxes keep the largest counts."""
 
@@ -116,9 +128,7 @@ def _frequencies(texts: DataFrame, width: int, bits: int) -> np.ndarray:
     return total
 
 
-def _profiles(
-    texts: DataFrame, width: int, frequency: np.ndarray, at_least, groups: int
-) -> DataFrame:
+def _profiles(texts: DataFrame, width: int, frequency: np.ndarray, at_least) -> DataFrame:
     """Per document its set's size, hash and count vector, and the rarest shingles."""
     bits = int(len(frequency)).bit_length() - 1
     x, y = at_least
@@ -130,8 +140,7 @@ def _profiles(
                 keep = len(u) - ceil(x * len(u) / y) + 1 if len(u) else 0
                 order = np.lexsort((u, frequency[u >> np.uint64(64 - bits)]))
                 rare.append(u[order[:keep]])
-                own = (u % np.uint64(groups)).astype(np.int64)
-                counts.append(np.bincount(own, minlength=groups).astype(np.int32))
+                counts.append(count_vector(u))
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
@@ -171,31 +180,45 @@ def _bounded(pairs: DataFrame, points: DataFrame, at_least) -> DataFrame:
     for name in "ab":
         own = points.select(*[F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "counts")])
         pairs = pairs.join(own, F.col(name) == F.col(f"{name}_node")).drop(f"{name}_node")
-    least = F.zip_with("a_counts", "b_counts", lambda p, q: F.least(p, q))
+    pairs = pairs.where(F.least("a_n", "b_n") * y >= F.greatest("a_n", "b_n") * x)
+    size = F.least(F.size("a_counts"), F.size("b_counts"))
+
+    def as_small(c):
+        halves = F.zip_with(F.slice(c, 1, size), F.slice(c, size + 1, size), lambda p, q: p + q)
+        return F.when(F.size(c) == size, F.col(c)).otherwise(halves)
+
+    least = F.zip_with(as_small("a_counts"), as_small("b_counts"), lambda p, q: F.least(p, q))
     most = F.aggregate(least, F.lit(0), lambda s, v: s + v)
     may = most * (x + y) >= x * (F.col("a_n") + F.col("b_n"))
     return pairs.where(may).select("a", "b", "a_n", "b_n")
 
 
-def _verified(
-    pairs: DataFrame, points: DataFrame, texts: DataFrame, width: int, at_least, scratch, name: str
-) -> DataFrame:
-    """The pairs (a, b) that are as similar as asked, told by bound, then by their sets."""
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _verified(pairs: DataFrame, members: DataFrame, at_least) -> DataFrame:
+    """The pairs (a, b), with their sizes, whose sets are as similar as asked."""
     x, y = at_least
-    may = scratch.keep(_bounded(pairs, points, at_least), f"{name}-may")
-    nodes = may.select(F.col("a").alias("node")).union(may.select("b")).distinct()
-    wanted = scratch.keep(points.select("node", "doc_id").join(nodes, "node"), f"{name}-wanted")
-    members = scratch.keep(_members(texts, wanted, width), f"{name}-members")
     for side in "ab":
         own = members.select(
             F.col("node").alias(f"{side}_node"), F.col("members").alias(f"{side}_members")
         )
-        may = may.join(own, F.col(side) == F.col(f"{side}_node")).drop(f"{side}_node")
+        pairs = pairs.join(own, F.col(side) == F.col(f"{side}_node")).drop(f"{side}_node")
     shared = F.size(F.array_intersect("a_members", "b_members"))
-    links = may.where(shared * (x + y) >= x * (F.col("a_n") + F.col("b_n"))).select("a", "b")
-    links = scratch.keep(links.distinct(), f"{name}-links")
-    scratch.drop(f"{name}-may", f"{name}-wanted", f"{name}-members")
-    return links
+    links = pairs.where(shared * (x + y) >= x * (F.col("a_n") + F.col("b_n")))
+    return links.select("a", "b").distinct()
+
+
+def _still_apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs of different components, with these as low and high."""
+    for side in "ab":
+        own = comps.select(F.col("node").alias(f"{side}_at"), F.col("comp").alias(f"{side}_comp"))
+        pairs = pairs.join(own, F.col(side) == F.col(f"{side}_at"), "left").drop(f"{side}_at")
+    a, b = F.coalesce("a_comp", "a"), F.coalesce("b_comp", "b")
+    return pairs.where(a != b).select(
+        "a", "b", "a_n", "b_n", F.least(a, b).alias("low"), F.greatest(a, b).alias("high")
+    )
 
 
 def _search_block(table: pa.Table, at_least) -> pa.Table:
@@ -204,18 +227,35 @@ def _search_block(table: pa.Table, at_least) -> pa.Table:
     comp = table["comp"].to_numpy()
     part, low, high = (table[c].to_numpy() for c in ("part", "low", "high"))
     sizes = table["n"].to_numpy()
-    points = np.array(table["counts"].to_pylist(), np.int64)
-    left, right = np.flatnonzero(part == low[0]), np.flatnonzero(part == high[0])
+    counts = table["counts"].combine_chunks()
+    ends = counts.offsets.to_numpy()
+    flat = counts.values.to_numpy()
+    groups = np.diff(ends)
     a, b = [], []
-    if len(left) and len(right):
-        tree = RTree(points[right], sizes[right])
-        for i in left:
-            near = right[tree.search(points[i], sizes[i], at_least)]
+
+    def vectors(rows, size):
+        own = np.stack([flat[ends[i] : ends[i + 1]] for i in rows])
+        return own if own.shape[1] == size else own[:, :size] + own[:, size:]
+
+    def search(from_rows, to_rows, size, both):
+        """Pairs of two kinds of points, compared at the smaller number of groups."""
+        if not len(from_rows) or not len(to_rows):
+            return
+        tree = RTree(vectors(to_rows, size), sizes[to_rows])
+        for i, point in zip(from_rows, vectors(from_rows, size), strict=True):
+            near = to_rows[tree.search(point, sizes[i], at_least)]
             near = near[comp[near] != comp[i]]
-            if low[0] == high[0]:
-                near = near[node[near] > node[i]]
+            near = near[node[near] > node[i]] if both else near
             a.extend(np.minimum(node[near], node[i]))
             b.extend(np.maximum(node[near], node[i]))
+
+    left, right = np.flatnonzero(part == low[0]), np.flatnonzero(part == high[0])
+    for size in np.unique(groups):
+        own, same = left[groups[left] == size], right[groups[right] == size]
+        search(own, same, size, low[0] == high[0])
+        search(own, right[groups[right] == 2 * size], size, False)
+        if low[0] != high[0]:
+            search(same, left[groups[left] == 2 * size], size, False)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -223,7 +263,6 @@ def jaccard_groups(
     docs: DataFrame,
     width: int = WIDTH,
     at_least: tuple[int, int] = AT_LEAST,
-    groups: int = GROUPS,
     rarity_bits: int = RARITY_BITS,
     part: int = PART,
 ) -> DataFrame:
@@ -240,7 +279,7 @@ def jaccard_groups(
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequency = _frequencies(texts.select("text"), width, rarity_bits)
-    profiles = _profiles(texts, width, frequency, at_least, groups)
+    profiles = _profiles(texts, width, frequency, at_least)
     profiles = scratch.keep(profiles, "profiles")
 
     # Blocks: rare shingles of at least two different sets.
@@ -263,7 +302,11 @@ def jaccard_groups(
     star = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
     star = star.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     star = star.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = _verified(star, points, texts, width, at_least, scratch, "star")
+    star = scratch.keep(_bounded(star, points, at_least), "star")
+    stand = points.select("node", "doc_id")
+    wanted = scratch.keep(stand.join(_nodes(star), "node"), "wanted")
+    members = scratch.keep(_members(texts, wanted, width), "members")
+    links = scratch.keep(_verified(star, members, at_least), "links-0")
     comps = components(links, scratch, "star")
 
     # What is still apart within a block. Blocks of the same sets count once.
@@ -296,8 +339,19 @@ def jaccard_groups(
         lambda table: _search_block(table, at_least), "a long, b long"
     )
     found = scratch.keep(pairs.union(found).distinct(), "found")
-    more = _verified(found, points, texts, width, at_least, scratch, "more")
-    comps = components(links.union(more), scratch, "all")
+    found = scratch.keep(_bounded(found, points, at_least), "may")
+    others = _nodes(found).join(wanted.select("node"), "node", "left_anti")
+    others = scratch.keep(stand.join(others, "node"), "others")
+    members = members.union(scratch.keep(_members(texts, others, width), "members-2"))
+    # One pair of any two components first, which often joins them; then all that are left.
+    for turn in range(1, ROUNDS + 1):
+        left = _still_apart(found, comps)
+        if turn < ROUNDS:
+            left = left.groupBy("low", "high").agg(F.min(F.struct("a", "b", "a_n", "b_n")).alias("p"))
+            left = left.select("p.*")
+        more = scratch.keep(_verified(left, members, at_least), f"links-{turn}")
+        links = links.union(more)
+        comps = components(links, scratch, f"comps-{turn}")
 
     links_at_all = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
     has = own.where(links_at_all).join(comps, "node", "left")
@@ -305,7 +359,10 @@ def jaccard_groups(
     least = has.groupBy("class_key").agg(F.min("doc_id").alias("component_id"))
     has = has.join(least, "class_key")
     none = own.where(~links_at_all)
-    scratch.drop("shared", "points", "star-links", "apart", "block", "found", "more-links")
+    scratch.drop(
+        "shared", "points", "star", "wanted", "members", "apart", "block", "found", "may", "others",
+        "members-2", *[f"links-{turn}" for turn in range(ROUNDS + 1)],
+    )
     return has.select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "class_key"
     ).union(
