@@ -129,9 +129,13 @@ def shard_matches(
 
 
 def find_passages(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int = SHARD
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    shard: int = SHARD,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """docs' columns but text, with n_words, n_hit, items and matches of every document.
+    """docs' columns, text if asked for, with n_words, n_hit, items and matches.
 
     docs: any columns, among them text; benchmark: item_id and text. Words are lower-cased
     in A-Z and hold letters, digits and what is not ASCII. A window is ``window``
@@ -155,7 +159,8 @@ def find_passages(
     known = benchmark_suffixes(items, window)
     ids = [i for i, _ in items]
     made = ("n_words", "n_hit", "items", "matches")
-    rest = [c for c in docs.columns if c not in (*made, "text")]
+    rest = [c for c in docs.columns if c not in made and (c != "text" or keep_text)]
+    read = [*rest, *(() if keep_text else ("text",))]
     kind = pa.list_(
         pa.struct([(c, pa.int64()) for c in ("item_id", "place", "item_place", "words")])
     )
@@ -199,7 +204,7 @@ def find_passages(
         "matches array<struct<item_id:long,place:long,item_place:long,words:long>>"
     )
     schema = with_columns(docs.select(*rest).schema, ddl)
-    return docs.select(*rest, "text").mapInArrow(scan, schema)
+    return docs.select(*read).mapInArrow(scan, schema)
 
 
 def contaminated():
@@ -209,10 +214,8 @@ def contaminated():
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones; all columns, and rows without words, stay."""
-    texts = docs.select("*", F.col("text").alias("kept_text"))
-    found = find_passages(texts, benchmark, window)
     taken = [c for c in docs.columns if c in ("n_words", "n_hit", "items", "matches")]
     if taken:
         raise ValueError(f"rename the columns {taken}")
-    kept = found.where(~contaminated())
-    return kept.select(*[F.col("kept_text" if c == "text" else c).alias(c) for c in docs.columns])
+    found = find_passages(docs, benchmark, window, keep_text=True)
+    return found.where(~contaminated()).select(*docs.columns)

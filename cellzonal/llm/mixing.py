@@ -155,10 +155,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         F.posexplode(copies).alias("copy", "part"),
     ).where("part.words > 0")
     words = F.col("part.words")
-    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), words.cast("string"), F.lit("}"))
-    text = F.when(words == F.col("whole_size"), F.col("whole")).otherwise(
-        F.regexp_substr("whole", head)
-    )
+    # Every piece but the last has one word, with the white space before it.
+    pieces = F.split("whole", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    head = F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
+    text = F.when(words == F.col("whole_size"), F.col("whole")).otherwise(head)
     cut = {"text": text}
     return rows.select(
         *[cut.get(c, F.col(c)).alias(c) for c in rest],

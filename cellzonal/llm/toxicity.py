@@ -192,7 +192,8 @@ def _measured(texts: DataFrame, terms: dict[bytes, float], others: list[str]) ->
             )
 
     schema = with_columns(texts.select(*others).schema, "x array<double>")
-    return texts.select(*others, "text").mapInArrow(scan, schema)
+    read = others if "text" in others else [*others, "text"]
+    return texts.select(*read).mapInArrow(scan, schema)
 
 
 def score_toxicity(
@@ -214,7 +215,7 @@ def score_toxicity(
         F.col("doc_id").cast("long").alias("doc_id"),
         (fold(FOLDS) == HELD_OUT).alias("held_out"),
         F.col("text"),
-        *[F.col(c).alias(f"carry_{c}") for c in carry],
+        *[F.col(c).alias(f"carry_{c}") for c in carry if c != "text"],
     )
     marks = labels.where("doc_id is not null and toxic is not null")
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("label_id"))
@@ -231,7 +232,7 @@ def score_toxicity(
         F.countDistinct(F.when(F.col("part") < GROWN, F.col("part") < MINED)).alias("grown"),
         F.max(F.col("part") >= GROWN).alias("held"),
     ).collect()
-    out = ["doc_id", "held_out", *[f"carry_{c}" for c in carry]]
+    out = ["doc_id", "held_out", *["text" if c == "text" else f"carry_{c}" for c in carry]]
     if len(counts) < 2 or not all(r["grown"] == 2 and r["held"] for r in counts):
         total = sum(r["n"] for r in counts)
         share = sum(r["n"] for r in counts if r["toxic"]) / total if total else 0.0
@@ -264,4 +265,6 @@ def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted to be toxic; all columns stay."""
     marked = score_toxicity(docs, labels, carry=tuple(docs.columns))
     kept = marked.where("predicted = 0")
-    return kept.select(*[F.col(f"carry_{c}").alias(c) for c in docs.columns])
+    return kept.select(
+        *[F.col("text" if c == "text" else f"carry_{c}").alias(c) for c in docs.columns]
+    )
