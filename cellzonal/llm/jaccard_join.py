@@ -123,8 +123,8 @@ def _frequencies(texts: DataFrame, width: int, bits: int) -> np.ndarray:
 
     rows = texts.mapInArrow(count, "bucket long, n long")
     total = np.zeros(1 << bits, np.int64)
-    for bucket, n in rows.groupBy("bucket").agg(F.sum("n")).collect():
-        total[bucket] = n
+    sums = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     return total
 
 

@@ -102,8 +102,8 @@ def _text_model(docs: DataFrame) -> np.ndarray:
 
     rows = docs.select("text").mapInArrow(count, "pair long, n long")
     pairs = np.zeros(1 << 16)
-    for pair, n in rows.groupBy("pair").agg(F.sum("n")).collect():
-        pairs[pair] = n
+    sums = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs[sums["pair"].to_numpy()] = sums["n"].to_numpy()
     pairs = pairs.reshape(256, 256) + 0.5
     return np.log10(pairs / pairs.sum(1, keepdims=True)).astype(np.float32)
 

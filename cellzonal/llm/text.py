@@ -55,9 +55,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(
-    batches: Iterator[pa.RecordBatch], text: int | str = "text", limit: int = 1 << 21
+    batches: Iterator[pa.RecordBatch], text: int | str = "text", limit: int = 1 << 19
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches cut to about two megabytes of text, or one row, each with its bytes."""
+    """Batches cut to about half a megabyte of text, or one row, each with its bytes.
+
+    Arrays of eight bytes a letter then stay within a few megabytes.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
