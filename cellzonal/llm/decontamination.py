@@ -14,12 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cellzonal.llm.text import TERMS, blocks, with_columns
+from cellzonal.llm.text import TERMS, blocks, small_batches, with_columns
 
 WINDOW = 13
 #: Bytes of benchmark text that are sent to every task; more is refused.
 MOST_BENCHMARK = 256 << 20
-SHARD = 4 << 20
+SHARD = 2 << 20
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -151,6 +151,7 @@ def find_passages(
     ``MOST_BENCHMARK`` bytes. Texts are taken in shards of a few megabytes, whatever
     their number; one text is never split.
     """
+    small_batches(docs.sparkSession)
     given = benchmark.select(F.col("item_id").cast("long"), F.col("text"))
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > MOST_BENCHMARK:

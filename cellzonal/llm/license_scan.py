@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cellzonal.llm.text import TERMS, blocks, with_columns
+from cellzonal.llm.text import TERMS, blocks, small_batches, with_columns
 
 # The base phrases and their labels.
 BASE = {
@@ -158,6 +158,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     the labels are together, 0 without any. All rows stay, repeated ones too;
     columns of docs of these names are replaced.
     """
+    small_batches(docs.sparkSession)
     made = ("n_words", "places", "base_labels", "labels", "score")
     rest = [c for c in docs.columns if c not in (*made, "text")]
     phrases = {**BASE, **NOTICES, TAG: ""}

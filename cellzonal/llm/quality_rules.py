@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.llm.profile import COMMON, Profile, profile
-from cellzonal.llm.text import blocks
+from cellzonal.llm.text import blocks, small_batches
 
 LEAST_WORDS = 50
 #: Most distance of either histogram for a very long text, and what a short one adds:
@@ -104,6 +104,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "class_distance", "common_distance", "base_failed", "kept",
     )
+    small_batches(docs.sparkSession)
     references = language_references(docs)
     rest = [c for c in docs.columns if c not in (*made, "text")]
 

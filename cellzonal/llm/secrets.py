@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cellzonal.llm.text import blocks, with_columns
+from cellzonal.llm.text import blocks, small_batches, with_columns
 
 # Fixed values of the base patterns.
 ASSIGN = re.compile(
@@ -183,6 +183,7 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     span. Null and empty texts have an empty array. Rows stay as they are, repeated
     ones too; a column of docs called secrets is replaced.
     """
+    small_batches(docs.sparkSession)
     model = _text_model(docs)
     least = least_evidence(docs, model, rate)
     rest = [c for c in docs.columns if c != "secrets"]

@@ -72,6 +72,19 @@ def blocks(
             part = at[start : end + 1]
             yield batch.slice(start, end - start), data[part[0] : part[-1]], part - part[0]
             start = end
+        del batch, data
+        pa.default_memory_pool().release_unused()
+
+
+#: Rows of text that go to a worker at once; Spark's own 10 000 can be a hundred megabytes.
+BATCH_ROWS = 500
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Text goes to workers a few rows at once, unless the session asks for fewer still."""
+    if int(spark.conf.get(BATCH_KEY)) > BATCH_ROWS or int(spark.conf.get(BATCH_KEY)) <= 0:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
 def word_hashes(
@@ -153,6 +166,7 @@ class Scratch:
     """Tables in the cluster's shared folder, gone when their run no longer needs them."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
