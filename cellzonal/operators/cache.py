@@ -122,6 +122,14 @@ def published(
     return stored_folder(spark, label, inputs, params, write, root)
 
 
+def grid_key(grid: Grid) -> str:
+    """What a grid's cells depend on; for a dictionary its content."""
+    dictionary = getattr(grid, "dictionary", None)
+    if dictionary is None:
+        return repr(grid)
+    return f"{type(grid).__name__} {grid.bucket_level} {fingerprint(dictionary)}"
+
+
 def cached_aoi(
     zones: DataFrame,
     level: int,
@@ -130,7 +138,7 @@ def cached_aoi(
     root: str | None = None,
 ) -> DataFrame:
     """Area cells computed once per (zones, level, kept columns) and then reread."""
-    params = {"level": level, "keep": list(keep), "grid": repr(grid)}
+    params = {"level": level, "keep": list(keep), "grid": grid_key(grid)}
     return cached(
         zones.sparkSession,
         "aoi",

@@ -8,14 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.functions.grid import ancestor, finest_hex_column, hex_columns, level_of
 from cellzonal.operators.grids import NATIVE, Grid
-from cellzonal.session import settle
 
 # A cell set is broadcast only at a level whose whole grid has at most this many cells.
 BROADCAST_CELLS = 500_000
 
-# A join key with more rows than this is split into parts of about this size.
-HOT_ROWS = 1_000_000
-
 
 def broadcast_level(level: int, grid: Grid = NATIVE) -> int:
     """Finest level up to ``level`` at which any cell set may be broadcast."""
@@ -74,56 +70,34 @@ def prune_to_cells(facts: DataFrame, aoi: DataFrame, level: int, grid: Grid = NA
     )
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi-join that splits every key with more than ``HOT_ROWS`` rows in ``many``.
+def join_few(many: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi-join whose plan run-time sizes decide.
 
-    The list of such keys is short, one per ``HOT_ROWS`` rows at most, and is
-    broadcast to both sides. Rows of a hot key spread over its parts by a hash of
-    the whole row; only those keys of ``few`` are repeated, once per part. Rows of
-    ``many`` should differ, as after ``distinct``: copies of one row stay together.
+    Spark broadcasts ``few`` where its measured size is small; else it splits what a hot
+    key of ``many`` has shuffled by its map tasks, so copies of one row spread as well.
     """
-    keys = list(keys)
-    hot = (
-        many.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > HOT_ROWS)
-        .select(*keys, F.ceil(F.col("_n") / HOT_ROWS).alias("_parts"))
-    )
-    spread = F.pmod(F.xxhash64(*many.columns), F.col("_parts"))
-    salted = many.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.coalesce(spread, F.lit(0).cast("long"))
-    )
-    last = F.coalesce(F.col("_parts"), F.lit(1).cast("long")) - 1
-    repeated = few.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))
-    )
-    return salted.drop("_parts").join(repeated.drop("_parts"), [*keys, "_salt"]).drop("_salt")
+    return many.join(few, list(keys))
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_CELLS) -> bool:
-    """Whether a table has at most ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def no_clash(left: DataFrame, right: DataFrame, shared: Sequence[str]) -> None:
+    """Raise where both sides have a column that neither is joined on nor a cell."""
+    both = set(left.columns) & set(right.columns) - set(shared)
+    clash = sorted(both - set(hex_columns(left.columns)))
+    if clash:
+        raise ValueError(f"both sides have the columns {clash}; rename them in one")
 
 
-def join_few(many: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi-join: broadcast ``few`` after counting it, else split hot keys.
+def cell_join(facts: DataFrame, aoi: DataFrame, level: int, grid: Grid = NATIVE) -> DataFrame:
+    """Facts within an area: equi-join on ``h{level}``, once per zone.
 
-    ``many`` is read twice for the split, so it is settled first.
+    A column of both sides that is no cell, as an ``id`` of the facts, is an error.
     """
-    if is_small(few):
-        return many.join(F.broadcast(few), list(keys))
-    return salted_join(settle(many), few, keys)
-
-
-def cell_join(facts: DataFrame, aoi: DataFrame, level: int, grid: Grid = NATIVE) -> DataFrame:
-    """Facts within an area: equi-join on ``h{level}``, once per zone."""
     cell = f"h{level}"
     require_columns(facts, cell)
     require_columns(aoi, cell)
+    no_clash(facts, aoi, [cell])
     zones = aoi.drop(*[c for c in aoi.columns if c != cell and c in facts.columns])
-    if is_small(zones):
-        return facts.join(F.broadcast(zones), cell)
-    return salted_join(prune_to_cells(facts, aoi, level, grid), zones, [cell])
+    return join_few(prune_to_cells(facts, aoi, level, grid), zones, [cell])
 
 
 def align(data: DataFrame, aoi: DataFrame, grid: Grid = NATIVE) -> tuple[DataFrame, DataFrame, int, int]:
@@ -151,11 +125,9 @@ def hex_join(data: DataFrame, aoi: DataFrame, grid: Grid = NATIVE) -> DataFrame:
     data, aoi, area_level, join_level = align(data, aoi, grid)
     key, cell = f"h{join_level}", f"h{area_level}"
     ids = [c for c in aoi.columns if c not in hex_columns(aoi.columns)]
+    no_clash(data, aoi, [key])
     few = aoi.select(F.col(cell).alias("h3id"), F.col(key), *ids)
-    if is_small(few):
-        joined = data.join(F.broadcast(few), key)
-    else:
-        joined = salted_join(prune_to_cells(data, aoi, join_level, grid), few, [key])
+    joined = join_few(prune_to_cells(data, aoi, join_level, grid), few, [key])
     kept = [c for c in data.columns if c != cell and c not in ids]
     return joined.select("h3id", *ids, *kept)
 

@@ -99,7 +99,7 @@ def zonal_richness(
     cell = f"h{level}"
     seen = distinct_sightings(occurrences, aoi, level, taxa, (taxon,), grid)
     rows = taxa_per_cell(seen, cell) if mode == "occupancy" else seen
-    rows, area, keys = area_keys(rows, aoi.drop("h0"), level, grid)
+    rows, area, keys = area_keys(rows, aoi.drop("h0") if level else aoi, level, grid)
     area = area.select(*keys, id_column)
     if mode == "occupancy":
         counts = rows.join(area, keys).groupBy(id_column).agg(F.sum("n").alias("n"))

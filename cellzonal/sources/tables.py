@@ -54,13 +54,13 @@ def open_region(df: DataFrame, aoi: DataFrame, column: str = "h0") -> DataFrame:
     """Partitions an area touches, as a filter on the partition column.
 
     The list is read first, so the scan prunes folders when it is planned.
-    Text ids match in either case.
+    Ids may be numbers or hex text of either case, on either side.
     """
-    cells = base_cells(aoi)
+    ids = [int(c, 16) if isinstance(c, str) else c for c in base_cells(aoi) if c is not None]
     if dict(df.dtypes)[column] == "string":
-        spellings = [s for c in cells for s in {str(c).lower(), str(c).upper()}]
+        spellings = [s for i in ids for s in sorted({f"{i:x}", f"{i:X}"})]
         return df.where(F.col(column).isin(spellings))
-    return df.where(F.col(column).isin(cells))
+    return df.where(F.col(column).isin(ids))
 
 
 def columns_of(df: DataFrame) -> list[tuple[str, str]]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellzonal.functions import geometry as geo, grid, style
 from cellzonal.operators import cache, publish
-from cellzonal.operators.grids import NativeGrid
+from cellzonal.operators.grids import DictionaryGrid, NativeGrid
 from cellzonal.operators.polyfill import base_grid, polyfill
 from cellzonal.plans import prepare
 from cellzonal.session import shared_folder
@@ -283,3 +283,22 @@ def test_recode_and_label(spark):
     text = df.limit(1).select(style.label({"A": F.col("g"), "B": F.lit(None)})).first()[0]
     assert text == "A: 1<br>B: "
 
+
+
+def test_text_partitions_meet_numbered_areas(spark):
+    facts = spark.createDataFrame([(1, "8a1FB"), (2, "8A1FB"), (3, "8a1fb"), (4, "11")], "v int, h0 string")
+    facts = facts.withColumn("h0", F.when(F.col("v") == 1, F.upper("h0")).otherwise(F.lower("h0")))
+    aoi = spark.createDataFrame([(0x8A1FB,)], "h0 long")
+    assert sorted(r["v"] for r in tables.open_region(facts, aoi).collect()) == [1, 2, 3]
+    numbers = facts.withColumn("h0", F.conv("h0", 16, 10).cast("long"))
+    text = spark.createDataFrame([("8A1fb",)], "h0 string")
+    assert tables.open_region(numbers, text).count() == 3
+
+
+def test_dictionaries_of_other_content_share_no_entry(spark):
+    columns = "cell long, lng double, lat double"
+    first, second = (
+        DictionaryGrid(spark.createDataFrame([(1, 0.0, lat)], columns)) for lat in (1.0, 2.0)
+    )
+    assert cache.grid_key(first) != cache.grid_key(second)
+    assert cache.grid_key(first) == cache.grid_key(DictionaryGrid(first.dictionary))

@@ -19,12 +19,13 @@ RANK_SCHEMA = "kingdom string, phylum string, class string, `order` string, fami
 
 
 @pytest.fixture(params=["broadcast", "shuffled"])
-def size(request, monkeypatch):
-    """Run with the area broadcast, and with every size limit exceeded."""
+def size(request, spark, monkeypatch):
+    """Run with the area broadcast, and with every table too large for that."""
     if request.param == "shuffled":
         monkeypatch.setattr(joins, "BROADCAST_CELLS", 0)
-        monkeypatch.setattr(joins, "is_small", lambda df, rows=0: False)
-    return request.param
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield request.param
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def area(spark, pairs, level=2):
@@ -166,34 +167,47 @@ def test_taxon_selection_goes_through_the_taxonomy(size, spark, ranges):
 # -- joins --------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [10, 3000, 1_000_000])
-def test_salted_join_equals_plain_join_on_a_hot_key(spark, monkeypatch, limit):
-    monkeypatch.setattr(joins, "HOT_ROWS", limit)
-    rng = random.Random(5)
-    many = [(0 if rng.random() < 0.4 else rng.randint(1, 3000), i) for i in range(20000)]
-    few = [(k, f"z{j}") for k in range(0, 3000, 2) for j in range(2)] + [(None, "n")]
-    left = spark.createDataFrame(many + [(None, 1)], "k int, v int")
-    right = spark.createDataFrame(few, "k int, z string")
-    plain, salted = left.join(right, "k"), joins.salted_join(left, right, ["k"])
-    assert salted.columns == plain.columns
-    assert salted.count() == plain.count()
-    assert salted.exceptAll(plain).count() == 0
-
-
-def test_hot_key_is_spread(spark, monkeypatch):
-    """Half of the rows share a key; with run-time changes off they meet in many tasks."""
-    monkeypatch.setattr(joins, "HOT_ROWS", 100)
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_copies_of_a_hot_row_are_spread(spark):
+    """Two fifths of the rows are one row; run-time splitting deals them to many tasks."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+    }
     try:
-        key = F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id"))
-        left = spark.range(8000).select(key.alias("k"), "id")
-        joined = joins.salted_join(left, left.select("k").distinct(), ["k"]).where("k = 0")
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        key = F.when(F.col("id") % 5 < 2, 0).otherwise(F.col("id"))
+        left = spark.range(0, 40_000, 1, 16).select(key.alias("k"), F.lit("copy").alias("v"))
+        right = spark.range(40_000).select(F.col("id").alias("k"), F.lit("z").alias("zone"))
+        joined = joins.join_few(left, right, ["k"]).where("k = 0")
         per_task = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
-        assert sum(per_task) == 4000 and max(per_task) < 2000
+        assert sum(per_task) == 16_000 and len(per_task) >= 3 and max(per_task) < 8_000
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for key in small:
+            spark.conf.unset(key)
+
+
+def test_joining_starts_no_job(spark, sightings, aoi):
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    joins.cell_join(sightings, aoi, 2)
+    zonal_richness(sightings, aoi, 2, mode="species")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
+def test_id_of_the_facts_is_an_error(spark, sightings, aoi):
+    with pytest.raises(ValueError, match="id"):
+        joins.cell_join(sightings.withColumn("id", F.lit(1)), aoi, 2)
+    with pytest.raises(ValueError, match="id"):
+        joins.hex_join(sightings.withColumn("id", F.lit(1)), aoi)
+
+
+def test_zonal_richness_at_base_level(spark):
+    base = spark.createDataFrame([(5, "a"), (6, "a"), (7, "b")], "h0 long, id string")
+    facts = spark.createDataFrame([(1, 5), (2, 5), (1, 6), (1, 8)], "taxonkey long, h0 long")
+    assert rows(zonal_richness(facts, base, 0), "id", "n") == [("a", 3)]
 
 
 def test_cell_join_keeps_facts_columns(size, spark, sightings, aoi):
