@@ -7,25 +7,38 @@ import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cellzonal.operators.grids import NATIVE, Grid
 from cellzonal.operators.publish import write_geojson
 from cellzonal.session import shared_folder
 
 # Raise when a stored result would come out differently.
-VERSION = 1
+VERSION = 2
+
+
+def _value_text(value: Column, kind: str) -> Column:
+    if kind == "binary":
+        return F.hex(value)
+    if kind.startswith(("struct", "array", "map")):
+        nested = F.to_json(F.struct(value), {"ignoreNullFields": "false"})
+        return F.when(value.isNotNull(), nested)
+    return value.cast("string")
 
 
 def fingerprint_columns(df: DataFrame) -> DataFrame:
     """One row ``n, digest`` that depends on the rows but not on their order (K7).
 
-    Two independent hash sums, so copies of a row count and do not cancel out.
+    Sums of two 60-bit slices of each row's MD5, so copies of a row count and do not
+    cancel out. A row's text gives every value behind its length, and null as ``-``.
     """
-    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
-    hashed = df.select(
-        F.xxhash64(text).cast("decimal(38,0)").alias("a"),
-        F.xxhash64(F.lit("second"), text).cast("decimal(38,0)").alias("b"),
+    values = [_value_text(F.col(f"`{c}`"), kind) for c, kind in df.dtypes]
+    sized = [F.concat(F.length(v).cast("string"), F.lit(":"), v) for v in values]
+    text = F.concat(F.lit(""), *[F.coalesce(v, F.lit("-")) for v in sized])
+    digest = df.select(F.md5(text.cast("binary")).alias("d"))
+    hashed = digest.select(
+        F.conv(F.substring("d", 1, 15), 16, 10).cast("decimal(38,0)").alias("a"),
+        F.conv(F.substring("d", 16, 15), 16, 10).cast("decimal(38,0)").alias("b"),
     )
     sums = hashed.agg(
         F.count(F.lit(1)).alias("n"),

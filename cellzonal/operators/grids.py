@@ -62,8 +62,10 @@ class DictionaryGrid:
         """Dictionary cells whose centre lies in a zone.
 
         Centres and zones meet on native-grid buckets. A bucket no edge touches
-        is wholly inside, so only centres near an outline need the point test.
+        is wholly inside, so only centres near an outline need the point test. Point
+        features give no cell, as a dictionary tells no cell's exact extent.
         """
+        zones = zones.drop("point")
         r = self.bucket_level
         bucket = f"h{r}"
         centres = self.dictionary.select(

@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.functions.grid import ancestor, finest_hex_column, hex_columns, level_of
 from cellzonal.operators.grids import NATIVE, Grid
-
-# A cell set is broadcast only at a level whose whole grid has at most this many cells.
-BROADCAST_CELLS = 500_000
+from cellzonal.operators.polyfill import BROADCAST_CELLS
 
 
 def broadcast_level(level: int, grid: Grid = NATIVE) -> int:

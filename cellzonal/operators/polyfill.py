@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.functions import geometry as geo, grid
 
-# Coarsest level of a compact fill: its whole grid is small enough to broadcast.
-BROADCAST_LEVEL = 4
+# A cell set is broadcast only at a level whose whole grid has at most this many cells.
+BROADCAST_CELLS = 500_000
+# Coarsest level of a compact fill: the finest whose whole grid may be broadcast.
+BROADCAST_LEVEL = max(
+    k for k in range(grid.MAX_LEVEL) if grid.cell_count(k) <= BROADCAST_CELLS
+)
 
 
 def dump_parts(zones: DataFrame, geometry: str = "geometry", part: str = "part") -> DataFrame:
@@ -93,15 +97,29 @@ def scanline_runs(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFram
 def polyfill(zones: DataFrame, level: int, keep: Sequence[str] = ("id",)) -> DataFrame:
     """Cells ``h0, h{level}, keep...`` whose centre lies in a zone (G1).
 
-    Rows are unique. With ``keep=()`` the result is the plain set of cells.
+    Rows are unique. With ``keep=()`` the result is the plain set of cells. A feature's
+    ``point``, where there is that column, gives the cell that holds it (G7).
     """
     cell, key = f"h{level}", "".join(f", `{c}`" for c in keep)
     base = "" if level == 0 else f"{grid.parent_sql('_cell', level, 0)} as h0, "
     filled = f"select y, explode(sequence(x0, x1)) as x{key} from {{runs}}"
     cells = f"select {grid.pack_sql(level, 'x', 'y')} as _cell{key} from ({filled})"
-    return zones.sparkSession.sql(
-        f"select {base}_cell as {cell}{key} from ({cells})", runs=scanline_runs(zones, level, keep)
-    )
+    named = f"select {base}_cell as {cell}{key} from "
+    area = zones.sparkSession.sql(f"{named}({cells})", runs=scanline_runs(zones, level, keep))
+    points = point_cells(zones, level, keep)
+    if points is None:
+        return area
+    places = zones.sparkSession.sql(f"{named}{{points}}", points=points)
+    return area.unionByName(places).distinct()
+
+
+def point_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame | None:
+    """Rows ``_cell, keep...`` of the cells that hold a feature's ``point``, if any may."""
+    if dict(zones.dtypes).get("point") != geo.POINT_TYPE:
+        return None
+    ids = [F.col(f"`{c}`") for c in keep]
+    places = zones.where("point is not null")
+    return places.select(grid.cell_at("point.x", "point.y", level).alias("_cell"), *ids)
 
 
 def touched_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame:
@@ -156,8 +174,12 @@ def compact_fill(
     Rows ``cell, keep...`` of levels ``start .. level``; no two of one zone
     overlap. Only cells that an outline passes through are looked at again at a
     finer level, so the result grows with the outline of a zone, not its area.
-    Ids must not be null.
+    Ids must not be null. Joins look for blocks from ``BROADCAST_LEVEL`` on, so a coarser
+    ``start`` is an error.
     """
+    if start < BROADCAST_LEVEL:
+        raise ValueError(f"start must be at least {BROADCAST_LEVEL}, got {start}")
+    points, zones = point_cells(zones, level, keep), zones.drop("point")
     levels = [*range(min(start, level), level, step), level]
     result, outline, above = None, None, None
     for k in levels:
@@ -175,7 +197,20 @@ def compact_fill(
             outline, above = touched, k
         cells = inside.select(F.col(f"h{k}").alias("cell"), *keep)
         result = cells if result is None else result.unionByName(cells)
-    return result
+    if points is None:
+        return result
+    return _with_points(result, points.withColumnRenamed("_cell", "cell").distinct(), level, keep)
+
+
+def _with_points(blocks: DataFrame, points: DataFrame, level: int, keep: Sequence[str]) -> DataFrame:
+    """Blocks and those cells of points that lie in no block of the same zone."""
+    coarsest = min(BROADCAST_LEVEL, level)
+    lines = [grid.parent("cell", level, k) for k in range(coarsest, level + 1)]
+    above = points.withColumn("_above", F.explode(F.array(*lines)))
+    within = above.join(
+        blocks.withColumnRenamed("cell", "_above"), ["_above", *keep], "left_semi"
+    ).select("cell", *keep)
+    return blocks.unionByName(points.join(within, ["cell", *keep], "left_anti").select("cell", *keep))
 
 
 def _filled_within(
@@ -219,7 +254,10 @@ def polyfill_retrying(
         found = cells.select(F.lit(r).alias("level"), F.col(f"h{r}").alias("cell"), *keep)
         filled = found if filled is None else filled.unionByName(found)
         if r < finest:
-            done = scanline_runs(rest, r, keep).select(*keep).distinct()
+            done = scanline_runs(rest, r, keep).select(*keep)
+            points = point_cells(rest, r, keep)
+            done = done if points is None else done.unionByName(points.select(*keep))
+            done = done.distinct()
             rest = rest.join(done, list(keep), "left_anti")
     return filled
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import Decimal
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -63,13 +64,15 @@ def latency_summary(
     )
 
 
-def exact_percentile(df: DataFrame, column: str, share: float, window: int = 100_000) -> float | None:
+def exact_percentile(df: DataFrame, column: str, share: float, window: int = 100_000) -> float | int | Decimal | None:
     """Smallest value with at least ``share`` of the non-null values at or below it.
 
     Each pass narrows the bracket around the wanted rank with the bounded-memory
-    quantile sketch, until few enough distinct values remain to rank exactly.
+    quantile sketch, until few enough distinct values remain to rank exactly. Values keep
+    their type; the sketch works in doubles, so its bracket of exact numbers is widened,
+    and more than ``window`` decimals too close for doubles to tell apart are an error.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     total = values.count()
     if total == 0:
@@ -90,9 +93,13 @@ def exact_percentile(df: DataFrame, column: str, share: float, window: int = 100
         low, high = bracket.agg(
             F.percentile_approx("v", F.array(*map(F.lit, points)), F.lit(SKETCH_ACCURACY))
         ).first()[0]
+        if isinstance(low, (int, Decimal)):
+            low, high = low - abs(int(low)) // 2**52 - 1, high + abs(int(high)) // 2**52 + 1
         sizes = values.agg(
             F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))
         ).first()
+        if sizes[1] == inside:
+            raise ArithmeticError(f"more than {window} values lie closer than doubles can tell apart")
         below, inside = sizes[0], sizes[1]
     if low is not None:
         counts = counts.where(F.col("v").between(low, high))

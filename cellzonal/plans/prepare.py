@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.operators.grids import NATIVE, Grid
 from cellzonal.operators.layers import admin_level
-from cellzonal.operators.stats import missing_profile, row_count
 
 
 def clean_values(
@@ -66,7 +65,11 @@ def tract_layer(tracts: DataFrame) -> DataFrame:
 
 def quality_report(df: DataFrame, column: str) -> DataFrame:
     """Rows in all, and rows with and without a value."""
-    missing = missing_profile(df, column).select(
-        F.when(F.col("missing"), "missing").otherwise("present").alias("check"), "n"
+    value = F.col(column)
+    counts = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(value.isNull()).alias("missing"),
+        F.count(value).alias("present"),
     )
-    return row_count(df).select(F.lit("rows").alias("check"), "n").unionByName(missing)
+    checks = counts.unpivot([], ["rows", "missing", "present"], "check", "n")
+    return checks.where("`check` = 'rows' or n > 0")

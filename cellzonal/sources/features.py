@@ -10,8 +10,13 @@ _GEOMETRY = "struct<type:string,coordinates:string>"
 _FEATURE = f"struct<id:string,properties:map<string,string>,geometry:{_GEOMETRY}>"
 _DOCUMENT = (
     f"struct<type:string,id:string,properties:map<string,string>,geometry:{_GEOMETRY},"
-    f"features:array<{_FEATURE}>>"
+    f"coordinates:string,features:array<{_FEATURE}>>"
 )
+# Geometry types of GeoJSON.
+_KINDS = (
+    "Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon",
+    "GeometryCollection",
+)
 
 
 def read_geojson(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
@@ -22,23 +27,40 @@ def read_geojson(spark: SparkSession, path: str, one_per_line: bool = False) ->
 def parse_geojson(documents: DataFrame, json: str) -> DataFrame:
     """Feature rows from a column of GeoJSON text.
 
-    A FeatureCollection gives one row per feature, a lone Feature one row.
-    Adds ``feature_id, properties, kind, geometry, point``: areas become parts
-    and rings, a Point fills ``point``, and what is not used stays null.
+    A FeatureCollection gives one row per feature, a lone Feature or a bare geometry
+    one row. Adds ``feature_id, properties, kind, geometry, point, error``: areas become
+    parts and rings, a Point fills ``point``. What cannot be read, or is neither area nor
+    point, keeps a row whose ``error`` says so.
     """
     rest = [c for c in documents.columns if c != json]
     parsed = documents.select(*rest, F.from_json(F.col(json), _DOCUMENT).alias("_d"))
     alone = F.struct("_d.id", "_d.properties", "_d.geometry")
-    features = F.when(F.col("_d.type") == "Feature", F.array(alone)).otherwise(F.col("_d.features"))
+    nothing = F.lit(None).cast(_FEATURE)
+    bare = F.struct(
+        nothing["id"].alias("id"),
+        nothing["properties"].alias("properties"),
+        F.struct("_d.type", "_d.coordinates").alias("geometry"),
+    )
+    features = (
+        F.when(F.col("_d.type") == "Feature", F.array(alone))
+        .when(F.col("_d.type").isin(*_KINDS), F.array(bare))
+        .otherwise(F.coalesce("_d.features", F.array(nothing)))
+    )
     rows = parsed.select(*rest, F.explode(features).alias("_f"))
     kind, text = F.col("_f.geometry.type"), F.col("_f.geometry.coordinates")
+    shape, place = area_of(kind, text), point_of(kind, text)
+    error = F.when(F.col("_f").isNull(), F.lit("not GeoJSON")).when(
+        kind.isNotNull() & shape.isNull() & place.isNull(),
+        F.concat(F.lit("no area or point: "), kind),
+    )
     return rows.select(
         *rest,
         F.col("_f.id").alias("feature_id"),
         F.col("_f.properties").alias("properties"),
         kind.alias("kind"),
-        area_of(kind, text).alias("geometry"),
-        point_of(kind, text).alias("point"),
+        shape.alias("geometry"),
+        place.alias("point"),
+        error.alias("error"),
     )
 
 

@@ -302,3 +302,21 @@ def test_dictionaries_of_other_content_share_no_entry(spark):
     )
     assert cache.grid_key(first) != cache.grid_key(second)
     assert cache.grid_key(first) == cache.grid_key(DictionaryGrid(first.dictionary))
+
+
+def test_unreadable_and_bare_documents_keep_a_row(spark):
+    texts = [
+        '{"type":"Point","coordinates":[3,4]}',
+        '{"type":"LineString","coordinates":[[0,0],[1,1]]}',
+        '{"type":"Polyg',
+        '{"type":"FeatureCollection","features":[]}',
+        '{"type":"Feature","properties":{},"geometry":null}',
+        None,
+    ]
+    documents = spark.createDataFrame(list(enumerate(texts)), "n int, json string")
+    found = {r["n"]: r for r in features.parse_geojson(documents, "json").collect()}
+    assert sorted(found) == [0, 1, 2, 4, 5]
+    assert tuple(found[0]["point"]) == (3.0, 4.0) and found[0]["error"] is None
+    assert found[1]["error"] == "no area or point: LineString"
+    assert found[2]["error"] == found[5]["error"] == "not GeoJSON"
+    assert found[4]["error"] is None and found[4]["geometry"] is None

@@ -178,3 +178,25 @@ def test_compact_fill_covers_the_same_cells(spark, start, step, level):
     wanted = rows(polyfill(df, level), f"h{level}", "id")
     assert sorted(got, key=repr) == wanted
     assert level <= start or len(compact) < len(wanted)
+
+
+def test_points_of_features_give_the_cell_that_holds_them(spark):
+    zones = spark.sql(
+        "select id, cast(null as " + geo.GEOMETRY_TYPE + ") as geometry, named_struct('x', x, 'y', y) as point "
+        "from values (1, 1D, 1D), (1, 1.1D, 1.1D), (2, 100D, -20D), (3, null, null) as t(id, x, y)"
+    ).withColumn("point", F.when(F.col("point.x").isNotNull(), F.col("point")))
+    wanted = {
+        (r["c"], r["id"])
+        for r in zones.where("point is not null").select(grid.cell_at("point.x", "point.y", 5).alias("c"), "id").collect()
+    }
+    plain = polyfill(zones, 5).collect()
+    assert {(r["h5"], r["id"]) for r in plain} == wanted and len(plain) == len(wanted)
+    assert {(r["cell"], r["id"]) for r in compact_fill(zones, 5).collect()} == wanted
+    retried = polyfill_retrying(zones, 5, 6).collect()
+    assert {(r["cell"], r["id"]) for r in retried} == wanted
+
+
+def test_blocks_coarser_than_joins_look_for_are_an_error(spark):
+    zones = spark.sql("select 1 as id, cast(null as " + geo.GEOMETRY_TYPE + ") as geometry")
+    with pytest.raises(ValueError, match="start"):
+        compact_fill(zones, 6, start=2)

@@ -312,3 +312,13 @@ def test_pipeline_end_to_end_at_fine_level(spark):
                 seen.add((taxon, cx, cy))
         wanted.append((k, len(seen)))
     assert rows(zonal_richness(facts, aoi, 6), "id", "n") == wanted
+
+
+def test_percentile_keeps_whole_numbers_beyond_doubles(spark):
+    first = 2**53
+    df = spark.range(first, first + 10).select(F.col("id").alias("v"))
+    assert stats.exact_percentile(df, "v", 0.6) == first + 5
+    spaced = spark.range(first + 1, first + 1001, 10).select(F.col("id").alias("v"))
+    assert stats.exact_percentile(spaced, "v", 0.6, window=5) == first + 591
+    with pytest.raises(ArithmeticError):
+        stats.exact_percentile(df, "v", 0.6, window=2)

@@ -54,6 +54,25 @@ def cells(corners: str, r: int, key: str = "id") -> str:
     """
 
 
+def fact_cells(facts: str, corners: str, r: int, key: str = "id") -> str:
+    """Rows ``(key, cell)`` of those cells of facts whose centre lies in a zone."""
+    n = 3**r
+
+    def crosses(p: str, q: str) -> str:
+        return (
+            f"CASE WHEN ({p}y > py) <> ({q}y > py) AND "
+            f"px < ({q}x - {p}x)*(py - {p}y)/({q}y - {p}y) + {p}x THEN 1 ELSE 0 END"
+        )
+
+    return f"""
+    SELECT DISTINCT z.{key}, f.cell FROM (
+      SELECT DISTINCT cell, (CAST(cell & {LOW} AS DOUBLE) + 0.5e0)*30/{n} - 180 AS px,
+             (CAST((cell >> 28) & {LOW} AS DOUBLE) + 0.5e0)*30/{n} - 90 AS py FROM ({facts}) f0) f
+    JOIN ({corners}) z
+    ON ({crosses('a', 'm')} + {crosses('m', 'c')} + {crosses('c', 'a')}) % 2 = 1
+    """
+
+
 def sql(name: str) -> str:
     return t.duck(getattr(t, name))
 
@@ -75,25 +94,32 @@ def log_value(counts: str, key: str) -> str:
     """
 
 
-def hex_richness(zones: str, r: int, where: str = "TRUE", ranks: bool = False) -> str:
+def hex_richness(
+    zones: str, r: int, where: str = "TRUE", ranks: bool = False, area: str | None = None
+) -> str:
     return log_value(
         f"""SELECT h3id, count(*) AS n FROM (
               SELECT DISTINCT o.taxonkey, o.cell AS h3id, a.id
-              FROM ({occurrences(r, ranks)}) o JOIN ({cells(zones, r)}) a ON o.cell = a.cell
+              FROM ({occurrences(r, ranks)}) o JOIN ({area or cells(zones, r)}) a ON o.cell = a.cell
               WHERE {where}) d GROUP BY h3id""",
         "h3id",
     )
 
 
 def zonal_richness(
-    zones: str, r: int, mode: str = "occupancy", where: str = "TRUE", key: str = "id"
+    zones: str,
+    r: int,
+    mode: str = "occupancy",
+    where: str = "TRUE",
+    key: str = "id",
+    area: str | None = None,
 ) -> str:
     columns = "o.taxonkey, o.cell" if mode == "occupancy" else "o.taxonkey"
     return log_value(
         f"""SELECT {key}, count(*) AS n FROM (
               SELECT DISTINCT {columns}, a.{key}
               FROM ({occurrences(r, where != 'TRUE')}) o
-              JOIN ({cells(zones, r, key)}) a ON o.cell = a.cell
+              JOIN ({area or cells(zones, r, key)}) a ON o.cell = a.cell
               WHERE {where}) d GROUP BY {key}""",
         key,
     )
@@ -106,11 +132,11 @@ def carbon(r: int) -> str:
     )
 
 
-def mean_value(zones: str, fine: int, r: int, key: str) -> str:
+def mean_value(zones: str, fine: int, r: int, key: str, area: str | None = None) -> str:
     return f"""
     WITH s AS (SELECT {'f.cell AS h3id' if key == 'h3id' else 'a.id'}, avg(carbon) AS carbon
                FROM (SELECT {up('cell', fine, r)} AS cell, carbon FROM ({carbon(fine)}) c) f
-               JOIN ({cells(zones, r)}) a ON f.cell = a.cell GROUP BY 1)
+               JOIN ({area or cells(zones, r)}) a ON f.cell = a.cell GROUP BY 1)
     SELECT {key}, round(carbon + 1e-10, 6) AS carbon,
            round(carbon/nullif((SELECT max(carbon) FROM s), 0) + 1e-10, 6) AS value FROM s
     """

@@ -138,15 +138,31 @@ def _(spark, sf):
     return rounded(zonal_richness(t.occurrences(spark, sf, 6), aoi, 6), "logn", "value")
 
 
-# At level 8 the plain cells of one country number a quarter of a billion.
-@query("zonal_richness_children_l8")
+# At level 8 the plain cells of one country number a quarter of a billion, so the
+# expected results test the centres of the facts' cells.
+OCCURRENCES_8 = o.occurrences(8)
+
+
+@query(
+    "zonal_richness_children_l8",
+    o.zonal_richness(CHILD_REGIONS, 8, area=o.fact_cells(OCCURRENCES_8, CHILD_REGIONS, 8)),
+)
 def _(spark, sf):
     children = layers.child_polygons(country(spark, sf), "country_layer", t.layers(spark, sf))
     aoi = settle(compact_fill(children, 8))
     return rounded(zonal_richness(t.occurrences(spark, sf, 8), aoi, 8), "logn", "value")
 
 
-@query("hex_richness_country_l8")
+@query("zonal_richness_base", o.zonal_richness(REGIONS, 0))
+def _(spark, sf):
+    aoi = polyfill(t.regions(spark, sf), 0)
+    return rounded(zonal_richness(t.occurrences(spark, sf, 0), aoi, 0), "logn", "value")
+
+
+@query(
+    "hex_richness_country_l8",
+    o.hex_richness(COUNTRY_SQL, 8, area=o.fact_cells(OCCURRENCES_8, COUNTRY_SQL, 8)),
+)
 def _(spark, sf):
     aoi = settle(compact_fill(country(spark, sf), 8))
     facts = t.occurrences(spark, sf, 8)
@@ -244,7 +260,10 @@ def _(spark, sf):
     return rounded_means(hex_carbon(carbon(spark, sf), aoi, 5, geometry=False), "carbon", "value")
 
 
-@query("hex_carbon_country_l8")
+@query(
+    "hex_carbon_country_l8",
+    o.mean_value(COUNTRY_SQL, 8, 8, "h3id", area=o.fact_cells(o.carbon(8), COUNTRY_SQL, 8)),
+)
 def _(spark, sf):
     raw = t.carbon_raw(spark, sf, 8)
     facts = prepare.clean_values(raw)
@@ -899,6 +918,47 @@ def _(spark, sf):
     return rounded_means(zonal_carbon(sources.open_region(facts, aoi), aoi, 4), "carbon", "value")
 
 
+def _stored_occurrences(spark, sf) -> DataFrame:
+    """Occurrences by base cell, whose folders are named by hexadecimal text of either case."""
+    source = cache.files_fingerprint(spark, f"{sf}/lineitem.parquet")
+    facts = prepare.with_parents(t.occurrences(spark, sf, 5), 5, range(5))
+    upper = F.col("taxonkey") % 2 == 0
+    text = F.when(upper, grid.to_text(F.col("h0"), True)).otherwise(grid.to_text(F.col("h0")))
+    keyed = facts.withColumn("h0", text)
+    folder = cache.stored_folder(
+        spark, "occurrences", [source], {"level": 5}, lambda path: prepare.write_compact(keyed, path)
+    )
+    return sources.open_cells(spark, folder, keyed.schema)
+
+
+def _child_regions(spark, sf) -> DataFrame:
+    return t.regions(spark, sf).where(F.col("country") == COUNTRY)
+
+
+@query(
+    "region_scan_text_ids",
+    f"SELECT f.taxonkey, f.cell AS h5 FROM ({o.occurrences(5)}) f JOIN "
+    f"(SELECT DISTINCT h0 FROM ({_aoi_sql(CHILD_REGIONS, 3)}) c) a ON a.h0 = {o.up('f.cell', 5, 0)}",
+)
+def _(spark, sf):
+    aoi = polyfill(_child_regions(spark, sf), 3)
+    return sources.open_region(_stored_occurrences(spark, sf), aoi).select("taxonkey", "h5")
+
+
+@query("stored_hex_richness", o.hex_richness(CHILD_REGIONS, 4))
+def _(spark, sf):
+    aoi = polyfill(_child_regions(spark, sf), 4)
+    facts = sources.open_region(_stored_occurrences(spark, sf), aoi).drop("h0")
+    return _scaled(hex_richness(facts, aoi, 4, geometry=False))
+
+
+@query("stored_zonal_richness", o.zonal_richness(CHILD_REGIONS, 4))
+def _(spark, sf):
+    aoi = cache.cached_aoi(_child_regions(spark, sf), 4)
+    facts = sources.open_region(_stored_occurrences(spark, sf), aoi).drop("h0")
+    return _scaled(zonal_richness(facts, aoi, 4))
+
+
 # -- cache and publishing --------------------------------------------------------------
 
 
@@ -936,9 +996,30 @@ def _(spark, sf):
     )
 
 
-@query("table_fingerprint")
+# Amounts in hundredths, as the two engines spell doubles differently.
+LINES = """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_quantity*100) AS BIGINT) AS quantity,
+       CAST(round(l_extendedprice*100) AS BIGINT) AS price, CAST(round(l_discount*100) AS BIGINT) AS discount,
+       CAST(round(l_tax*100) AS BIGINT) AS tax, l_returnflag, l_linestatus,
+       CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS shipped FROM {lineitem}
+"""
+_LINE_COLUMNS = (
+    "l_orderkey l_partkey l_suppkey l_linenumber quantity price discount tax "
+    "l_returnflag l_linestatus shipped"
+).split()
+_LINE_TEXT = " || ".join(
+    f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in _LINE_COLUMNS
+)
+
+
+@query(
+    "table_fingerprint",
+    "SELECT n, sha256(n || ':' || a || ':' || b) AS digest FROM (SELECT count(*) AS n, "
+    "sum(CAST('0x' || substr(d, 1, 15) AS BIGINT)) AS a, sum(CAST('0x' || substr(d, 16, 15) AS BIGINT)) AS b "
+    f"FROM (SELECT md5({_LINE_TEXT}) AS d FROM ({t.duck(LINES)}) l) m) s",
+)
 def _(spark, sf):
-    return cache.fingerprint_columns(t.read(spark, sf, "lineitem"))
+    return cache.fingerprint_columns(t.derive(spark, sf, LINES))
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -998,6 +1079,40 @@ def _(spark, sf):
     )
 
 
+@query(
+    "geojson_bare_geometry",
+    f"""
+    SELECT id, CASE WHEN id % 3 = 0 THEN 'Polygon' WHEN id % 3 = 1 THEN 'Point' END AS kind,
+           CASE WHEN id % 3 = 0 THEN 1 END AS parts, CASE WHEN id % 3 = 1 THEN CAST(id % 90 AS DOUBLE) END AS x,
+           CASE WHEN id % 3 = 2 THEN 'not GeoJSON' END AS error FROM ({t.duck(DOCUMENTS)}) d
+    """,
+)
+def _(spark, sf):
+    texts = F.when(
+        F.col("id") % 3 == 0, '{"type":"Polygon","coordinates":[[[0,0],[9,0],[9,9],[0,0]]]}'
+    ).when(F.col("id") % 3 == 1, F.format_string('{"type":"Point","coordinates":[%s,1.5]}', "x"))
+    documents = t.derive(spark, sf, DOCUMENTS)
+    found = features.parse_geojson(
+        documents.select("id", texts.otherwise('{"type":"Poly').alias("json")), "json"
+    )
+    shape = F.col("geometry")
+    parts = F.when(shape.isNotNull(), F.size(shape)).alias("parts")
+    return found.select("id", "kind", parts, F.col("point.x").alias("x"), "error")
+
+
+@query(
+    "aoi_point_features",
+    f"SELECT {o.up('h5', 5, 0)} AS h0, h5, event_id FROM "
+    f"(SELECT event_id, {o.cell('lng', 'lat', 5)} AS h5 FROM ({o.sql('CARBON_POINTS')}) p) c",
+)
+def _(spark, sf):
+    place = F.array("lng", "lat")
+    document = F.struct(F.lit("Point").alias("type"), place.alias("coordinates"))
+    points = t.derive(spark, sf, t.CARBON_POINTS)
+    found = features.parse_geojson(points.select("event_id", F.to_json(document).alias("json")), "json")
+    return polyfill(found, 5, ["event_id"])
+
+
 @query("csv_download", SPECIES_SQL)
 def _(spark, sf):
     aoi = polyfill(t.overlap(spark, sf), 3)
