@@ -33,11 +33,15 @@ WIDTH = 5
 AT_LEAST = (80, 100)
 #: Fewest and most groups; in between there is one to two to four shingles.
 FEWEST, MOST = 5, 14
+#: Largest count of a group; points are most of what is shuffled, and this fits in a byte.
+MOST_COUNT = 127
 #: Buckets in which shingles are counted, to tell frequent ones from rare ones.
 RARITY_BITS = 19
 PART = 1000
 ROUNDS = 2
 LEAF = 64
+#: What makes a document a point.
+POINT = ("n", "counts", "beyond")
 
 
 def shared_needed(total: np.ndarray | int, at_least: tuple[int, int] = AT_LEAST):
@@ -46,19 +50,26 @@ def shared_needed(total: np.ndarray | int, at_least: tuple[int, int] = AT_LEAST)
     return -(-x * total // (x + y))
 
 
-def count_vector(members: np.ndarray) -> np.ndarray:
-    """How many shingles fall into each group."""
+def count_vector(members: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many shingles fall into each group, as bytes, and how many are beyond a byte.
+
+    The latter may all be shared, so they count in full towards any bound.
+    """
     bits = min(max(FEWEST, (max(len(members), 1) - 1).bit_length() - 2), MOST)
     groups = 1 << bits
     own = (members & np.uint64(groups - 1)).astype(np.int64)
-    return np.bincount(own, minlength=groups).astype(np.int32)
+    counts = np.bincount(own, minlength=groups)
+    held = np.minimum(counts, MOST_COUNT)
+    return held.astype(np.int8), int((counts - held).sum())
 
 
 class RTree:
     """Points packed by halving the widest dimension; boxes keep the largest counts."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
-        self.points, self.sizes, self.leaf = points, sizes, leaf
+    def __init__(
+        self, points: np.ndarray, sizes: np.ndarray, beyond: np.ndarray, leaf: int = LEAF
+    ):
+        self.points, self.sizes, self.beyond, self.leaf = points, sizes, beyond, leaf
         self.order = np.arange(len(points))
         self.nodes: list[tuple] = []
         self._pack(0, len(points))
@@ -74,21 +85,23 @@ class RTree:
             half = (end - start) // 2
             self.order[start:end] = at[np.argpartition(own[:, axis], half)]
             below = (self._pack(start, start + half), self._pack(start + half, end))
-        self.nodes[me] = (own.max(0), int(self.sizes[at].min()), start, end, below)
+        bounds = (own.max(0), int(self.beyond[at].max()), int(self.sizes[at].min()))
+        self.nodes[me] = (*bounds, start, end, below)
         return me
 
-    def search(self, point: np.ndarray, size: int, at_least=AT_LEAST) -> np.ndarray:
+    def search(self, point: np.ndarray, size: int, beyond: int, at_least=AT_LEAST) -> np.ndarray:
         """Indices of all points that may share enough with this one."""
         found, todo = [], [0]
         while todo:
-            high, smallest, start, end, below = self.nodes[todo.pop()]
-            if np.minimum(point, high).sum() < shared_needed(size + smallest, at_least):
+            high, further, smallest, start, end, below = self.nodes[todo.pop()]
+            most = np.minimum(point, high).sum() + beyond + further
+            if most < shared_needed(size + smallest, at_least):
                 continue
             if below:
                 todo.extend(below)
                 continue
             at = self.order[start:end]
-            most = np.minimum(point, self.points[at]).sum(1)
+            most = np.minimum(point, self.points[at]).sum(1) + beyond + self.beyond[at]
             found.append(at[most >= shared_needed(size + self.sizes[at], at_least)])
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
@@ -135,23 +148,26 @@ def _profiles(texts: DataFrame, width: int, frequency: np.ndarray, at_least) ->
 
     def profile(batches):
         for part, sets in _sets(batches, width):
-            rare, counts = [], []
+            rare, counts, beyond = [], [], []
             for u in sets:
                 keep = len(u) - ceil(x * len(u) / y) + 1 if len(u) else 0
                 order = np.lexsort((u, frequency[u >> np.uint64(64 - bits)]))
                 rare.append(u[order[:keep]])
-                counts.append(count_vector(u))
+                held, over = count_vector(u)
+                counts.append(held)
+                beyond.append(over)
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
                     "n": pa.array([len(u) for u in sets], pa.int64()),
                     "node": pa.array([set_hash(u) if len(u) else None for u in sets], pa.int64()),
-                    "counts": _arrays(counts, pa.int32()),
+                    "counts": _arrays(counts, pa.int8()),
+                    "beyond": pa.array(beyond, pa.int64()),
                     "rare": _arrays(rare),
                 }
             )
 
-    kind = "doc_id long, n long, node long, counts array<int>, rare array<long>"
+    kind = "doc_id long, n long, node long, counts array<tinyint>, beyond long, rare array<long>"
     return texts.mapInArrow(profile, kind)
 
 
@@ -178,17 +194,20 @@ def _bounded(pairs: DataFrame, points: DataFrame, at_least) -> DataFrame:
     """The pairs (a, b), with their sizes, whose count vectors allow the similarity."""
     x, y = at_least
     for name in "ab":
-        own = points.select(*[F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "counts")])
+        own = points.select(*[F.col(c).alias(f"{name}_{c}") for c in ("node", *POINT)])
         pairs = pairs.join(own, F.col(name) == F.col(f"{name}_node")).drop(f"{name}_node")
     pairs = pairs.where(F.least("a_n", "b_n") * y >= F.greatest("a_n", "b_n") * x)
     size = F.least(F.size("a_counts"), F.size("b_counts"))
 
     def as_small(c):
-        halves = F.zip_with(F.slice(c, 1, size), F.slice(c, size + 1, size), lambda p, q: p + q)
-        return F.when(F.size(c) == size, F.col(c)).otherwise(halves)
+        whole = F.col(c).cast("array<int>")
+        halves = F.zip_with(
+            F.slice(whole, 1, size), F.slice(whole, size + 1, size), lambda p, q: p + q
+        )
+        return F.when(F.size(c) == size, whole).otherwise(halves)
 
     least = F.zip_with(as_small("a_counts"), as_small("b_counts"), lambda p, q: F.least(p, q))
-    most = F.aggregate(least, F.lit(0), lambda s, v: s + v)
+    most = F.aggregate(least, F.lit(0), lambda s, v: s + v) + F.col("a_beyond") + F.col("b_beyond")
     may = most * (x + y) >= x * (F.col("a_n") + F.col("b_n"))
     return pairs.where(may).select("a", "b", "a_n", "b_n")
 
@@ -226,7 +245,7 @@ def _search_block(table: pa.Table, at_least) -> pa.Table:
     node = table["node"].to_numpy()
     comp = table["comp"].to_numpy()
     part, low, high = (table[c].to_numpy() for c in ("part", "low", "high"))
-    sizes = table["n"].to_numpy()
+    sizes, beyond = table["n"].to_numpy(), table["beyond"].to_numpy()
     counts = table["counts"].combine_chunks()
     ends = counts.offsets.to_numpy()
     flat = counts.values.to_numpy()
@@ -234,16 +253,16 @@ def _search_block(table: pa.Table, at_least) -> pa.Table:
     a, b = [], []
 
     def vectors(rows, size):
-        own = np.stack([flat[ends[i] : ends[i + 1]] for i in rows])
+        own = np.stack([flat[ends[i] : ends[i + 1]] for i in rows]).astype(np.int16)
         return own if own.shape[1] == size else own[:, :size] + own[:, size:]
 
     def search(from_rows, to_rows, size, both):
         """Pairs of two kinds of points, compared at the smaller number of groups."""
         if not len(from_rows) or not len(to_rows):
             return
-        tree = RTree(vectors(to_rows, size), sizes[to_rows])
+        tree = RTree(vectors(to_rows, size), sizes[to_rows], beyond[to_rows])
         for i, point in zip(from_rows, vectors(from_rows, size), strict=True):
-            near = to_rows[tree.search(point, sizes[i], at_least)]
+            near = to_rows[tree.search(point, sizes[i], beyond[i], at_least)]
             near = near[comp[near] != comp[i]]
             near = near[node[near] > node[i]] if both else near
             a.extend(np.minimum(node[near], node[i]))
@@ -292,7 +311,7 @@ def jaccard_groups(
     needed = shared.select("node").distinct()
     points = profiles.where("doc_id is not null").join(needed, "node", "left_semi")
     points = points.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")
+        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in POINT]
     )
     points = scratch.keep(points, "points")
     own = scratch.keep(profiles.select("doc_id", "n", "node"), "own")
@@ -334,7 +353,7 @@ def jaccard_groups(
         F.least("part", "other").alias("low"),
         F.greatest("part", "other").alias("high"),
     )
-    rows = rows.join(points.select("node", "n", "counts"), "node")
+    rows = rows.join(points.select("node", *POINT), "node")
     found = rows.groupBy("key", "low", "high").applyInArrow(
         lambda table: _search_block(table, at_least), "a long, b long"
     )

@@ -8,6 +8,7 @@ from math import log10
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -129,11 +130,50 @@ def test_rtree_finds_all_points_that_may_be_similar():
     points = rng.poisson(2, (300, 16))
     points[150:] = points[:150] + (rng.random((150, 16)) < 0.1)
     sizes = points.sum(1)
-    tree = jaccard_join.RTree(points, sizes, leaf=8)
-    for point, size in zip(points, sizes, strict=True):
-        most = np.minimum(point, points).sum(1)
+    beyond = rng.integers(0, 3, 300)
+    tree = jaccard_join.RTree(points, sizes, beyond, leaf=8)
+    for point, size, over in zip(points, sizes, beyond, strict=True):
+        most = np.minimum(point, points).sum(1) + over + beyond
         wanted = np.flatnonzero(9 * most >= 4 * (size + sizes))
-        assert sorted(tree.search(point, size)) == wanted.tolist()
+        assert sorted(tree.search(point, size, over)) == wanted.tolist()
+
+
+def test_counts_beyond_a_byte_lose_no_pair(spark):
+    """Sets whose members crowd in few groups; sizes on both sides of a power of two."""
+    rng = np.random.default_rng(5)
+    spread = rng.integers(0, 1 << 40, 2400, np.uint64) << np.uint64(16)
+    pool = np.unique(spread | rng.integers(0, 4, 2400, np.uint64))
+    sets = [pool[: 2047 + step] for step in range(0, 300, 30)]
+    sets += [np.delete(s, rng.integers(0, len(s), 100)) for s in sets]
+    sets += [pool[:1500], pool[900:]]
+    held = [jaccard_join.count_vector(s) for s in sets]
+    assert all(over > 0 and counts.max() == 127 for counts, over in held)
+    assert all(int(c.sum()) + over == len(s) for s, (c, over) in zip(sets, held, strict=True))
+    assert len({len(c) for c, _ in held}) == 2
+    rows = [(i, len(s), c.tolist(), over) for i, (s, (c, over)) in enumerate(zip(sets, held, strict=True))]
+    points = spark.createDataFrame(rows, "node long, n long, counts array<tinyint>, beyond long")
+    table = pa.table(
+        {
+            "node": pa.array(range(len(sets)), pa.int64()),
+            "comp": pa.array(range(len(sets)), pa.int64()),
+            "n": pa.array([r[1] for r in rows], pa.int64()),
+            "counts": pa.array([r[2] for r in rows], pa.list_(pa.int8())),
+            "beyond": pa.array([r[3] for r in rows], pa.int64()),
+            **{c: pa.array([0] * len(sets), pa.int32()) for c in ("part", "low", "high")},
+        }
+    )
+    similar = {
+        (i, j)
+        for j in range(len(sets))
+        for i in range(j)
+        if 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]))
+    }
+    found = jaccard_join._search_block(table, jaccard_join.AT_LEAST)
+    pairs = [*zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)]
+    assert similar <= set(pairs) and len(similar) > 100
+    frame = spark.createDataFrame(sorted(similar), "a long, b long")
+    kept = jaccard_join._bounded(frame, points, jaccard_join.AT_LEAST)
+    assert {(r["a"], r["b"]) for r in kept.collect()} == similar
 
 
 def test_one_of_each_keeps_bare_rows_and_ones_without_id(odd):
