@@ -50,6 +50,12 @@ def zoom_to_level(zoom: float) -> int:
     return max(ZOOM_RANGE[0], min(ZOOM_RANGE[1], int(zoom)))
 
 
+def zoom_to_level_column(zoom: str) -> Column:
+    """The grid level of a column of map zooms; null stays null."""
+    low, high = ZOOM_RANGE
+    return F.expr(f"if({zoom} is null, null, int(greatest({low}, least({high}, {zoom}))))")
+
+
 def splits(level: int) -> int:
     """Cells along one side of a base square."""
     if not 0 <= level <= MAX_LEVEL:

@@ -48,6 +48,24 @@ def set_rank(selection: Mapping[str, str | None], rank: str, name: str | None) -
     return normalise_selection({**chosen, rank: name})
 
 
+def normalised_columns() -> dict[str, Column]:
+    """Rank columns, coarse to fine, in which an empty name is an unset one (T-4)."""
+    return {r: F.nullif(F.col(f"`{r}`"), F.lit("")) for r in RANKS}
+
+
+def set_rank_columns(rank: Column, name: Column) -> dict[str, Column]:
+    """Rank columns after each row's choice of a name at a rank; finer ones are unset (T-5).
+
+    A null rank, or one that is none of the ranks, is no choice and leaves all as they were.
+    """
+    at = F.array_position(F.lit(list(RANKS)), rank)
+    chosen = {}
+    for i, (r, own) in enumerate(normalised_columns().items(), 1):
+        named = F.when(at == i, F.nullif(name, F.lit(""))).when((at == 0) | (at > i), own)
+        chosen[r] = F.when(rank.isNull(), own).otherwise(named)
+    return chosen
+
+
 def selection_text(selection: Mapping[str, str | None]) -> str:
     """``Rank: name`` lines (T-7)."""
     lines = [f"{r.title()}: {name}" for r, name in normalise_selection(selection).items()]

@@ -127,3 +127,10 @@ def test_clamped_box(spark):
     b = box.select(geo.bounds_of(F.col("g")).alias("b")).select("b.*").first()
     assert tuple(b) == (-178.0, -89.99, 178.0, 89.99)
     assert math.isclose(b["xmax"], 178.0)
+
+
+def test_zoom_to_level_column(spark):
+    zooms = [-3.0, 0.9, 1.99, 7.5, 10.2, 1e300, None]
+    rows = spark.createDataFrame([(z,) for z in zooms], "zoom double")
+    got = [r[0] for r in rows.select(grid.zoom_to_level_column("zoom")).collect()]
+    assert got == [grid.zoom_to_level(z) if z is not None else None for z in zooms]

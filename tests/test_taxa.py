@@ -123,3 +123,16 @@ def test_selection_rows_and_text_column(names):
     assert ("Homo sapiens", "Order", "Primates") in rows(got) and got.count() == 7
     texts = [r[0] for r in names.select(taxa.selection_text_column()).collect()]
     assert texts[3] == "Kingdom: Plantae\nPhylum: Tracheophyta" and texts[4] == "No selection made"
+
+
+def test_set_rank_columns_of_odd_rows(spark):
+    rows = [
+        ("class", "Aves"), ("class", ""), ("class", None), (None, "Aves"), ("tribe", "Aves"),
+    ]
+    frame = spark.createDataFrame(rows, "rank string, name string").withColumns(
+        {r: F.lit("" if r == "phylum" else r[0]) for r in taxa.RANKS}
+    )
+    chosen = taxa.set_rank_columns(F.col("rank"), F.col("name"))
+    found = [tuple(r) for r in frame.select(*[c.alias(r) for r, c in chosen.items()]).collect()]
+    cleared, kept = ("k", None, None) + (None,) * 4, ("k", None, "c", "o", "f", "g", "s")
+    assert found == [("k", None, "Aves") + (None,) * 4, cleared, cleared, kept, kept]

@@ -515,6 +515,53 @@ def _(spark, sf):
     return cleared.select("taxonkey", taxa.selection_text_column().alias("selection"))
 
 
+@query(
+    "normalised_selections",
+    "SELECT taxonkey, kingdom, phylum, CASE WHEN taxonkey % 4 = 0 THEN NULL ELSE class END AS class, "
+    'ordr AS "order", CASE WHEN taxonkey % 3 = 0 THEN NULL ELSE family END AS family, genus, species '
+    f"FROM ({TAXA_SQL}) x",
+)
+def _(spark, sf):
+    blank = {"class": F.col("taxonkey") % 4 == 0, "family": F.col("taxonkey") % 3 == 0}
+    given = t.taxa(spark, sf).withColumns(
+        {r: F.when(unset, "").otherwise(F.col(r)) for r, unset in blank.items()}
+    )
+    return given.select("taxonkey", *[c.alias(r) for r, c in taxa.normalised_columns().items()])
+
+
+@query(
+    "chosen_ranks",
+    """
+    SELECT taxonkey,
+        CASE taxonkey % 4 WHEN 1 THEN 'Chosen' ELSE kingdom END AS kingdom,
+        CASE taxonkey % 4 WHEN 1 THEN NULL ELSE phylum END AS phylum,
+        CASE taxonkey % 4 WHEN 1 THEN NULL WHEN 2 THEN 'Chosen' ELSE class END AS class,
+        CASE WHEN taxonkey % 4 IN (1, 2) THEN NULL ELSE ordr END AS "order",
+        CASE WHEN taxonkey % 4 IN (1, 2) THEN NULL ELSE family END AS family,
+        CASE WHEN taxonkey % 4 IN (1, 2) THEN NULL ELSE genus END AS genus,
+        CASE taxonkey % 4 WHEN 0 THEN species END AS species
+    """
+    f"FROM ({TAXA_SQL}) x",
+)
+def _(spark, sf):
+    """Every fourth row chooses a kingdom, a class, clears its species, or chooses nothing."""
+    turn = F.col("taxonkey") % 4
+    rank = F.when(turn == 1, "kingdom").when(turn == 2, "class").when(turn == 3, "species")
+    name = F.when(turn == 3, "").otherwise("Chosen")
+    chosen = taxa.set_rank_columns(rank, name)
+    return t.taxa(spark, sf).select("taxonkey", *[c.alias(r) for r, c in chosen.items()])
+
+
+@query(
+    "zoom_levels",
+    "SELECT event_id, CASE WHEN value IS NOT NULL "
+    "THEN CAST(greatest(1, least(10, trunc(value / 4 - 2))) AS INTEGER) END AS level FROM events",
+)
+def _(spark, sf):
+    zooms = spark.read.parquet(f"{sf}/events.parquet")
+    return zooms.select("event_id", grid.zoom_to_level_column("value / 4 - 2").alias("level"))
+
+
 # -- layers ------------------------------------------------------------------------
 
 
