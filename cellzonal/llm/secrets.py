@@ -1,6 +1,6 @@
 """Secrets in texts: fixed patterns, and words that look drawn at random.
 
-A word of letters, digits and +/_=- that is no pattern's is put to a battery of tests
+A word of letters, digits and +/_- that is no pattern's is put to a battery of tests
 within the encoding its characters allow (hex, lower or upper letters with digits,
 base64): chi-squared for equal use of the alphabet, the number of runs above and below
 its middle, and serial correlation. A word that none of them rejects as random
@@ -8,6 +8,8 @@ still has to be unlikely as text: its evidence is how much more likely it is und
 encoding than under the pairs of letters of the whole corpus, so a longer word can give
 more of it. Evidence of that kind bounds the chance of a false find, and a step-up rule
 over all words of the corpus keeps the share of false finds below the rate asked for.
+An equals sign parts a name from its value, each a word of its own; only at the end of a
+word, up to twice, does it belong to it as padding.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 #: Words put to the tests have this many characters or more.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 RATE = 0.01
 #: A test below this level calls the word not random.

@@ -397,6 +397,31 @@ def test_random_words_are_found_and_texts_are_not(spark, docs):
     assert all(not brute_base(t or "") for t in clean.values())
 
 
+def test_random_values_behind_names_are_found(spark, docs):
+    rng = np.random.default_rng(10)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    forms = [
+        "export AWS_SECRET_ACCESS_KEY={} # x",
+        "AccountName=x;AccountKey={}==;EndpointSuffix=y",
+        "see https://h.example/a?b=1&sig={}&c=2 there",
+        "client_key={}",
+        "id=={}= and",
+    ]
+    rows, wanted = [(i, t) for i, t in docs.items()], {}
+    for k, form in enumerate(forms, 1):
+        value = "".join(rng.choice(letters, 44))
+        text = form.format(value)
+        start, end = text.index(value), text.index(value) + 44
+        end += {2: 2, 5: 1}.get(k, 0)
+        rows.append((-k, text))
+        wanted[-k] = [("random", start, end)], f"{text[:start]}[secret]{text[end:]}"
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [tuple(s) for s in r["secrets"]] for r in secrets.find_secrets(frame).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
+    assert {i: (found[i], clean[i]) for i in wanted} == wanted
+    assert sum(s[0] == "random" for i, own in found.items() if i >= 0 for s in own) <= 2
+
+
 def test_secrets_of_odd_rows(odd, none):
     assert secrets.redact(none).count() == 0
     assert secrets.redact(odd).schema == odd.schema
