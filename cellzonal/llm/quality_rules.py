@@ -1,8 +1,11 @@
 """Quality rules: how far a text's histograms lie from those of its language.
 
-References are the mean histograms of character classes and of common words over all
-documents of a language. A document is judged by its Jensen-Shannon distance to the nearest
-reference, with room for the noise of short texts, and only from a least length on.
+References are the mean histograms of character classes and of common words over those
+documents of a listed language that pass the base rules. A document is judged by the
+Jensen-Shannon distances of both to the reference of its own language, with room for the
+noise of short texts, and only from a least length on. Documents without a language, or
+of one that is not listed, add to no reference; each is held against the listed language
+that it is nearest to in both histograms at once, and fails if that one rejects it.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ MOST_CLASS, MOST_COMMON = 0.135, 0.22
 CLASS_ROOM, COMMON_ROOM = 2.0, 1.8
 #: Frequencies are added up in whole numbers, so that their order does not matter.
 UNIT = 1_000_000
-OTHER = "other"
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:
@@ -41,8 +43,13 @@ def distances(shares: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((divergence(shares) + divergence(reference)) / 2, 0, 1))
 
 
+def base_failed(found: Profile) -> np.ndarray:
+    """Texts of too few words, or mostly of repeated ones."""
+    return (found.n_words < LEAST_WORDS) | (100 * found.n_repeat_words > 50 * found.n_words)
+
+
 def language_references(docs: DataFrame, languages: tuple[str, ...] = tuple(COMMON)) -> dict:
-    """Mean shares by language: {language: (classes, common words)}; all others are one."""
+    """Mean shares by listed language of what passes the base rules: {language: (classes, common words)}."""
 
     def add(batches):
         sums: dict[str, np.ndarray] = {}
@@ -50,10 +57,10 @@ def language_references(docs: DataFrame, languages: tuple[str, ...] = tuple(COMM
             found = profile(data, at)
             both = np.hstack([_shares(found.classes), _shares(found.common)])
             both = np.rint(both * UNIT).astype(np.int64)
-            long = found.n_words >= LEAST_WORDS
-            spoken = np.array([x if x in languages else OTHER for x in part.column("lang").to_pylist()])
-            for lang in set(spoken[long]):
-                sums[lang] = sums.get(lang, 0) + both[long & (spoken == lang)].sum(0)
+            good = ~base_failed(found)
+            spoken = np.array([x if x in languages else "" for x in part.column("lang").to_pylist()])
+            for lang in set(spoken[good]) - {""}:
+                sums[lang] = sums.get(lang, 0) + both[good & (spoken == lang)].sum(0)
         rows = [(lang, i, int(v)) for lang, own in sums.items() for i, v in enumerate(own) if v]
         columns = zip(*rows, strict=True) if rows else ((), (), ())
         kinds = (pa.string(), pa.int64(), pa.int64())
@@ -74,20 +81,27 @@ def language_references(docs: DataFrame, languages: tuple[str, ...] = tuple(COMM
     }
 
 
-def judge(found: Profile, references: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distances of both histograms to the nearest reference, and which texts are kept."""
+def judge(
+    found: Profile, references: dict, languages: list[str | None]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances of both histograms to the reference that judges a text, and which are kept.
+
+    languages: every text's own. Without a reference of it, the one that leaves most room judges.
+    """
     n = len(found.n_words)
     if not references:
         return np.zeros(n), np.zeros(n), np.ones(n, bool)
     classes, common = _shares(found.classes), _shares(found.common)
-    near_class = np.min([distances(classes, c) for c, _ in references.values()], 0)
-    near_common = np.min([distances(common, w) for _, w in references.values()], 0)
-    chars = np.maximum(found.classes.sum(1), 1)
-    words = np.maximum(found.common.sum(1), 1)
-    kept = (near_class <= MOST_CLASS + CLASS_ROOM / np.sqrt(chars)) & (
-        near_common <= MOST_COMMON + COMMON_ROOM / np.sqrt(words)
-    )
-    return near_class, near_common, kept
+    far_class = np.array([distances(classes, c) for c, _ in references.values()])
+    far_common = np.array([distances(common, w) for _, w in references.values()])
+    most_class = MOST_CLASS + CLASS_ROOM / np.sqrt(np.maximum(found.classes.sum(1), 1))
+    most_common = MOST_COMMON + COMMON_ROOM / np.sqrt(np.maximum(found.common.sum(1), 1))
+    place = {lang: i for i, lang in enumerate(references)}
+    own = np.array([place.get(lang, -1) for lang in languages], int)
+    nearest = np.maximum(far_class / most_class, far_common / most_common).argmin(0)
+    at = np.where(own >= 0, own, nearest), np.arange(n)
+    kept = (far_class[at] <= most_class) & (far_common[at] <= most_common)
+    return far_class[at], far_common[at], kept
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -96,9 +110,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     docs: any columns, among them text and lang. Adds n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, class_distance, common_distance, base_failed (fewer than 50
     words, or more than half of them in 3-word windows found twice) and kept. Null and
-    empty texts have no words and fail. Languages without a list of common words,
-    null ones too, share one reference; without any long document all distances
-    are 0. All rows stay, repeated ones too; columns of docs of these names are replaced.
+    empty texts have no words and fail. A document whose lang has a list of common words is
+    judged by that language alone. One whose lang is null, or has no list, must come up to one
+    of the listed languages in both histograms, and its distances are those to the one that
+    leaves it most room; so text of a language without a list is not kept unless it reads like
+    a listed one. Where no document of a listed language passes the base rules there is
+    nothing to judge by: all distances are 0 and the base rules alone decide. All rows stay,
+    repeated ones too; columns of docs of these names are replaced.
     """
     made = (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -111,11 +129,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     def scan(batches):
         for part, data, at in blocks(batches):
             p = profile(data, at)
-            near_class, near_common, good = judge(p, references)
-            failed = (p.n_words < LEAST_WORDS) | (100 * p.n_repeat_words > 50 * p.n_words)
+            far_class, far_common, good = judge(p, references, part.column("lang").to_pylist())
+            failed = base_failed(p)
             values = [
                 p.n_words, p.word_chars, p.n_symbols, p.n_dup_lines, p.n_repeat_words,
-                near_class, near_common, failed, good & ~failed,
+                far_class, far_common, failed, good & ~failed,
             ]
             columns = [part.column(c) for c in rest] + [pa.array(v) for v in values]
             yield pa.record_batch(columns, [*rest, *made])

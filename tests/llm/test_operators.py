@@ -536,6 +536,24 @@ def test_distances_are_jensen_shannon():
     assert np.allclose(quality_rules.distances(a, b), [1.0, np.sqrt(0.311278)], atol=1e-5)
 
 
+def test_documents_are_judged_by_their_own_language(spark, docs, sf):
+    rows = duckdb.sql(f"SELECT doc_id, text, lang FROM '{sf}/documents.parquet'").fetchall()
+    kept = {r["doc_id"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r["kept"]}
+    english = next(t for i, t, lang in rows if i in kept and lang == "en" and len(t) > 1000)
+    rng = np.random.default_rng(5)
+    junk = [" ".join("".join(rng.choice(list("XQZJ0123456789"), 9)) for _ in range(80)) for _ in range(3 * len(rows))]
+    more = [(-1, english, None), (-2, english, "xx")]
+    more += [(-10 - k, t, (None, "xx")[k % 2]) for k, t in enumerate(junk)]
+    more += [(-100_000 - k, "lorem $$ " * 200, "en") for k in range(2 * len(rows))]
+    named = [(-3, english, "fr"), (-4, junk[0], "en"), (-5, junk[1], "fr")]
+    for extra in (more, [*more, *named]):
+        frame = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string")
+        found = {r["doc_id"] for r in quality_rules.quality_rules(frame).collect() if r["kept"]}
+        assert {i for i in found if i < 0} == {-1, -2}
+        if extra is more:  # rows of no listed language and failed ones move no reference
+            assert found - {-1, -2} == kept
+
+
 # -- pipeline --------------------------------------------------------------------------
 
 
