@@ -1,10 +1,11 @@
-"""Interpolated modified Kneser-Ney language model over pairs of words.
-
-Counting: every task adds up the pairs of its documents and sends each once, packed in
-arrays, to the shard that its hash belongs to; a shard's task merges what it gets. From
-there go, again packed by hash, each word's share of the sums that smoothing needs. A
-model is a folder of shards: sorted 64-bit hashes beside their values, which workers map into
-memory and look up with sorted queries. No pair and no word is dropped, and no
+"""Interpolated modified Kneser-Ney language model over pairs or triples of words.
+
+Counting: every task adds up the triples of its documents and sends each once, packed in
+arrays, to the shard that the hash of its last two words belongs to; a shard's task merges
+what it gets. There a pair counts as often as different words precede it, or, at the start of
+a text and in a model of order two, as it occurs. From there go, again packed by hash, each
+word's and each pair's share of the sums that smoothing needs. A model is a folder of shards: sorted 64-bit hashes beside their values, which workers map into
+memory and look up with sorted queries. No triple, no pair and no word is dropped, and no
 frequent word is gathered in one task.
 """
 
@@ -28,7 +29,10 @@ from cellzonal.llm.text import Scratch, blocks, fold, mix, word_hashes
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 START = np.uint64(0x57A2757A2757A275)
-#: Bytes of text for each shard, about, and pairs that a task holds before it sends them.
+#: In place of the first word of a triple that has but two.
+NONE = np.uint64(0x0BADC0DE0BADC0DE)
+#: Bytes of text for each shard, about, and pairs that a task holds before it sends them;
+#: of triples two thirds as many.
 SHARD_BYTES = 16 << 20
 HELD = 3_000_000
 #: Texts are looked up in blocks of this size, so that neighbours in a shard meet.
@@ -40,7 +44,8 @@ _MANIFEST = -1
 class Facts(NamedTuple):
     """Sums over a whole model."""
 
-    pairs: tuple[int, int, int, int]  # pairs seen once, twice, 3 and 4 times
+    pairs: tuple[int, int, int, int]  # pairs that count once, twice, 3 and 4 times
+    triples: tuple[int, int, int, int]  # triples seen once, twice, 3 and 4 times
     words: tuple[int, int, int, int]  # words after 1, 2, 3 and 4 different words
     followed: int  # different pairs
     more: int  # words after 3 different words or more
@@ -68,6 +73,29 @@ def pair_hash(before: np.ndarray, token: np.ndarray) -> np.ndarray:
         return mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(token + np.uint64(1)))
 
 
+def further(before: np.ndarray, begins: np.ndarray, order: int) -> np.ndarray:
+    """The words before the predecessors; NONE at the start of a row and in order two."""
+    first = np.full_like(before, NONE)
+    if order > 2:
+        first[1:] = before[:-1]
+        first[begins] = NONE
+    return first
+
+
+def triple_hash(first: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(first * np.uint64(0xC2B2AE3D27D4EB4F) + pairs)
+
+
+def _starts(*arrays: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries begin."""
+    new = np.zeros(len(arrays[0]), bool)
+    new[:1] = True
+    for array in arrays:
+        new[1:] |= array[1:] != array[:-1]
+    return np.flatnonzero(new)
+
+
 def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted different keys, and the sums of the values of each."""
     order = np.argsort(keys, kind="stable")
@@ -119,29 +147,35 @@ def _split(shards: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
             yield shard, order[edges[shard] : edges[shard + 1]]
 
 
-def _count_pairs(texts: DataFrame, shards: int) -> DataFrame:
-    """Pairs of every task by shard: different predecessors, how many follow each, who, how often."""
+def _count_triples(texts: DataFrame, shards: int, order: int) -> DataFrame:
+    """Triples of every task by shard: a list of words, pairs a middle word has, triples a pair has,
+    the places in the list of middle, last and first words, and how often each triple occurs."""
 
     def send(held):
-        before, token = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys, counts, where = _sums(pair_hash(before, token), np.ones(len(token), np.int64))
-        before, token = before[where], token[where]
+        first, before, token = (np.concatenate(x) for x in zip(*held, strict=True))
+        pairs = pair_hash(before, token)
+        _, counts, where = _sums(triple_hash(first, pairs), np.ones(len(token), np.int64))
+        first, before, token, pairs = (x[where] for x in (first, before, token, pairs))
         rows = []
-        for shard, own in _split((keys % np.uint64(shards)).astype(np.int64), shards):
-            own = own[np.argsort(before[own], kind="stable")]
-            b = before[own]
-            first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-            follow = np.diff(np.append(first, len(b))).astype(np.int64)
-            rows.append(_row(shard, _pack(b[first], follow, token[own], counts[own]), None, None))
+        for shard, own in _split((pairs % np.uint64(shards)).astype(np.int64), shards):
+            own = own[np.lexsort((pairs[own], before[own]))]
+            b, p = before[own], pairs[own]
+            by_pair = _starts(b, p)
+            by_word = _starts(b[by_pair])
+            words = (b[by_pair][by_word], token[own][by_pair], first[own])
+            words, place = np.unique(np.concatenate(words), return_inverse=True)
+            n_pairs = np.diff(np.append(by_word, len(by_pair)))
+            n_triples = np.diff(np.append(by_pair, len(own)))
+            rows.append(_row(shard, _pack(words, n_pairs, n_triples, place, counts[own]), None, None))
         return _table(rows).to_batches()
 
     def count(batches):
         held, size = [], 0
         for _, data, at in blocks(batches):
-            before, token, _ = sequence(data, at)
-            held.append((before, token))
+            before, token, begins = sequence(data, at)
+            held.append((further(before, begins, order), before, token))
             size += len(token)
-            if size >= HELD:
+            if size >= HELD * 2 // order:
                 yield from send(held)
                 held, size = [], 0
         if held:
@@ -150,6 +184,16 @@ def _count_pairs(texts: DataFrame, shards: int) -> DataFrame:
     return texts.mapInArrow(count, PACKED)
 
 
+def _triples(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First, middle and last words and counts, as _count_triples packs them."""
+    words, n_pairs, n_triples, place, counts = _unpack(blob, 5)
+    words = words[place]
+    n_pairs, n_triples = n_pairs.astype(np.int64), n_triples.astype(np.int64)
+    middle, last, first = np.split(words, np.cumsum([len(n_pairs), len(n_triples)]))
+    middle = np.repeat(np.repeat(middle, n_pairs), n_triples)
+    return first, middle, np.repeat(last, n_triples), counts.astype(np.int64)
+
+
 def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
     """Arrays as files beside each other under a name no other attempt has."""
     place, path = arrow_fs.FileSystem.from_uri(folder)
@@ -167,57 +211,79 @@ def _classes(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _merge_pairs(table: pa.Table, folder: str, word_shards: int) -> pa.Table:
-    """One shard of pairs, written; what its pairs add to their words goes on."""
+def _narrow(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as bytes, with a list of those that are larger."""
+    large = np.flatnonzero(counts > 254)
+    return {
+        name: np.minimum(counts, 255).astype(np.uint8),
+        f"{name}-large": large.astype(np.int64),
+        f"{name}-often": counts[large],
+    }
+
+
+def _seen(counts: np.ndarray) -> list[np.ndarray]:
+    return [s.astype(np.int64) for s in (counts == 1, counts == 2, counts > 2)]
+
+
+def _merge_triples(table: pa.Table, folder: str, shards: int, word_shards: int, order: int) -> pa.Table:
+    """One shard, written; what it adds to its words, and to the pairs that its triples begin with, goes on."""
     shard = table["to"][0].as_py()
-    before, token, counts = [], [], []
-    for blob in table["blob"]:
-        b, follow, t, c = _unpack(blob.as_py(), 4)
-        before.append(np.repeat(b, follow.astype(np.int64)))
-        token.append(t)
-        counts.append(c.astype(np.int64))
-    before, token, counts = (np.concatenate(x) for x in (before, token, counts))
-    keys, counts, where = _sums(pair_hash(before, token), counts)
+    parts = [_triples(blob.as_py()) for blob in table["blob"]]
+    first, before, token, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    pairs = pair_hash(before, token)
+    triples, counts, where = _sums(triple_hash(first, pairs), counts)
+    first, before, token, pairs = (x[where] for x in (first, before, token, pairs))
+    whole = first != NONE
+    keys, raw, often, where = _sums(pairs, counts, np.where(whole, 1, counts))
+    del pairs
+    triples, times = triples[whole], counts[whole]
+    arrays = {"keys": keys, **_narrow("counts", often)}
+    if order > 2:
+        arrays |= {**_narrow("raw", raw), "triples": triples, **_narrow("times", times)}
+    file = _save(folder, f"pairs-{shard}", arrays)
+    rows = [_row(_MANIFEST, None, file, [shard, len(keys), *_classes(often), len(triples), *_classes(times)])]
+    if len(triples):
+        contexts, *values, _ = _sums(pair_hash(first[whole], before[whole]), *_seen(times))
+        for to, own in _split((contexts % np.uint64(shards)).astype(np.int64), shards):
+            blob = _pack(contexts[own], *[v[own] for v in values])
+            rows.append(_row(word_shards + to, blob, None, None))
     before, token = before[where], token[where]
-    large = np.flatnonzero(counts > 254)
-    file = _save(
-        folder,
-        f"pairs-{shard}",
-        {
-            "keys": keys,
-            "counts": np.minimum(counts, 255).astype(np.uint8),
-            "large": large.astype(np.int64),
-            "often": counts[large],
-        },
-    )
     none = np.zeros(len(keys), np.int64)
-    as_next = (token, counts, none + 1, none, none, none, none)
-    seen = [(counts == 1), (counts == 2), (counts > 2)]
-    as_before = (before, none, none, counts, *[s.astype(np.int64) for s in seen])
+    as_next = (token, raw, none + 1, none, none, none, none)
+    as_before = (before, none, none, often, *_seen(often))
     both = [np.concatenate(x) for x in zip(as_next, as_before, strict=True)]
     words, *values, _ = _sums(*both)
-    rows = [_row(_MANIFEST, None, file, [shard, len(keys), *_classes(counts)])]
     for to, own in _split((words % np.uint64(word_shards)).astype(np.int64), word_shards):
         rows.append(_row(to, _pack(words[own], *[v[own] for v in values]), None, None))
     return _table(rows)
 
 
 WORD_COLUMNS = ("counts", "after", "before", "once", "twice", "more")
+CONTEXT_COLUMNS = ("once", "twice", "more")
+
+
+def _merged(table: pa.Table, columns: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    parts = [_unpack(blob.as_py(), 1 + len(columns)) for blob in table["blob"]]
+    keys = np.concatenate([p[0] for p in parts])
+    values = [np.concatenate([p[i].astype(np.int64) for p in parts]) for i in range(1, 1 + len(columns))]
+    keys, *values, _ = _sums(keys, *values)
+    return keys, values
 
 
-def _merge_words(table: pa.Table, folder: str) -> pa.Table:
-    """One shard of words, written; the list of files passes as it is."""
+def _merge_sums(table: pa.Table, folder: str, word_shards: int) -> pa.Table:
+    """One shard of words, or of pairs that triples begin with, written; the list of files passes as it is."""
     shard = table["to"][0].as_py()
     if shard == _MANIFEST:
         return table
-    parts = [_unpack(blob.as_py(), 7) for blob in table["blob"]]
-    keys = np.concatenate([p[0] for p in parts])
-    values = [np.concatenate([p[i].astype(np.int64) for p in parts]) for i in range(1, 7)]
-    keys, *values, _ = _sums(keys, *values)
+    columns = WORD_COLUMNS if shard < word_shards else CONTEXT_COLUMNS
+    keys, values = _merged(table, columns)
     small = [v.astype(np.min_scalar_type(int(v.max(initial=0)))) for v in values]
-    file = _save(folder, f"words-{shard}", {"keys": keys, **dict(zip(WORD_COLUMNS, small, strict=True))})
-    after = values[1]
-    facts = [shard, *_classes(after), int((after > 2).sum()), int(values[0].sum()), int((values[0] > 0).sum())]
+    file = _save(folder, f"sums-{shard}", {"keys": keys, **dict(zip(columns, small, strict=True))})
+    facts = [shard]
+    if shard < word_shards:
+        after = values[1]
+        facts += [*_classes(after), int((after > 2).sum()), int(values[0].sum()), int((values[0] > 0).sum())]
     return _table([_row(shard, None, file, facts)])
 
 
@@ -229,29 +295,37 @@ class Trained(NamedTuple):
     pair_shards: int
     words: dict[int, str]
     word_shards: int
+    contexts: dict[int, str]
     facts: Facts
+    order: int
 
 
-def train(texts: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> Trained:
+def train(texts: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Trained:
     """A model of all texts (column text; null counts as empty). Its files are in scratch."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is neither 2 nor 3")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     word_shards = max(1, shards // 4)
     folder = scratch.path("model")
-    counted = _count_pairs(texts.select("text"), shards)
+    counted = _count_triples(texts.select("text"), shards, order)
     merged = counted.groupBy("to").applyInArrow(
-        lambda table: _merge_pairs(table, folder, word_shards), PACKED
+        lambda table: _merge_triples(table, folder, shards, word_shards, order), PACKED
+    )
+    merged = merged.groupBy("to").applyInArrow(
+        lambda table: _merge_sums(table, folder, word_shards), PACKED
     )
-    merged = merged.groupBy("to").applyInArrow(lambda table: _merge_words(table, folder), PACKED)
     files = merged.select("to", "file", "facts").collect()
     pairs = [r for r in files if r["to"] == _MANIFEST]
-    words = [r for r in files if r["to"] != _MANIFEST]
+    words = [r for r in files if 0 <= r["to"] < word_shards]
+    contexts = [r for r in files if r["to"] >= word_shards]
 
     def total(rows, i):
         return sum(r["facts"][i] for r in rows)
 
     facts = Facts(
         tuple(total(pairs, i) for i in (2, 3, 4, 5)),
+        tuple(total(pairs, i) for i in (7, 8, 9, 10)),
         tuple(total(words, i) for i in (1, 2, 3, 4)),
         total(pairs, 1),
         total(words, 5),
@@ -264,7 +338,9 @@ def train(texts: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) ->
         shards,
         {r["facts"][0]: r["file"] for r in words},
         word_shards,
+        {r["facts"][0] - word_shards: r["file"] for r in contexts},
         facts,
+        order,
     )
 
 
@@ -288,6 +364,7 @@ class Model:
         self.open: dict[str, np.ndarray] = {}
         self.of_pairs = discounts(trained.facts.pairs)
         self.of_words = discounts(trained.facts.words)
+        self.of_triples = discounts(trained.facts.triples)
 
     def _array(self, file: str, column: str) -> np.ndarray:
         name = f"{file}.{column}.npy"
@@ -303,34 +380,47 @@ class Model:
                 self.open[name] = np.load(path)
         return self.open[name]
 
-    def _find(self, files: dict[int, str], shards: int, keys: np.ndarray, columns):
-        """Values of sorted different keys, 0 for those that are missing."""
+    def _find(self, files, shards: int, keys: np.ndarray, columns, by=None, within: str = "keys"):
+        """Values of different keys, 0 for those that are missing; by: what tells their shards."""
         out = [np.zeros(len(keys), np.int64) for _ in columns]
-        for shard, own in _split((keys % np.uint64(shards)).astype(np.int64), shards):
+        by = keys if by is None else by
+        for shard, own in _split((by % np.uint64(shards)).astype(np.int64), shards):
             if shard not in files:
                 continue
-            known = self._array(files[shard], "keys")
+            known = self._array(files[shard], within)
+            if not len(known):
+                continue
             at = np.searchsorted(known, keys[own])
             at[at == len(known)] = 0
             hit = known[at] == keys[own]
             own, at = own[hit], at[hit]
             for values, column in zip(out, columns, strict=True):
                 values[own] = self._array(files[shard], column)[at]
-                if column == "counts" and files is self.trained.pairs:
-                    large, often = (self._array(files[shard], c) for c in ("large", "often"))
+                if files is self.trained.pairs:
                     over = np.flatnonzero(values[own] == 255)
                     if len(over):
+                        large, often = (self._array(files[shard], f"{column}-{c}") for c in ("large", "often"))
                         values[own[over]] = often[np.searchsorted(large, at[over])]
         return out
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        return self._find(self.trained.pairs, self.trained.pair_shards, keys, ("counts",))[0]
+    def pair_values(self, keys: np.ndarray, column: str) -> np.ndarray:
+        return self._find(self.trained.pairs, self.trained.pair_shards, keys, (column,))[0]
+
+    def triple_counts(self, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        return self._find(
+            self.trained.pairs, self.trained.pair_shards, keys, ("times",), by=pairs, within="triples"
+        )[0]
+
+    def context_values(self, keys: np.ndarray) -> list[np.ndarray]:
+        return self._find(self.trained.contexts, self.trained.pair_shards, keys, CONTEXT_COLUMNS)
 
     def word_values(self, keys: np.ndarray, columns) -> list[np.ndarray]:
         return self._find(self.trained.words, self.trained.word_shards, keys, columns)
 
-    def score(self, before: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every token's count in training and log10 probability after its predecessor."""
+    def score(
+        self, before: np.ndarray, token: np.ndarray, begins: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Every token's count in training and log10 probability after what precedes it."""
         facts = self.trained.facts
         words, place = np.unique(token, return_inverse=True)
         counts, after = self.word_values(words, ("counts", "after"))
@@ -346,29 +436,47 @@ class Model:
         seen, once, twice, more = self.word_values(contexts, ("before", "once", "twice", "more"))
         left = once * self.of_pairs[1] + twice * self.of_pairs[2] + more * self.of_pairs[3]
         keys, pair = np.unique(pair_hash(before, token), return_inverse=True)
-        c = self.pair_counts(keys)
+        c = self.pair_values(keys, "counts")
         own = (c - self.of_pairs[np.minimum(c, 3)])[pair]
         total = seen[context]
         p = np.where(
             total > 0, (own + left[context] * lower[place]) / np.maximum(total, 1), lower[place]
         )
+        if self.trained.order > 2:
+            p = self._after_two(further(before, begins, 3), before, keys[pair], p)
         return counts[place], np.log10(p)
 
+    def _after_two(
+        self, first: np.ndarray, before: np.ndarray, pairs: np.ndarray, lower: np.ndarray
+    ) -> np.ndarray:
+        """Probabilities after two words, from those after one; the first token of a text has one."""
+        contexts, context = np.unique(pair_hash(first, before), return_inverse=True)
+        total = self.pair_values(contexts, "raw")[context]
+        seen = self.context_values(contexts)
+        left = sum(n * d for n, d in zip(seen, self.of_triples[1:], strict=True))
+        keys, at, triple = np.unique(
+            triple_hash(first, pairs), return_index=True, return_inverse=True
+        )
+        c = self.triple_counts(keys, pairs[at])
+        own = (c - self.of_triples[np.minimum(c, 3)])[triple]
+        # A pair that was seen is followed by a word or by the end, each time.
+        return np.where(total > 0, (own + left[context] * lower) / np.maximum(total, 1), lower)
+
 
-def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
     docs: any columns, among them doc_id and text. The model learns from the documents
     whose id's checksum does not leave 2 by 7, and scores all. Words are lower-cased in A-Z
     and split at ASCII white space; every text, a null one too, ends with a token
-    for its end. score is the log10 probability of all tokens, base_score that of single
+    for its end. order is 2, for one word of context, or 3, for two. score is the log10 probability of all tokens, base_score that of single
     words with one added to every count, and n_known counts the tokens seen in training.
     Without training texts every token has probability 1. A null id counts as an empty
     text. Rows stay, repeated ones too, and count as often as they occur.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     held = fold(FOLDS) == HELD_OUT
-    trained = train(docs.where(~held).select("text"), scratch, shard_bytes)
+    trained = train(docs.where(~held).select("text"), scratch, shard_bytes, order)
     facts = trained.facts
 
     def scan(batches):
@@ -376,7 +484,7 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             model = Model(trained, stack)
             for part, data, at in blocks(batches, limit=BLOCK):
                 before, token, begins = sequence(data, at)
-                counts, p = model.score(before, token)
+                counts, p = model.score(before, token, begins)
                 base = np.log10((counts + 1) / (facts.tokens + facts.vocabulary + 1))
                 score = np.add.reduceat(p, begins)
                 n = np.diff(np.append(begins, len(token)))

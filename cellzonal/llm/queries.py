@@ -54,7 +54,7 @@ def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    return score_texts(table(spark, sf, "documents")).drop("perplexity")
+    return score_texts(table(spark, sf, "documents"), order=3).drop("perplexity")
 
 
 def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:

@@ -357,6 +357,62 @@ def test_counts_beyond_a_byte_and_several_sends(spark, monkeypatch):
         assert np.isclose(r["score"], wanted[r["doc_id"]][5], rtol=1e-9)
 
 
+def brute_triples(rows):
+    """Scores of order three by dictionaries."""
+    tokens = {i: ["<s>", *WORD.findall((t or "").translate(UPPER)), None] for i, t in rows}
+    train = [own for i, own in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    triples = Counter(x for own in train for x in zip(own, own[1:], own[2:], strict=False))
+    pairs = Counter((own[0], own[1]) for own in train) + Counter((v, w) for _, v, w in triples)
+    after = Counter(w for _, w in pairs)
+
+    def level(counts):
+        n, total, follow = Counter(counts.values()), Counter(), defaultdict(Counter)
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        off = [0.0]
+        for k in (1, 2, 3):
+            off.append(min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5, 0.05), k - 0.05))
+        for x, c in counts.items():
+            total[x[:-1]] += c
+            follow[x[:-1]][min(c, 3)] += 1
+
+        def p(x, lower):
+            h = x[:-1]
+            left = sum(off[k] * follow[h][k] for k in (1, 2, 3))
+            c = counts[x]
+            return (c - off[min(c, 3)] + left * lower) / total[h] if total[h] else lower
+
+        return p
+
+    p3, p2, p1 = level(triples), level(pairs), level(Counter({(w,): c for w, c in after.items()}))
+
+    def p(*x):
+        lower = p2(x[-2:], p1(x[-1:], 1 / (len(after) + 1)))
+        return p3(x, lower) if len(x) > 2 else lower
+
+    for h in (("<s>",), next(iter(triples))[:2]):
+        assert abs(sum(p(*h, w) for w in [*after, "no such word"]) - 1) < 1e-9
+    return {i: sum(log10(p(*own[max(0, j - 2) : j + 1])) for j in range(1, len(own))) for i, own in tokens.items()}
+
+
+def test_language_model_of_order_three_equals_dictionaries(spark, sf, docs, monkeypatch):
+    monkeypatch.setattr(lm, "HELD", 30_000)
+    wanted = brute_triples(list(docs.items()))
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    split = lm.score_texts(source.repartition(4), 50_000, order=3)
+    for found in (QUERIES["op5_lm_scoring"](spark, sf).collect(), split.collect()):
+        assert len(found) == len(wanted)
+        assert all(np.isclose(r["score"], wanted[r["doc_id"]], rtol=1e-9) for r in found)
+
+
+def test_order_three_of_odd_rows_and_large_counts(spark, odd, none):
+    assert lm.score_texts(none, order=3).count() == 0
+    assert lm.score_texts(odd, order=3).count() == len(ODD)
+    rows = [(i, "a b " * 400) for i in range(5)]
+    wanted = brute_triples(rows)
+    for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), order=3).collect():
+        assert np.isclose(r["score"], wanted[r["doc_id"]], rtol=1e-9)
+
+
 # -- 6 ---------------------------------------------------------------------------------
 
 
