@@ -5,7 +5,7 @@ hash, and the counts by group make the document a point: two sets share at most
 of the smaller counts. Points that may be similar are found by R-trees whose boxes
 bound that sum, and surviving pairs are verified on the sets themselves. Larger sets have
 more groups, always a power of two, so that halves of a point added up compare with the
-next smaller kind, and sets further apart in size cannot be similar.
+next smaller kind, as often as sets so far apart in size can still be similar.
 
 Points meet in blocks. Sets as similar as asked share one of each other's rarest
 shingles, so every document goes to the blocks of its rarest ones: no pair is lost, and
@@ -190,6 +190,12 @@ def _members(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.where("node = wanted").select("node", "members")
 
 
+def _folds(at_least) -> int:
+    """How often the larger of two similar sets may have twice the groups of the smaller."""
+    x, y = at_least
+    return next((f for f in range(1, MOST - FEWEST) if x << f >= y), MOST - FEWEST)
+
+
 def _bounded(pairs: DataFrame, points: DataFrame, at_least) -> DataFrame:
     """The pairs (a, b), with their sizes, whose count vectors allow the similarity."""
     x, y = at_least
@@ -201,10 +207,11 @@ def _bounded(pairs: DataFrame, points: DataFrame, at_least) -> DataFrame:
 
     def as_small(c):
         whole = F.col(c).cast("array<int>")
-        halves = F.zip_with(
-            F.slice(whole, 1, size), F.slice(whole, size + 1, size), lambda p, q: p + q
-        )
-        return F.when(F.size(c) == size, whole).otherwise(halves)
+        folded = F.slice(whole, 1, size)
+        for part in range(1, 1 << _folds(at_least)):
+            more = F.slice(whole, size * part + 1, size)
+            folded = F.zip_with(folded, more, lambda p, q: p + F.coalesce(q, F.lit(0)))
+        return F.when(F.size(c) == size, whole).otherwise(folded)
 
     least = F.zip_with(as_small("a_counts"), as_small("b_counts"), lambda p, q: F.least(p, q))
     most = F.aggregate(least, F.lit(0), lambda s, v: s + v) + F.col("a_beyond") + F.col("b_beyond")
@@ -253,8 +260,10 @@ def _search_block(table: pa.Table, at_least) -> pa.Table:
     a, b = [], []
 
     def vectors(rows, size):
-        own = np.stack([flat[ends[i] : ends[i + 1]] for i in rows]).astype(np.int16)
-        return own if own.shape[1] == size else own[:, :size] + own[:, size:]
+        own = np.stack([flat[ends[i] : ends[i + 1]] for i in rows])
+        parts = own.shape[1] // size
+        own = own.astype(np.int16 if parts <= 2 else np.int32)
+        return own.reshape(len(own), parts, size).sum(1, dtype=own.dtype)
 
     def search(from_rows, to_rows, size, both):
         """Pairs of two kinds of points, compared at the smaller number of groups."""
@@ -272,9 +281,10 @@ def _search_block(table: pa.Table, at_least) -> pa.Table:
     for size in np.unique(groups):
         own, same = left[groups[left] == size], right[groups[right] == size]
         search(own, same, size, low[0] == high[0])
-        search(own, right[groups[right] == 2 * size], size, False)
-        if low[0] != high[0]:
-            search(same, left[groups[left] == 2 * size], size, False)
+        for fold in range(1, _folds(at_least) + 1):
+            search(own, right[groups[right] == size << fold], size, False)
+            if low[0] != high[0]:
+                search(same, left[groups[left] == size << fold], size, False)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 

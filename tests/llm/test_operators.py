@@ -176,6 +176,27 @@ def test_counts_beyond_a_byte_lose_no_pair(spark):
     assert {(r["a"], r["b"]) for r in kept.collect()} == similar
 
 
+def test_similar_sets_of_very_different_size(spark):
+    words = [f"w{i}" for i in range(517)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:214])), (3, " ".join(f"x{i}" for i in range(300)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.jaccard_groups(frame, at_least=(40, 100)).collect()
+    assert {(r[0], r[1], r[2]) for r in found} == {(1, 513, 1), (2, 210, 1), (3, 296, 3)}
+
+
+def test_block_search_folds_as_often_as_sizes_need():
+    sizes = {0: 64, 1: 256}
+    counts = [np.full(g, 2, np.int8).tolist() for g in sizes.values()]
+    table = pa.table(
+        {
+            "node": pa.array([10, 11]), "comp": pa.array([10, 11]), "part": pa.array([0, 0]),
+            "low": pa.array([0, 0]), "high": pa.array([0, 0]), "n": pa.array([210, 513]),
+            "beyond": pa.array([0, 0]), "counts": pa.array(counts, pa.list_(pa.int8())),
+        }
+    )
+    assert jaccard_join._search_block(table, (15, 100)).to_pylist() == [{"a": 10, "b": 11}]
+
+
 def test_one_of_each_keeps_bare_rows_and_ones_without_id(odd):
     kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(odd).collect()]
     assert sorted(str(i) for i, _ in kept) == sorted(["1", "3", "4", "5", "6", "None", "8", "10", "11"])
