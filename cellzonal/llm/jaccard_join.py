@@ -303,7 +303,8 @@ def jaccard_groups(
     class_key the group's hash. Null and empty texts, and texts without words, have no
     shingles and link with nothing (class_key null), and so do rows without an id
     (component_id null). Rows that repeat an id are documents of their own. Sets are
-    told apart by 64-bit hashes.
+    told apart by 64-bit hashes. Groups are whole, links are not: pairs within a group that
+    other links already connect are not verified, and no number of links is given.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
