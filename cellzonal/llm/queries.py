@@ -11,11 +11,14 @@ from cellzonal.llm.jaccard_join import jaccard_groups
 from cellzonal.llm.license_scan import scan_licenses
 from cellzonal.llm.lm import score_texts
 from cellzonal.llm.mixing import queue
+from cellzonal.llm.pieces import decode_ids, encode_texts, read_model
+from cellzonal.llm.prefix_trie import prefix_trie
 from cellzonal.llm.quality_classifier import score_quality
 from cellzonal.llm.quality_rules import quality_rules
 from cellzonal.llm.secrets import KINDS, find_secrets
 from cellzonal.llm.toxicity import score_toxicity
 from cellzonal.llm.url_filter import judge_urls
+from cellzonal.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,6 +120,43 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie(table(spark, sf, "conversations"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = decode_ids(encode_texts(docs, read_model(model)), read_model(model))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("ids_agree") & F.col("decoded_agree")).alias("library_agrees"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    found = whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    parts = F.arrays_zip("whitened", "explained")
+    return found.select(
+        "vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "identity_error",
+        F.posexplode(parts).alias("nth", "part"),
+    ).select(
+        "vec_id",
+        (F.col("nth") + 1).alias("component"),
+        "n",
+        "deviation",
+        F.col("part.whitened").alias("whitened"),
+        F.col("part.explained").alias("explained"),
+        "identity_error",
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -130,6 +170,9 @@ QUERIES: dict[str, Query] = {
         op8_quality_classifier,
         op9_license_scan,
         op10_quality_rules,
+        op11_prefix_trie,
+        op12_sentencepiece,
+        op13_whitening,
     )
 }
 
@@ -222,9 +265,51 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN own ON own.doc_id = d.doc_id
 """
 
+TRIE_SQL = f"""
+WITH step AS (
+  SELECT list(v ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n::BIGINT, list_transform(range(8), lambda x: 0::BIGINT)),
+      lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END) AS v
+    FROM (SELECT range AS n FROM range(256)) r) q),
+ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT c, c - c % 5 AS b, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+      lambda a, x: xor(a // 256, t[xor(a, x) % 256 + 1])), 4294967295::BIGINT) % 9 AS h
+  FROM ids, step),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      strlen(coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+used AS (
+  SELECT c, p, role, text FROM h JOIN turns ON conv_id = b WHERE p <= h
+  UNION ALL SELECT c, p, role, text FROM h JOIN turns ON conv_id = c WHERE p > h),
+path AS (
+  SELECT c, coalesce(w, []) AS w FROM ids LEFT JOIN (
+    SELECT c, list({{'role': role, 'text': text}} ORDER BY p) AS w FROM used GROUP BY c) u USING (c)),
+thru AS (SELECT c, w, d, w[:d] AS k FROM path, LATERAL (SELECT unnest(range(0, len(w) + 1)) AS d) x),
+node AS (
+  SELECT d, k, min(c) AS conv_id, count(*) AS n,
+    string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len(w) = d) AS ends
+  FROM thru GROUP BY d, k),
+own AS (
+  SELECT *, (n - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(k[d].text) END AS saved,
+    (SELECT count(*) FROM node x WHERE x.d = node.d + 1 AND x.k[:node.d] = node.k) AS children
+  FROM node),
+sums AS (
+  SELECT len(a) AS d, a AS k, sum(saved) AS saved, count(*) FILTER (WHERE children = 0) AS leaves
+  FROM (SELECT saved, children, k[:e] AS a FROM own, LATERAL (SELECT unnest(range(0, d + 1)) AS e) x) y GROUP BY a)
+SELECT own.conv_id, CAST(own.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, own.n AS n_convs,
+  own.children AS n_children, sums.leaves AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(own.ends, '')) AS ends_sha256
+FROM own JOIN sums ON sums.k = own.k LEFT JOIN own up ON own.d > 0 AND up.d = own.d - 1 AND up.k = own.k[:own.d - 1]
+"""
+
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": JACCARD_SQL,
     "op2_url_filter": URL_SQL,
     "op4_mixing": MIXING_SQL,
     "op7_decontamination": PASSAGE_SQL,
+    "op11_prefix_trie": TRIE_SQL,
 }

@@ -7,7 +7,7 @@ characters only, so bytes and code points give the same words.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +162,14 @@ def with_columns(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType(schema.fields + T.StructType.fromDDL(ddl).fields)
 
 
+def free_name(wanted: str, taken: Sequence[str]) -> str:
+    """The name, with underscores behind it as long as a column has it; case is no difference."""
+    lower = {c.lower() for c in taken}
+    while wanted.lower() in lower:
+        wanted += "_"
+    return wanted
+
+
 class Scratch:
     """Tables in the cluster's shared folder, gone when their run no longer needs them."""
 
