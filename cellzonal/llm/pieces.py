@@ -17,7 +17,6 @@ import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ UNKNOWN = " ⁇ "
 #: Parts of up to so many characters are merged together and remembered.
 SHORT = 48
 #: So many parts are remembered by a worker before it starts anew.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19
 #: The rank of a pair that is no piece.
 NONE = np.iinfo(np.int64).max
 
@@ -62,7 +61,7 @@ class Pieces:
         inner = any(re.search(f"[^{BLANK}]{BLANK}", t) for t in self.ids)
         # Without such pieces no merge reaches over the beginning of a run of blanks.
         self._part = re.compile("(?s).+" if inner else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         # Pairs of pieces that make a piece, and its rank, which tells it from all others.
         made = {}
         for text, i in self.ids.items():
@@ -83,8 +82,8 @@ class Pieces:
             for i, t in enumerate(texts)
         ]
 
-    def merge(self, part: str) -> tuple[int, ...]:
-        """The ids of one part, by the agenda of its adjacent pairs."""
+    def merge(self, part: str) -> bytes:
+        """The ids of one part, four bytes each, by the agenda of its adjacent pairs."""
         ranks = self.ranks
         symbols: list[str] = list(part)
         n = len(symbols)
@@ -125,7 +124,7 @@ class Pieces:
                     ids.extend(self.bytes[b] for b in s.encode())
                 else:
                     ids.append(own)
-        return tuple(ids)
+        return np.array(ids, np.int32).tobytes()
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols; a symbol below 0 is a character that is no piece."""
@@ -136,7 +135,7 @@ class Pieces:
         real = (self._pairs[at] == pairs) & (left >= 0) & (right >= 0)
         return np.where(real, self._pair_ranks[at], NONE)
 
-    def merge_many(self, parts: Sequence[str]) -> list[tuple[int, ...]]:
+    def merge_many(self, parts: Sequence[str]) -> list[bytes]:
         """The ids of many parts; every turn merges the best pair of each that has one."""
         letters = "".join(parts)
         codes = np.frombuffer(letters.encode("utf-32-le"), np.uint32)
@@ -149,7 +148,12 @@ class Pieces:
         part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         done: list[tuple[np.ndarray, np.ndarray]] = []
         rank = np.full(len(symbol), NONE)
-        rank[:-1] = self._ranks_of(symbol[:-1], symbol[1:])
+        if len(known) <= 1024:  # a table of all pairs of letters is small
+            every = np.array(known, np.int64)
+            every = self._ranks_of(np.repeat(every, len(every)), np.tile(every, len(every)))
+            rank[:-1] = every[which[:-1] * len(known) + which[1:]]
+        else:
+            rank[:-1] = self._ranks_of(symbol[:-1], symbol[1:])
         rank[:-1][part[:-1] != part[1:]] = NONE
         while len(symbol):
             start = np.flatnonzero(np.diff(part, prepend=-1))
@@ -172,30 +176,31 @@ class Pieces:
         part = np.concatenate([p for p, _ in done]) if done else np.empty(0, np.int64)
         order = np.argsort(part, kind="stable")
         symbol = np.concatenate([s for _, s in done])[order] if done else part
-        ends = np.searchsorted(part[order], np.arange(len(parts) + 1)).tolist()
-        ids = symbol.tolist()
-        found = [tuple(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        ends = (4 * np.searchsorted(part[order], np.arange(len(parts) + 1))).tolist()
+        ids = symbol.astype(np.int32).tobytes()
+        found = [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         for i in np.unique(part[order][symbol < 0]).tolist():
-            found[i] = self._spelled(found[i])
+            found[i] = self._spelled(np.frombuffer(found[i], np.int32).tolist())
         return found
 
-    def _spelled(self, ids: Sequence[int]) -> tuple[int, ...]:
+    def _spelled(self, ids: Sequence[int]) -> bytes:
         out: list[int] = []
         for i in ids:
             out.extend((i,) if i >= 0 else (self.bytes[b] for b in chr(-i - 1).encode()))
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of each text; an empty one has none."""
         split = [self._part.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = set().union(*split).difference(self.known)
-        short = [p for p in new if len(p) <= SHORT]
-        self.known.update(zip(short, self.merge_many(short), strict=True))
         long = [p for p in new if len(p) > SHORT]
+        short = list(new.difference(long))
+        self.known.update(zip(short, self.merge_many(short), strict=True))
         self.known.update((p, self.merge(p)) for p in long)
         known = self.known.__getitem__
-        ids = [list(chain.from_iterable(map(known, parts))) for parts in split]
+        ids = [np.frombuffer(b"".join(map(known, parts)), np.int32) for parts in split]
         for p in long:
             del self.known[p]
         return ids
@@ -256,8 +261,19 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    return pa.array(rows, pa.list_(pa.int32()))
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _rows(lists: pa.ListArray) -> list[list[int]]:
+    """The lists as Python has them, a null one empty; nulls within are an error."""
+    flat, ends = lists.values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
+    there = lists.is_valid().to_pylist()
+    return [
+        flat[a:b] if own else [] for a, b, own in zip(ends, ends[1:], there, strict=False)
+    ]
 
 
 def encode_texts(docs: DataFrame, model: bytes, keep_text: bool = False) -> DataFrame:
@@ -279,7 +295,7 @@ def encode_texts(docs: DataFrame, model: bytes, keep_text: bool = False) -> Data
             texts = [t or "" for t in part.column("text").to_pylist()]
             ids = own.encode(texts)
             checked = own.library.encode(texts, num_threads=1)
-            agree = pa.array([a == b for a, b in zip(ids, checked, strict=True)])
+            agree = pa.array([a.tolist() == b for a, b in zip(ids, checked, strict=True)])
             yield pa.record_batch([*[part.column(c) for c in rest], _lists(ids), agree], [*rest, *made])
 
     schema = with_columns(docs.select(*rest).schema, "ids array<int>, ids_agree boolean")
@@ -300,7 +316,7 @@ def decode_ids(rows: DataFrame, model: bytes) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]):
         own = _pieces(model)
         for batch in batches:
-            ids = [i or [] for i in batch.column("ids").to_pylist()]
+            ids = _rows(batch.column("ids"))
             texts = [own.decode(i) for i in ids]
             checked = [own.library.decode(i) for i in ids]
             agree = pa.array([a == b for a, b in zip(texts, checked, strict=True)])
