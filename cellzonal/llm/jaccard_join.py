@@ -14,6 +14,11 @@ First each point is tried against the block's smallest one that it meets most of
 which settles groups of copies with one link per copy. Only blocks whose points are
 still apart are searched by R-tree; a block of many points is split, and its parts meet
 in pairs, so that no task holds more than two parts.
+
+What an R-tree finds is bounded once more in the block, by counts in 2^16 groups, which hardly
+any pair passes that is not similar. A block gives a tree of its pairs, never all of them:
+pairs between points that others already connect wait. Should verification refute one, its
+block is searched again without it, until nothing is left to try.
 """
 
 from __future__ import annotations
@@ -38,8 +43,9 @@ MOST_COUNT = 127
 #: Buckets in which shingles are counted, to tell frequent ones from rare ones.
 RARITY_BITS = 19
 PART = 1000
-ROUNDS = 2
 LEAF = 64
+#: Pairs whose finer counts are compared at once.
+CHUNK = 64
 #: What makes a document a point.
 POINT = ("n", "counts", "beyond")
 
@@ -114,7 +120,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int):
 
 def _arrays(rows: list[np.ndarray], kind=pa.int64()) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    flat = np.concatenate(rows) if rows else np.empty(0, np.uint64)
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
     values = flat.view(np.int64) if flat.dtype == np.uint64 else flat
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
@@ -142,32 +148,48 @@ def _frequencies(texts: DataFrame, width: int, bits: int) -> np.ndarray:
 
 
 def _profiles(texts: DataFrame, width: int, frequency: np.ndarray, at_least) -> DataFrame:
-    """Per document its set's size, hash and count vector, and the rarest shingles."""
+    """Per document its set's size, hash and counts, coarse and fine, and the rarest shingles.
+
+    The latter are empty where the same task has had the same set.
+    """
     bits = int(len(frequency)).bit_length() - 1
     x, y = at_least
 
     def profile(batches):
+        seen: set[int] = set()
         for part, sets in _sets(batches, width):
-            rare, counts, beyond = [], [], []
-            for u in sets:
-                keep = len(u) - ceil(x * len(u) / y) + 1 if len(u) else 0
-                order = np.lexsort((u, frequency[u >> np.uint64(64 - bits)]))
-                rare.append(u[order[:keep]])
+            rare, counts, beyond, fine, nodes = [], [], [], [], []
+            named = part.column("doc_id").is_valid().to_pylist()
+            for u, has_id in zip(sets, named, strict=True):
+                node = set_hash(u) if len(u) else None
+                nodes.append(node)
                 held, over = count_vector(u)
                 counts.append(held)
                 beyond.append(over)
+                fine.append(np.sort(u.astype(np.uint16)).view(np.int16))
+                if node is None or not has_id or node in seen:
+                    rare.append(u[:0])
+                    continue
+                seen.add(node)
+                keep = len(u) - ceil(x * len(u) / y) + 1
+                order = np.lexsort((u, frequency[u >> np.uint64(64 - bits)]))
+                rare.append(u[order[:keep]])
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
                     "n": pa.array([len(u) for u in sets], pa.int64()),
-                    "node": pa.array([set_hash(u) if len(u) else None for u in sets], pa.int64()),
+                    "node": pa.array(nodes, pa.int64()),
                     "counts": _arrays(counts, pa.int8()),
                     "beyond": pa.array(beyond, pa.int64()),
+                    "fine": _arrays(fine, pa.int16()),
                     "rare": _arrays(rare),
                 }
             )
 
-    kind = "doc_id long, n long, node long, counts array<tinyint>, beyond long, rare array<long>"
+    kind = (
+        "doc_id long, n long, node long, counts array<tinyint>, beyond long, "
+        "fine array<smallint>, rare array<long>"
+    )
     return texts.mapInArrow(profile, kind)
 
 
@@ -247,16 +269,43 @@ def _still_apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     )
 
 
+class FineCounts:
+    """Counts of rows in 2^16 groups, held as the groups' sorted numbers."""
+
+    def __init__(self, fine: pa.ListArray):
+        ends, flat = fine.offsets.to_numpy(), fine.values.to_numpy().view(np.uint16)
+        own = [np.unique(flat[a:b], return_counts=True) for a, b in zip(ends, ends[1:], strict=False)]
+        self.groups = [g for g, _ in own]
+        self.counts = [c for _, c in own]
+        self.table = np.zeros(1 << 16, np.int64)
+
+    def shared(self, row: int, others: np.ndarray) -> np.ndarray:
+        """Most that a row may share with each of the others."""
+        self.table[self.groups[row]] = self.counts[row]
+        found = [np.empty(0, np.int64)]
+        for start in range(0, len(others), CHUNK):
+            part = others[start : start + CHUNK]
+            groups = np.concatenate([self.groups[j] for j in part])
+            counts = np.concatenate([self.counts[j] for j in part])
+            first = np.cumsum([0, *[len(self.groups[j]) for j in part[:-1]]])
+            found.append(np.add.reduceat(np.minimum(self.table[groups], counts), first))
+        self.table[self.groups[row]] = 0
+        return np.concatenate(found)
+
+
 def _search_block(table: pa.Table, at_least) -> pa.Table:
-    """Pairs of one block's two parts that may be similar and are not yet connected."""
+    """Pairs of one block's two parts that may be similar, as a tree over what is apart."""
     node = table["node"].to_numpy()
-    comp = table["comp"].to_numpy()
     part, low, high = (table[c].to_numpy() for c in ("part", "low", "high"))
     sizes, beyond = table["n"].to_numpy(), table["beyond"].to_numpy()
     counts = table["counts"].combine_chunks()
     ends = counts.offsets.to_numpy()
     flat = counts.values.to_numpy()
     groups = np.diff(ends)
+    fine = FineCounts(table["fine"].combine_chunks())
+    refuted = [np.array(r or [], np.int64) for r in table["refuted"].to_pylist()]
+    #: Equal numbers for what is connected, or will be if all given pairs are similar.
+    label = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
     a, b = [], []
 
     def vectors(rows, size):
@@ -272,10 +321,16 @@ def _search_block(table: pa.Table, at_least) -> pa.Table:
         tree = RTree(vectors(to_rows, size), sizes[to_rows], beyond[to_rows])
         for i, point in zip(from_rows, vectors(from_rows, size), strict=True):
             near = to_rows[tree.search(point, sizes[i], beyond[i], at_least)]
-            near = near[comp[near] != comp[i]]
+            near = near[label[near] != label[i]]
             near = near[node[near] > node[i]] if both else near
-            a.extend(np.minimum(node[near], node[i]))
-            b.extend(np.maximum(node[near], node[i]))
+            near = near[~np.isin(node[near], refuted[i])]
+            most = fine.shared(i, near)
+            may = most >= shared_needed(sizes[i] + sizes[near], at_least)
+            for j in near[may][np.argsort(-most[may], kind="stable")]:
+                if label[j] != label[i]:
+                    a.append(i)
+                    b.append(j)
+                    label[label == label[j]] = label[i]
 
     left, right = np.flatnonzero(part == low[0]), np.flatnonzero(part == high[0])
     for size in np.unique(groups):
@@ -285,7 +340,42 @@ def _search_block(table: pa.Table, at_least) -> pa.Table:
             search(own, right[groups[right] == size << fold], size, False)
             if low[0] != high[0]:
                 search(same, left[groups[left] == size << fold], size, False)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    swap = node[a] > node[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    return pa.table(
+        {
+            "a": node[a], "b": node[b], "a_n": sizes[a], "b_n": sizes[b],
+            "key": np.full(len(a), table["key"][0].as_py()),
+        }
+    )
+
+
+def _search(rows: DataFrame, points: DataFrame, comps: DataFrame, refuted: DataFrame, part, at_least):
+    """Pairs to verify, with the key of one block that has them: (a, b, a_n, b_n, key)."""
+    rows = rows.join(comps, "node", "left").join(refuted, "node", "left")
+    parts = F.ceil(F.col("size") / part).cast("int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "key"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select(
+        "key", "node", F.coalesce("comp", "node").alias("comp"), "refuted", "part",
+        F.least("part", "other").alias("low"),
+        F.greatest("part", "other").alias("high"),
+    )
+    rows = rows.join(points.select("node", *POINT, "fine"), "node")
+    found = rows.groupBy("key", "low", "high").applyInArrow(
+        lambda table: _search_block(table, at_least), "a long, b long, a_n long, b_n long, key long"
+    )
+    return found.groupBy("a", "b", "a_n", "b_n").agg(F.collect_set("key").alias("keys"))
+
+
+def _connected(comps: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """comps with the components that edges (a, b) join made one."""
+    joined = components(edges, scratch, f"{name}-edges")
+    old = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    moved = comps.join(old, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    new = joined.join(comps, "node", "left_anti")
+    return scratch.keep(moved.unionByName(new), name)
 
 
 def jaccard_groups(
@@ -313,16 +403,17 @@ def jaccard_groups(
     profiles = scratch.keep(profiles, "profiles")
 
     # Blocks: rare shingles of at least two different sets.
-    rare = profiles.where("doc_id is not null").select("node", F.explode("rare").alias("key"))
-    met = rare.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-    met = met.where("hub <> last").select("key", "hub")
-    shared = scratch.keep(rare.join(met, "key").distinct(), "shared")
+    rare = profiles.select("node", F.explode("rare").alias("key"))
+    same = Window.partitionBy("key")
+    met = rare.withColumn("hub", F.min("node").over(same)).withColumn("last", F.max("node").over(same))
+    met = met.where("hub <> last").select("key", "node", "hub").distinct()
+    shared = scratch.keep(met, "shared")
 
     # The points: one document stands for each set that has company.
     needed = shared.select("node").distinct()
     points = profiles.where("doc_id is not null").join(needed, "node", "left_semi")
     points = points.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in POINT]
+        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in (*POINT, "fine")]
     )
     points = scratch.keep(points, "points")
     own = scratch.keep(profiles.select("doc_id", "n", "node"), "own")
@@ -354,34 +445,51 @@ def jaccard_groups(
     )
     block = block.where("c0 <> c1").groupBy("who", "size", "a", "b").agg(F.min("key").alias("key"))
     block = scratch.keep(block, "block")
-    pairs = block.where("size = 2").select("a", "b")
-    rows = apart.join(block.where("size > 2").select("key", "size"), "key")
-    parts = F.ceil(F.col("size") / part).cast("int")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "key"), parts).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select(
-        "key", "node", "comp", "part",
-        F.least("part", "other").alias("low"),
-        F.greatest("part", "other").alias("high"),
-    )
-    rows = rows.join(points.select("node", *POINT), "node")
-    found = rows.groupBy("key", "low", "high").applyInArrow(
-        lambda table: _search_block(table, at_least), "a long, b long"
-    )
-    found = scratch.keep(pairs.union(found).distinct(), "found")
-    found = scratch.keep(_bounded(found, points, at_least), "may")
-    others = _nodes(found).join(wanted.select("node"), "node", "left_anti")
-    others = scratch.keep(stand.join(others, "node"), "others")
-    members = members.union(scratch.keep(_members(texts, others, width), "members-2"))
-    # One pair of any two components first, which often joins them; then all that are left.
-    for turn in range(1, ROUNDS + 1):
-        left = _still_apart(found, comps)
-        if turn < ROUNDS:
-            left = left.groupBy("low", "high").agg(F.min(F.struct("a", "b", "a_n", "b_n")).alias("p"))
-            left = left.select("p.*")
-        more = scratch.keep(_verified(left, members, at_least), f"links-{turn}")
-        links = links.union(more)
-        comps = components(links, scratch, f"comps-{turn}")
+    pairs = _bounded(block.where("size = 2").select("a", "b"), points, at_least)
+    none_yet = F.array().cast("array<long>").alias("keys")
+    rows = apart.join(block.where("size > 2").select("key", "size"), "key").select("key", "node", "size")
+    rows = scratch.keep(rows, "rows")
+    no_pairs = scratch.spark.createDataFrame([], "node long, refuted array<long>")
+    found = _search(rows, points, comps, no_pairs, part, at_least)
+    tried, turn, search, last = None, 0, 0, 0
+    while True:
+        # Of any two components a pair is tried, then four, and so on till none is left.
+        found = found if search else found.unionByName(pairs.select("*", none_yet))
+        found = scratch.keep(found, f"found-{search}")
+        width_now = 1
+        while True:
+            turn += 1
+            left = _still_apart(found, comps)
+            if tried is not None:
+                left = left.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            nth = Window.partitionBy("low", "high").orderBy("a", "b")
+            left = left.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= width_now)
+            left = scratch.keep(left.drop("nth"), f"left-{turn}")
+            if left.isEmpty():
+                break
+            width_now *= 4
+            # Sets are read from their documents as pairs ask for them.
+            others = _nodes(left).join(wanted.select("node"), "node", "left_anti")
+            others = scratch.keep(stand.join(others, "node"), f"others-{turn}")
+            wanted = wanted.unionByName(others)
+            members = members.union(scratch.keep(_members(texts, others, width), f"members-{turn}"))
+            links = scratch.keep(_verified(left, members, at_least), f"links-{turn}")
+            edges = left.join(links, ["a", "b"]).select(F.col("low").alias("a"), F.col("high").alias("b"))
+            comps, last = _connected(comps, edges.distinct(), scratch, f"comps-{turn}"), turn
+            now = left.select("a", "b", "a_n", "b_n")
+            tried = now if tried is None else tried.union(now)
+        # Pairs that were refuted, and have not met otherwise, may have hidden others.
+        if tried is None:
+            break
+        wrong = _still_apart(tried, comps).select("a", "b")
+        again = found.join(wrong, ["a", "b"]).select(F.explode("keys").alias("key")).distinct()
+        again = scratch.keep(again, f"again-{search}")
+        if again.isEmpty():
+            break
+        search += 1
+        both = wrong.union(wrong.select("b", "a"))
+        refuted = both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refuted"))
+        found = _search(rows.join(again, "key"), points, comps, refuted, part, at_least)
 
     links_at_all = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
     has = own.where(links_at_all).join(comps, "node", "left")
@@ -390,8 +498,10 @@ def jaccard_groups(
     has = has.join(least, "class_key")
     none = own.where(~links_at_all)
     scratch.drop(
-        "shared", "points", "star", "wanted", "members", "apart", "block", "found", "may", "others",
-        "members-2", *[f"links-{turn}" for turn in range(ROUNDS + 1)],
+        "shared", "points", "star", "wanted", "members", "apart", "block", "rows", "links-0",
+        *[f"{name}-{i}" for name in ("found", "again") for i in range(search + 1)],
+        *[f"{name}-{i}" for name in ("left", "others", "members", "links") for i in range(1, turn + 1)],
+        *[f"comps-{i}" for i in range(1, last)],
     )
     return has.select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "class_key"

@@ -160,6 +160,9 @@ def test_counts_beyond_a_byte_lose_no_pair(spark):
             "counts": pa.array([r[2] for r in rows], pa.list_(pa.int8())),
             "beyond": pa.array([r[3] for r in rows], pa.int64()),
             **{c: pa.array([0] * len(sets), pa.int32()) for c in ("part", "low", "high")},
+            "fine": pa.array([np.sort(s.astype(np.uint16)).view(np.int16) for s in sets], pa.list_(pa.int16())),
+            "refuted": pa.array([None] * len(sets), pa.list_(pa.int64())),
+            "key": pa.array([7] * len(sets), pa.int64()),
         }
     )
     similar = {
@@ -170,7 +173,25 @@ def test_counts_beyond_a_byte_lose_no_pair(spark):
     }
     found = jaccard_join._search_block(table, jaccard_join.AT_LEAST)
     pairs = [*zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)]
-    assert similar <= set(pairs) and len(similar) > 100
+    # A tree: it connects whatever similar pairs connect, with fewer pairs than points.
+    at = list(range(len(sets)))
+    for i, j in pairs:
+        assert at[i] != at[j]
+        at = [at[i] if k == at[j] else k for k in at]
+    assert all(at[i] == at[j] for i, j in similar) and len(similar) > 100
+    # Refuted pairs are given no more, and others take their place.
+    refuted = defaultdict(list)
+    for i, j in pairs:
+        refuted[i].append(j)
+        refuted[j].append(i)
+    table = table.set_column(
+        table.column_names.index("refuted"),
+        "refuted",
+        pa.array([refuted[i] for i in range(len(sets))], pa.list_(pa.int64())),
+    )
+    more = jaccard_join._search_block(table, jaccard_join.AT_LEAST)
+    more = {*zip(more["a"].to_pylist(), more["b"].to_pylist(), strict=True)}
+    assert more and not more & set(pairs)
     frame = spark.createDataFrame(sorted(similar), "a long, b long")
     kept = jaccard_join._bounded(frame, points, jaccard_join.AT_LEAST)
     assert {(r["a"], r["b"]) for r in kept.collect()} == similar
@@ -192,9 +213,26 @@ def test_block_search_folds_as_often_as_sizes_need():
             "node": pa.array([10, 11]), "comp": pa.array([10, 11]), "part": pa.array([0, 0]),
             "low": pa.array([0, 0]), "high": pa.array([0, 0]), "n": pa.array([210, 513]),
             "beyond": pa.array([0, 0]), "counts": pa.array(counts, pa.list_(pa.int8())),
+            "fine": pa.array([list(range(210)), list(range(513))], pa.list_(pa.int16())),
+            "refuted": pa.array([None, []], pa.list_(pa.int64())), "key": pa.array([3, 3]),
         }
     )
-    assert jaccard_join._search_block(table, (15, 100)).to_pylist() == [{"a": 10, "b": 11}]
+    found = jaccard_join._search_block(table, (15, 100)).to_pylist()
+    assert found == [{"a": 10, "b": 11, "a_n": 210, "b_n": 513, "key": 3}]
+
+
+def test_refuted_pairs_hide_no_others(spark):
+    """Pairs one shingle below the threshold, which 2^16 groups do not tell from similar ones."""
+    base = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(14):  # each has other words in a place of its own; 333 lost shingles still link
+        words, own = list(base), 158 + i % 9
+        words[i * 200 + 20 : i * 200 + 20 + own] = [f"x{i}-{k}" for k in range(own)]
+        rows.append((i, " ".join(words)))
+    rows += [(50 + i, text.replace("w", "v")) for i, text in rows[6:9]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.jaccard_groups(frame, rarity_bits=3).collect()
+    assert sorted(((r[0], r[1], r[2]) for r in found), key=str) == brute_groups(rows)
 
 
 def test_one_of_each_keeps_bare_rows_and_ones_without_id(odd):
