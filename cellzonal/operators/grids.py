@@ -13,8 +13,9 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellzonal.functions import geometry as geo, grid, h3
-from cellzonal.operators.polyfill import geometry_column, polyfill, touched_cells
+from cellzonal.functions import grid, h3
+from cellzonal.operators.exact import spatial_join
+from cellzonal.operators.polyfill import polyfill
 
 
 class Grid(Protocol):
@@ -61,30 +62,12 @@ class DictionaryGrid:
     def polyfill(self, zones: DataFrame, level: int, keep: Sequence[str] = ("id",)) -> DataFrame:
         """Dictionary cells whose centre lies in a zone.
 
-        Centres and zones meet on native-grid buckets. A bucket no edge touches
-        is wholly inside, so only centres near an outline need the point test. Point
-        features give no cell, as a dictionary tells no cell's exact extent.
+        Centres and zones meet on native-grid buckets, where a centre meets the edges of its
+        bucket only. Point features give no cell, as a dictionary tells no cell's exact extent.
         """
-        zones = zones.drop("point")
-        r = self.bucket_level
-        bucket = f"h{r}"
-        centres = self.dictionary.select(
-            F.col("cell"), "lng", "lat", grid.cell_at("lng", "lat", r).alias(bucket)
-        )
-        touched = touched_cells(zones, r, keep)
-        inside = polyfill(zones, r, keep).select(bucket, *keep)
-        inner = inside.join(touched, [bucket, *keep], "left_anti")
-        whole = centres.join(inner, bucket).select("cell", *keep)
-
-        shapes = zones.select(*keep, F.col(geometry_column(zones)).alias("_geometry"))
-        near = (
-            centres.join(touched, bucket)
-            .join(shapes, list(keep))
-            .where(geo.contains("_geometry", "lng", "lat"))
-            .select("cell", *keep)
-        )
-        # Buckets keep the two branches apart; a zone listed twice may repeat a cell.
-        cells = whole.unionByName(near).distinct()
+        centres = self.dictionary.select(F.col("cell").alias("_cell"), "lng", "lat")
+        met = spatial_join(centres, zones, "lng", "lat", keep, self.bucket_level)
+        cells = met.select(F.col("_cell").alias("cell"), *keep).distinct()
         if level == 0:
             return cells.select(F.col("cell").alias("h0"), *keep)
         return cells.select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.functions.grid import ancestor, finest_hex_column, hex_columns, level_of
 from cellzonal.operators.grids import NATIVE, Grid
-from cellzonal.operators.polyfill import BROADCAST_CELLS
+from cellzonal.operators.polyfill import BROADCAST_CELLS, blocks_from
 
 
 def broadcast_level(level: int, grid: Grid = NATIVE) -> int:
@@ -34,11 +34,13 @@ def area_keys(
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of a join of ``h{level}`` rows with an area, and the join key.
 
-    A compact area is met by each row's ancestors; at most one per zone is there.
+    A compact area is met by each row's ancestors from the level on that may be broadcast, its
+    coarser blocks being cut; at most one per zone is there.
     """
     if not is_compact(aoi):
         return cells, aoi, [f"h{level}"]
-    levels = range(broadcast_level(level, grid), level + 1)
+    coarsest = broadcast_level(level, grid)
+    aoi, levels = blocks_from(aoi, coarsest), range(coarsest, level + 1)
     lines = F.array(*[grid.parent(f"h{level}", level, k) for k in levels])
     return (
         cells.withColumn("_key", F.explode(lines)),
@@ -56,7 +58,7 @@ def prune_to_cells(facts: DataFrame, aoi: DataFrame, level: int, grid: Grid = NA
     cell = f"h{level}"
     coarse = broadcast_level(level, grid)
     if is_compact(aoi):
-        above = ancestor("cell", coarse)
+        aoi, above = blocks_from(aoi, coarse), ancestor("cell", coarse)
     else:
         above = grid.parent(cell, level, coarse)
     cover = aoi.select(above.alias("_cover")).distinct()

@@ -109,8 +109,8 @@ def polyfill(zones: DataFrame, level: int, keep: Sequence[str] = ("id",)) -> Dat
     points = point_cells(zones, level, keep)
     if points is None:
         return area
-    places = zones.sparkSession.sql(f"{named}{{points}}", points=points)
-    return area.unionByName(places).distinct()
+    runs = scanline_runs(zones, level, keep)
+    return area.unionByName(zones.sparkSession.sql(f"{named}{{points}}", points=_outside(points, runs, keep)))
 
 
 def point_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame | None:
@@ -122,14 +122,17 @@ def point_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame
     return places.select(grid.cell_at("point.x", "point.y", level).alias("_cell"), *ids)
 
 
-def touched_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame:
-    """Native cells that an outline of a zone passes through, one row each."""
+def edge_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame:
+    """Edges ``keep..., _polygon, _edge, x1, y1, x2, y2`` with each native cell they pass through.
+
+    ``_polygon`` tells a zone's parts apart. A cell that an edge only just misses may be there.
+    """
     ids = [f"`{c}`" for c in keep]
     shape = geometry_column(zones)
     edges = (
         dump_parts(zones.select(*ids, shape), shape)
-        .selectExpr(*ids, f"explode({geo.edges_sql('rings')}) as _e")
-        .selectExpr(*ids, "_e.*")
+        .selectExpr(*ids, "xxhash64(rings) as _polygon", f"posexplode({geo.edges_sql('rings')}) as (_edge, _e)")
+        .selectExpr(*ids, "_polygon", "_edge", "_e.*")
     )
 
     def row(y: str) -> str:
@@ -141,25 +144,46 @@ def touched_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFram
     def x_at(y: str) -> str:
         return f"greatest(least({geo.crossing_sql(y)}, greatest(x1, x2)), least(x1, x2))"
 
-    by_row = edges.selectExpr(
-        "*", f"explode(sequence({row('least(y1, y2)')}, {row('greatest(y1, y2)')})) as _y"
-    )
+    margin = "1e-9D"
+    low, high = row(f"least(y1, y2) - {margin}"), row(f"greatest(y1, y2) + {margin}")
+    by_row = edges.selectExpr("*", f"explode(sequence({low}, {high})) as _y")
     # Part of the edge within the row; a level edge is there in full length.
     width = f"{grid.BASE_DEGREES}D / {float(grid.splits(level))}D"
-    south, north = f"(_y * {width} - 90D)", f"((_y + 1) * {width} - 90D)"
+    south, north = f"(_y * {width} - 90D - {margin})", f"((_y + 1) * {width} - 90D + {margin})"
+
+    def inside(y: str) -> str:
+        return f"greatest(least({y}, greatest(y1, y2)), least(y1, y2))"
+
     spans = by_row.selectExpr(
-        *ids,
-        "_y",
-        f"if(y1 = y2, x1, {x_at(f'greatest({south}, least(y1, y2))')}) as a",
-        f"if(y1 = y2, x2, {x_at(f'least({north}, greatest(y1, y2))')}) as b",
-    )
-    margin = "1e-9D"
-    left, right = column(f"least(a, b) - {margin}"), column(f"greatest(a, b) + {margin}")
-    return (
-        spans.selectExpr(*ids, "_y", f"explode(sequence({left}, {right})) as _x")
-        .select(grid.pack(level, "_x", "_y").alias(f"h{level}"), *ids)
-        .distinct()
+        "*",
+        f"if(y1 = y2, x1, {x_at(inside(south))}) as _a",
+        f"if(y1 = y2, x2, {x_at(inside(north))}) as _b",
     )
+    left, right = column(f"least(_a, _b) - {margin}"), column(f"greatest(_a, _b) + {margin}")
+    placed = spans.selectExpr("*", f"explode(sequence({left}, {right})) as _x")
+    return placed.select(
+        *ids, "_polygon", "_edge", "x1", "y1", "x2", "y2",
+        grid.pack(level, "_x", "_y").alias(f"h{level}"),
+    )
+
+
+def _outside(points: DataFrame, runs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Different cells of points that no run of the same zone covers; runs are not exploded."""
+    key = "".join(f"`{c}`, " for c in keep)
+    rows = points.distinct().selectExpr(
+        *[f"`{c}`" for c in keep], f"{grid.y_sql('_cell')} as y", f"{grid.x_sql('_cell')} as x0",
+        "cast(null as bigint) as x1", "_cell",
+    )
+    rows = rows.unionByName(runs, allowMissingColumns=True)
+    order = f"(partition by {key} y order by x0, x1 desc rows between unbounded preceding and current row)"
+    seen = rows.selectExpr("*", f"max(x1) over {order} as _covered")
+    free = seen.where("_cell is not null and (_covered is null or _covered < x0)")
+    return free.select("_cell", *[F.col(f"`{c}`") for c in keep])
+
+
+def touched_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame:
+    """Native cells that an outline of a zone passes through, one row each."""
+    return edge_cells(zones, level, keep).select(f"h{level}", *[f"`{c}`" for c in keep]).distinct()
 
 
 def compact_fill(
@@ -174,11 +198,8 @@ def compact_fill(
     Rows ``cell, keep...`` of levels ``start .. level``; no two of one zone
     overlap. Only cells that an outline passes through are looked at again at a
     finer level, so the result grows with the outline of a zone, not its area.
-    Ids must not be null. Joins look for blocks from ``BROADCAST_LEVEL`` on, so a coarser
-    ``start`` is an error.
+    Ids must not be null.
     """
-    if start < BROADCAST_LEVEL:
-        raise ValueError(f"start must be at least {BROADCAST_LEVEL}, got {start}")
     points, zones = point_cells(zones, level, keep), zones.drop("point")
     levels = [*range(min(start, level), level, step), level]
     result, outline, above = None, None, None
@@ -202,14 +223,27 @@ def compact_fill(
     return _with_points(result, points.withColumnRenamed("_cell", "cell").distinct(), level, keep)
 
 
+def blocks_from(area: DataFrame, coarsest: int) -> DataFrame:
+    """A compact area without blocks coarser than a level: these are cut into its cells.
+
+    At a level that may be broadcast, a zone has no more of them than its whole grid.
+    """
+    x, y = grid.x_sql("cell"), grid.y_sql("cell")
+    side = f"cast(pow(3, greatest({coarsest} - shiftright(cell, 56), 0)) as bigint)"
+    row = f"transform(sequence(0L, {side} - 1), _i -> {grid.pack_sql(coarsest, f'{x} * {side} + _i', f'{y} * {side} + _j')})"
+    cut = f"flatten(transform(sequence(0L, {side} - 1), _j -> {row}))"
+    own = F.expr(f"if(shiftright(cell, 56) < {coarsest}, {cut}, array(cell))")
+    rest = [F.col(f"`{c}`") for c in area.columns if c != "cell"]
+    return area.select(F.explode(own).alias("cell"), *rest)
+
+
 def _with_points(blocks: DataFrame, points: DataFrame, level: int, keep: Sequence[str]) -> DataFrame:
     """Blocks and those cells of points that lie in no block of the same zone."""
     coarsest = min(BROADCAST_LEVEL, level)
     lines = [grid.parent("cell", level, k) for k in range(coarsest, level + 1)]
     above = points.withColumn("_above", F.explode(F.array(*lines)))
-    within = above.join(
-        blocks.withColumnRenamed("cell", "_above"), ["_above", *keep], "left_semi"
-    ).select("cell", *keep)
+    met = blocks_from(blocks, coarsest).withColumnRenamed("cell", "_above")
+    within = above.join(met, ["_above", *keep], "left_semi").select("cell", *keep)
     return blocks.unionByName(points.join(within, ["cell", *keep], "left_anti").select("cell", *keep))
 
 

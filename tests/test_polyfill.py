@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellzonal.functions import geometry as geo, grid
+from cellzonal.operators.exact import spatial_join
 from cellzonal.operators.grids import DictionaryGrid
 from cellzonal.operators.polyfill import (
     compact_fill,
@@ -12,6 +13,7 @@ from cellzonal.operators.polyfill import (
     polyfill_retrying,
     touched_cells,
 )
+from cellzonal.plans.richness import zonal_richness
 from tests.helpers import brute_cells, inside, pack, rows, square, square_zone, zones
 
 
@@ -196,7 +198,73 @@ def test_points_of_features_give_the_cell_that_holds_them(spark):
     assert {(r["cell"], r["id"]) for r in retried} == wanted
 
 
-def test_blocks_coarser_than_joins_look_for_are_an_error(spark):
-    zones = spark.sql("select 1 as id, cast(null as " + geo.GEOMETRY_TYPE + ") as geometry")
-    with pytest.raises(ValueError, match="start"):
-        compact_fill(zones, 6, start=2)
+def test_joins_meet_blocks_of_any_level(spark):
+    """A compact area from level 0 on gives the rows of the plain one, points' cells included."""
+    df = zones(spark, [("z", square_zone(-61.0, -31.0, 61.0, 31.0)), ("s", square_zone(3.1, 4.1, 9.3, 8.2))])
+    df = df.withColumn("point", F.expr("named_struct('x', if(id = 's', 100.5D, 5.5D), 'y', 5.5D)"))
+    area = compact_fill(df, 6, start=0, step=3)
+    assert {r[0] for r in area.selectExpr("shiftright(cell, 56)").distinct().collect()} >= {0, 3, 6}
+    spots = spark.range(4000).selectExpr(
+        "id as taxonkey", "(id * 7919) % 36000 / 100 - 180 as x", "(id * 6101) % 18000 / 100 - 90 as y"
+    )
+    facts = spots.select("taxonkey", grid.cell_at("x", "y", 6).alias("h6"))
+    facts = facts.unionByName(facts.limit(1).select("taxonkey", grid.cell_at("100.5D", "5.5D", 6).alias("h6")))
+    for mode in ("occupancy", "species"):
+        got = zonal_richness(facts, area, 6, mode=mode).select("id", "n").collect()
+        wanted = zonal_richness(facts, polyfill(df, 6), 6, mode=mode).select("id", "n").collect()
+        assert {tuple(r) for r in got} == {tuple(r) for r in wanted} and len(got) == 2
+
+
+# -- exact points in polygons ------------------------------------------------------------
+
+
+def exact(spark, places, shapes, level):
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "n long, lng double, lat double")
+    found = spatial_join(points, zones(spark, shapes), level=level)
+    return sorted((r["n"], r["id"]) for r in found.collect())
+
+
+def holds(parts, x, y):
+    return any(inside(part, x, y) for part in parts)
+
+
+@pytest.mark.parametrize("level", [0, 2, 4])
+def test_exact_join_equals_a_test_of_every_edge(spark, level):
+    rng = random.Random(level)
+    shapes = [
+        (f"z{i}", [[star(rng, rng.uniform(-150, 150), rng.uniform(-60, 60), 25, 11)]]) for i in range(8)
+    ]
+    outer, hole = square(-60.0, -30.0, 60.0, 30.0), square(-30.0, -20.0, 20.2, 20.2)
+    shapes += [("hole", [[outer, hole]]), ("two", [[outer], [square(50.0, 0.0, 99.9, 20.0)]])]
+    shapes += [("small", [[star(rng, 10.0, 10.0, 0.01, 7)]]), ("edge", [[square(170.0, 80.0, 180.0, 90.0)]])]
+    places = [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(1500)]
+    places += [(10 + rng.uniform(-0.01, 0.01), 10 + rng.uniform(-0.01, 0.01)) for _ in range(100)]
+    # On corners of buckets, on vertices, on outlines, and at the ends of the world.
+    width = 30 / 3**level
+    places += [(rng.randrange(-6, 6) * width, rng.randrange(-3, 3) * width) for _ in range(100)]
+    places += [p for _, parts in shapes for part in parts for ring in part for p in ring]
+    places += [(x, y) for x in (-60.0, 60.0, -30.0, 20.2, 5.0) for y in (-30.0, 30.0, 20.2, -20.0, 1.0)]
+    places += [(180.0, 85.0), (-180.0, 85.0), (175.0, 90.0), (0.0, -90.0), (185.0, 85.0)]
+    got = exact(spark, places, shapes, level)
+    wanted = sorted((i, name) for i, p in enumerate(places) for name, parts in shapes if holds(parts, *p))
+    assert got == wanted and len(got) > 200
+
+
+def test_exact_join_of_odd_rows(spark):
+    box = [[square(0.0, 0.0, 10.0, 10.0)]]
+    shapes = [("a", box), ("a", box), ("b", [[square(0.0, 0.0, 5.0, 5.0)], [square(4.0, 4.0, 8.0, 8.0)]])]
+    shapes += [("n", None), ("e", []), (None, box)]
+    places = [(4.5, 4.5), (4.5, 4.5), (7.0, 7.0), (None, 1.0), (float("nan"), 1.0), (50.0, 50.0)]
+    got = exact(spark, places, shapes, 3)
+    assert got == [(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "a"), (2, "b")]
+    clash = spark.createDataFrame([(1, 2.0, 3.0)], "id long, lng double, lat double")
+    with pytest.raises(ValueError, match="rename"):
+        spatial_join(clash, zones(spark, shapes))
+
+
+def test_no_shape_is_shuffled_by_the_exact_join(spark):
+    points = spark.createDataFrame([(1, 2.0, 3.0)], "n long, lng double, lat double")
+    text = spatial_join(points, zones(spark, [("a", [[square(0.0, 0.0, 9.0, 9.0)]])]))
+    text = text._jdf.queryExecution().optimizedPlan().toString()
+    below = [line for line in text.splitlines() if "Join " in line or "Aggregate" in line or "Window" in line]
+    assert below and not any("geometry" in line or "rings" in line for line in below)
