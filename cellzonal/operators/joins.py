@@ -6,7 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from cellzonal.functions.grid import ancestor, finest_hex_column, hex_columns, level_of
+from cellzonal.functions.grid import (
+    ancestor,
+    finest_hex_column,
+    hex_columns,
+    level_of,
+    pack_sql,
+    x_sql,
+    y_sql,
+)
 from cellzonal.operators.grids import NATIVE, Grid
 from cellzonal.operators.polyfill import BROADCAST_CELLS, blocks_from
 
@@ -29,6 +37,54 @@ def is_compact(aoi: DataFrame) -> bool:
     return "cell" in aoi.columns
 
 
+#: Runs are cut at the columns of this level, so that a row's runs meet near cells only.
+RUN_BLOCK_LEVEL = 2
+
+
+def is_runs(aoi: DataFrame) -> bool:
+    """Whether an area is a ``run_area``, with runs of columns for rows of one level."""
+    return {"x0", "x1"} <= set(aoi.columns)
+
+
+def _run_row(aoi: DataFrame, level: int, grid: Grid) -> str:
+    """The row column of an area of runs, which are of the native grid and one level."""
+    if grid is not NATIVE:
+        raise ValueError("runs are of the native grid")
+    require_columns(aoi, f"r{level}")
+    return f"r{level}"
+
+
+def meet(
+    cells: DataFrame,
+    aoi: DataFrame,
+    level: int,
+    columns: Sequence[str],
+    grid: Grid = NATIVE,
+    how: str = "inner",
+) -> DataFrame:
+    """Rows of ``h{level}`` with the given columns of an area of any kind, once per zone.
+
+    Plain areas are met by cell, compact ones by ancestors. Runs are met as intervals: rows
+    and blocks of columns are equal, and the cell lies between a run's ends; no cell of
+    the area and no ancestor of a row is ever written out.
+    """
+    if not is_runs(aoi):
+        rows, area, keys = area_keys(cells, aoi, level, grid)
+        return rows.join(area.select(*keys, *columns), keys, how).drop("_key")
+    row, cell = _run_row(aoi, level, grid), f"h{level}"
+    side = 3 ** max(level - RUN_BLOCK_LEVEL, 0)
+    block = F.expr(f"explode(sequence(x0 div {side}L, x1 div {side}L))")
+    runs = aoi.select(
+        F.col(row).alias("_r"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"),
+        block.alias("_b"), *columns,
+    )
+    placed = cells.withColumn("_row", F.expr(y_sql(cell))).withColumn("_x", F.expr(x_sql(cell)))
+    placed = placed.withColumn("_block", F.expr(f"_x div {side}L"))
+    within = F.col("_x").between(F.col("_x0"), F.col("_x1"))
+    met = placed.join(runs, (F.col("_row") == F.col("_r")) & (F.col("_block") == F.col("_b")) & within, how)
+    return met.drop("_row", "_x", "_block", "_r", "_x0", "_x1", "_b")
+
+
 def area_keys(
     cells: DataFrame, aoi: DataFrame, level: int, grid: Grid = NATIVE
 ) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -57,7 +113,13 @@ def prune_to_cells(facts: DataFrame, aoi: DataFrame, level: int, grid: Grid = NA
     """
     cell = f"h{level}"
     coarse = broadcast_level(level, grid)
-    if is_compact(aoi):
+    if is_runs(aoi):
+        side = f"{3 ** (level - coarse)}L"
+        row = _run_row(aoi, level, grid)
+        wide = aoi.selectExpr(*[f"{c} div {side} as {n}" for c, n in ((row, "_y"), ("x0", "_a"), ("x1", "_b"))])
+        aoi = wide.distinct().selectExpr("_y", "explode(sequence(_a, _b)) as _x")
+        above = F.expr(pack_sql(coarse, "_x", "_y"))
+    elif is_compact(aoi):
         aoi, above = blocks_from(aoi, coarse), ancestor("cell", coarse)
     else:
         above = grid.parent(cell, level, coarse)
@@ -94,6 +156,10 @@ def cell_join(facts: DataFrame, aoi: DataFrame, level: int, grid: Grid = NATIVE)
     """
     cell = f"h{level}"
     require_columns(facts, cell)
+    if is_runs(aoi):
+        ids = [c for c in aoi.columns if c not in (f"r{level}", "x0", "x1")]
+        no_clash(facts, aoi.select(*ids), [])
+        return meet(prune_to_cells(facts, aoi, level, grid), aoi, level, ids, grid)
     require_columns(aoi, cell)
     no_clash(facts, aoi, [cell])
     zones = aoi.drop(*[c for c in aoi.columns if c != cell and c in facts.columns])

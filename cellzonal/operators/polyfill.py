@@ -113,6 +113,23 @@ def polyfill(zones: DataFrame, level: int, keep: Sequence[str] = ("id",)) -> Dat
     return area.unionByName(zones.sparkSession.sql(f"{named}{{points}}", points=_outside(points, runs, keep)))
 
 
+def run_area(zones: DataFrame, level: int, keep: Sequence[str] = ("id",)) -> DataFrame:
+    """The cells of ``polyfill`` as runs ``r{level}, x0, x1, keep...`` of a row's columns.
+
+    A zone has about one run in each row it spans, whatever its width, and its runs never
+    overlap. Ids must not be null.
+    """
+    runs = scanline_runs(zones, level, keep)
+    points = point_cells(zones, level, keep)
+    if points is not None:
+        free = _outside(points, runs, keep)
+        x = F.expr(grid.x_sql("_cell"))
+        ids = [F.col(f"`{c}`") for c in keep]
+        free = free.select(F.expr(grid.y_sql("_cell")).alias("y"), x.alias("x0"), x.alias("x1"), *ids)
+        runs = runs.unionByName(free)
+    return runs.select(F.col("y").alias(f"r{level}"), "x0", "x1", *[F.col(f"`{c}`") for c in keep])
+
+
 def point_cells(zones: DataFrame, level: int, keep: Sequence[str]) -> DataFrame | None:
     """Rows ``_cell, keep...`` of the cells that hold a feature's ``point``, if any may."""
     if dict(zones.dtypes).get("point") != geo.POINT_TYPE:

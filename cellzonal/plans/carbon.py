@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.operators.grids import NATIVE, Grid
 from cellzonal.operators.joins import (
-    area_keys,
     attach_geometry,
     broadcast_level,
     is_compact,
+    meet,
     prune_to_cells,
     require_columns,
 )
@@ -40,8 +40,7 @@ def hex_carbon(
     cell = f"h{level}"
     per_cell = sums_per_cell(facts, aoi, level, value, grid)
     if broadcast_level(level, grid) < level:
-        rows, area, keys = area_keys(per_cell, aoi, level, grid)
-        per_cell = rows.join(area, keys, "left_semi")
+        per_cell = meet(per_cell, aoi, level, [], grid, "left_semi")
         if is_compact(aoi):
             # Zones may hold the same cell in blocks of different levels.
             per_cell = per_cell.dropDuplicates([cell])
@@ -65,9 +64,8 @@ def zonal_carbon(
     """Unweighted mean of all rows in a zone: ``id, carbon, value[, geom]``."""
     require_columns(aoi, id_column)
     per_cell = sums_per_cell(facts, aoi, level, value, grid)
-    rows, area, keys = area_keys(per_cell, aoi, level, grid)
     means = (
-        rows.join(area.select(*keys, id_column), keys)
+        meet(per_cell, aoi, level, [id_column], grid)
         .groupBy(id_column)
         .agg(F.try_divide(F.sum("_sum"), F.sum("_count")).alias(value))
     )

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.operators.grids import NATIVE, Grid
 from cellzonal.operators.joins import (
-    area_keys,
     attach_geometry,
     is_compact,
-    join_few,
+    is_runs,
+    meet,
     prune_to_cells,
     require_columns,
 )
@@ -25,7 +25,9 @@ def taxa_per_cell(seen: DataFrame, cell: str) -> DataFrame:
 
 
 def zones_per_area_cell(aoi: DataFrame, cell: str) -> DataFrame:
-    """How many zones hold each cell of an area."""
+    """How many zones hold each cell of an area; a run counts for itself."""
+    if is_runs(aoi):
+        return aoi.withColumn("_zones", F.lit(1))
     key = "cell" if is_compact(aoi) else cell
     return aoi.groupBy(key).agg(F.count(F.lit(1)).alias("_zones"))
 
@@ -64,13 +66,11 @@ def hex_richness(
     """
     cell = f"h{level}"
     seen = distinct_sightings(occurrences, aoi, level, taxa, (taxon,), grid)
-    per_cell, zones_per_cell, keys = area_keys(
-        taxa_per_cell(seen, cell), zones_per_area_cell(aoi, cell), level, grid
+    per_cell = meet(
+        taxa_per_cell(seen, cell), zones_per_area_cell(aoi, cell), level, ["_zones"], grid
     )
-    counts = per_cell.join(zones_per_cell, keys).select(
-        F.col(cell).alias("h3id"), (F.col("n") * F.col("_zones")).alias("n")
-    )
-    if is_compact(aoi):
+    counts = per_cell.select(F.col(cell).alias("h3id"), (F.col("n") * F.col("_zones")).alias("n"))
+    if is_compact(aoi) or is_runs(aoi):
         counts = counts.groupBy("h3id").agg(F.sum("n").alias("n"))
     result = log_normalise(counts)
     return grid.with_boundary(result, "h3id", level, "geom") if geometry else result
@@ -99,14 +99,12 @@ def zonal_richness(
     cell = f"h{level}"
     seen = distinct_sightings(occurrences, aoi, level, taxa, (taxon,), grid)
     rows = taxa_per_cell(seen, cell) if mode == "occupancy" else seen
-    rows, area, keys = area_keys(rows, aoi.drop("h0") if level else aoi, level, grid)
-    area = area.select(*keys, id_column)
+    met = meet(rows, aoi.drop("h0") if level else aoi, level, [id_column], grid)
     if mode == "occupancy":
-        counts = rows.join(area, keys).groupBy(id_column).agg(F.sum("n").alias("n"))
+        counts = met.groupBy(id_column).agg(F.sum("n").alias("n"))
     else:
         counts = (
-            join_few(rows, area, keys)
-            .select(taxon, id_column)
+            met.select(taxon, id_column)
             .distinct()
             .groupBy(id_column)
             .agg(F.count(F.lit(1)).alias("n"))
@@ -131,10 +129,6 @@ def species_table(
     """
     cell = f"h{level}"
     seen = distinct_sightings(occurrences, aoi, level, taxa, (*RANKS, taxon), grid)
-    rows, zones_per_cell, keys = area_keys(seen, zones_per_area_cell(aoi, cell), level, grid)
+    met = meet(seen, zones_per_area_cell(aoi, cell), level, ["_zones"], grid)
     ranks = [F.col(f"`{r}`") for r in RANKS]
-    return (
-        join_few(rows, zones_per_cell, keys)
-        .groupBy(*ranks, taxon)
-        .agg(F.sum("_zones").alias("n"))
-    )
+    return met.groupBy(*ranks, taxon).agg(F.sum("_zones").cast("long").alias("n"))

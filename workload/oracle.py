@@ -25,6 +25,14 @@ def up(c: str, r: int, k: int) -> str:
     return f"({k * L} + ((({c}) >> 28) & {LOW})//{d}*{R} + (({c}) & {LOW})//{d})"
 
 
+def crosses(p: str, q: str, x: str = "px", y: str = "py") -> str:
+    """1 where a ray to the east of a place meets the edge between two corners."""
+    return (
+        f"CASE WHEN ({p}y > {y}) <> ({q}y > {y}) AND "
+        f"{x} < ({q}x - {p}x)*({y} - {p}y)/({q}y - {p}y) + {p}x THEN 1 ELSE 0 END"
+    )
+
+
 def cells(corners: str, r: int, key: str = "id") -> str:
     """Rows ``(key, cell)`` by brute-force point-in-triangle tests."""
     n = 3**r
@@ -33,12 +41,6 @@ def cells(corners: str, r: int, key: str = "id") -> str:
         edge = f"{fn}(a{axis}, m{axis}, c{axis})"
         return f"least(greatest(CAST(floor(({edge} + {add})*{n}/30) AS BIGINT), 0), {last})"
 
-    def crosses(p: str, q: str) -> str:
-        return (
-            f"CASE WHEN ({p}y > py) <> ({q}y > py) AND "
-            f"px < ({q}x - {p}x)*(py - {p}y)/({q}y - {p}y) + {p}x THEN 1 ELSE 0 END"
-        )
-
     return f"""
     SELECT DISTINCT {key}, {r * L} + y*{R} + x AS cell FROM (
       SELECT *, (CAST(x AS DOUBLE) + 0.5e0)*30/{n} - 180 AS px,
@@ -58,12 +60,6 @@ def fact_cells(facts: str, corners: str, r: int, key: str = "id") -> str:
     """Rows ``(key, cell)`` of those cells of facts whose centre lies in a zone."""
     n = 3**r
 
-    def crosses(p: str, q: str) -> str:
-        return (
-            f"CASE WHEN ({p}y > py) <> ({q}y > py) AND "
-            f"px < ({q}x - {p}x)*(py - {p}y)/({q}y - {p}y) + {p}x THEN 1 ELSE 0 END"
-        )
-
     return f"""
     SELECT DISTINCT z.{key}, f.cell FROM (
       SELECT DISTINCT cell, (CAST(cell & {LOW} AS DOUBLE) + 0.5e0)*30/{n} - 180 AS px,

@@ -14,7 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cellzonal.functions import geometry as geo, grid, h3, style
 from cellzonal.operators import cache, joins, layers, publish, stats, taxa
 from cellzonal.operators.grids import DictionaryGrid
-from cellzonal.operators.polyfill import base_grid, compact_fill, polyfill, polyfill_retrying
+from cellzonal.operators.exact import spatial_join
+from cellzonal.operators.polyfill import (
+    base_grid,
+    compact_fill,
+    polyfill,
+    polyfill_retrying,
+    run_area,
+)
 from cellzonal.plans import prepare
 from cellzonal.plans.carbon import hex_carbon, zonal_carbon
 from cellzonal.plans.ranges import detail_table, range_hex_richness, range_zonal_richness
@@ -147,6 +154,16 @@ OCCURRENCES_8 = o.occurrences(8)
     "zonal_richness_children_l8",
     o.zonal_richness(CHILD_REGIONS, 8, area=o.fact_cells(OCCURRENCES_8, CHILD_REGIONS, 8)),
 )
+def _(spark, sf):
+    children = layers.child_polygons(country(spark, sf), "country_layer", t.layers(spark, sf))
+    aoi = settle(run_area(children, 8))
+    return rounded(zonal_richness(t.occurrences(spark, sf, 8), aoi, 8), "logn", "value")
+
+
+@query(
+    "zonal_richness_children_l8_compact",
+    o.zonal_richness(CHILD_REGIONS, 8, area=o.fact_cells(OCCURRENCES_8, CHILD_REGIONS, 8)),
+)
 def _(spark, sf):
     children = layers.child_polygons(country(spark, sf), "country_layer", t.layers(spark, sf))
     aoi = settle(compact_fill(children, 8))
@@ -164,7 +181,7 @@ def _(spark, sf):
     o.hex_richness(COUNTRY_SQL, 8, area=o.fact_cells(OCCURRENCES_8, COUNTRY_SQL, 8)),
 )
 def _(spark, sf):
-    aoi = settle(compact_fill(country(spark, sf), 8))
+    aoi = settle(run_area(country(spark, sf), 8))
     facts = t.occurrences(spark, sf, 8)
     return rounded(hex_richness(facts, aoi, 8, geometry=False), "logn", "value")
 
@@ -245,6 +262,64 @@ def _(spark, sf):
     return joins.cell_join(t.occurrences(spark, sf, 4), aoi, 4)
 
 
+@query(
+    "spatial_exact_join",
+    f"SELECT p.taxonkey, p.lng, p.lat, z.id FROM ({o.sql('OCCURRENCES')}) p JOIN ({o.sql('COUNTIES')}) z "
+    f"ON ({o.crosses('a', 'm', 'lng', 'lat')} + {o.crosses('m', 'c', 'lng', 'lat')} + {o.crosses('c', 'a', 'lng', 'lat')}) % 2 = 1",
+)
+def _(spark, sf):
+    found = spatial_join(t.occurrence_points(spark, sf), t.counties(spark, sf))
+    return found.select("taxonkey", "lng", "lat", "id")
+
+
+@query(
+    "exact_against_cells",
+    f"""SELECT z.id, CAST(count(*) AS BIGINT) AS by_shape,
+      CAST(count(*) FILTER (WHERE c.cell IS NOT NULL) AS BIGINT) AS by_both
+    FROM ({o.sql('OCCURRENCES')}) p JOIN ({o.sql('COUNTIES')}) z
+    ON ({o.crosses('a', 'm', 'lng', 'lat')} + {o.crosses('m', 'c', 'lng', 'lat')} + {o.crosses('c', 'a', 'lng', 'lat')}) % 2 = 1
+    LEFT JOIN ({o.cells(o.sql('COUNTIES'), 6)}) c ON c.id = z.id AND c.cell = {o.cell('p.lng', 'p.lat', 6)}
+    GROUP BY z.id""",
+)
+def _(spark, sf):
+    """How many points in a zone its cells have as well: what the cell rule gives away."""
+    zones = t.counties(spark, sf)
+    found = spatial_join(t.occurrence_points(spark, sf), zones)
+    found = found.select("id", grid.cell_at("lng", "lat", 6).alias("h6"))
+    cells = polyfill(zones, 6).select("h6", "id", F.lit(True).alias("both"))
+    return (
+        found.join(cells, ["h6", "id"], "left")
+        .groupBy("id")
+        .agg(F.count("*").alias("by_shape"), F.count("both").alias("by_both"))
+    )
+
+
+@query("run_cell_join", f"SELECT o.cell AS h6, o.taxonkey, a.id FROM ({o.occurrences(6)}) o JOIN ({o.cells(o.sql('COUNTIES'), 6)}) a ON o.cell = a.cell")
+def _(spark, sf):
+    aoi = run_area(t.counties(spark, sf), 6)
+    return joins.cell_join(t.occurrences(spark, sf, 6), aoi, 6).select("h6", "taxonkey", "id")
+
+
+@query("species_table_runs", SPECIES_SQL)
+def _(spark, sf):
+    aoi = run_area(t.overlap(spark, sf), 3)
+    return species_table(t.occurrences(spark, sf, 3, ranks=True), aoi, 3)
+
+
+@query("zonal_richness_runs", o.zonal_richness(OVERLAP, 5, "species"))
+def _(spark, sf):
+    aoi = run_area(t.overlap(spark, sf), 5)
+    found = zonal_richness(t.occurrences(spark, sf, 5), aoi, 5, mode="species")
+    return rounded(found, "logn", "value")
+
+
+@query("hex_richness_runs", o.hex_richness(OVERLAP, 4))
+def _(spark, sf):
+    aoi = run_area(t.overlap(spark, sf), 4)
+    found = hex_richness(t.occurrences(spark, sf, 4), aoi, 4, geometry=False)
+    return rounded(found, "logn", "value")
+
+
 # -- carbon ------------------------------------------------------------------------
 
 
@@ -267,10 +342,16 @@ def _(spark, sf):
 def _(spark, sf):
     raw = t.carbon_raw(spark, sf, 8)
     facts = prepare.clean_values(raw)
-    aoi = settle(compact_fill(country(spark, sf), 8))
+    aoi = settle(run_area(country(spark, sf), 8))
     return rounded_means(hex_carbon(facts, aoi, 8, geometry=False), "carbon", "value")
 
 
+@query("zonal_carbon_runs", o.mean_value(OVERLAP, CARBON_LEVEL, 5, "id"))
+def _(spark, sf):
+    aoi = run_area(t.overlap(spark, sf), 5)
+    return rounded_means(zonal_carbon(carbon(spark, sf), aoi, 5), "carbon", "value")
+
+
 @query("zonal_carbon", o.mean_value(OVERLAP, CARBON_LEVEL, 4, "id"))
 def _(spark, sf):
     aoi = polyfill(t.overlap(spark, sf), 4)
