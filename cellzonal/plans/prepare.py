@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.operators.grids import NATIVE, Grid
 from cellzonal.operators.layers import admin_level
+from cellzonal.sources.tables import bucketed_name
 
 
 def clean_values(
@@ -53,6 +54,22 @@ def write_compact(
     spread.write.mode(mode).option("maxRecordsPerFile", writer_rows).partitionBy(column).parquet(path)
 
 
+def write_bucketed(
+    df: DataFrame, path: str, column: str, buckets: int, mode: str = "errorifexists"
+) -> None:
+    """Rows dealt out by cell into sorted buckets, one file each (K3).
+
+    ``sources.tables.open_bucketed`` reads them back with no shuffle for what groups or joins
+    by that cell, so the shuffle here is the last one of these rows. A cell is in one
+    bucket: write distinct or summed rows where one cell may hold most records.
+    """
+    name = bucketed_name(path)
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    dealt = df.repartition(buckets, column).write.mode(mode).format("parquet")
+    dealt.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+
+
 def admin_layer(divisions: DataFrame, subtype: str) -> DataFrame:
     """Land areas of one level with their main name as ``primary``."""
     return admin_level(divisions, subtype).withColumn("primary", F.col("names.primary"))

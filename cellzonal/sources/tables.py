@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Sequence
 
@@ -63,6 +64,23 @@ def open_region(df: DataFrame, aoi: DataFrame, column: str = "h0") -> DataFrame:
     return df.where(F.col(column).isin(ids))
 
 
+def bucketed_name(path: str) -> str:
+    """The catalog's name for a bucketed table, which its folder determines."""
+    return f"cells_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
+def open_bucketed(spark: SparkSession, path: str, column: str, buckets: int) -> DataFrame:
+    """A table of ``prepare.write_bucketed``, of this session or another one."""
+    name = bucketed_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{c}` {kind}" for c, kind in spark.read.parquet(path).dtypes)
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{column}`) "
+            f"SORTED BY (`{column}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+    return spark.table(name)
+
+
 def columns_of(df: DataFrame) -> list[tuple[str, str]]:
     """Column names and types."""
     return df.dtypes

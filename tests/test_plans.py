@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellzonal.operators import stats
-from cellzonal.operators.polyfill import polyfill
+from cellzonal.operators.polyfill import polyfill, run_area
 from cellzonal.plans.richness import hex_richness, zonal_richness
 from tests.helpers import plan
 from workload import tables as t
@@ -32,6 +32,44 @@ def test_fill_shuffles_once(static, sf):
     assert plan(polyfill(t.counties(static, sf), 5)).count("Exchange ") == 1
 
 
+def above(text, mark):
+    """What stands above a plan's line that has the mark, nearest first, up to the first join."""
+    lines = text.splitlines()
+    at = next(i for i, line in enumerate(lines) if mark in line)
+
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-*()0123456789"))
+
+    found, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            found.append(line)
+            if "SortMergeJoin" in line or "ShuffledHashJoin" in line:
+                break
+    return found
+
+
+def test_bucketed_facts_are_never_shuffled(static, sf):
+    spark = static
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["bucketed_hex_richness"](spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    over = above(text, "Bucketed: true")
+    assert any("SortMergeJoin" in line for line in over)
+    assert any("keys=[taxonkey" in line for line in over)
+    assert not any("Exchange" in line for line in over)
+
+
+def test_runs_are_met_without_ancestors(static, sf):
+    aoi = run_area(t.counties(static, sf), 8)
+    text = plan(zonal_richness(t.occurrences(static, sf, 8), aoi, 8))
+    assert text.count("Generate explode(sequence") >= 1
+    assert "Generate explode(array" not in text and "_key" not in text
+
+
 def test_only_the_maximum_goes_to_one_task(static, sf):
     aoi = polyfill(t.regions(static, sf), 3)
     text = plan(zonal_richness(t.occurrences(static, sf, 3), aoi, 3))

@@ -11,6 +11,7 @@ from cellzonal.operators.polyfill import (
     dump_parts,
     polyfill,
     polyfill_retrying,
+    run_area,
     touched_cells,
 )
 from cellzonal.plans.richness import zonal_richness
@@ -215,6 +216,23 @@ def test_joins_meet_blocks_of_any_level(spark):
         assert {tuple(r) for r in got} == {tuple(r) for r in wanted} and len(got) == 2
 
 
+@pytest.mark.parametrize("level", [0, 2, 6])
+def test_runs_hold_the_cells_of_the_fill(spark, level):
+    rng = random.Random(level)
+    shapes = [
+        (f"z{i}", [[star(rng, rng.uniform(-120, 120), rng.uniform(-50, 50), 30, 8)]]) for i in range(4)
+    ]
+    shapes += [("two", [[square(0.0, 0.0, 70.0, 9.0)], [square(40.0, 4.0, 90.0, 20.0)]]), ("n", None)]
+    df = zones(spark, shapes)
+    df = df.withColumn("point", F.expr("if(id = 'two', named_struct('x', 150.5D, 'y', 5.5D), null)"))
+    got = [
+        (pack(level, x, r[f"r{level}"]), r["id"])
+        for r in run_area(df, level).collect()
+        for x in range(r["x0"], r["x1"] + 1)
+    ]
+    assert sorted(got, key=repr) == rows(polyfill(df, level), f"h{level}", "id")
+
+
 # -- exact points in polygons ------------------------------------------------------------
 
 

@@ -1087,6 +1087,26 @@ def _(spark, sf):
     return _scaled(zonal_richness(facts, aoi, 4))
 
 
+def _bucketed_occurrences(spark, sf):
+    """Distinct (taxon, cell) of level 5 in buckets by cell, written once for this run."""
+    folder = f"{shared_folder(spark)}/bucketed-{uuid.uuid4().hex}"
+    facts = t.occurrences(spark, sf, 5).distinct()
+    prepare.write_bucketed(facts, folder, "h5", 16)
+    return sources.open_bucketed(spark, folder, "h5", 16)
+
+
+@query("bucketed_hex_richness", o.hex_richness(OVERLAP, 5))
+def _(spark, sf):
+    aoi = polyfill(t.overlap(spark, sf), 5)
+    return _scaled(hex_richness(_bucketed_occurrences(spark, sf), aoi, 5, geometry=False))
+
+
+@query("bucketed_zonal_richness", o.zonal_richness(OVERLAP, 5))
+def _(spark, sf):
+    aoi = polyfill(t.overlap(spark, sf), 5)
+    return _scaled(zonal_richness(_bucketed_occurrences(spark, sf), aoi, 5))
+
+
 # -- cache and publishing --------------------------------------------------------------
 
 
