@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cellzonal.llm import decontamination, jaccard_join, license_scan, lm, mixing
@@ -326,9 +327,69 @@ def test_mix_takes_near_its_targets(odd, none):
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert mixing.queue(none).count() == 0 and mixing.mix(none).count() == 0
     mixed = mixing.mix(odd).collect()
-    assert [r["starts"] for r in mixed] == sorted(r["starts"] for r in mixed)
+    assert [r["finishes"] for r in mixed] == sorted(r["finishes"] for r in mixed)
     assert sum(len(WORD.findall(r["text"])) for r in mixed) == sum(r["taken"] for r in rows)
     assert all(len(WORD.findall(r["text"])) == r["words"] for r in mixed)
+    # Copies follow each other by finish time without a gap, up to the budget.
+    copies = sorted((c["position"], c["words"], c["finishes"]) for r in rows for c in r["copies"] or ())
+    assert [p for p, _, _ in copies] == [sum(w for _, w, _ in copies[:i]) for i in range(len(copies))]
+    assert [f for *_, f in copies] == sorted(f for *_, f in copies)
+    assert abs(sum(w for _, w, _ in copies) - 1.5 * sum(r["size"] for r in rows)) <= len(by)
+
+
+def brute_mix(rows, share=1.5, weights=None):
+    """Words taken of each row, by a queue that is read step by step."""
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    names = sorted({s for *_, s in rows if s is not None}) + [None]
+    weight = {s: (weights or {}).get(s, (3, 1, 2)[i % 3]) for i, s in enumerate(names)}
+    total = Counter()
+    for (*_, s), n in zip(rows, size, strict=True):
+        total[s] += n
+    left, open_sources, at = share * sum(size), {s for s in total if total[s]}, 0.0
+    while open_sources and left > 0:
+        speed = sum(weight[s] for s in open_sources)
+        dry = min(2 * total[s] / weight[s] for s in open_sources)
+        step = min(dry - at, left / speed)
+        at, left = at + step, left - step * speed
+        open_sources = {s for s in open_sources if 2 * total[s] / weight[s] > at + 1e-9}
+    return {s: min(weight[s] * at, 2 * total[s]) for s in total}
+
+
+@pytest.mark.parametrize("kind", ["one large source", "null ids", "many sources", "weights"])
+def test_mix_of_lopsided_sources(spark, kind):
+    rng = np.random.default_rng(3)
+    names = {"one large source": ["a"] * 90 + ["b", "c", None], "many sources": [f"s{i}" for i in range(60)]}
+    pool = names.get(kind, ["a", "b", None])
+    rows = []
+    for i in range(400):
+        source = pool[int(rng.integers(len(pool)))]
+        text = " ".join(["w"] * int(rng.integers(0, 30)))
+        rows.append((None if kind == "null ids" else i, text, source))
+    weights = {"a": 1.0, "b": 5.0, None: 2.5} if kind == "weights" else None
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    table = table.withColumns({c: F.lit("x") for c in ("part", "row", "size", "name", "doc", "key1", "nth")})
+    found = mixing.queue(table, weights=weights).collect()
+    targets, taken = brute_mix(rows, weights=weights), Counter()
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        assert r["taken"] <= 2 * r["size"] and abs(r["target"] - targets[r["source"]]) < 1e-6
+    assert all(abs(taken[s] - t) <= 1 for s, t in targets.items())
+    mixed = mixing.mix(table, weights=weights)
+    assert mixed.columns[:5] == ["doc_id", "text", "source", "part", "row"]
+    words = Counter()
+    for r in mixed.collect():
+        words[r["source"]] += len(WORD.findall(r["text"]))
+        assert r["part"] == r["nth"] == "x"
+    assert +words == +taken
+
+
+def test_mix_is_range_sorted_and_counts_cut_texts(spark):
+    rows = [(i, "word " * 40, "a" if i < 20 else "b", 200) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    mixed = mixing.mix(table)
+    assert "rangepartitioning(finishes" in mixed._jdf.queryExecution().executedPlan().toString()
+    cut = [r for r in mixed.collect() if r["words"] < 40]
+    assert cut and all(r["n_chars"] == len(r["text"]) for r in cut)
 
 
 # -- 5 ---------------------------------------------------------------------------------
