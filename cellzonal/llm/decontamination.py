@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cellzonal.llm.text import TERMS, blocks, small_batches, with_columns
+from cellzonal.llm.text import TERMS, blocks, put_back, set_aside, small_batches, with_columns
 
 WINDOW = 13
 #: Bytes of benchmark text that are sent to every task; more is refused.
@@ -215,8 +215,6 @@ def contaminated():
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones; all columns, and rows without words, stay."""
-    taken = [c for c in docs.columns if c in ("n_words", "n_hit", "items", "matches")]
-    if taken:
-        raise ValueError(f"rename the columns {taken}")
-    found = find_passages(docs, benchmark, window, keep_text=True)
-    return found.where(~contaminated()).select(*docs.columns)
+    given, aside = set_aside(docs, ("n_words", "n_hit", "items", "matches"))
+    found = find_passages(given, benchmark, window, keep_text=True)
+    return put_back(found.where(~contaminated()), aside, docs.columns)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cellzonal.llm.graph import components
-from cellzonal.llm.text import Scratch, blocks, set_hash, shingle_rows
+from cellzonal.llm.text import Scratch, blocks, free_name, set_hash, shingle_rows
 
 WIDTH = 5
 #: Similarity as a fraction, to be compared in whole numbers.
@@ -523,9 +523,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     marked = jaccard_groups(docs)
     kept = marked.where("n_shingles > 0 and doc_id = component_id")
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    kept_id, nth = free_name("kept_id", docs.columns), free_name("kept_nth", docs.columns)
+    kept = kept.select(F.col("doc_id").alias(kept_id)).distinct()
     bare = F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    found = docs.where(~bare).join(kept, F.col("doc_id").cast("long") == F.col("kept_id"))
-    same = Window.partitionBy("kept_id", F.md5("text")).orderBy("kept_id")
-    found = found.withColumn("kept_nth", F.row_number().over(same)).where("kept_nth = 1")
+    found = docs.where(~bare).join(kept, F.col("doc_id").cast("long") == F.col(kept_id))
+    same = Window.partitionBy(kept_id, F.md5("text")).orderBy(kept_id)
+    found = found.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)
     return found.select(*docs.columns).union(docs.where(bare))

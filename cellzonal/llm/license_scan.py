@@ -59,8 +59,13 @@ SURE = {"tag": 0.95, "notice": 0.8, "base": 0.5}
 
 
 class Verdict(NamedTuple):
+    """Licences named, whether they grant use, the normal form, and its parts under one operator."""
+
     licenses: frozenset[str]
     open: bool
+    form: str
+    parts: frozenset[str] = frozenset()
+    operator: str = ""
 
 
 def evaluate(expression: str) -> Verdict | None:
@@ -68,7 +73,9 @@ def evaluate(expression: str) -> Verdict | None:
 
     AND grants if both sides do, OR if either does; WITH adds an exception to the licence on
     its left, which stays what it is. WITH binds tightest, then AND, then OR.
-    The expression ends where what follows fits no more.
+    The expression ends where what follows fits no more. In the normal form names are in
+    lower case, what one operator joins is sorted and told once, and only an OR within an
+    AND stands in brackets.
     """
     output: list[Verdict] = []
     waiting: list[str] = []
@@ -76,10 +83,15 @@ def evaluate(expression: str) -> Verdict | None:
     def apply(op: str) -> None:
         right, left = output.pop(), output.pop()
         if op == "with":
-            output.append(left)
+            output.append(left._replace(form=f"{left.form} with {right.form}"))
             return
         grants = left.open and right.open if op == "and" else left.open or right.open
-        output.append(Verdict(left.licenses | right.licenses, grants))
+        parts: frozenset[str] = frozenset()
+        for side in (left, right):
+            inner = f"({side.form})" if (op, side.operator) == ("and", "or") else side.form
+            parts |= side.parts if side.operator == op else {inner}
+        form = f" {op} ".join(sorted(parts)) if len(parts) > 1 else left.form
+        output.append(Verdict(left.licenses | right.licenses, grants, form, parts, op))
 
     want_name, depth = True, 0
     for token in TOKEN.findall(expression):
@@ -90,7 +102,7 @@ def evaluate(expression: str) -> Verdict | None:
                 depth += 1
             elif word not in ORDER and token != ")":
                 name = word.rstrip(".")
-                output.append(Verdict(frozenset([name]), name.rstrip("+") in OPEN))
+                output.append(Verdict(frozenset([name]), name.rstrip("+") in OPEN, name))
                 want_name = False
             else:
                 return None
@@ -122,44 +134,63 @@ def automaton(phrases: dict[str, str]) -> ahocorasick.Automaton:
     return found
 
 
-def scan_text(text: str, words: list[bytes], machine: ahocorasick.Automaton):
-    """Base places (first words), labels of base phrases and of all, and the score."""
+class Scan(NamedTuple):
+    """What a text says: base places, labels of base phrases and of all, score, expressions, grant."""
+
+    places: list[int]
+    base: set[str]
+    labels: set[str]
+    score: float
+    expressions: list[str]
+    grants: bool | None
+
+
+def scan_text(text: str, words: list[bytes], machine: ahocorasick.Automaton) -> Scan:
+    """The automaton and the expressions pass over a text once each."""
     line = " " + b" ".join(words).decode("latin-1") + " "
     found = [(end, phrase) for end, phrase in machine.iter(line)]
     if not found:
-        return [], set(), set(), 0.0
+        return Scan([], set(), set(), 0.0, [], None)
     blanks = np.cumsum([0, *[len(w) + 1 for w in words]])
-    places, base, labels, sure = [], set(), set(), {}
+    places, base, sure, tagged = [], set(), {}, False
     for end, phrase in found:
         if phrase in BASE:
             start = end - len(phrase) - 1
-            places.append(int(np.searchsorted(blanks, start)))
+            places.append(start)
             base.add(BASE[phrase])
             sure[BASE[phrase]] = max(sure.get(BASE[phrase], 0), SURE["base"])
         elif phrase == TAG:
-            for m in EXPRESSION.finditer(text):
-                verdict = evaluate(m[1])
-                for name in verdict.licenses if verdict else ():
-                    sure[name] = SURE["tag"]
+            tagged = True
         else:
             sure[NOTICES[phrase]] = max(sure.get(NOTICES[phrase], 0), SURE["notice"])
-    labels = base | set(sure)
-    return places, base, labels, 1 - float(np.prod([1 - s for s in sure.values()]))
+    verdicts = {m[1] for m in EXPRESSION.finditer(text)} if tagged else set()
+    verdicts = [v for v in map(evaluate, verdicts) if v]
+    for verdict in verdicts:
+        sure.update(dict.fromkeys(verdict.licenses, SURE["tag"]))
+    return Scan(
+        np.searchsorted(blanks, sorted(places)).tolist(),
+        base,
+        base | set(sure),
+        1 - float(np.prod([1 - sure[name] for name in sorted(sure)])),
+        sorted({v.form for v in verdicts}),
+        all(v.open for v in verdicts) if verdicts else None,
+    )
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """docs' columns but text, with n_words, places, base_labels, labels and score.
+    """docs' columns but text, with n_words, places, base_labels, labels, score, expressions, grants.
 
     docs: any columns, among them text. Words are lower-cased in A-Z and hold letters, digits
     and what is not ASCII. places has the first words of the base phrases, from 0 and in
     order, once for each phrase. labels adds the licences of other notices and of
     ``SPDX-License-Identifier`` expressions to base_labels; both are sorted, different and
     joined by commas, and empty for texts without any, null ones too. score is how sure
-    the labels are together, 0 without any. All rows stay, repeated ones too;
-    columns of docs of these names are replaced.
+    the labels are together, 0 without any. expressions has the normal forms of the text's
+    different expressions, and grants whether every one of them grants use, null where there
+    is none. All rows stay, repeated ones too; columns of docs of these names are replaced.
     """
     small_batches(docs.sparkSession)
-    made = ("n_words", "places", "base_labels", "labels", "score")
+    made = ("n_words", "places", "base_labels", "labels", "score", "expressions", "grants")
     rest = [c for c in docs.columns if c not in (*made, "text")]
     phrases = {**BASE, **NOTICES, TAG: ""}
 
@@ -171,17 +202,22 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             rows = []
             for r, (a, b) in enumerate(zip(at, at[1:], strict=False)):
                 words = raw[a:b].split()
-                places, base, labels, score = scan_text(texts[r].as_py() or "", words, machine)
-                rows.append(
-                    (len(words), sorted(places), ",".join(sorted(base)), ",".join(sorted(labels)), score)
-                )
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string(), pa.float64())
+                own = scan_text(texts[r].as_py() or "", words, machine)
+                labels = [",".join(sorted(names)) for names in (own.base, own.labels)]
+                rows.append((len(words), own.places, *labels, own.score, own.expressions, own.grants))
+            kinds = (
+                pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string(), pa.float64(),
+                pa.list_(pa.string()), pa.bool_(),
+            )
             columns = [part.column(c) for c in rest]
             columns += [
                 pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)
             ]
             yield pa.record_batch(columns, [*rest, *made])
 
-    ddl = "n_words long, places array<long>, base_labels string, labels string, score double"
+    ddl = (
+        "n_words long, places array<long>, base_labels string, labels string, score double, "
+        "expressions array<string>, grants boolean"
+    )
     schema = with_columns(docs.select(*rest).schema, ddl)
     return docs.select(*rest, "text").mapInArrow(scan, schema)

@@ -109,6 +109,8 @@ def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
         "base_labels",
         "labels",
         "score",
+        F.array_join("expressions", "; ").alias("expressions"),
+        "grants",
     )
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cellzonal.llm.text import blocks, small_batches, with_columns
+from cellzonal.llm.text import blocks, put_back, set_aside, small_batches, with_columns
 
 # Fixed values of the base patterns.
 ASSIGN = re.compile(
@@ -130,13 +130,25 @@ def evidence(word: str, model: np.ndarray) -> float | None:
     return float(-(len(codes) - 1) * log(tested[1], 10) - model[codes[:-1], codes[1:]].sum())
 
 
+def candidates(text: str, taken: list[tuple[int, int, str]] | None = None) -> Iterator[re.Match]:
+    """The words to test, those left out that touch a base span; both are read in order once."""
+    spans, at, end = None, 0, 0
+    for m in CANDIDATE.finditer(text):
+        if spans is None:
+            spans = base_spans(text) if taken is None else taken
+        # Of all spans that begin before the word ends, the one that reaches farthest.
+        while at < len(spans) and spans[at][0] < m.end():
+            end = max(end, spans[at][1])
+            at += 1
+        if end <= m.start():
+            yield m
+
+
 def random_spans(
     text: str, model: np.ndarray, taken: list[tuple[int, int, str]]
 ) -> Iterator[tuple[int, int, float]]:
     """(start, end, evidence) of the words outside the base spans that look random."""
-    for m in CANDIDATE.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e, _ in taken):
-            continue
+    for m in candidates(text, taken):
         weight = evidence(m[0], model)
         if weight is not None and weight > 0:
             yield m.start(), m.end(), weight
@@ -154,12 +166,7 @@ def least_evidence(docs: DataFrame, model: np.ndarray, rate: float = RATE) -> fl
         seen: dict[int, int] = {}
         for part, _, _ in blocks(batches):
             for text in part.column("text").to_pylist():
-                text = text or ""
-                taken = None
-                for m in CANDIDATE.finditer(text):
-                    taken = base_spans(text) if taken is None else taken
-                    if any(s < m.end() and m.start() < e for s, e, _ in taken):
-                        continue
+                for m in candidates(text or ""):
                     weight = evidence(m[0], model)
                     level = -1 if weight is None else max(-1, min(int(weight * 10), 10_000))
                     seen[level] = seen.get(level, 0) + 1
@@ -214,7 +221,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", rate: float = RATE) -> DataF
     Spans that overlap are replaced as one. All rows stay; texts without secrets, null
     ones too, stay as they are.
     """
-    found = find_secrets(docs, rate)
+    given, aside = set_aside(docs, ("secrets",))
+    found = find_secrets(given, rate)
 
     def replace(batches):
         for part, _, _ in blocks(batches):
@@ -238,4 +246,4 @@ def redact(docs: DataFrame, mark: str = "[secret]", rate: float = RATE) -> DataF
             del columns["secrets"]
             yield pa.record_batch(columns)
 
-    return found.mapInArrow(replace, found.drop("secrets").schema)
+    return put_back(found.mapInArrow(replace, given.schema), aside, docs.columns)

@@ -170,6 +170,26 @@ def free_name(wanted: str, taken: Sequence[str]) -> str:
     return wanted
 
 
+def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns of these names, which an operator needs itself, under free ones.
+
+    The second value maps each free name to the column's own; put_back() takes it.
+    """
+    wanted = {n.lower() for n in names}
+    aside: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in wanted:
+            aside[free_name(f"own_{c}", [*df.columns, *aside])] = c
+    back = {c: free for free, c in aside.items()}
+    return df.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in df.columns]), aside
+
+
+def put_back(df: DataFrame, aside: dict[str, str], columns: Sequence[str]) -> DataFrame:
+    """The columns that were there before set_aside(), under their own names."""
+    free = {c: name for name, c in aside.items()}
+    return df.select(*[F.col(f"`{free.get(c, c)}`").alias(c) for c in columns])
+
+
 class Scratch:
     """Tables in the cluster's shared folder, gone when their run no longer needs them."""
 

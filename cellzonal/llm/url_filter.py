@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cellzonal.llm.text import free_name
+
 #: Hex digits of the digest that pages and rules are joined on.
 PREFIX = 8
 LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,16 +80,20 @@ def judge_urls(
         F.concat("rule_host", "rule_path").alias("rule"),
     )
     best = fits.groupBy("host", "path").agg(F.max(rank).alias("best"))
+    # Names that no column of pages has.
+    best_host, best_path, best_verdict = (
+        free_name(n, pages.columns) for n in ("best_host", "best_path", "best_verdict")
+    )
     best = best.select(
-        F.col("host").alias("best_host"),
-        F.col("path").alias("best_path"),
+        F.col("host").alias(best_host),
+        F.col("path").alias(best_path),
         F.col("best.rule").alias("rule"),
-        F.col("best.verdict").alias("rule_verdict"),
+        F.col("best.verdict").alias(best_verdict),
     )
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     marked = pages.select(*own, host.alias("host"), path.alias("path"))
     joined = marked.join(
-        best, (F.col("host") == F.col("best_host")) & (F.col("path") == F.col("best_path")), "left"
+        best, (F.col("host") == F.col(best_host)) & (F.col("path") == F.col(best_path)), "left"
     )
-    verdict = F.coalesce("rule_verdict", F.lit(default))
+    verdict = F.coalesce(best_verdict, F.lit(default))
     return joined.select(*own, "host", "path", "rule", verdict.alias("verdict"))

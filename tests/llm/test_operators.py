@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -16,6 +17,7 @@ import corpus_pipeline
 from cellzonal.llm import decontamination, jaccard_join, license_scan, lm, mixing
 from cellzonal.llm import quality_classifier, quality_rules, secrets, toxicity, url_filter
 from cellzonal.llm.queries import ORACLES, QUERIES, RULES
+from cellzonal.llm.text import TERMS
 from check import canonical, connect
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -663,9 +665,22 @@ def test_license_base_equals_word_search(spark, sf, docs):
 
 
 def test_license_expressions(spark, odd, none):
-    assert license_scan.evaluate("MIT") == ({"mit"}, True)
-    assert license_scan.evaluate("GPL-3.0-only OR (MIT AND Apache-2.0)") == ({"gpl-3.0-only", "mit", "apache-2.0"}, True)
-    assert license_scan.evaluate("GPL-2.0 WITH Classpath-exception-2.0 AND MIT") == ({"gpl-2.0", "mit"}, False)
+    assert license_scan.evaluate("MIT")[:2] == ({"mit"}, True)
+    assert license_scan.evaluate("GPL-3.0-only OR (MIT AND Apache-2.0)")[:2] == ({"gpl-3.0-only", "mit", "apache-2.0"}, True)
+    assert license_scan.evaluate("GPL-2.0 WITH Classpath-exception-2.0 AND MIT")[:2] == ({"gpl-2.0", "mit"}, False)
+    forms = {
+        "MIT OR GPL-2.0": ("gpl-2.0 or mit", True),
+        "MIT AND GPL-2.0": ("gpl-2.0 and mit", False),
+        "(MIT OR ISC) AND GPL-2.0 AND MIT": ("(isc or mit) and gpl-2.0 and mit", False),
+        "MIT AND ISC OR GPL-2.0": ("gpl-2.0 or isc and mit", True),
+        "GPL-2.0 WITH Classpath-exception-2.0 OR mit or MIT": ("gpl-2.0 with classpath-exception-2.0 or mit", True),
+        "(mit and MIT)": ("mit", True),
+    }
+    for text, wanted in forms.items():
+        verdict = license_scan.evaluate(text)
+        assert (verdict.form, verdict.open) == wanted
+        again = license_scan.evaluate(verdict.form)
+        assert (again.form, again.open, again.licenses) == (verdict.form, verdict.open, verdict.licenses)
     assert license_scan.evaluate("GPL-2.0 AND MIT OR ISC").open
     for bad in ("", "AND MIT", "(MIT", "MIT OR", ")"):
         assert license_scan.evaluate(bad) is None
@@ -674,10 +689,59 @@ def test_license_expressions(spark, odd, none):
     row = license_scan.scan_licenses(frame).first()
     assert row["places"] == [0, 2, 4, 14] and row["base_labels"] == "cc-by,reserved"
     assert row["labels"] == "cc-by,gpl-2.0,mit,reserved"
+    assert row["expressions"] == ["gpl-2.0 or mit"] and row["grants"] is True
+    none_there = spark.createDataFrame([(1, "CC by")], "doc_id long, text string")
+    assert license_scan.scan_licenses(none_there).first()["grants"] is None
     assert license_scan.scan_licenses(odd).count() == len(ODD)
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_scans_take_time_in_proportion_to_a_text(spark):
+    """A megabyte of tags, and of hex words with base spans among them, in a few seconds."""
+    tags = "".join(f"# SPDX-License-Identifier: MIT OR L-{i}\n" for i in range(28_000))
+    machine = license_scan.automaton({**license_scan.BASE, **license_scan.NOTICES, license_scan.TAG: ""})
+    words = tags.encode().translate(TERMS).split()
+    start = time.process_time()
+    scan = license_scan.scan_text(tags, words, machine)
+    assert time.process_time() - start < 6 and len(scan.expressions) == 28_000
+    rng = np.random.default_rng(2)
+    digits = np.array(list("0123456789abcdef"))
+    text = " ".join("".join(digits[rng.integers(0, 16, 24 + 20 * (i % 2))]) for i in range(28_000))
+    start = time.process_time()
+    base = secrets.base_spans(text)
+    left = [m.span() for m in secrets.candidates(text, base)]
+    assert time.process_time() - start < 2 and len(base) == len(left) == 14_000
+    taken = [(5, 40, "hex"), (6, 10, "assign"), (100, 140, "hex")]
+    text = " " * 41 + "a" * 30 + " " * 20 + "b" * 30 + " " + "c" * 24
+    assert [m.start() for m in secrets.candidates(text, taken)] == [41]
+
+
+CLASHING = (
+    "n_words", "n_hit", "items", "matches", "secrets", "kept_id", "kept_nth", "best_host",
+    "best_path", "best_verdict", "rule_verdict", "part", "row", "size", "key1", "nth", "doc",
+    "shuffled", "node", "n", "counts", "fine", "comp", "begins", "own_n_words", "own_secrets",
+)
+
+
+def test_columns_named_like_working_ones_stay(spark, odd, none):
+    """All stages of the pipeline and the url filter on a table with every such column."""
+    rows = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit("mine").alias(c) for c in CLASHING])
+    benchmark = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    for found in (
+        jaccard_join.one_of_each(rows),
+        decontamination.clean(rows, benchmark),
+        secrets.redact(rows),
+        mixing.mix(rows).drop("copy", "words", "starts", "finishes"),
+    ):
+        assert found.columns == rows.columns
+        got = found.collect()
+        assert got and all(r[c] == "mine" for r in got for c in CLASHING)
+    pages = rows.withColumn("url", F.lit("http://a.net/x"))
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    judged = url_filter.judge_urls(pages, rules).collect()
+    assert len(judged) == len(ODD) and all(r["verdict"] == "block" and r["best_host"] == "mine" for r in judged)
+
+
 # -- 10 --------------------------------------------------------------------------------
 
 
