@@ -26,9 +26,11 @@ def ring(*points: tuple[Column, Column]) -> Column:
 
 
 def box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    return F.array(
-        F.array(ring((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax)))
-    )
+    """Box from west to east; a wide one has corners half way, so that no edge is taken round."""
+    half = (xmin + xmax) / 2
+    plain = ring((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax))
+    wide = ring((xmin, ymin), (half, ymin), (xmax, ymin), (xmax, ymax), (half, ymax), (xmin, ymax))
+    return F.array(F.array(F.when(xmax - xmin > 180, wide).otherwise(plain)))
 
 
 def clamped_box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
@@ -41,11 +43,75 @@ def clamped_box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Colum
     )
 
 
+# An edge this long in degrees of longitude goes round the other way; one around the
+# whole map, as the lower side of a world box, is meant as it stands.
+_ROUND = "abs(e.x2 - e.x1) > 180D and abs(e.x2 - e.x1) < 360D - 1e-6D"
+# The meridian, 180 or -180, that an edge across the date line leaves by, and its latitude there.
+_EXIT = "if(e.x1 > 0D, 180D, -180D)"
+_EXIT_Y = f"(e.y1 + (e.y2 - e.y1) * ({_EXIT} - e.x1) / (e.x2 + 2D * {_EXIT} - e.x1))"
+
+
+def _edge(x1: str, y1: str, x2: str, y2: str) -> str:
+    return f"named_struct('x1', {x1}, 'y1', {y1}, 'x2', {x2}, 'y2', {y2})"
+
+
+def _cut_sql(ring: str) -> str:
+    """A ring's edges cut at the date line, with edges along it that close both sides.
+
+    Each crossing is tied to the first one's latitude, or to the pole that the ring goes
+    around, on both sides of the map: doubled stretches cancel out by the even-odd rule,
+    so no crossings need be paired and closing edges are as short as the crossings' range.
+    """
+    crossings = f"filter({ring}, e -> {_ROUND})"
+    south = f"aggregate({ring}, 0D, (s, e) -> s + e.y1) < 0D"
+    first = f"transform(slice({crossings}, 1, 1), e -> {_EXIT_Y})[0]"
+    tie = f"if(size({crossings}) % 2 = 0, {first}, if({south}, -90D, 90D))"
+    pieces = ", ".join(
+        [
+            _edge("e.x1", "e.y1", _EXIT, _EXIT_Y),
+            _edge(f"- {_EXIT}", _EXIT_Y, "e.x2", "e.y2"),
+            _edge("180D", _EXIT_Y, "180D", "t"),
+            _edge("-180D", _EXIT_Y, "-180D", "t"),
+        ]
+    )
+    cut = f"flatten(transform({ring}, e -> if({_ROUND}, array({pieces}), array(e))))"
+    return f"transform(array({tie}), t -> {cut})[0]"
+
+
 def edges_sql(part: str) -> str:
-    """All edges of a part's rings as ``array<struct<x1,y1,x2,y2>>``."""
-    edge = "named_struct('x1', p.x, 'y1', p.y, 'x2', q.x, 'y2', q.y)"
-    ring_edges = f"zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (p, q) -> {edge})"
-    return f"flatten(transform(filter({part}, r -> size(r) > 1), r -> {ring_edges}))"
+    """All edges of a part's rings as ``array<struct<x1,y1,x2,y2>>``.
+
+    An edge longer than 180 degrees of longitude is taken the short way, across the date
+    line, and cut there; a ring that crosses it an odd number of times holds the pole of
+    its half of the globe.
+    """
+    ring_edges = (
+        "zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), "
+        f"(p, q) -> {_edge('p.x', 'p.y', 'q.x', 'q.y')})"
+    )
+    rings = f"transform(filter({part}, r -> size(r) > 1), r -> {ring_edges})"
+    return f"flatten(transform({rings}, s -> if(exists(s, e -> {_ROUND}), {_cut_sql('s')}, s)))"
+
+
+def wrapped(geometry: Column) -> Column:
+    """Geometry with every longitude within -180 .. 180, as maps scrolled beyond draw it.
+
+    A shape that reaches beyond 180 then crosses the date line; without this, what lies beyond is
+    off the grid. Shapes wider than the world have no such form.
+    """
+    return F.transform(
+        geometry,
+        lambda part: F.transform(
+            part,
+            lambda r: F.transform(
+                r,
+                lambda p: point(
+                    F.when(F.abs(p["x"]) > 180, F.pmod(p["x"] + 180, F.lit(360.0)) - 180).otherwise(p["x"]),
+                    p["y"],
+                ),
+            ),
+        ),
+    )
 
 
 def crossing_sql(y: str, e: str = "") -> str:

@@ -286,3 +286,101 @@ def test_no_shape_is_shuffled_by_the_exact_join(spark):
     text = text._jdf.queryExecution().optimizedPlan().toString()
     below = [line for line in text.splitlines() if "Join " in line or "Aggregate" in line or "Window" in line]
     assert below and not any("geometry" in line or "rings" in line for line in below)
+
+
+def around(parts, turns):
+    return [[[(x + 360 * turns, y) for x, y in ring] for ring in part] for part in parts]
+
+
+def across(parts):
+    """Longitudes beyond 180 or -180 given on the other side of the map."""
+    return [[[((x + 180) % 360 - 180 if abs(x) > 180 else x, y) for x, y in ring] for ring in part] for part in parts]
+
+
+def date_line_shapes():
+    rng = random.Random(31)
+    shapes = []
+    for i in range(8):
+        part = [star(rng, rng.choice([-178.3, 179.1]), rng.uniform(-50, 50), rng.uniform(8, 30), rng.randint(3, 40))]
+        if i % 2:
+            part.append(star(rng, part[0][0][0], part[0][0][1], 3, 6))
+        shapes.append((f"d{i}", [part, [star(rng, 20.0, 10.0, 8, 5)]] if i % 3 == 0 else [part]))
+    # A corner on the line itself, from either side.
+    shapes.append(("corner", [[[(171.3, 3.1), (180.0, -7.7), (188.9, 4.3), (180.0, 12.9), (171.3, 3.1)]]]))
+    return shapes
+
+
+def date_line_cells(parts, level):
+    return {c for turns in (-1, 0, 1) for c in brute_cells(around(parts, turns), level)}
+
+
+def test_zones_across_the_date_line(spark):
+    shapes = date_line_shapes()
+    got = filled(zones(spark, [(name, across(parts)) for name, parts in shapes]), 3)
+    for name, parts in shapes:
+        assert sorted(got.get(name, [])) == sorted(date_line_cells(parts, 3)), name
+
+
+def test_wrapped_brings_longitudes_back(spark):
+    shapes = date_line_shapes()
+    given = zones(spark, shapes).withColumn("geometry", geo.wrapped(F.col("geometry")))
+    got = filled(given, 3)
+    for name, parts in shapes:
+        assert sorted(got.get(name, [])) == sorted(date_line_cells(parts, 3)), name
+
+
+def test_date_line_areas_of_every_kind_are_the_same(spark):
+    shapes = [(name, across(parts)) for name, parts in date_line_shapes()]
+    df = zones(spark, shapes)
+    plain = rows(polyfill(df, 5).select("h5", "id"))
+    runs = run_area(df, 5).selectExpr("id", f"explode(transform(sequence(x0, x1), x -> {grid.pack_sql(5, 'x', 'r5')})) as h5")
+    assert rows(runs.select("h5", "id")) == plain
+    blocks = compact_fill(df, 5, start=0)
+    assert blocks.where("shiftright(cell, 56) < 5").count() > 0
+    size = F.expr("cast(pow(9, 5 - shiftright(cell, 56)) as bigint)")
+    counted = blocks.groupBy("id").agg(F.sum(size).alias("n"))
+    assert rows(counted) == rows(polyfill(df, 5).groupBy("id").agg(F.count("*").alias("n")))
+
+
+def test_exact_points_across_the_date_line(spark):
+    shapes = date_line_shapes()
+    rng = random.Random(5)
+    places = [(rng.choice([-1, 1]) * rng.uniform(140, 180), rng.uniform(-80, 80)) for _ in range(1500)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(places)], "n int, lng double, lat double")
+    got = set(map(tuple, spatial_join(points, zones(spark, [(n, across(p)) for n, p in shapes])).select("n", "id").collect()))
+    wanted = {
+        (i, name)
+        for i, (x, y) in enumerate(places)
+        for name, parts in shapes
+        if any(inside(part, x + turn, y) for part in parts for turn in (-360, 0, 360))
+    }
+    assert got == wanted
+
+
+def test_rings_around_a_pole(spark):
+    def ring(lat, lngs):
+        return [(float(x), float(lat)) for x in (*lngs, lngs[0])]
+
+    lngs = [-171.5, -100, -20, 60, 130, 175.5]
+    shapes = [
+        ("north", [[ring(61.3, lngs)]]),
+        ("south", [[ring(-58.9, lngs[::-1])]]),
+        ("band", [[ring(50.7, lngs), ring(70.1, lngs)]]),
+        ("belt", [[[(-180.0, -10.3), (0.0, -10.3), (180.0, -10.3), (180.0, 20.3), (0.0, 20.3), (-180.0, 20.3), (-180.0, -10.3)]]]),
+    ]
+    got = filled(zones(spark, shapes), 2)
+
+    def wanted(low, high):
+        return sorted(pack(2, x, y) for y in range(54) for x in range(108) if low < (y + 0.5) * 30 / 9 - 90 < high)
+
+    assert sorted(got["north"]) == wanted(61.3, 90)
+    assert sorted(got["south"]) == wanted(-90, -58.9)
+    assert sorted(got["band"]) == wanted(50.7, 70.1)
+    assert sorted(got["belt"]) == wanted(-10.3, 20.3)
+
+
+def test_a_wide_box_is_not_taken_round(spark):
+    corners = spark.sql("select 'w' as id, -178D as x0, -30.1D as y0, 178D as x1, 40.1D as y1")
+    shape = geo.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    got = polyfill(corners.select("id", F.array(shape[0]).alias("geometry")), 1)
+    assert rows(got.select("h1")) == sorted([(c,) for c in brute_cells([[square(-178, -30.1, 178, 40.1)]], 1)], key=repr)

@@ -800,6 +800,51 @@ def _(spark, sf):
     return polyfill(features.views(t.derive(spark, sf, BOXES)), 3)
 
 
+def _back(corners: str) -> str:
+    """Corners moved once around the globe to the west."""
+    return f"SELECT id, part, ax - 360 AS ax, ay, mx - 360 AS mx, my, cx - 360 AS cx, cy FROM ({corners}) w"
+
+
+BOTH_SIDES = f"{o.sql('DATE_LINE')} UNION ALL {_back(o.sql('DATE_LINE'))}"
+
+
+@query("aoi_cells_date_line", _aoi_sql(BOTH_SIDES, 5))
+def _(spark, sf):
+    """Zones across the date line: the short way round, never the rest of the world."""
+    return polyfill(t.date_line(spark, sf), 5)
+
+
+@query("zonal_richness_date_line", o.zonal_richness(BOTH_SIDES, 5))
+def _(spark, sf):
+    aoi = run_area(t.date_line(spark, sf), 5)
+    return _scaled(zonal_richness(t.occurrences(spark, sf, 5), aoi, 5))
+
+
+@query(
+    "spatial_exact_join_date_line",
+    f"SELECT p.taxonkey, p.lng, p.lat, z.id FROM ({o.sql('OCCURRENCES')}) p JOIN ({BOTH_SIDES}) z "
+    f"ON ({o.crosses('a', 'm', 'lng', 'lat')} + {o.crosses('m', 'c', 'lng', 'lat')} + {o.crosses('c', 'a', 'lng', 'lat')}) % 2 = 1",
+)
+def _(spark, sf):
+    found = spatial_join(t.occurrence_points(spark, sf), t.date_line(spark, sf))
+    return found.select("taxonkey", "lng", "lat", "id")
+
+
+@query(
+    "aoi_cells_poles",
+    f"""
+    SELECT z.id, CAST(count(*) AS BIGINT) AS cells FROM ({o.sql('POLES')}) z
+    JOIN (SELECT unnest(range(0, 324)) AS x) xs ON TRUE
+    JOIN (SELECT unnest(range(0, 162)) AS y) ys
+      ON ((CAST(y AS DOUBLE) + 0.5e0)*30/27 - 90) * side > height
+    GROUP BY z.id
+    """,
+)
+def _(spark, sf):
+    """Rings around a pole hold its cap."""
+    return polyfill(t.poles(spark, sf), 3).groupBy("id").agg(F.count("*").alias("cells"))
+
+
 def _retry_sql() -> str:
     tracts = o.sql("TRACTS")
     parts, done = [], []

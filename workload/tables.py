@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellzonal.functions import grid
+from cellzonal.functions import geometry as geo, grid
 from cellzonal.operators.taxa import RANKS
 
 GIVEN = (
@@ -115,6 +115,19 @@ COUNTIES = (
     "0 AS part, " + _spread("s_nationkey", "s_suppkey", 8) + " FROM {supplier}"
 )
 
+# Counties pushed across the date line, by amounts that keep cell centres off their edges.
+DATE_LINE = (
+    "SELECT id, part, ax + push AS ax, ay, mx + push AS mx, my, cx + push AS cx, cy "
+    f"FROM (SELECT *, 176.03e0 + CAST(id % 4 AS DOUBLE) - ax AS push FROM ({COUNTIES}) c) p"
+)
+
+# Triangles around a pole, one a supplier, told by the height of their corners.
+POLES = (
+    "SELECT s_suppkey AS id, CAST(s_suppkey % 17 AS DOUBLE) + 0.13e0 AS turn, "
+    "CASE WHEN s_suppkey % 2 = 0 THEN 1e0 ELSE -1e0 END AS side, "
+    "51.17e0 + CAST(s_suppkey % 23 AS DOUBLE) AS height FROM {supplier}"
+)
+
 TRACTS = (
     "SELECT 'F' || CAST(c_custkey AS STRING) AS FIPS, 'F' || CAST(c_custkey AS STRING) AS id, "
     "CASE WHEN c_custkey % 2 = 0 THEN low_county ELSE high_county END AS COUNTY, 0 AS part, "
@@ -224,6 +237,17 @@ def counties(spark: SparkSession, sf: str) -> DataFrame:
     return _zones(spark, sf, COUNTIES)
 
 
+def date_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Zones across the date line, all longitudes within -180 .. 180."""
+    return _zones(spark, sf, DATE_LINE).withColumn("geometry", geo.wrapped(F.col("geometry")))
+
+
+def poles(spark: SparkSession, sf: str) -> DataFrame:
+    """Rings of level edges around a pole, a third of the way round each."""
+    corners = ", ".join(f"named_struct('x', {k}D + turn, 'y', side * height)" for k in (-150, -30, 90, -150))
+    return derive(spark, sf, POLES).select("id", F.expr(f"array(array(array({corners})))").alias("geometry"))
+
+
 def tracts(spark: SparkSession, sf: str) -> DataFrame:
     return _zones(spark, sf, TRACTS)
 
