@@ -26,26 +26,28 @@ def _value_text(value: Column, kind: str) -> Column:
     return value.cast("string")
 
 
-def fingerprint_columns(df: DataFrame) -> DataFrame:
+def fingerprint_columns(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row ``n, digest`` that depends on the rows but not on their order (K7).
 
     Sums of two 60-bit slices of each row's MD5, so copies of a row count and do not
     cancel out. A row's text gives every value behind its length, and null as ``-``.
+    With ``by``, one such row for each value of these columns.
     """
     values = [_value_text(F.col(f"`{c}`"), kind) for c, kind in df.dtypes]
     sized = [F.concat(F.length(v).cast("string"), F.lit(":"), v) for v in values]
     text = F.concat(F.lit(""), *[F.coalesce(v, F.lit("-")) for v in sized])
-    digest = df.select(F.md5(text.cast("binary")).alias("d"))
+    digest = df.select(*by, F.md5(text.cast("binary")).alias("d"))
     hashed = digest.select(
+        *by,
         F.conv(F.substring("d", 1, 15), 16, 10).cast("decimal(38,0)").alias("a"),
         F.conv(F.substring("d", 16, 15), 16, 10).cast("decimal(38,0)").alias("b"),
     )
-    sums = hashed.agg(
+    sums = hashed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum("a"), F.lit(0)).alias("a"),
         F.coalesce(F.sum("b"), F.lit(0)).alias("b"),
     )
-    return sums.select("n", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("digest"))
+    return sums.select(*by, "n", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("digest"))
 
 
 def fingerprint(df: DataFrame) -> str:
@@ -118,6 +120,67 @@ def cached(
     return spark.read.parquet(stored_folder(spark, label, inputs, params, write, root))
 
 
+def _stored_parts(spark: SparkSession, path: str, column: str) -> dict[tuple[str, str], str]:
+    """Folders of finished runs by the text of their base cell and their digest."""
+    jvm = spark.sparkContext._jvm
+
+    def listed(pattern: str) -> list[str]:
+        at = jvm.org.apache.hadoop.fs.Path(pattern)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(str(s.getPath()) for s in files.globStatus(at) or [])
+
+    finished = {p.rsplit("/", 1)[0] for p in listed(f"{path}/_run=*/_SUCCESS")}
+    found: dict[tuple[str, str], str] = {}
+    for part in listed(f"{path}/_run=*/{column}=*/_digest=*"):
+        run, cell, digest = part.rsplit("/", 2)
+        if run in finished:
+            found.setdefault((cell.split("=", 1)[1], digest.split("=", 1)[1]), part)
+    return found
+
+
+def cached_by_part(
+    facts: DataFrame,
+    label: str,
+    params: Mapping[str, object],
+    compute: Callable[[DataFrame], DataFrame],
+    root: str | None = None,
+    column: str = "h0",
+) -> DataFrame:
+    """A stored result of which only changed base cells are computed again (K6).
+
+    ``compute`` takes the facts of some base cells and gives rows with ``column`` that depend
+    on facts of their own base cell only; normalise afterwards. A digest per base cell
+    tells what changed; there are at most as many as the grid has base cells. New
+    parts go to a folder of their own and older ones stay as they are, so a lost job changes
+    nothing that is read. Facts without base cell are left out, and a base cell
+    without result rows is computed at each call.
+    """
+    spark = facts.sparkSession
+    facts = facts.dropna(subset=[column])
+    path = f"{root or shared_folder(spark) + '/results'}/{label}/{cache_key(label, [], {**params, 'by': column})}"
+    shape = compute(facts).schema
+    clash = sorted({"_run", "_digest"} & set(shape.names))
+    if clash or column not in shape.names:
+        raise ValueError(f"the result must have {column} and neither of _run and _digest: {shape.names}")
+    content = hashlib.sha256(json.dumps(facts.dtypes).encode()).hexdigest()[:16]
+    digests = fingerprint_columns(facts, [column]).select(column, F.concat(F.lit(content), "digest").alias("_digest"))
+    wanted = {(str(row[0]), row[1]): row for row in digests.collect()}
+    found = _stored_parts(spark, path, column)
+    stale = [row for key, row in wanted.items() if key not in found]
+    if stale:
+        known = spark.createDataFrame(stale, digests.schema)
+        rows = compute(facts.where(F.col(column).isin([row[0] for row in stale])))
+        rows.join(F.broadcast(known), column).write.partitionBy(column, "_digest").parquet(
+            f"{path}/_run={uuid.uuid4().hex}"
+        )
+        found = _stored_parts(spark, path, column)
+    parts = [found[key] for key in sorted(wanted) if key in found]
+    if not parts:
+        return spark.createDataFrame([], shape)
+    whole = spark.read.schema(shape).option("basePath", path).parquet(*parts)
+    return whole.select(*[F.col(f"`{c}`") for c in shape.names])
+
+
 def published(
     spark: SparkSession,
     label: str,

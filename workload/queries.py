@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellzonal.functions import geometry as geo, grid, h3, style
-from cellzonal.operators import cache, joins, layers, publish, stats, taxa
+from cellzonal.operators import bitmaps, cache, joins, layers, publish, stats, taxa
 from cellzonal.operators.grids import DictionaryGrid
 from cellzonal.operators.exact import spatial_join
 from cellzonal.operators.polyfill import (
@@ -1152,6 +1152,48 @@ def _(spark, sf):
     return _scaled(zonal_richness(_bucketed_occurrences(spark, sf), aoi, 5))
 
 
+SET_LEVEL, COARSEST_SET = 5, 1
+
+
+def _stored_sets(spark, sf) -> DataFrame:
+    """Taxa of every cell of levels 1 to 5 as bitmaps, stored by base cell."""
+    source = cache.files_fingerprint(spark, f"{sf}/lineitem.parquet")
+
+    def write(path):
+        sets = bitmaps.taxa_sets(t.occurrences(spark, sf, SET_LEVEL), SET_LEVEL)
+        whole = bitmaps.with_coarser(sets, SET_LEVEL, COARSEST_SET)
+        prepare.write_compact(bitmaps.by_base_cell(whole), path)
+
+    levels = {"level": SET_LEVEL, "coarsest": COARSEST_SET}
+    return sources.open_cells(spark, cache.stored_folder(spark, "taxa-sets", [source], levels, write))
+
+
+@query("zonal_species_sets", o.zonal_richness(OVERLAP, SET_LEVEL, "species"))
+def _(spark, sf):
+    """Distinct taxa per zone from stored bitmaps: one per block inside a zone."""
+    aoi = compact_fill(t.overlap(spark, sf), SET_LEVEL, start=COARSEST_SET)
+    sets = _stored_sets(spark, sf)
+    return _scaled(bitmaps.zonal_richness(sets, aoi, SET_LEVEL, mode="species", coarsest=COARSEST_SET))
+
+
+@query("zonal_occupancy_sets", o.zonal_richness(OVERLAP, SET_LEVEL))
+def _(spark, sf):
+    aoi = compact_fill(t.overlap(spark, sf), SET_LEVEL, start=COARSEST_SET)
+    sets = _stored_sets(spark, sf)
+    return _scaled(bitmaps.zonal_richness(sets, aoi, SET_LEVEL, coarsest=COARSEST_SET))
+
+
+@query("hex_richness_sets", o.hex_richness(OVERLAP, 3))
+def _(spark, sf):
+    """Cells of level 3 from sets of level 5, of two deliveries of records that overlap."""
+    facts = t.occurrences(spark, sf, SET_LEVEL)
+    old, new = (bitmaps.taxa_sets(facts.where(part), SET_LEVEL) for part in (
+        "taxonkey is null or taxonkey % 3 < 2", "taxonkey is null or taxonkey % 3 > 0"
+    ))
+    sets = bitmaps.roll_up(bitmaps.merge(old, new), SET_LEVEL, 3)
+    return _scaled(bitmaps.hex_richness(sets, polyfill(t.overlap(spark, sf), 3), 3))
+
+
 # -- cache and publishing --------------------------------------------------------------
 
 
@@ -1160,6 +1202,38 @@ def _(spark, sf):
     return cache.cached_aoi(t.counties(spark, sf), 4)
 
 
+_COUNTED = (
+    f"SELECT {o.up('cell', 4, 0)} AS h0, cell AS h4, count(*) AS records FROM ({o.occurrences(4)}) o "
+    "WHERE taxonkey IS NOT NULL GROUP BY 1, 2"
+)
+
+
+@query(
+    "cached_by_base_cell",
+    f"""SELECT h0, CAST(count(*) AS BIGINT) AS cells, CAST(sum(records) AS BIGINT) AS records,
+      h0 % 5 = 0 AS computed_again FROM (
+      SELECT h0, h4, CASE WHEN h0 % 5 = 0 THEN 2*records ELSE records END AS records FROM ({_COUNTED}) c) s GROUP BY h0""",
+)
+def _(spark, sf):
+    """Records of a fifth of the base cells come twice; the others' files are read as they were."""
+    root = _scratch(spark)
+    facts = t.occurrences(spark, sf, 4).where("taxonkey is not null")
+    facts = prepare.with_parents(facts, 4, [0])
+    later = facts.unionByName(facts.where("h0 % 5 = 0"))
+
+    def counted(rows):
+        return rows.groupBy("h0", "h4").agg(F.count("*").alias("records"))
+
+    run = F.regexp_extract(F.input_file_name(), "_run=([0-9a-f]+)", 1)
+    first = cache.cached_by_part(facts, "records", {"level": 4}, counted, root).withColumn("run", run)
+    second = cache.cached_by_part(later, "records", {"level": 4}, counted, root).withColumn("run", run)
+    before = first.groupBy("h0").agg(F.min("run").alias("before"))
+    now = second.groupBy("h0").agg(
+        F.count("*").alias("cells"), F.sum("records").alias("records"), F.min("run").alias("now")
+    )
+    return now.join(before, "h0").select("h0", "cells", "records", (F.col("now") != F.col("before")).alias("computed_again"))
+
+
 @query(
     "published_zonal_carbon",
     f"SELECT id, carbon, value, xmin, ymin, xmax, ymax FROM ({o.mean_value(REGIONS, CARBON_LEVEL, 3, 'id')}) s "
