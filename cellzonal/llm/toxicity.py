@@ -24,7 +24,7 @@ from cellzonal.llm.text import LOWER, Scratch, blocks, fold, shingle_rows, with_
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: Most labelled documents, about, that are learned from.
+#: Most labelled documents, about, that are learned from; a rare label may take half of them.
 SAMPLE = 20_000
 #: Of ten parts of the sample, those that terms are mined from and trees grown on.
 MINED, GROWN = 5, 8
@@ -162,7 +162,8 @@ def mine_terms(texts: DataFrame) -> dict[bytes, float]:
         )
 
     once = texts.select("text", "toxic").mapInArrow(smallest, "text string, toxic int, least long")
-    once = once.dropDuplicates(["least", "toxic"])
+    # Of several texts the same one in every run, also where a lost task comes again.
+    once = once.groupBy("least", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
@@ -196,6 +197,24 @@ def _measured(texts: DataFrame, terms: dict[bytes, float], others: list[str]) ->
     return texts.select(*read).mapInArrow(scan, schema)
 
 
+def draw(marks: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` rows of label_id and toxic, with the weight each stands for.
+
+    Both labels are drawn by a hash of their id, each up to half of the sample and what the
+    other leaves, so a rare label is not thinned out with a frequent one. Weights bring their
+    shares back: all rows of a label weigh as many as there were.
+    """
+    sizes = {0: 0, 1: 0}
+    sizes |= {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    shares = {
+        toxic: min(1.0, (sample - min(sizes[1 - toxic], sample // 2)) / max(sizes[toxic], 1))
+        for toxic in (0, 1)
+    }
+    share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
+    pick = F.pmod(F.xxhash64("label_id", F.lit(3)), F.lit(1 << 30))
+    return marks.withColumn("weight", 1 / share).where(pick < share * (1 << 30))
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -203,8 +222,8 @@ def score_toxicity(
 
     docs: any columns, among them doc_id and text; labels: doc_id and toxic. Documents whose
     id's checksum leaves 1 by 3 are held out; at most about ``sample`` of the other labelled
-    ones, chosen by a hash of their id, are learned from. Nothing but the text makes the
-    score. A null id counts as an empty text; labels without an id or a value are left out,
+    ones, drawn for each label by a hash of their id and weighed back, are learned from. Nothing
+    but the text makes the score. A null id counts as an empty text; labels without an id or a value are left out,
     and a document with any label 1 counts as toxic. Null and empty texts are scored like
     any. Where the labels do not hold both values, or too few of each, all scores are the
     share of toxic labels, 0 without any. Rows stay, repeated ones too.
@@ -219,16 +238,13 @@ def score_toxicity(
     )
     marks = labels.where("doc_id is not null and toxic is not null")
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("label_id"))
-    marks = marks.agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    marks = marks.where(fold(FOLDS, "label_id") != HELD_OUT)
-    n = marks.count()
-    pick = F.pmod(F.xxhash64("label_id", F.lit(3)), F.lit(1 << 30))
+    marks = marks.agg(F.max((F.col("toxic").cast("int") > 0).cast("int")).alias("toxic"))
+    marks = draw(marks.where(fold(FOLDS, "label_id") != HELD_OUT), sample)
     marks = marks.withColumn("part", F.pmod(F.xxhash64("label_id", F.lit(4)), F.lit(10)))
-    marks = marks.where(pick < min(1.0, sample / max(n, 1)) * (1 << 30))
     known = rows.join(F.broadcast(marks), F.col("doc_id") == F.col("label_id"))
-    known = scratch.keep(known.select("doc_id", "text", "toxic", "part"), "known")
+    known = scratch.keep(known.select("doc_id", "text", "toxic", "part", "weight"), "known")
     counts = known.groupBy("toxic").agg(
-        F.count("*").alias("n"),
+        F.sum("weight").alias("n"),
         F.countDistinct(F.when(F.col("part") < GROWN, F.col("part") < MINED)).alias("grown"),
         F.max(F.col("part") >= GROWN).alias("held"),
     ).collect()
@@ -239,20 +255,20 @@ def score_toxicity(
         scored = rows.select(*out, F.lit(share).alias("score"))
         return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
     terms = mine_terms(known.where(F.col("part") < MINED))
-    learned = _measured(known, terms, ["toxic", "part"]).where(F.col("part") >= MINED)
+    learned = _measured(known, terms, ["toxic", "part", "weight"]).where(F.col("part") >= MINED)
     learned = scratch.keep(learned, "learned").coalesce(4)
     learned = learned.select(
-        array_to_vector("x").alias("features"), F.col("toxic").cast("double").alias("label"), "part"
+        array_to_vector("x").alias("features"), F.col("toxic").cast("double").alias("label"), "part", "weight"
     )
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, cacheNodeIds=True)
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, cacheNodeIds=True, weightCol="weight")
     model = trees.fit(learned.where(F.col("part") < GROWN))
 
     def raw(frame):
         found = model.setProbabilityCol("p").transform(frame)
         return found.withColumn("raw", vector_to_array("p")[1])
 
-    held = raw(learned.where(F.col("part") >= GROWN)).select("raw", "label")
-    steps = IsotonicRegression(featuresCol="raw").fit(held)
+    held = raw(learned.where(F.col("part") >= GROWN)).select("raw", "label", "weight")
+    steps = IsotonicRegression(featuresCol="raw", weightCol="weight").fit(held)
     measured = _measured(rows, terms, out).withColumn("features", array_to_vector("x"))
     scored = steps.setPredictionCol("step").transform(raw(measured))
     # Equal steps stay in the order of the trees.

@@ -828,3 +828,25 @@ def test_pipeline_takes_empty_tables(spark, sf):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_toxicity_draws_each_label_up_to_its_own_bound(spark):
+    marks = spark.range(30_000).selectExpr("id as label_id", "cast(id % 100 = 0 as int) as toxic")
+    drawn = {r["toxic"]: r for r in toxicity.draw(marks, 2000).groupBy("toxic").agg(
+        F.count("*").alias("n"), F.sum("weight").alias("weight")).collect()}
+    assert drawn[1]["n"] == 300 and drawn[1]["weight"] == 300
+    assert 1500 < drawn[0]["n"] < 1900 and abs(drawn[0]["weight"] / 29_700 - 1) < 0.1
+    even = marks.withColumn("toxic", F.col("label_id").cast("int") % 2)
+    sizes = dict(map(tuple, toxicity.draw(even, 2000).groupBy("toxic").count().collect()))
+    assert all(850 < n < 1150 for n in sizes.values())
+    assert toxicity.draw(marks, 50_000).where("weight = 1").count() == 30_000
+    assert toxicity.draw(marks.limit(0), 10).count() == 0
+
+
+def test_toxicity_mines_the_same_text_of_equal_sets(spark):
+    texts = [("vile b a", 1), ("vile a b b", 1), ("a b vile a", 1), ("kind a", 0), ("a kind", 0)] * 6
+    first, second = (
+        toxicity.mine_terms(spark.createDataFrame(t, "text string, toxic int").repartition(k))
+        for t, k in ((texts, 1), (texts[::-1], 5))
+    )
+    assert first == second
