@@ -1108,6 +1108,49 @@ def _child_regions(spark, sf) -> DataFrame:
     return t.regions(spark, sf).where(F.col("country") == COUNTRY)
 
 
+def _written_by_cell(spark, sf) -> str:
+    """Folder of occurrences of level 3 by base cell."""
+    facts = prepare.with_parents(t.occurrences(spark, sf, 3), 3, [0])
+    source = cache.files_fingerprint(spark, f"{sf}/lineitem.parquet")
+    return cache.stored_folder(
+        spark, "by-cell", [source], {"level": 3}, lambda path: prepare.write_compact(facts, path)
+    )
+
+
+@query("glob_scan", f"SELECT taxonkey, cell AS h3 FROM ({o.occurrences(3)}) f")
+def _(spark, sf):
+    """All files of a partitioned table through one pattern."""
+    return sources.open_table(spark, f"{_written_by_cell(spark, sf)}/h0=*/*.parquet").select("taxonkey", "h3")
+
+
+@query(
+    "file_list_scan",
+    f"SELECT taxonkey, cell AS h3, {o.up('cell', 3, 0)} AS h0 FROM ({o.occurrences(3)}) f "
+    f"WHERE {o.up('cell', 3, 0)} IN (0, 3, {o.R + 5})",
+)
+def _(spark, sf):
+    """Chosen folders of a partitioned table, with their partition column."""
+    root = _written_by_cell(spark, sf)
+    chosen = [f"{root}/h0={c}" for c in (0, 3, o.R + 5)]
+    return sources.open_files(spark, chosen, root, "taxonkey long, h3 long, h0 long")
+
+
+@query(
+    "chosen_partitions",
+    f"SELECT taxonkey, cell AS h3, {o.up('cell', 3, 0)} AS h0 FROM ({o.occurrences(3)}) f "
+    f"WHERE {o.up('cell', 3, 0)} IN (1, {2 * o.R})",
+)
+def _(spark, sf):
+    stored = sources.open_cells(spark, _written_by_cell(spark, sf))
+    return sources.open_partitions(stored, [1, 2 * o.R]).select("taxonkey", "h3", "h0")
+
+
+@query("tolerant_projection", f"SELECT kingdom, taxonkey FROM ({o.sql('TAXA')}) x")
+def _(spark, sf):
+    """Of the columns asked for, those that a table has."""
+    return sources.any_of(t.taxa(spark, sf), ["kingdom", "subspecies", "taxonkey", "author"])
+
+
 @query(
     "region_scan_text_ids",
     f"SELECT f.taxonkey, f.cell AS h5 FROM ({o.occurrences(5)}) f JOIN "
