@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from decimal import Decimal
-from fractions import Fraction
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cellzonal.functions import geometry as geo
-
-SKETCH_ACCURACY = 10_000
+from cellzonal.session import kept
 
 
 def linear_normalise(df: DataFrame, column: str, value: str = "value") -> DataFrame:
@@ -64,51 +64,159 @@ def latency_summary(
     )
 
 
-def exact_percentile(df: DataFrame, column: str, share: float, window: int = 100_000) -> float | int | Decimal | None:
-    """Smallest value with at least ``share`` of the non-null values at or below it.
+def _ordered_key(value: Column, kind: T.DataType) -> Column:
+    """A BIGINT, double or decimal that has the order of the values and tells them all apart."""
+    if isinstance(kind, T.IntegralType):
+        return value.cast("long")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return value.cast("double")
+    if isinstance(kind, T.DecimalType):
+        return value
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.TimestampNTZType):
+        minutes = F.unix_date(value.cast("date")).cast("long") * 1440 + F.hour(value) * 60 + F.minute(value)
+        return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("long")
+    if isinstance(kind, T.DayTimeIntervalType):
+        return value.cast("interval second").cast("decimal(20,6)")
+    if isinstance(kind, T.YearMonthIntervalType):
+        return value.cast("interval month").cast("long")
+    raise TypeError(f"no percentile of {kind.simpleString()}")
+
+
+def _magnitude(key: Column) -> Column:
+    """Which power of two a double is near: some 4200 classes in the order of the values.
+
+    A logarithm that rounds across a power of two still keeps the order.
+    """
+    size = F.least(F.floor(F.log2(F.abs(key))), F.lit(1030)) + 2000
+    classes = F.when(key > 0, size).when(key < 0, -size).otherwise(F.lit(0))
+    return F.when(F.isnan(key), F.lit(4000)).otherwise(classes).cast("long")
+
+
+def _evenly(window: int) -> Callable[[Column], Column]:
+    """Equal parts of the bracket of a group; within a class of doubles differences are exact."""
+    low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
+    width = F.greatest((high - low) / window, F.lit(5e-324))
+    return lambda key: F.floor((key - low) / width)
+
+
+def _steps(low: object, high: object, window: int) -> Iterator[Callable[[Column], Column]]:
+    """Ever finer parts of the keys between two bounds, in their order.
+
+    Each tells what the one before left together apart into at most ``window`` parts, but at
+    least two or ten: bits fall off whole numbers, digits off decimals.
+    """
+    if isinstance(low, float):
+        yield _magnitude
+        while True:
+            yield _evenly(window)
+    if isinstance(low, int):
+        bits = max(1, window.bit_length() - 1)
+        first = 0
+        while (high >> first) - (low >> first) >= 1 << bits:
+            first += bits
+        for shift in range(first, -1, -bits):
+            yield lambda key, shift=shift: F.shiftright(key, shift)
+        return
+    digits = max(1, len(str(window)) - 1)
+    places = max(0, -low.as_tuple().exponent, -high.as_tuple().exponent)
+    whole = max(len(str(abs(int(v)))) for v in (low, high))
+    for place in range(digits - whole, places, digits):
+        # Towards zero: no digit is added, so the largest decimals fit as well.
+        at = F.lit(place)
+        yield lambda key, at=at: F.when(key < 0, F.ceil(key, at)).otherwise(F.floor(key, at))
+    yield lambda key: key
+
+
+def _within(values: DataFrame, chosen: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Values inside the bracket chosen for their group, once for each share."""
+    if names:
+        meets = [F.col(g).eqNullSafe(F.col(f"{g}s")) for g in names]
+        here = chosen.withColumnsRenamed({g: f"{g}s" for g in names})
+        meets.append(F.col("_v").between(F.col("_low"), F.col("_high")))
+        return values.join(here, reduce(and_, meets))
+    # Without groups there is a row per share, which needs no join: the bounds reach the scan.
+    kinds, found = dict(chosen.dtypes), []
+    for row in chosen.collect():
+        given = {c: F.lit(row[c]).cast(kinds[c]) for c in chosen.columns}
+        inside = F.col("_v").between(given["_low"], given["_high"])
+        found.append(values.where(inside).withColumns(given))
+    return reduce(DataFrame.unionAll, found)
+
+
+def exact_percentiles(
+    df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = (), window: int = 4096
+) -> DataFrame:
+    """Exact percentiles of every group: ``by, share, value, n``.
+
+    ``value`` is the smallest one with at least ``share`` of the group's ``n`` non-null
+    values at or below it. Each pass counts the values of a bracket by parts, a few thousand
+    (``window``) of a group, share and task; only counts are shuffled, and the part that holds
+    the wanted rank is the next bracket. The width of the type bounds the passes; they end
+    when every bracket is one value. A group with a third of all rows is counted by all tasks.
+    Null is a group of its own; one without values gives no row. NaN is above all numbers, and
+    both zeros are one value. Brackets are kept in the shared folder, a row per group and
+    share; Spark broadcasts them where they are small.
+    """
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.YearMonthIntervalType):
+        # Python has no such values, so whole months stand for them.
+        months = df.withColumn(column, _ordered_key(F.col(column), kind))
+        found = exact_percentiles(months, column, shares, by, window)
+        return found.withColumn("value", F.make_ym_interval(F.lit(0), F.col("value").cast("int")).cast(kind))
+    names = [f"_g{i}" for i in range(len(by))]
+    values = df.select(
+        *[F.col(c).alias(g) for c, g in zip(by, names)],
+        F.col(column).alias("_v"),
+        _ordered_key(F.col(column), kind).alias("_k"),
+    ).where(F.col("_v").isNotNull())
+    wanted = F.explode(F.array(*[F.lit(Decimal(str(s))).cast("decimal(19,18)") for s in shares]))
+    rank = F.ceil(F.col("_share") * F.col("_n").cast("decimal(18,0)")).cast("long")
+    sizes = values.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
+    chosen = kept(
+        sizes.where(F.col("_n") > 0)
+        .withColumn("_share", wanted)
+        .withColumn("_rank", F.greatest(rank, F.lit(1)))
+    )
+    keys = [_ordered_key(F.col(c), kind) for c in ("_low", "_high")]
+    open_ = F.count_if(F.col("_low") < F.col("_high")).alias("open")
+    left, low, high = chosen.agg(open_, F.min(keys[0]), F.max(keys[1])).first()
+    steps = _steps(low, high, window)
+    while left:
+        step = next(steps)
+        counts = (
+            _within(values, chosen, names)
+            .groupBy(*names, "_share", "_rank", "_n", step(F.col("_k")).alias("_p"))
+            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        )
+        upto = F.sum("_c").over(Window.partitionBy(*names, "_share").orderBy("_p"))
+        rest = F.col("_rank") - F.col("_upto") + F.col("_c")
+        chosen = kept(
+            counts.withColumn("_upto", upto)
+            .where(rest.between(F.lit(1), F.col("_c")))
+            .select(*names, "_n", "_low", "_high", "_share", rest.alias("_rank"))
+        )
+        left = chosen.agg(open_).first()["open"]
+    return chosen.select(
+        *[F.col(g).alias(c) for c, g in zip(by, names)],
+        F.col("_share").cast("double").alias("share"),
+        F.col("_low").alias("value"),
+        F.col("_n").alias("n"),
+    )
+
+
+def exact_percentile(df: DataFrame, column: str, share: float, window: int = 4096):
+    """Smallest value with at least ``share`` of the non-null values at or below it, or None.
 
-    Each pass narrows the bracket around the wanted rank with the bounded-memory
-    quantile sketch, until few enough distinct values remain to rank exactly. Values keep
-    their type; the sketch works in doubles, so its bracket of exact numbers is widened,
-    and more than ``window`` decimals too close for doubles to tell apart are an error.
+    The value keeps its type, and ``window`` bounds the counts of one pass (F12).
     """
-    values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    total = values.count()
-    if total == 0:
-        return None
-    # Rank counted from 1; Fraction keeps share * total free of binary error.
-    wanted = max(1, math.ceil(Fraction(str(share)) * total))
-    low, high, below, inside = None, None, 0, total
-    while True:
-        bracket = values
-        if low is not None:
-            bracket = values.where(F.col("v").between(low, high))
-        distinct = bracket.select("v").distinct().limit(window + 1).count()
-        if distinct <= window:
-            break
-        rank = (wanted - below) / inside
-        margin = 2.0 / SKETCH_ACCURACY
-        points = [max(0.0, rank - margin), min(1.0, rank + margin)]
-        low, high = bracket.agg(
-            F.percentile_approx("v", F.array(*map(F.lit, points)), F.lit(SKETCH_ACCURACY))
-        ).first()[0]
-        if isinstance(low, (int, Decimal)):
-            low, high = low - abs(int(low)) // 2**52 - 1, high + abs(int(high)) // 2**52 + 1
-        sizes = values.agg(
-            F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))
-        ).first()
-        if sizes[1] == inside:
-            raise ArithmeticError(f"more than {window} values lie closer than doubles can tell apart")
-        below, inside = sizes[0], sizes[1]
-    if low is not None:
-        counts = counts.where(F.col("v").between(low, high))
-    seen = below
-    for row in counts.orderBy("v").collect():
-        seen += row["n"]
-        if seen >= wanted:
-            return row["v"]
-    raise ArithmeticError("the wanted rank fell outside its bracket")
+    found = exact_percentiles(df, column, [share], window=window).first()
+    return found["value"] if found else None
 
 
 def above_percentile(df: DataFrame, column: str, share: float) -> DataFrame:

@@ -216,6 +216,111 @@ def test_geojson_document_with_all_kinds(spark, tmp_path):
     assert got["MultiPolygon"]["properties"] == {"k": "2"}
 
 
+def _parsed(found):
+    return sorted(
+        (tuple(r[c] if c != "properties" or r[c] is None else tuple(sorted(r[c].items())) for c in found.columns) for r in found.collect()),
+        key=repr,
+    )
+
+
+TRICKY = [
+    {"type": "FeatureCollection", "name": 'a "features":[ } { \\', "crs": {"type": "name", "properties": {"name": "}{"}},
+     "links": [{"href": "x", "more": {"y": [1]}}, {"href": "]"}], "bbox": [1, 2],
+     "features": [
+         {"type": "Feature", "id": "1", "properties": {"s": '}]{[ \\" } \\\\', "o": {"p": [{"q": 1}]}},
+          "geometry": {"type": "Point", "coordinates": [1, 2]}},
+         None,
+         {"type": "Feature", "properties": None, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [9, 0], [9, 9], [0, 0]]]}},
+         {"properties": {"no": "type"}, "geometry": None},
+         {"type": "Feature", "properties": {"é}": "ü{"}, "geometry": {"type": "Point", "coordinates": [3, 4]}}],
+     "after": [{"type": "Feature", "properties": {"not": "one"}}], "last": {"a": [{"b": "}"}]}},
+    {"type": "FeatureCollection", "features": []},
+    {"features": [{"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": [5, 6]}}], "type": "FeatureCollection"},
+    {"type": "Feature", "properties": {"features": [{"a": 1}]}, "geometry": {"type": "Point", "coordinates": [7, 8]}},
+    {"type": "Point", "coordinates": [9, 9]},
+]
+
+
+@pytest.mark.parametrize("block", [40, 1 << 20])
+@pytest.mark.parametrize("indent", [None, 1])
+def test_documents_cut_anywhere_read_as_whole_ones(spark, tmp_path, block, indent):
+    texts = [json.dumps(d, indent=indent, ensure_ascii=False) for d in TRICKY]
+    texts += [texts[0] + "\n", '{"type":"Point","coordinates":[1,2]', '{"type":"Poly', "hello", "[]", texts[3] + " \n"]
+    for n, text in enumerate(texts):
+        (tmp_path / f"d{n}.geojson").write_text(text, encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = _parsed(features.read_geojson(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    wanted = features.parse_geojson(spark.read.text(str(tmp_path), wholetext=True), "value")
+    assert got == _parsed(wanted)
+    assert sum(r[-1] == "not GeoJSON" for r in got) >= 4
+
+
+def test_a_broken_end_is_told(spark, tmp_path):
+    point = '{"type":"Feature","id":"%d","properties":{},"geometry":{"type":"Point","coordinates":[1,2]}}'
+    (tmp_path / "d.geojson").write_text('{"type":"FeatureCollection","features":[' + point % 1 + "," + (point % 2)[:60])
+    got = {r["feature_id"]: r["error"] for r in features.read_geojson(spark, str(tmp_path)).collect()}
+    assert got == {"1": None, None: "not GeoJSON"}
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.geojson").write_text("")
+    assert features.read_geojson(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_one_geojson_document_from_many_tasks(spark, tmp_path, tasks):
+    df = zones(spark, [(f"z{i:03}", square_zone(i % 50, 1, i % 50 + 1, 2)) for i in range(200)])
+    df = df.withColumnRenamed("geometry", "geom").withColumn("n", F.lit(None).cast("int"))
+    df = df.orderBy("id") if tasks == 1 else df.repartitionByRange(tasks, "id").sortWithinPartitions("id")
+    path = str(tmp_path / "one file.geojson")
+    publish.write_geojson_document(df, path)
+    document = json.load(open(path))
+    assert document["type"] == "FeatureCollection"
+    assert [f["properties"]["id"] for f in document["features"]] == [f"z{i:03}" for i in range(200)]
+    assert os.listdir(tmp_path) == ["one file.geojson"] or sorted(os.listdir(tmp_path)) == [".one file.geojson.crc", "one file.geojson"]
+    back = features.read_geojson(spark, path)
+    assert rows(back.select(F.col("properties")["id"].alias("id"), F.col("geometry").alias("geom"))) == rows(df, "id", "geom")
+    with pytest.raises(FileExistsError):
+        publish.write_geojson_document(df, path)
+
+
+def test_one_document_of_nothing_and_one_csv(spark, tmp_path):
+    none = zones(spark, []).withColumnRenamed("geometry", "geom")
+    publish.write_geojson_document(none, str(tmp_path / "none.geojson"))
+    assert json.load(open(tmp_path / "none.geojson"))["features"] == []
+    df = spark.range(1000).selectExpr("id AS `a,b`", "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('x\"', id, ', y') END AS s")
+    df = df.repartitionByRange(6, F.col("`a,b`")).sortWithinPartitions("`a,b`")
+    publish.write_csv_document(df, str(tmp_path / "t.csv"))
+    lines = open(tmp_path / "t.csv").read().splitlines()
+    assert len(lines) == 1001 and lines[0] == '"a,b",s' and lines[1] == '0,'
+    assert [int(x.split(",")[0]) for x in lines[1:]] == list(range(1000))
+    assert rows(spark.read.schema(df.schema).option("header", True).csv(str(tmp_path / "t.csv"))) == rows(df)
+    publish.write_csv_document(df.limit(0), str(tmp_path / "e.csv"))
+    assert open(tmp_path / "e.csv").read() == '"a,b",s\n'
+
+
+def test_stores_that_cannot_join_files_are_refused(spark, tmp_path, monkeypatch):
+    files, place = publish._files(spark, str(tmp_path / "x"))
+
+    class Store:
+        def exists(self, _):
+            return False
+
+        def hasPathCapability(self, *_):
+            return False
+
+    class Place:
+        def toUri(self):
+            return type("U", (), {"getScheme": lambda self: "bucket"})()
+
+    monkeypatch.setattr(publish, "_files", lambda *_: (Store(), Place()))
+    with pytest.raises(ValueError, match="bucket cannot join files"):
+        publish.write_csv_document(spark.range(1), "bucket://a/b")
+
+
 def test_views_are_clamped(spark):
     df = spark.createDataFrame([(1, -190, -95, 185, 91)], "id int, xmin int, ymin int, xmax int, ymax int")
     view = features.views(df)

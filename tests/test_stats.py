@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from decimal import Context, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from cellzonal.operators.polyfill import compact_fill, polyfill
 from cellzonal.plans.carbon import hex_carbon, zonal_carbon
 from cellzonal.plans.ranges import detail_table, open_area, range_hex_richness, range_zonal_richness
 from cellzonal.plans.richness import hex_richness, species_table, zonal_richness
-from tests.helpers import pack, rows, square_zone, zones
+from cellzonal.session import kept
+from tests.helpers import pack, plan, rows, square_zone, zones
 
 RANK_SCHEMA = "kingdom string, phylum string, class string, `order` string, family string, genus string, species string"
 
@@ -320,5 +322,103 @@ def test_percentile_keeps_whole_numbers_beyond_doubles(spark):
     assert stats.exact_percentile(df, "v", 0.6) == first + 5
     spaced = spark.range(first + 1, first + 1001, 10).select(F.col("id").alias("v"))
     assert stats.exact_percentile(spaced, "v", 0.6, window=5) == first + 591
-    with pytest.raises(ArithmeticError):
-        stats.exact_percentile(df, "v", 0.6, window=2)
+    assert stats.exact_percentile(df, "v", 0.6, window=2) == first + 5
+
+
+def _nearest_rank(values, share):
+    return sorted(values)[max(1, math.ceil(round(share * len(values), 9))) - 1]
+
+
+@pytest.mark.parametrize("window", [4096])
+@pytest.mark.parametrize("kind", ["double", "float", "int", "long", "decimal(38,10)", "decimal(38,0)", "decimal(9,4)"])
+def test_percentiles_of_every_number_type(spark, kind, window):
+    rng = random.Random(kind)
+    ends = {"int": [-(2**31), 2**31 - 1, 0], "long": [-(2**63), 2**63 - 1, 0, 2**53, 2**53 + 1]}.get(kind)
+    if kind in ("double", "float"):
+        top = 1.7976931348623157e308 if kind == "double" else 3.4028234663852886e38
+        # Powers of two and their neighbours, the smallest numbers, and what is no number.
+        reach = range(-1022, 1023, 41) if kind == "double" else range(-126, 127, 9)
+        ends = [math.nextafter(2.0**e, d) if kind == "double" else 2.0**e for e in reach for d in (0, math.inf)]
+        ends += [-x for x in ends] + [0.0, -0.0, top, -top, math.inf, -math.inf]
+        ends += [5e-324, -5e-324, 2.0**-1030] if kind == "double" else [2.0**-149, -(2.0**-140)]
+    elif ends is None:
+        digits, places = map(int, kind[8:-1].split(","))
+        most = 10**digits - 1
+        whole = [most, -most, 0, 1, -1] + [rng.randint(-most, most) // 10 ** rng.randint(0, digits - 1) for _ in range(60)]
+        ends = [Decimal(n).scaleb(-places, Context(prec=60)) for n in whole]
+    else:
+        ends = ends + [rng.choice(ends[:2]) // 2 ** rng.randint(1, 30) + rng.randint(-9, 9) for _ in range(60)]
+    ends = ends + ends[: len(ends) // 3]
+    rng.shuffle(ends)
+    df = spark.createDataFrame([(v,) for v in ends + [None]], f"v {kind}")
+    shares = [0.0, 0.07, 0.25, 0.5, 0.77, 0.93, 1.0]
+    got = {r["share"]: r for r in stats.exact_percentiles(df, "v", shares, window=window).collect()}
+    assert {r["n"] for r in got.values()} == {len(ends)}
+    assert {s: got[s]["value"] for s in shares} == {s: _nearest_rank(ends, s) for s in shares}
+
+
+def test_doubles_keep_their_order_in_classes(spark):
+    values = [2.0**e for e in range(-1074, 1024)]
+    values = sorted({w for v in values for w in (v, math.nextafter(v, 0), math.nextafter(v, math.inf))} | {math.inf})
+    values = [-v for v in reversed(values) if v] + values + [math.nan]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    classes = [r[0] for r in df.select(stats._magnitude(F.col("v")), "i").orderBy("i").collect()]
+    assert all(a <= b for a, b in zip(classes, classes[1:])) and len(set(classes)) > 3900
+    assert classes[-1] > classes[-2] > classes[-3] and classes[0] < classes[1]
+
+
+def test_percentiles_by_group(spark):
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 3), rng.uniform(-5, 5)) for _ in range(4000)]
+    data += [("c", 1, None), ("d", 1, math.nan), ("d", 1, 1.0), ("e", 2, 7.0)] + [("f", 0, 2.5)] * 50
+    df = spark.createDataFrame(data, "g string, h int, v double")
+    got = stats.exact_percentiles(df, "v", [0.1, 0.5], ["g", "h"], window=64)
+    assert got.columns == ["g", "h", "share", "value", "n"]
+    groups = {}
+    for g, h, v in data:
+        if v is not None:
+            groups.setdefault((g, h), []).append(v)
+    groups[("d", 1)] = [1.0, math.nan]
+    found = {(r["g"], r["h"], r["share"]): (r["value"], r["n"]) for r in got.collect()}
+    assert len(found) == 2 * len(groups)
+    for (g, h), vs in groups.items():
+        for s in (0.1, 0.5):
+            wanted = 1.0 if g == "d" else _nearest_rank(vs, s)
+            assert found[(g, h, s)] == (wanted, len(vs))
+
+
+def test_percentiles_of_times(spark):
+    df = spark.sql(
+        "SELECT id, date_add(DATE'1960-02-28', CAST(id * 37 % 1000 AS INT)) AS d, "
+        "timestamp_micros(id * 7919000013 - 5000000000000) AS t, "
+        "CAST(timestamp_micros(id * 7919000013 - 5000000000000) AS TIMESTAMP_NTZ) AS z, "
+        "make_dt_interval(CAST(id % 50 AS INT), 0, 0, CAST(id AS DECIMAL(18, 6)) / 7) AS i, "
+        "make_ym_interval(CAST(id % 13 AS INT) - 5, CAST(id % 7 AS INT)) AS m FROM range(1000)"
+    )
+    for c in "dtzim":
+        found = stats.exact_percentiles(df, c, [0.3], window=100)
+        ranked = df.selectExpr(f"{c} AS v", f"row_number() OVER (ORDER BY {c}) AS r").where("r = 300")
+        if c == "m":
+            # Python has no interval of months, so Spark compares them.
+            assert found.join(ranked, F.expr("value = v")).count() == 1
+        else:
+            assert found.first()["value"] == ranked.first()["v"], c
+
+
+def test_percentiles_shuffle_counts_only(spark, tmp_path):
+    spark.range(50_000).selectExpr("id % 3 AS g", "id * 31 % 50000 AS v").write.parquet(str(tmp_path / "v"))
+    df = spark.read.parquet(str(tmp_path / "v"))
+    chosen = stats.exact_percentiles(df, "v", [0.5], ["g"], window=256)
+    assert {r["g"]: (r["value"], r["n"]) for r in chosen.collect()} == {
+        g: (sorted(i * 31 % 50000 for i in range(g, 50_000, 3))[math.ceil(n / 2) - 1], n)
+        for g, n in ((0, 16667), (1, 16667), (2, 16666))
+    }
+    state = chosen.selectExpr("g AS _g0", "share AS _share", "n AS _rank", "n AS _n", "value AS _low", "value AS _high")
+    values = df.selectExpr("g AS _g0", "v AS _v", "v AS _k")
+    text = plan(stats._within(values, kept(state), ["_g0"]))
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_percentile_of_what_has_no_order_of_bits(spark):
+    with pytest.raises(TypeError):
+        stats.exact_percentile(spark.createDataFrame([("a",)], "v string"), "v", 0.5)

@@ -1351,6 +1351,21 @@ def _(spark, sf):
     )
 
 
+@query("geojson_document", _extent_of(o.sql("TRACTS"), "FIPS, COUNTY"))
+def _(spark, sf):
+    path = f"{_scratch(spark)}/tracts.geojson"
+    publish.write_geojson_document(t.tracts(spark, sf).drop("id"), path, "geometry")
+    back = features.read_geojson(spark, path)
+    return with_extent(
+        back.select(
+            F.col("properties")["FIPS"].alias("FIPS"),
+            F.col("properties")["COUNTY"].alias("COUNTY"),
+            "geometry",
+        ),
+        "geometry",
+    )
+
+
 DOCUMENTS = """
 SELECT s_suppkey AS id, CAST(s_suppkey % 90 AS STRING) AS x FROM {supplier}
 """
@@ -1432,6 +1447,15 @@ def _(spark, sf):
     return spark.read.schema(table.schema).option("header", "true").csv(path)
 
 
+@query("csv_document", SPECIES_SQL)
+def _(spark, sf):
+    aoi = polyfill(t.overlap(spark, sf), 3)
+    table = species_table(t.occurrences(spark, sf, 3, ranks=True), aoi, 3)
+    path = f"{_scratch(spark)}/species.csv"
+    publish.write_csv_document(table, path)
+    return spark.read.schema(table.schema).option("header", "true").csv(path)
+
+
 @query(
     "public_urls",
     "SELECT page_id, 'https://data.example.org/pages/' || CAST(page_id AS VARCHAR) || '.html' AS url FROM pages",
@@ -1458,6 +1482,19 @@ def _(spark, sf):
     return stats.above_percentile(rows, "l_extendedprice", 0.9)
 
 
+@query(
+    "grouped_percentiles",
+    "SELECT l_returnflag, l_linestatus, CAST(share AS DOUBLE) AS share, min(v) AS value, n FROM "
+    "(SELECT l_returnflag, l_linestatus, l_extendedprice AS v, "
+    "row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) AS r, "
+    "count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem) d, "
+    "(VALUES (0.1), (0.5), (0.99)) s(share) WHERE r >= ceil(share * n) GROUP BY ALL",
+)
+def _(spark, sf):
+    rows = t.read(spark, sf, "lineitem")
+    return stats.exact_percentiles(rows, "l_extendedprice", [0.1, 0.5, 0.99], ["l_returnflag", "l_linestatus"])
+
+
 @query(
     "latency_summary",
     "SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 7 <> 0) AS n_ok, "
