@@ -5,8 +5,8 @@ holds the adjacent pairs that are pieces; the pair of the best score, the leftmo
 ones, is merged, and the pairs around it join the agenda. What is no piece in the end
 is spelled in bytes. Texts fall apart where no piece has a blank behind another character,
 so each part is merged by itself, and parts that come again are remembered. The agendas of
-all short parts of a batch are one array, in which every turn merges the best pair of each
-part; a long part has a heap of its own.
+short parts of about one length are one table of a row for each, in which every turn merges the best
+pair of each part; a long part has a heap of its own.
 
 The library encodes and decodes every Arrow batch too, and each row says whether both agree.
 """
@@ -30,9 +30,13 @@ UNKNOWN = " ⁇ "
 #: Parts of up to so many characters are merged together and remembered.
 SHORT = 48
 #: So many parts are remembered by a worker before it starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 #: The rank of a pair that is no piece.
-NONE = np.iinfo(np.int64).max
+NONE = np.iinfo(np.int32).max
+#: In place of a symbol that has been merged into the one before it.
+GONE = -(1 << 30)
+#: Parts of up to so many characters stand in one table, as rows.
+WIDTHS = (8, 16, SHORT)
 
 
 class Pieces:
@@ -61,7 +65,7 @@ class Pieces:
         inner = any(re.search(f"[^{BLANK}]{BLANK}", t) for t in self.ids)
         # Without such pieces no merge reaches over the beginning of a run of blanks.
         self._part = re.compile("(?s).+" if inner else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-        self.known: dict[str, bytes] = {}
+        self._held: dict[str, bytes] = {}
         # Pairs of pieces that make a piece, and its rank, which tells it from all others.
         made = {}
         for text, i in self.ids.items():
@@ -69,12 +73,10 @@ class Pieces:
                 a, b = self.ids.get(text[:cut]), self.ids.get(text[cut:])
                 if a is not None and b is not None:
                     made[a << 32 | b] = (self.ranks[text], i)
-        self._pairs = np.array(sorted(made), np.int64)
-        ranks = [made[k] for k in self._pairs.tolist()]
-        by_rank = {r: n for n, r in enumerate(sorted(set(ranks)))}
-        self._pair_ranks = np.array([by_rank[r] for r in ranks], np.int64)
+        by_rank = {r: n for n, r in enumerate(sorted(set(made.values())))}
+        self._table(np.array(list(made), np.int64), np.array([by_rank[r] for r in made.values()], np.int64))
         self._rank_ids = np.array([i for _, i in by_rank], np.int64)
-        # For decoding: the text of each piece, None for bytes.
+        # For decoding: the text of each piece, or its byte.
         byte = {i: bytes([b]) for b, i in self.bytes.items()}
         self.values = [
             byte.get(i)
@@ -82,6 +84,32 @@ class Pieces:
             for i, t in enumerate(texts)
         ]
 
+        # The same as bytes, and what each gives in front.
+        self._raw = [v if isinstance(v, bytes) else v.encode() for v in self.values]
+        self._front = [
+            r[1:] if r[:1] == b" " and isinstance(v, str) and v != UNKNOWN else r
+            for v, r in zip(self.values, self._raw, strict=True)
+        ]
+        self._inner = inner
+
+    def _table(self, pairs: np.ndarray, ranks: np.ndarray) -> None:
+        """A hash table of pairs and their ranks, most slots free, for arrays of questions."""
+        self._bits = (4 * len(pairs) + 1).bit_length()
+        self._pairs = np.full(1 << self._bits, -1)
+        self._pair_ranks = np.full(1 << self._bits, NONE, np.int32)
+        slot, todo = self._slots(pairs), np.arange(len(pairs))
+        while len(todo):
+            free = todo[self._pairs[slot[todo]] == -1]
+            _, one = np.unique(slot[free], return_index=True)
+            self._pairs[slot[free[one]]] = pairs[free[one]]
+            self._pair_ranks[slot[free[one]]] = ranks[free[one]]
+            todo = todo[self._pairs[slot[todo]] != pairs[todo]]
+            slot[todo] = (slot[todo] + 1) & ((1 << self._bits) - 1)
+
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        spread = pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (spread >> np.uint64(64 - self._bits)).astype(np.int64)
+
     def merge(self, part: str) -> bytes:
         """The ids of one part, four bytes each, by the agenda of its adjacent pairs."""
         ranks = self.ranks
@@ -128,12 +156,18 @@ class Pieces:
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols; a symbol below 0 is a character that is no piece."""
-        if not len(self._pairs):
-            return np.full(len(left), NONE)
-        pairs = left << 32 | right
-        at = np.minimum(np.searchsorted(self._pairs, pairs), len(self._pairs) - 1)
-        real = (self._pairs[at] == pairs) & (left >= 0) & (right >= 0)
-        return np.where(real, self._pair_ranks[at], NONE)
+        pairs = left << 32 | right  # below 0 if one of them is
+        slot = self._slots(pairs)
+        there = self._pairs[slot]
+        ranks = np.where(there == pairs, self._pair_ranks[slot], NONE)
+        todo = np.flatnonzero((there != pairs) & (there != -1))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self._bits) - 1)
+            there = self._pairs[slot[todo]]
+            hit = there == pairs[todo]
+            ranks[todo[hit]] = self._pair_ranks[slot[todo[hit]]]
+            todo = todo[~hit & (there != -1)]
+        return ranks
 
     def merge_many(self, parts: Sequence[str]) -> list[bytes]:
         """The ids of many parts; every turn merges the best pair of each that has one."""
@@ -145,68 +179,117 @@ class Pieces:
             self.ids.get(chr(c), self.bytes[c] if c < 128 else -c - 1) for c in letter.tolist()
         ]
         symbol = np.array(known, np.int64)[which]
-        part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        rank = np.full(len(symbol), NONE)
+        rank = np.full(len(symbol), NONE, np.int32)
         if len(known) <= 1024:  # a table of all pairs of letters is small
             every = np.array(known, np.int64)
             every = self._ranks_of(np.repeat(every, len(every)), np.tile(every, len(every)))
             rank[:-1] = every[which[:-1] * len(known) + which[1:]]
         else:
             rank[:-1] = self._ranks_of(symbol[:-1], symbol[1:])
-        rank[:-1][part[:-1] != part[1:]] = NONE
-        while len(symbol):
-            start = np.flatnonzero(np.diff(part, prepend=-1))
-            size = np.diff(np.append(start, len(part)))
-            best = np.minimum.reduceat(rank, start)
-            goes_on = np.repeat(best < NONE, size)
-            done.append((part[~goes_on], symbol[~goes_on]))
-            first = np.flatnonzero(goes_on & (rank == np.repeat(best, size)))
-            first = first[np.diff(part[first], prepend=-1) > 0]
-            symbol[first] = self._rank_ids[rank[first]]
-            goes_on[first + 1] = False
-            at = np.cumsum(goes_on)[first] - 1
-            symbol, part, rank = symbol[goes_on], part[goes_on], rank[goes_on]
-            for i in (at[at > 0] - 1, at):
-                i = i[i + 1 < len(symbol)]
-                own = self._ranks_of(symbol[i], symbol[i + 1])
-                rank[i] = np.where(part[i] == part[i + 1], own, NONE)
-            if len(rank):
-                rank[-1] = NONE
-        part = np.concatenate([p for p, _ in done]) if done else np.empty(0, np.int64)
-        order = np.argsort(part, kind="stable")
-        symbol = np.concatenate([s for _, s in done])[order] if done else part
-        ends = (4 * np.searchsorted(part[order], np.arange(len(parts) + 1))).tolist()
-        ids = symbol.astype(np.int32).tobytes()
-        found = [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        for i in np.unique(part[order][symbol < 0]).tolist():
-            found[i] = self._spelled(np.frombuffer(found[i], np.int32).tolist())
+        length = np.array([len(p) for p in parts], np.int64)
+        end = np.cumsum(length)
+        rank[end - 1] = NONE
+        found: list[bytes] = [b""] * len(parts)
+        least = 0
+        for most in (*WIDTHS, int(length.max(initial=0))):
+            rows = np.flatnonzero((length > least) & (length <= most))
+            least = max(least, most)
+            if not len(rows):
+                continue
+            symbols = self._merged_rows(symbol, rank, (end - length)[rows], length[rows])
+            kept = symbols != GONE
+            ends = (4 * np.cumsum(kept.sum(1))).tolist()
+            flat = symbols[kept]
+            ids = flat.astype(np.int32).tobytes()
+            spelled = set(np.flatnonzero(((symbols < 0) & kept).any(1)).tolist())
+            for n, (i, a, b) in enumerate(zip(rows.tolist(), [0, *ends], ends, strict=False)):
+                found[i] = ids[a:b]
+                if n in spelled:
+                    found[i] = self._spelled(np.frombuffer(found[i], np.int32).tolist())
         return found
 
+    def _merged_rows(self, symbol: np.ndarray, rank: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Parts as rows of symbols, all merged, between columns of GONE on both sides."""
+        width = int(length.max()) + 2
+        column = np.arange(width)
+        inside = (column > 0) & (column <= length[:, None])
+        at = np.where(inside, start[:, None] + column - 1, 0)
+        symbols = np.where(inside, symbol[at], GONE)
+        ranks = np.where(inside, rank[at], np.int32(NONE))
+        after = np.tile(column + 1, len(start))
+        before = np.tile(column - 1, len(start))
+        # The same tables as one row, for places.
+        one, of = symbols.reshape(-1), ranks.reshape(-1)
+        live = np.arange(len(start))
+        while True:
+            best = ranks[live].argmin(1) if len(live) < len(start) else ranks.argmin(1)
+            left = live * width + best
+            goes_on = of[left] < NONE
+            live, left = live[goes_on], left[goes_on]
+            if not len(live):
+                return symbols
+            row = live * width
+            one[left] = self._rank_ids[of[left]]
+            right = row + after[left]
+            follows = after[right]
+            one[right], of[right] = GONE, NONE
+            after[left] = follows
+            before[row + follows] = left - row
+            precedes = row + before[left]
+            follows = row + follows
+            # GONE, before the first and behind the last, makes no pair.
+            both = self._ranks_of(
+                np.concatenate([one[left], one[precedes]]), np.concatenate([one[follows], one[left]])
+            )
+            of[left], of[precedes] = both[: len(left)], both[len(left) :]
+
     def _spelled(self, ids: Sequence[int]) -> bytes:
         out: list[int] = []
         for i in ids:
             out.extend((i,) if i >= 0 else (self.bytes[b] for b in chr(-i - 1).encode()))
         return np.array(out, np.int32).tobytes()
 
+    def _parts(self, text: str) -> list[str]:
+        """A text's parts; a single blank in front of one is left out."""
+        if not text:
+            return []
+        plain = not (self._inner or BLANK in text or "  " in text or text[0] == " " or text[-1] == " ")
+        return text.split(" ") if plain else self._part.findall(BLANK + text.replace(" ", BLANK))
+
+    @property
+    def known(self) -> dict[str, bytes]:
+        """The ids of all parts that are remembered, each written with its blanks."""
+        return {p if p[:1] == BLANK else BLANK + p: ids for p, ids in self._held.items()}
+
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text; an empty one has none."""
-        split = [self._part.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set().union(*split).difference(self.known)
+        split = [self._parts(t) for t in texts]
+        if len(self._held) > REMEMBERED:
+            self._held.clear()
+        new = set().union(*split).difference(self._held)
         long = [p for p in new if len(p) > SHORT]
         short = list(new.difference(long))
-        self.known.update(zip(short, self.merge_many(short), strict=True))
-        self.known.update((p, self.merge(p)) for p in long)
-        known = self.known.__getitem__
+        whole = [p if p[:1] == BLANK else BLANK + p for p in short]
+        self._held.update(zip(short, self.merge_many(whole), strict=True))
+        self._held.update((p, self.merge(p if p[:1] == BLANK else BLANK + p)) for p in long)
+        known = self._held.__getitem__
         ids = [np.frombuffer(b"".join(map(known, parts)), np.int32) for parts in split]
         for p in long:
-            del self.known[p]
+            del self._held[p]
         return ids
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: bytes in a row are read as UTF-8, the blank in front is left out."""
+        raw = list(map(self._raw.__getitem__, ids))
+        if not raw or b"" in raw:  # a control id parts rows of bytes
+            return self._decode_by_rows(ids)
+        raw[0] = self._front[ids[0]]
+        try:  # all bytes at once: they are UTF-8 if and only if each row of bytes is
+            return b"".join(raw).decode()
+        except UnicodeDecodeError:
+            return self._decode_by_rows(ids)
+
+    def _decode_by_rows(self, ids: Sequence[int]) -> str:
         values = self.values
         out: list[str] = []
         raw: list[bytes] = []
@@ -294,8 +377,8 @@ def encode_texts(docs: DataFrame, model: bytes, keep_text: bool = False) -> Data
         for part, _, _ in blocks(batches):
             texts = [t or "" for t in part.column("text").to_pylist()]
             ids = own.encode(texts)
-            checked = own.library.encode(texts, num_threads=1)
-            agree = pa.array([a.tolist() == b for a, b in zip(ids, checked, strict=True)])
+            checked = own.library.encode(texts, num_threads=1, return_type="numpy")
+            agree = pa.array([np.array_equal(a, b) for a, b in zip(ids, checked, strict=True)])
             yield pa.record_batch([*[part.column(c) for c in rest], _lists(ids), agree], [*rest, *made])
 
     schema = with_columns(docs.select(*rest).schema, "ids array<int>, ids_agree boolean")
