@@ -125,6 +125,25 @@ def _arrays(rows: list[np.ndarray], kind=pa.int64()) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
+def packed_steps(values: np.ndarray) -> bytes:
+    """Sorted numbers below 2^16: the steps between them, 255 for each 255 and then what is left, or
+    two bytes each where that is shorter; the first byte tells which."""
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    own = np.full(len(steps) + int((steps // 255).sum()), 255, np.uint8)
+    if len(own) >= 2 * len(values):
+        return b"\0" + values.astype("<u2").tobytes()
+    own[np.cumsum(steps // 255 + 1) - 1] = steps % 255
+    return b"\1" + own.tobytes()
+
+
+def unpacked_steps(packed: bytes) -> np.ndarray:
+    """The numbers that packed_steps() was given."""
+    if packed[:1] == b"\0":
+        return np.frombuffer(packed, "<u2", offset=1)
+    own = np.frombuffer(packed, np.uint8, offset=1)
+    return np.cumsum(own, dtype=np.int64)[own != 255].astype(np.uint16)
+
+
 def _frequencies(texts: DataFrame, width: int, bits: int) -> np.ndarray:
     """How often the shingles of each hash bucket occur: a table of fixed size."""
 
@@ -166,7 +185,7 @@ def _profiles(texts: DataFrame, width: int, frequency: np.ndarray, at_least) ->
                 held, over = count_vector(u)
                 counts.append(held)
                 beyond.append(over)
-                fine.append(np.sort(u.astype(np.uint16)).view(np.int16))
+                fine.append(packed_steps(np.sort(u.astype(np.uint16))))
                 if node is None or not has_id or node in seen:
                     rare.append(u[:0])
                     continue
@@ -181,14 +200,14 @@ def _profiles(texts: DataFrame, width: int, frequency: np.ndarray, at_least) ->
                     "node": pa.array(nodes, pa.int64()),
                     "counts": _arrays(counts, pa.int8()),
                     "beyond": pa.array(beyond, pa.int64()),
-                    "fine": _arrays(fine, pa.int16()),
+                    "fine": pa.array(fine, pa.binary()),
                     "rare": _arrays(rare),
                 }
             )
 
     kind = (
         "doc_id long, n long, node long, counts array<tinyint>, beyond long, "
-        "fine array<smallint>, rare array<long>"
+        "fine binary, rare array<long>"
     )
     return texts.mapInArrow(profile, kind)
 
@@ -363,8 +382,14 @@ def _search(rows: DataFrame, points: DataFrame, comps: DataFrame, refuted: DataF
         F.greatest("part", "other").alias("high"),
     )
     rows = rows.join(points.select("node", *POINT, "fine"), "node")
+
+    def search(table: pa.Table) -> pa.Table:
+        fine = [unpacked_steps(p).view(np.int16) for p in table["fine"].to_pylist()]
+        at = table.schema.get_field_index("fine")
+        return _search_block(table.set_column(at, "fine", _arrays(fine, pa.int16())), at_least)
+
     found = rows.groupBy("key", "low", "high").applyInArrow(
-        lambda table: _search_block(table, at_least), "a long, b long, a_n long, b_n long, key long"
+        search, "a long, b long, a_n long, b_n long, key long"
     )
     return found.groupBy("a", "b", "a_n", "b_n").agg(F.collect_set("key").alias("keys"))
 
