@@ -9,7 +9,10 @@ next smaller kind, as often as sets so far apart in size can still be similar.
 
 Points meet in blocks. Sets as similar as asked share one of each other's rarest
 shingles, so every document goes to the blocks of its rarest ones: no pair is lost, and
-a passage of many documents makes no block. Documents with equal sets are one point.
+a passage of many documents makes no block. The first rare shingle that two sets share has
+all they share at or behind its place in both, so a set's size and that place bound the
+sizes that it can be similar to there; a block falls apart where no such bound reaches the
+next size, and sets that are left alone go. Documents with equal sets are one point.
 First each point is tried against the block's smallest one that it meets most often,
 which settles groups of copies with one link per copy. Only blocks whose points are
 still apart are searched by R-tree; a block of many points is split, and its parts meet
@@ -118,6 +121,20 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int):
         yield part, [np.unique(windows[a:b]) for a, b in bounds]
 
 
+def size_code(sizes: np.ndarray) -> np.ndarray:
+    """Twelve bits that never fall as sizes rise to 2^31: the exponent and seven bits behind it."""
+    return (np.maximum(sizes, 1).astype(np.float32).view(np.uint32) >> 16) - (127 << 7)
+
+
+def block_keys(rarest: np.ndarray, size: int, at_least: tuple[int, int] = AT_LEAST) -> np.ndarray:
+    """40 bits of each of a set's rarest shingles, and the codes of the set's size and of the
+    largest one that it can be similar to if this is the first shingle in their order that both have."""
+    x, y = at_least
+    most = (size - np.arange(len(rarest))) * (x + y) // x - size
+    codes = size_code(np.array([size])) << 12 | size_code(most)
+    return rarest >> np.uint64(24) << np.uint64(24) | codes.astype(np.uint64)
+
+
 def _arrays(rows: list[np.ndarray], kind=pa.int64()) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
@@ -167,7 +184,7 @@ def _frequencies(texts: DataFrame, width: int, bits: int) -> np.ndarray:
 
 
 def _profiles(texts: DataFrame, width: int, frequency: np.ndarray, at_least) -> DataFrame:
-    """Per document its set's size, hash and counts, coarse and fine, and the rarest shingles.
+    """Per document its set's size, hash and counts, coarse and fine, and its block_keys().
 
     The latter are empty where the same task has had the same set.
     """
@@ -192,7 +209,7 @@ def _profiles(texts: DataFrame, width: int, frequency: np.ndarray, at_least) ->
                 seen.add(node)
                 keep = len(u) - ceil(x * len(u) / y) + 1
                 order = np.lexsort((u, frequency[u >> np.uint64(64 - bits)]))
-                rare.append(u[order[:keep]])
+                rare.append(block_keys(u[order[:keep]], len(u), at_least))
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
@@ -212,6 +229,38 @@ def _profiles(texts: DataFrame, width: int, frequency: np.ndarray, at_least) ->
     return texts.mapInArrow(profile, kind)
 
 
+def _meetings(profiles: DataFrame) -> DataFrame:
+    """The blocks of sets that may be similar: (key, node, hub), hub being a block's smallest node."""
+
+    def with_company(rows, *by):
+        same = Window.partitionBy(*by)
+        rows = rows.withColumn("hub", F.min("node").over(same))
+        return rows.withColumn("last", F.max("node").over(same)).where("hub <> last")
+
+    rare = profiles.select("node", F.explode("rare").alias("rare"))
+    rare = rare.repartition(F.shiftrightunsigned("rare", 24))
+    met = with_company(rare.withColumn("key", F.shiftrightunsigned("rare", 24)), "key")
+    met = met.select("key", "node", "rare").distinct().select(
+        "key",
+        "node",
+        F.shiftrightunsigned("rare", 12).bitwiseAND(4095).alias("size"),
+        F.col("rare").bitwiseAND(4095).alias("most"),
+    )
+    # Smaller sets come first; one that none of them reaches begins a block of its own.
+    by_size = Window.partitionBy("key").orderBy("size", "node")
+    before = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = met.withColumn("reached", F.coalesce(F.max("most").over(before), F.lit(-1)))
+    first = F.when(F.col("reached") < F.col("size"), F.col("size"))
+    met = met.withColumn("first", F.max(first).over(so_far))
+    own = Window.partitionBy("key", "first")
+    met = met.withColumn("furthest", F.max("most").over(own))
+    met = met.where("most >= first and furthest >= size")
+    met = with_company(met, "key", "first")
+    key = F.shiftleft("key", 12).bitwiseOR(F.col("first"))
+    return met.select(key.alias("key"), "node", "hub")
+
+
 def _members(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The sets of the wanted nodes, read from the documents that stand for them."""
 
@@ -267,6 +316,7 @@ def _nodes(pairs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, members: DataFrame, at_least) -> DataFrame:
     """The pairs (a, b), with their sizes, whose sets are as similar as asked."""
     x, y = at_least
+    members = members.join(_nodes(pairs), "node", "left_semi")
     for side in "ab":
         own = members.select(
             F.col("node").alias(f"{side}_node"), F.col("members").alias(f"{side}_members")
@@ -370,17 +420,21 @@ def _search_block(table: pa.Table, at_least) -> pa.Table:
     )
 
 
-def _search(rows: DataFrame, points: DataFrame, comps: DataFrame, refuted: DataFrame, part, at_least):
-    """Pairs to verify, with the key of one block that has them: (a, b, a_n, b_n, key)."""
+def _parts(rows: DataFrame, comps: DataFrame, refuted: DataFrame, part: int) -> DataFrame:
+    """The nodes of blocks once for each other part of their block that theirs meets."""
     rows = rows.join(comps, "node", "left").join(refuted, "node", "left")
     parts = F.ceil(F.col("size") / part).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "key"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select(
+    return rows.select(
         "key", "node", F.coalesce("comp", "node").alias("comp"), "refuted", "part",
         F.least("part", "other").alias("low"),
         F.greatest("part", "other").alias("high"),
     )
+
+
+def _search(rows: DataFrame, points: DataFrame, at_least) -> DataFrame:
+    """Pairs to verify, with the keys of blocks that have them: (a, b, a_n, b_n, keys)."""
     rows = rows.join(points.select("node", *POINT, "fine"), "node")
 
     def search(table: pa.Table) -> pa.Table:
@@ -428,11 +482,7 @@ def jaccard_groups(
     profiles = scratch.keep(profiles, "profiles")
 
     # Blocks: rare shingles of at least two different sets.
-    rare = profiles.select("node", F.explode("rare").alias("key"))
-    same = Window.partitionBy("key")
-    met = rare.withColumn("hub", F.min("node").over(same)).withColumn("last", F.max("node").over(same))
-    met = met.where("hub <> last").select("key", "node", "hub").distinct()
-    shared = scratch.keep(met, "shared")
+    shared = scratch.keep(_meetings(profiles), "shared")
 
     # The points: one document stands for each set that has company.
     needed = shared.select("node").distinct()
@@ -475,7 +525,9 @@ def jaccard_groups(
     rows = apart.join(block.where("size > 2").select("key", "size"), "key").select("key", "node", "size")
     rows = scratch.keep(rows, "rows")
     no_pairs = scratch.spark.createDataFrame([], "node long, refuted array<long>")
-    found = _search(rows, points, comps, no_pairs, part, at_least)
+    # Kept, so that Spark knows how few rows they are, and points stay where they are if it can be.
+    asked = scratch.keep(_parts(rows, comps, no_pairs, part), "asked-0")
+    found = _search(asked, points, at_least)
     tried, turn, search, last = None, 0, 0, 0
     while True:
         # Of any two components a pair is tried, then four, and so on till none is left.
@@ -514,7 +566,8 @@ def jaccard_groups(
         search += 1
         both = wrong.union(wrong.select("b", "a"))
         refuted = both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refuted"))
-        found = _search(rows.join(again, "key"), points, comps, refuted, part, at_least)
+        asked = _parts(rows.join(again, "key"), comps, refuted, part)
+        found = _search(scratch.keep(asked, f"asked-{search}"), points, at_least)
 
     links_at_all = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
     has = own.where(links_at_all).join(comps, "node", "left")
@@ -524,7 +577,7 @@ def jaccard_groups(
     none = own.where(~links_at_all)
     scratch.drop(
         "shared", "points", "star", "wanted", "members", "apart", "block", "rows", "links-0",
-        *[f"{name}-{i}" for name in ("found", "again") for i in range(search + 1)],
+        *[f"{name}-{i}" for name in ("found", "again", "asked") for i in range(search + 1)],
         *[f"{name}-{i}" for name in ("left", "others", "members", "links") for i in range(1, turn + 1)],
         *[f"comps-{i}" for i in range(1, last)],
     )
