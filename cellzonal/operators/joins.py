@@ -17,6 +17,7 @@ from cellzonal.functions.grid import (
 )
 from cellzonal.operators.grids import NATIVE, Grid
 from cellzonal.operators.polyfill import BROADCAST_CELLS, blocks_from
+from cellzonal.session import unsized
 
 
 def broadcast_level(level: int, grid: Grid = NATIVE) -> int:
@@ -70,7 +71,7 @@ def meet(
     """
     if not is_runs(aoi):
         rows, area, keys = area_keys(cells, aoi, level, grid)
-        return rows.join(area.select(*keys, *columns), keys, how).drop("_key")
+        return rows.join(unsized(area.select(*keys, *columns)), keys, how).drop("_key")
     row, cell = _run_row(aoi, level, grid), f"h{level}"
     side = 3 ** max(level - RUN_BLOCK_LEVEL, 0)
     block = F.expr(f"explode(sequence(x0 div {side}L, x1 div {side}L))")
@@ -81,7 +82,8 @@ def meet(
     placed = cells.withColumn("_row", F.expr(y_sql(cell))).withColumn("_x", F.expr(x_sql(cell)))
     placed = placed.withColumn("_block", F.expr(f"_x div {side}L"))
     within = F.col("_x").between(F.col("_x0"), F.col("_x1"))
-    met = placed.join(runs, (F.col("_row") == F.col("_r")) & (F.col("_block") == F.col("_b")) & within, how)
+    same = (F.col("_row") == F.col("_r")) & (F.col("_block") == F.col("_b"))
+    met = placed.join(unsized(runs), same & within, how)
     return met.drop("_row", "_x", "_block", "_r", "_x0", "_x1", "_b")
 
 
@@ -138,7 +140,7 @@ def join_few(many: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
     Spark broadcasts ``few`` where its measured size is small; else it splits what a hot
     key of ``many`` has shuffled by its map tasks, so copies of one row spread as well.
     """
-    return many.join(few, list(keys))
+    return many.join(unsized(few), list(keys))
 
 
 def no_clash(left: DataFrame, right: DataFrame, shared: Sequence[str]) -> None:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from cellzonal.functions import geometry as geo, grid
+from cellzonal.session import unsized
 
 # A cell set is broadcast only at a level whose whole grid has at most this many cells.
 BROADCAST_CELLS = 500_000
@@ -230,8 +231,8 @@ def compact_fill(
             touched = touched_cells(zones, k, keep)
             if outline is not None:
                 ancestors = touched.withColumn(f"h{above}", grid.parent(f"h{k}", k, above))
-                touched = ancestors.join(outline, [f"h{above}", *keep], "left_semi").select(*key)
-            inside = inside.join(touched, key, "left_anti")
+                touched = ancestors.join(unsized(outline), [f"h{above}", *keep], "left_semi").select(*key)
+            inside = inside.join(unsized(touched), key, "left_anti")
             outline, above = touched, k
         cells = inside.select(F.col(f"h{k}").alias("cell"), *keep)
         result = cells if result is None else result.unionByName(cells)
@@ -260,8 +261,8 @@ def _with_points(blocks: DataFrame, points: DataFrame, level: int, keep: Sequenc
     lines = [grid.parent("cell", level, k) for k in range(coarsest, level + 1)]
     above = points.withColumn("_above", F.explode(F.array(*lines)))
     met = blocks_from(blocks, coarsest).withColumnRenamed("cell", "_above")
-    within = above.join(met, ["_above", *keep], "left_semi").select("cell", *keep)
-    return blocks.unionByName(points.join(within, ["cell", *keep], "left_anti").select("cell", *keep))
+    within = above.join(unsized(met), ["_above", *keep], "left_semi").select("cell", *keep)
+    return blocks.unionByName(points.join(unsized(within), ["cell", *keep], "left_anti").select("cell", *keep))
 
 
 def _filled_within(

@@ -55,3 +55,14 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/kept/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unsized(df: DataFrame) -> DataFrame:
+    """The same rows under a size that the planner doesn't know, so that only measured ones are broadcast.
+
+    Spark's estimates leave out how far ``explode`` grows a table: the cells of a small table of
+    zones would go to the driver whatever their number. A join now waits for
+    the shuffle of this side to tell its size, and broadcasts what is small indeed.
+    """
+    spark = df.sparkSession
+    return df.union(spark.createDataFrame(spark.sparkContext.emptyRDD(), df.schema))
