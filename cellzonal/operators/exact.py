@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cellzonal.functions import geometry as geo, grid
 from cellzonal.operators.polyfill import (
@@ -22,6 +22,7 @@ from cellzonal.operators.polyfill import (
     geometry_column,
     polyfill,
 )
+from cellzonal.session import unsized
 
 
 def corner_parities(edges: DataFrame, level: int, keep: Sequence[str]) -> DataFrame:
@@ -78,7 +79,8 @@ def spatial_join(
     A zone holds a point if one of its parts does, by the even-odd rule; parts may overlap and
     zones may be listed twice. Points without coordinates and zones without id or
     shape meet nothing. ``level`` sets the size of the buckets: the finer, the fewer edges a
-    point meets. Places are tested once, however many rows are there.
+    point meets. Places are tested once, however many rows are there, and so is a part that
+    several zones have.
     """
     missing = [c for c in (x, y) if c not in points.columns] + [c for c in keep if c not in zones.columns]
     if missing:
@@ -86,25 +88,52 @@ def spatial_join(
     clash = sorted(set(points.columns) & {*keep, "_px", "_py"})
     if clash:
         raise ValueError(f"points have the columns {clash}; rename them")
-    cell = f"h{level}"
+    cell, key = f"h{level}", ["_mark", "_polygon"]
     shape = geometry_column(zones)
     named = zones.dropna(subset=list(keep)).select(*keep, F.col(shape).alias("geometry"))
-    parts = dump_parts(named).select(
-        *keep, F.expr("xxhash64(rings)").alias("_polygon"), F.array("rings").alias("geometry")
+    # A part is told from others by two hashes of 64 bits; how many zones have it doesn't matter before the end.
+    hashes = "transform(geometry, r -> named_struct('_mark', xxhash64(1, r), '_polygon', xxhash64(r)))"
+    listed = named.select(*keep, F.expr(hashes).alias("_parts")).select(*keep, F.inline("_parts"))
+    parts = dump_parts(named.select("geometry")).select(
+        F.expr("xxhash64(1, rings)").alias("_mark"),
+        F.expr("xxhash64(rings)").alias("_polygon"),
+        F.array("rings").alias("geometry"),
     )
-    edges = edge_cells(named, level, keep).distinct()
-    touched = edges.select(cell, *keep, "_polygon").distinct()
-    inside = polyfill(parts, level, [*keep, "_polygon"]).select(cell, *keep, "_polygon")
-    inside = inside.join(touched, [cell, *keep, "_polygon"], "left_anti").select(cell, *keep).distinct()
+    edges = edge_cells(parts, level, ["_mark"]).distinct()
+    touched = edges.select(cell, *key).distinct()
+    inside = polyfill(parts, level, key).select(cell, *key)
+    inside = inside.join(unsized(touched), [cell, *key], "left_anti")
 
     placed = points.withColumns(
         {"_px": F.col(f"`{x}`").cast("double"), "_py": F.col(f"`{y}`").cast("double")}
     ).where("_px is not null and _py is not null and not isnan(_px) and not isnan(_py)")
     places = placed.select("_px", "_py").distinct()
     places = places.withColumn(cell, grid.cell_at("_px", "_py", level))
-    corners = corner_parities(edges, level, keep)
-    near = places.join(edges.drop("_edge").unionByName(corners, allowMissingColumns=True), cell)
-    near = near.groupBy("_px", "_py", *keep, "_polygon").agg(F.expr(f"sum({_flips(level)})").alias("_flips"))
-    near = near.where("_flips % 2 = 1").select("_px", "_py", *keep)
-    hits = near.unionByName(places.join(inside, cell).select("_px", "_py", *keep)).distinct()
-    return placed.join(hits, ["_px", "_py"]).select(*[F.col(f"`{c}`") for c in points.columns], *keep)
+    corners = corner_parities(edges, level, ["_mark"])
+    lines = unsized(edges.drop("_edge").unionByName(corners, allowMissingColumns=True))
+    near = places.join(lines, cell).groupBy("_px", "_py", *key).agg(F.expr(f"sum({_flips(level)})").alias("_flips"))
+    near = near.where("_flips % 2 = 1").select("_px", "_py", *key)
+    hits = near.unionByName(places.join(unsized(inside), cell).select("_px", "_py", *key))
+    return _of_zones(placed, hits, listed, points.columns, keep, key)
+
+
+def _of_zones(
+    placed: DataFrame, hits: DataFrame, listed: DataFrame, columns: Sequence[str], keep: Sequence[str], key: Sequence[str]
+) -> DataFrame:
+    """Rows of points with the zones whose parts hold their place, once per zone.
+
+    Only zones of several parts can be met more than once by a place.
+    """
+    parts = F.count(F.lit(1)).over(Window.partitionBy(*keep)) if keep else F.lit(2)
+    own = listed.distinct().withColumn("_parts", parts)
+    simple, manifold = own.where("_parts = 1").drop("_parts"), own.where("_parts > 1").drop("_parts")
+    some = hits.join(unsized(manifold), list(key)).select("_px", "_py", *keep).distinct()
+
+    def free(name: str) -> str:
+        return free(f"{name}_") if name in columns else name
+
+    names = {c: free(c) for c in key}
+    held = placed.join(unsized(hits.withColumnsRenamed(names)), ["_px", "_py"])
+    one = held.join(unsized(simple.withColumnsRenamed(names)), list(names.values()))
+    found = one.unionByName(placed.join(unsized(some), ["_px", "_py"]), allowMissingColumns=True)
+    return found.select(*[F.col(f"`{c}`") for c in columns], *keep)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from cellzonal.functions import grid
 from cellzonal.operators import joins
+from cellzonal.operators.exact import spatial_join
 from cellzonal.operators.polyfill import polyfill, run_area
 from cellzonal.session import unsized
-from tests.helpers import plan, rows
+from tests.helpers import inside, plan, rows, square, zones
 
 
 def world(spark):
@@ -60,3 +61,30 @@ def test_small_sides_are_broadcast_once_measured(spark):
 def test_unsized_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, None), (1, None), (None, "x")], "`a b` long, c string")
     assert unsized(df).schema == df.schema and sorted(map(str, unsized(df).collect())) == sorted(map(str, df.collect()))
+
+
+def big_points(spark):
+    return spark.range(10**8).selectExpr("id as n", "(id % 36000) / 100 - 180 as lng", "(id % 17999) / 100 - 90 as lat")
+
+
+def test_exact_join_sends_no_buckets_to_the_driver_unmeasured(static):
+    assert broadcasts(spatial_join(big_points(static), world(static))) == []
+
+
+def test_exact_join_tests_a_part_of_many_zones_once(spark):
+    """Zones of the same part, of several ones, of overlapping ones and listed twice; points as named inside."""
+    box, far = [square(0.0, 0.0, 10.0, 10.0)], [square(100.0, 0.0, 110.0, 10.0)]
+    lap, hole = [square(5.0, 5.0, 15.0, 15.0)], [square(0.0, 0.0, 10.0, 10.0), square(2.0, 2.0, 4.0, 4.0)]
+    shapes = [(f"b{i}", [box]) for i in range(5)] + [("two", [box, far]), ("laps", [box, lap]), ("hole", [hole])]
+    shapes += [("twice", [box]), ("twice", [box]), ("parts", [box]), ("parts", [lap]), ("reversed", [[box[0][::-1]]])]
+    places = [(7.0, 7.0), (7.0, 7.0), (3.0, 3.0), (12.0, 12.0), (105.0, 5.0), (50.0, 50.0)]
+    points = spark.createDataFrame(
+        [(i, *p, 1) for i, p in enumerate(places)], "_polygon long, lng double, lat double, _mark int"
+    )
+    found = spatial_join(points, zones(spark, shapes), level=4)
+    assert found.columns == ["_polygon", "lng", "lat", "_mark", "id"]
+    held = {(i, name) for i, p in enumerate(places) for name, parts in shapes for part in parts if inside(part, *p)}
+    assert sorted((r["_polygon"], r["id"]) for r in found.collect()) == sorted(held)
+    assert {tuple(r) for r in spatial_join(points, zones(spark, shapes), keep=(), level=4).collect()} == {
+        (i, *p, 1) for i, p in enumerate(places[:5])
+    }
