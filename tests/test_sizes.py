@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cellzonal.functions import grid
+from cellzonal.functions import geometry as geo, grid
 from cellzonal.operators import joins
 from cellzonal.operators.exact import spatial_join
 from cellzonal.operators.polyfill import polyfill, run_area
@@ -88,3 +88,10 @@ def test_exact_join_tests_a_part_of_many_zones_once(spark):
     assert {tuple(r) for r in spatial_join(points, zones(spark, shapes), keep=(), level=4).collect()} == {
         (i, *p, 1) for i, p in enumerate(places[:5])
     }
+
+
+def test_exact_join_across_the_date_line_sends_nothing_unmeasured(static):
+    turned = world(static).withColumn("geometry", F.transform("geometry", lambda p: F.transform(p, lambda r: F.transform(
+        r, lambda c: F.struct((c["x"] + 165).alias("x"), c["y"].alias("y"))))))
+    zones = turned.withColumn("geometry", geo.wrapped(F.col("geometry")))
+    assert broadcasts(spatial_join(big_points(static), zones)) == []
