@@ -62,29 +62,35 @@ def meet(
     columns: Sequence[str],
     grid: Grid = NATIVE,
     how: str = "inner",
+    on: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of ``h{level}`` with the given columns of an area of any kind, once per zone.
 
+    Columns ``on`` of both sides, as a zone's id, must be equal as well.
+
     Plain areas are met by cell, compact ones by ancestors. Runs are met as intervals: rows
     and blocks of columns are equal, and the cell lies between a run's ends; no cell of
     the area and no ancestor of a row is ever written out.
     """
     if not is_runs(aoi):
         rows, area, keys = area_keys(cells, aoi, level, grid)
+        keys = [*keys, *on]
         return rows.join(unsized(area.select(*keys, *columns)), keys, how).drop("_key")
     row, cell = _run_row(aoi, level, grid), f"h{level}"
     side = 3 ** max(level - RUN_BLOCK_LEVEL, 0)
     block = F.expr(f"explode(sequence(x0 div {side}L, x1 div {side}L))")
     runs = aoi.select(
         F.col(row).alias("_r"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"),
-        block.alias("_b"), *columns,
+        block.alias("_b"), *[F.col(f"`{c}`").alias(f"_on_{c}") for c in on], *columns,
     )
     placed = cells.withColumn("_row", F.expr(y_sql(cell))).withColumn("_x", F.expr(x_sql(cell)))
     placed = placed.withColumn("_block", F.expr(f"_x div {side}L"))
     within = F.col("_x").between(F.col("_x0"), F.col("_x1"))
     same = (F.col("_row") == F.col("_r")) & (F.col("_block") == F.col("_b"))
+    for c in on:
+        same &= F.col(f"`{c}`") == F.col(f"`_on_{c}`")
     met = placed.join(unsized(runs), same & within, how)
-    return met.drop("_row", "_x", "_block", "_r", "_x0", "_x1", "_b")
+    return met.drop("_row", "_x", "_block", "_r", "_x0", "_x1", "_b", *[f"_on_{c}" for c in on])
 
 
 def area_keys(

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from cellzonal.functions import geometry as geo, grid
 from cellzonal.operators import joins
 from cellzonal.operators.exact import spatial_join
-from cellzonal.operators.polyfill import polyfill, run_area
+from cellzonal.operators.polyfill import compact_fill, polyfill, run_area
 from cellzonal.session import unsized
-from tests.helpers import inside, plan, rows, square, zones
+from tests.helpers import inside, plan, rows, square, square_zone, zones
+from workload.queries import QUERIES
 
 
 def world(spark):
@@ -95,3 +96,23 @@ def test_exact_join_across_the_date_line_sends_nothing_unmeasured(static):
         r, lambda c: F.struct((c["x"] + 165).alias("x"), c["y"].alias("y"))))))
     zones = turned.withColumn("geometry", geo.wrapped(F.col("geometry")))
     assert broadcasts(spatial_join(big_points(static), zones)) == []
+
+
+def test_points_meet_the_cells_of_their_own_zone(spark):
+    """An area of any kind is met by cell and id; rows without a match stay in an outer join."""
+    shapes = zones(spark, [("a", square_zone(0, 0, 20, 20)), ("b", square_zone(10, 10, 30, 30))])
+    spots = [(x + 0.5, y + 0.5) for x in range(-2, 32, 3) for y in range(-2, 32, 3)]
+    found = spark.createDataFrame([(x, y, i) for x, y in spots for i in ("a", "b", "c", None)], "x double, y double, id string")
+    found = found.select("x", "y", "id", grid.cell_at("x", "y", 4).alias("h4"))
+    plain = {(r["h4"], r["id"]) for r in polyfill(shapes, 4).collect()}
+    wanted = sorted(((r["x"], r["y"], r["id"], True if (r["h4"], r["id"]) in plain else None) for r in found.collect()), key=repr)
+    for area in (polyfill(shapes, 4).drop("h0"), run_area(shapes, 4)):
+        met = joins.meet(found, area.withColumn("both", F.lit(True)), 4, ["both"], how="left", on=["id"])
+        assert rows(met, "x", "y", "id", "both") == wanted
+    inner = joins.meet(found, compact_fill(shapes, 4).withColumn("both", F.lit(True)), 4, ["both"], on=["id"])
+    assert rows(inner, "x", "y", "id", "both") == [r for r in wanted if r[3]]
+
+
+def test_exact_against_cells_broadcasts_no_cells(static, sf):
+    outer = [line for line in plan(QUERIES["exact_against_cells"](static, sf)).splitlines() if "LeftOuter" in line]
+    assert outer and all("SortMergeJoin" in line for line in outer)

@@ -286,9 +286,9 @@ def _(spark, sf):
     zones = t.counties(spark, sf)
     found = spatial_join(t.occurrence_points(spark, sf), zones)
     found = found.select("id", grid.cell_at("lng", "lat", 6).alias("h6"))
-    cells = polyfill(zones, 6).select("h6", "id", F.lit(True).alias("both"))
+    cells = run_area(zones, 6).withColumn("both", F.lit(True))
     return (
-        found.join(cells, ["h6", "id"], "left")
+        joins.meet(found, cells, 6, ["both"], how="left", on=["id"])
         .groupBy("id")
         .agg(F.count("*").alias("by_shape"), F.count("both").alias("by_both"))
     )
