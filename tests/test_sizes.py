@@ -9,6 +9,7 @@ from cellzonal.functions import geometry as geo, grid
 from cellzonal.operators import joins
 from cellzonal.operators.exact import spatial_join
 from cellzonal.operators.polyfill import compact_fill, polyfill, run_area
+from cellzonal.plans.richness import zonal_richness
 from cellzonal.session import unsized
 from tests.helpers import inside, plan, rows, square, square_zone, zones
 from workload.queries import QUERIES
@@ -116,3 +117,10 @@ def test_points_meet_the_cells_of_their_own_zone(spark):
 def test_exact_against_cells_broadcasts_no_cells(static, sf):
     outer = [line for line in plan(QUERIES["exact_against_cells"](static, sf)).splitlines() if "LeftOuter" in line]
     assert outer and all("SortMergeJoin" in line for line in outer)
+
+
+def test_compact_areas_are_made_and_met_without_unmeasured_broadcasts(static):
+    aoi = compact_fill(world(static), 5, start=3)
+    assert broadcasts(aoi) == []
+    met = zonal_richness(sightings(static, 10**8), aoi, 5, "id", taxon="taxonkey")
+    assert [line for line in broadcasts(met) if "_key" in line] == []
