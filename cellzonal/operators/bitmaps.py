@@ -5,6 +5,9 @@ many different (taxon, finest cell) pairs it stands for. A union of bitmaps give
 of any union of cells, and pairs add up, so both kinds of zonal richness come from
 stored sets. A bitmap takes 4 KB in memory and little more than its taxa when written or
 shuffled, as those compress; keep sets from a level on whose cells hold many records.
+
+``listed_sets`` has lists instead of bitmaps, of four bytes a taxon: rows ``cell, bucket, positions,
+pairs`` of all levels at once, for taxa that are many or cells that are small.
 """
 
 from __future__ import annotations
@@ -26,17 +29,46 @@ def taxa_sets(occurrences: DataFrame, level: int, taxon: str = "taxonkey") -> Da
     Records without taxon count as one taxon, in a bucket that is null, as they do in the other
     statistics; those without cell are left out. Repeated records go before bitmaps are made.
     """
+    bit = F.coalesce(F.bitmap_bit_position("_taxon"), F.lit(0).cast("long"))
+    sets = _seen(occurrences, level, taxon).groupBy("cell", F.bitmap_bucket_number("_taxon").alias("bucket")).agg(
+        F.bitmap_construct_agg(bit).alias("taxa")
+    )
+    return sets.withColumn("pairs", F.bitmap_count("taxa"))
+
+
+def _seen(occurrences: DataFrame, level: int, taxon: str) -> DataFrame:
+    """Distinct ``cell, _taxon`` of records that have a cell."""
     cell = f"h{level}"
     require_columns(occurrences, cell, taxon)
     if not isinstance(occurrences.schema[taxon].dataType, IntegralType):
         raise ValueError(f"{taxon} must be a whole number, not {occurrences.schema[taxon].dataType}")
     taxa = F.col(f"`{taxon}`").cast("long")
-    seen = occurrences.select(F.col(cell).alias("cell"), taxa.alias("_taxon")).dropna(subset=["cell"]).distinct()
-    bit = F.coalesce(F.bitmap_bit_position("_taxon"), F.lit(0).cast("long"))
-    sets = seen.groupBy("cell", F.bitmap_bucket_number("_taxon").alias("bucket")).agg(
-        F.bitmap_construct_agg(bit).alias("taxa")
+    return occurrences.select(F.col(cell).alias("cell"), taxa.alias("_taxon")).dropna(subset=["cell"]).distinct()
+
+
+#: A list has the taxa of one range of ids this wide, so that none grows beyond 4 MB.
+LIST_BITS = 20
+
+
+def listed_sets(
+    occurrences: DataFrame, level: int, coarsest: int, taxon: str = "taxonkey", grid: Grid = NATIVE
+) -> DataFrame:
+    """Sets of all levels ``coarsest .. level`` as ``cell, bucket, positions, pairs``.
+
+    They hold what ``with_coarser(taxa_sets(...))`` holds. Distinct (taxon, finest cell) pairs
+    are dealt out once, by coarsest cell and range of ids; each task then has all that its
+    cells of every level need, so only pairs are shuffled.
+    """
+    top = grid.parent("cell", level, coarsest).alias("_top")
+    bucket = F.shiftright("_taxon", LIST_BITS).alias("bucket")
+    position = F.coalesce(F.col("_taxon").bitwiseAND(F.lit((1 << LIST_BITS) - 1)), F.lit(0)).cast("int")
+    dealt = _seen(occurrences, level, taxon).select(top, "cell", bucket, position.alias("_position"))
+    lines = F.array(*[grid.parent("cell", level, k) for k in range(coarsest, level + 1)])
+    up = dealt.repartition("_top", "bucket").withColumn("cell", F.explode(lines))
+    sets = up.groupBy("_top", "bucket", "cell").agg(
+        F.sort_array(F.collect_set("_position")).alias("positions"), F.count(F.lit(1)).alias("pairs")
     )
-    return sets.withColumn("pairs", F.bitmap_count("taxa"))
+    return sets.select("cell", "bucket", "positions", "pairs")
 
 
 def merge(sets: DataFrame, more: DataFrame) -> DataFrame:
@@ -80,7 +112,7 @@ def zonal_richness(
     """Richness per zone, ``id, n, logn, value``, from stored sets.
 
     A plain area is met with sets of its level. A compact one is met with those of
-    ``with_coarser``, from ``coarsest`` on: a block inside a zone is one set,
+    ``with_coarser`` or ``listed_sets``, from ``coarsest`` on: a block inside a zone is one set,
     whatever it holds, so work follows the outlines of zones.
     """
     if mode not in MODES:
@@ -97,6 +129,9 @@ def zonal_richness(
     met = sets.join(area.select("cell", id_column), "cell")
     if mode == "occupancy":
         counts = met.groupBy(id_column).agg(F.sum("pairs").alias("n"))
+    elif "positions" in sets.columns:
+        taxa = met.select(id_column, "bucket", F.explode("positions").alias("_position")).distinct()
+        counts = taxa.groupBy(id_column).agg(F.count(F.lit(1)).alias("n"))
     else:
         merged = met.groupBy(id_column, "bucket").agg(F.bitmap_or_agg("taxa").alias("taxa"))
         counts = merged.groupBy(id_column).agg(F.sum(F.bitmap_count("taxa")).alias("n"))

@@ -1199,21 +1199,20 @@ SET_LEVEL, COARSEST_SET = 5, 1
 
 
 def _stored_sets(spark, sf) -> DataFrame:
-    """Taxa of every cell of levels 1 to 5 as bitmaps, stored by base cell."""
+    """Taxa of every cell of levels 1 to 5, as their positions in buckets, stored by base cell."""
     source = cache.files_fingerprint(spark, f"{sf}/lineitem.parquet")
 
     def write(path):
-        sets = bitmaps.taxa_sets(t.occurrences(spark, sf, SET_LEVEL), SET_LEVEL)
-        whole = bitmaps.with_coarser(sets, SET_LEVEL, COARSEST_SET)
+        whole = bitmaps.listed_sets(t.occurrences(spark, sf, SET_LEVEL), SET_LEVEL, COARSEST_SET)
         prepare.write_compact(bitmaps.by_base_cell(whole), path)
 
     levels = {"level": SET_LEVEL, "coarsest": COARSEST_SET}
-    return sources.open_cells(spark, cache.stored_folder(spark, "taxa-sets", [source], levels, write))
+    return sources.open_cells(spark, cache.stored_folder(spark, "taxa-lists", [source], levels, write))
 
 
 @query("zonal_species_sets", o.zonal_richness(OVERLAP, SET_LEVEL, "species"))
 def _(spark, sf):
-    """Distinct taxa per zone from stored bitmaps: one per block inside a zone."""
+    """Distinct taxa per zone from stored sets: one per block inside a zone."""
     aoi = compact_fill(t.overlap(spark, sf), SET_LEVEL, start=COARSEST_SET)
     sets = _stored_sets(spark, sf)
     return _scaled(bitmaps.zonal_richness(sets, aoi, SET_LEVEL, mode="species", coarsest=COARSEST_SET))
