@@ -124,3 +124,8 @@ def test_compact_areas_are_made_and_met_without_unmeasured_broadcasts(static):
     assert broadcasts(aoi) == []
     met = zonal_richness(sightings(static, 10**8), aoi, 5, "id", taxon="taxonkey")
     assert [line for line in broadcasts(met) if "_key" in line] == []
+
+
+def test_plain_cells_of_few_zones_are_not_broadcast_unmeasured(static):
+    facts = sightings(static, 10**8)
+    assert broadcasts(joins.cell_join(facts, polyfill(world(static), 5).drop("h0"), 5)) == []
